@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import decontaminate, linededup, minhash, quality, tokens
-from assetloom.llm._common import table
+from assetloom.llm import decontaminate, licences, linededup, minhash, mixing, neighbours, pii, quality, tokens, warc
+from assetloom.llm._common import scratch, table
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +19,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars_left"), "lines_cut")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0").select("vec_id"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -23,6 +32,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -34,7 +59,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op5_token_counts, op9_quality_classifier, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_line_dedup,
+        op3_neighbours,
+        op4_minhash_near_dedup,
+        op5_token_counts,
+        op6_warc,
+        op7_license_scan,
+        op8_pii,
+        op9_quality_classifier,
+        op10_decontamination,
+    )
 }
 
-SQL: dict[str, str] = {}
+#: SHA-1 in hexadecimal to base32: groups of five digits give four characters.
+_BASE32 = """(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(sha1(h), 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1), '' ORDER BY i) FROM range(32) t(i))"""
+
+SQL: dict[str, str] = {
+    "op6_warc": f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+    FROM m""",
+    "op7_license_scan": licences.oracle(),
+}

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from assetloom.llm import decontaminate, linededup, minhash, quality
+from assetloom.llm import decontaminate, linededup, minhash, mixing, quality
 from assetloom.llm._common import stored, table
 
 
@@ -29,11 +28,17 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates of the remaining documents that bring the domains to their target shares."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
 STAGES = [
     ("quality classifier", keep_good),
     ("line dedup", cut_repeated_lines),
     ("MinHash near-dedup", one_of_each),
     ("benchmark decontamination", uncontaminated),
+    ("mixing to target weights", mixed),
 ]
 
 #: Trained classifiers, signatures and tilings have no SQL; tests hold every stage against a brute-force version.
