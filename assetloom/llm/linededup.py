@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from assetloom.llm import _words
 from assetloom.llm._common import positional, stored
 
-_POST = "key long, id long, th long, line int, last int, before array<long>, after array<long>"
-
 
 def line_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that hold a word: (hash, words, text, byte start, byte end); the end is past the newline.
@@ -34,95 +32,101 @@ def line_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return h.view(np.int64), end - first, w.doc[first], bounds[at], bounds[at + 1]
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray, gram: int, least: int) -> list[tuple]:
-    """Winnowed windows of one text: (key, first line, last line, hashes before, hashes after).
+def _until(total: list[int], words: int) -> list[int]:
+    """For every line the last line of the fewest from it on that hold so many words (the number of lines: none)."""
+    k = len(total) - 1
+    out, e = [], 0
+    for i in range(k):
+        e = max(e, i)
+        while e < k and total[e + 1] - total[i] < words:
+            e += 1
+        out.append(e)
+    return out
+
 
-    A gram is the fewest lines from a line on that hold ``gram`` words; among the grams that start within the next
-    ``least - gram`` words (again the fewest lines that hold them) the one of least hash is selected. Hence every run
-    of lines with ``least`` words holds a selected gram. Each selected gram stands for the smallest windows around it
-    that hold ``least`` words, keyed by the hash of their lines: two equal runs share such a window whole, so its first
-    occurrence in the corpus always stands for the run. The neighbours reach ``least`` words beyond the window.
+def fingerprints(h: np.ndarray, n: np.ndarray, gram: int, least: int) -> set[int]:
+    """Winnowed fingerprints of one text.
+
+    A gram is the fewest lines from a line on that hold ``gram`` words. Of the grams that start within the next
+    ``least - gram`` words (again the fewest lines that hold them) the one of least hash is selected, the last of equal
+    ones. Hence every run of lines with ``least`` words holds a selected gram whole, whatever stands around the run.
     """
-    total = [0, *np.cumsum(n).tolist()]
-    k = len(n)
-    raw = h.tobytes()
-
-    def until(words: int) -> list[int]:
-        out, e = [], 0
-        for i in range(k):
-            e = max(e, i)
-            while e < k and total[e + 1] - total[i] < words:
-                e += 1
-            out.append(e)
-        return out
-
-    e_gram, e_win, e_all = until(gram), until(least - gram), until(least)
-    grams = [xxhash.xxh64_intdigest(raw[8 * i : 8 * (e_gram[i] + 1)]) if e_gram[i] < k else None for i in range(k)]
+    total, k, raw = [0, *np.cumsum(n).tolist()], len(n), h.tobytes()
+    end, reach = _until(total, gram), _until(total, least - gram)
+    grams = [xxhash.xxh64_intdigest(raw[8 * i : 8 * (end[i] + 1)]) if end[i] < k else None for i in range(k)]
     chosen = set()
     for a in range(k):
-        j = e_win[a]
-        if j >= k or e_gram[j] >= k:
+        j = reach[a]
+        if j >= k or end[j] >= k:
             break
         chosen.add(a if j == a else min(range(a, j + 1), key=lambda i: (grams[i], -i)))
-    windows = set()
-    for p in chosen:
-        s = p
-        while True:
-            t = max(e_gram[p], e_all[s])
-            if t < k:
-                windows.add((s, t))
-            if s == 0 or total[e_gram[p] + 1] - total[s] >= least:
-                break
-            s -= 1
-    out = []
-    for s, t in windows:
-        b = s
-        while b > 0 and total[s] - total[b] < least:
-            b -= 1
-        a = t
-        while a < k - 1 and total[a + 1] - total[t + 1] < least:
-            a += 1
-        key = xxhash.xxh64_intdigest(raw[8 * s : 8 * (t + 1)], seed=t - s + 1)
-        out.append((key, s, t, h[b:s][::-1], h[t + 1 : a + 1]))
-    return out
+    return {grams[i] for i in chosen} if k else set()
+
+
+def windows(h: np.ndarray, n: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(key, first line, last line) of the smallest windows of ``least`` words that start or that end at each line.
+
+    Every line of a run with ``least`` words lies in such a window within the run: the one that starts at the line, or
+    the one that ends there, or the one that starts where the run does.
+    """
+    total, k, raw = [0, *np.cumsum(n).tolist()], len(n), h.tobytes()
+    pairs = {(s, t) for s, t in enumerate(_until(total, least)) if t < k}
+    s = 0
+    for t in range(k):
+        while s < t and total[t + 1] - total[s + 1] >= least:
+            s += 1
+        if total[t + 1] - total[s] >= least:
+            pairs.add((s, t))
+    return [(xxhash.xxh64_intdigest(raw[8 * s : 8 * (t + 1)], seed=t - s + 1), s, t) for s, t in pairs]
+
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
-def _post(gram: int, least: int):
+
+_LINES = "id long, th long, hashes array<long>, words array<int>, prints array<long>"
+
+
+def _lines(gram: int, least: int):
     def run(batches):
         for b in _words.pieces(batches, "text"):
             h, n, doc, _, _ = line_table(b.column("text"))
             first = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            heavy = np.add.reduceat(np.append(n, 0), np.minimum(first[:-1], len(n))) >= least if len(n) else np.zeros(b.num_rows, bool)
-            heavy &= np.diff(first) > 0
-            row, key, line, last, before, after = [], [], [], [], [], []
-            for d in np.flatnonzero(heavy):
-                f, g = first[d], first[d + 1]
-                for k_, s, t, x, y in fingerprints(h[f:g], n[f:g], gram, least):
-                    row.append(d)
-                    key.append(k_)
+            total = np.concatenate([[0], np.cumsum(n)])
+            long_enough = np.flatnonzero(total[first[1:]] - total[first[:-1]] >= least)
+            at = [(first[d], first[d + 1]) for d in long_enough]
+            prints = [np.array(sorted(fingerprints(h[f:g], n[f:g], gram, least)), np.uint64).view(np.int64) for f, g in at]
+            take = pa.array(long_enough)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id").take(take),
+                    b.column("th").take(take),
+                    _lists([h[f:g] for f, g in at], pa.int64()),
+                    _lists([n[f:g] for f, g in at], pa.int32()),
+                    _lists(prints, pa.int64()),
+                ],
+                ["id", "th", "hashes", "words", "prints"],
+            )
+
+    return run
+
+
+def _spread(least: int):
+    def run(batches):
+        for b in batches:
+            row, key, line, last = [], [], [], []
+            for i, (h, n) in enumerate(zip(b.column("hashes"), b.column("words"), strict=True)):
+                for k, s, t in windows(h.values.to_numpy(), n.values.to_numpy(), least):
+                    row.append(i)
+                    key.append(k)
                     line.append(s)
                     last.append(t)
-                    before.append(x)
-                    after.append(y)
-            if row:
-                lists = [
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), pa.array(np.concatenate(c))
-                    )
-                    for c in (before, after)
-                ]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(key, np.uint64).view(np.int64)),
-                        b.column("id").take(take),
-                        b.column("th").take(take),
-                        pa.array(line, pa.int32()),
-                        pa.array(last, pa.int32()),
-                        *lists,
-                    ],
-                    ["key", "id", "th", "line", "last", "before", "after"],
-                )
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(key, np.uint64).view(np.int64)), b.column("id").take(take), b.column("th").take(take), pa.array(line, pa.int32()), pa.array(last, pa.int32())],
+                ["key", "id", "th", "line", "last"],
+            )
 
     return run
 
@@ -136,25 +140,15 @@ def _cut(text_at: int, hits_at: int, counted: bool, names: list[str]):
                 rows = np.flatnonzero(~np.asarray(hits.is_null()))
                 if len(rows):
                     sub = texts.take(pa.array(rows))
-                    h, _, doc, start, end = line_table(sub)
+                    _, _, doc, start, end = line_table(sub)
                     first = np.searchsorted(doc, np.arange(len(rows) + 1))
                     new: list = texts.to_pylist()
                     base = _words.words(sub).offsets
                     for i, row in enumerate(rows):
                         f, g = first[i], first[i + 1]
-                        mine = h[f:g].tolist()
-                        drop = np.zeros(len(mine), bool)
+                        drop = np.zeros(g - f, bool)
                         for hit in hits[int(row)].as_py():
-                            lo, hi = hit["line"], hit["last"]
-                            for x in hit["before"]:
-                                if lo == 0 or mine[lo - 1] != x:
-                                    break
-                                lo -= 1
-                            for x in hit["after"]:
-                                if hi + 1 == len(mine) or mine[hi + 1] != x:
-                                    break
-                                hi += 1
-                            drop[lo : hi + 1] = True
+                            drop[hit["line"] : hit["last"] + 1] = True
                         raw = new[row].encode()
                         out, at = [], 0
                         for s, e in zip((start[f:g] - base[i])[drop].tolist(), (end[f:g] - base[i])[drop].tolist(), strict=True):
@@ -179,12 +173,16 @@ def drop_repeated_runs(
     """``docs`` with later repeated runs of lines cut out of the text; every row and column stays.
 
     A run of consecutive lines with at least ``least_words`` words is deleted where an equal run (lines equal up to
-    white space) comes earlier in the corpus, in order of (id, hash of the text, line), also within one text. Runs are
-    found by winnowed windows (see ``fingerprints``), joined to the first occurrence of each, and extended line by line
-    both ways. ``count_col`` adds the number of lines cut.
+    white space) comes earlier in the corpus, in order of (id, hash of the text, line), also within one text.
+    ``count_col`` adds the number of lines cut.
 
-    One occurrence stands for each fingerprint, so a passage in a third of all texts gives one row each, not pairs.
-    Windows are compared by 64-bit hashes. Texts travel once, by id.
+    Winnowed fingerprints of all texts are counted; texts that hold a fingerprint which occurs twice are the only ones
+    that can hold a repeated run, and all of them are found. In those, matches are extended line by line both ways: the
+    windows of ``least_words`` words that start or end at each line are joined to the first occurrence of their hash,
+    and what a later occurrence covers is cut. That gives exactly the union of all maximal repeated runs.
+
+    One occurrence stands for each window, so a passage in a third of all texts gives one row each, not pairs; minima
+    and counts combine before the shuffle. Hashes have 64 bits. Texts travel once, by id; else only line hashes do.
 
     Nulls and edge cases: null and empty texts stay as they are; lines without a word are neither counted nor cut;
     null ids come first in the order; rows equal in id and text are one document and keep the same lines; a text may
@@ -193,19 +191,22 @@ def drop_repeated_runs(
     inner, (id_, text) = positional(docs, id_col, text_col)
     wide = inner.withColumn("th", F.xxhash64(text))
     src = wide.select(F.col(id_).cast("long").alias("id"), "th", F.col(text).alias("text"))
-    post = stored(src.filter("text is not null").mapInArrow(_post(gram_words, least_words), _POST), "windows")
-    head = (
-        post.groupBy("key")
-        .agg(F.min(F.struct("id", "th", "line", "before", "after")).alias("r"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("key", "r")
-    )
+    lines = stored(src.filter("text is not null").mapInArrow(_lines(gram_words, least_words), _LINES), "lines")
+    prints = lines.select("id", "th", F.explode("prints").alias("print"))
+    # texts of two rows that are equal in id and text are one: they give a fingerprint once
+    several = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    # a text that repeats within itself has a window twice, which only its own lines tell
+    twice = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    near = prints.join(several, "print").select("id", "th").unionByName(lines.filter(twice).select("id", "th")).distinct()
+    near = near.select(F.col("id").alias("near_id"), F.col("th").alias("near_th"))
+    chosen = lines.join(near, F.col("id").eqNullSafe(F.col("near_id")) & (F.col("th") == F.col("near_th"))).select("id", "th", "hashes", "words")
+    spread = stored(chosen.mapInArrow(_spread(least_words), "key long, id long, th long, line int, last int"), "windows")
+    head = spread.groupBy("key").agg(F.min(F.struct("id", "th", "line")).alias("r"), F.count("*").alias("n")).filter("n > 1").select("key", "r")
     later = (
-        post.select("key", "id", "th", "line", "last")
-        .join(head, "key")
-        .filter(~F.struct("id", "th", "line").eqNullSafe(F.struct("r.id", "r.th", "r.line")))
+        spread.join(head, "key")
+        .filter(~F.struct("id", "th", "line").eqNullSafe(F.col("r")))
         .groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"))
-        .agg(F.collect_set(F.struct("line", "last", F.col("r.before").alias("before"), F.col("r.after").alias("after"))).alias("hits"))
+        .agg(F.collect_set(F.struct("line", "last")).alias("hits"))
     )
     wide = wide.join(later, F.col(id_).cast("long").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
     names = list(inner.columns) + ([count_col] if count_col else [])

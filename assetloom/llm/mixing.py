@@ -105,6 +105,20 @@ def posterior(f: Column, model: dict | None) -> Column:
     return F.transform(mass, lambda x: x / F.aggregate(mass, F.lit(0.0), lambda a, y: a + y))
 
 
+def inverse(m: list[list[float]]) -> list[list[float]]:
+    """The inverse of a small positive definite matrix."""
+    n = len(m)
+    rows = [[*r, *(float(i == j) for j in range(n))] for i, r in enumerate(m)]
+    for i in range(n):
+        p = max(range(i, n), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[p] = rows[p], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for r in range(n):
+            if r != i:
+                rows[r] = [x - rows[r][i] * y for x, y in zip(rows[r], rows[i], strict=True)]
+    return [r[n:] for r in rows]
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
@@ -121,11 +135,13 @@ def mix(
 
     ``rate`` is how many copies of the document to draw in expectation. Rates are nonnegative and minimise the squared
     distance between the expected tokens of each domain, sum(rate * n_tokens * p_domain), and ``budget`` (default: all
-    tokens) times the target share. Domains come from the label table; texts belong to them softly.
+    tokens) times the target share. Domains come from the label table; texts belong to them softly. Distance is taken
+    in the metric of the inverse second moments of the posteriors, in which overlapping domains don't slow the descent;
+    targets that can be met are met in any metric.
 
     The rates are found by projected gradient steps with momentum, restarted when the residual grows. In the scaling
-    where a document weighs as the root of its tokens a step is rate - step * (p . gradient), cut at zero, and the
-    gradient is a sum of as many numbers as there are domains: one aggregation over (tokens, posteriors, rate) a step.
+    where a document weighs as the root of its tokens a step is rate - (p . gradient), cut at zero, and the gradient
+    comes from as many sums as there are domains: one aggregation over (tokens, posteriors, rate) a step.
     The texts are read once; the narrow table of tokens and posteriors is written to the shared folder, and so are the
     rates after every eighth step.
 
@@ -148,12 +164,15 @@ def mix(
     if not total:
         return flat.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *names, F.lit(1.0).alias("rate"))
     want = [targets.get(d, 0.0) * (budget or total) / total for d in DOMAINS]
-    v = [1.0] * len(DOMAINS)
-    for _ in range(100):  # the largest eigenvalue of the moments, by power iteration
-        u = [sum(m[f"m{i}{j}"] / total * v[j] for j in k) for i in k]
-        size = math.sqrt(sum(x * x for x in u)) or 1.0
-        v = [x / size for x in u]
-    pace = 1.0 / max(size * 1.001, 1e-12)
+    trace = sum(m[f"m{i}{i}"] for i in k) / total
+    metric = inverse([[m[f"m{i}{j}"] / total + (1e-6 * trace if i == j else 0.0) for j in k] for i in k])
+
+    def gap(sums, prefix: str) -> list[float]:
+        return [sums[f"{prefix}{i}"] / total - want[i] for i in k]
+
+    def scaled(g: list[float]) -> list[float]:
+        return [sum(metric[i][j] * g[j] for j in k) for i in k]
+
     state = flat.withColumn("rate", F.lit(sum(want))).withColumn("ahead", F.col("rate"))
 
     def dot(g: list[float]) -> Column:
@@ -165,16 +184,15 @@ def mix(
             *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("ahead")).alias(f"a{i}") for i in k],
             *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("rate")).alias(f"r{i}") for i in k],
         ).first()
-        miss = math.sqrt(sum((sums[f"r{i}"] / total - want[i]) ** 2 for i in k))
-        if miss <= tolerance * sum(want) or abs(last - miss) <= 1e-10:
+        g = gap(sums, "r")
+        miss = math.sqrt(max(0.0, sum(x * y for x, y in zip(g, scaled(g), strict=True))))
+        if miss <= tolerance * sum(want) or abs(last - miss) <= 1e-9 * sum(want):
             break
         if miss > last:  # the momentum overshot: start it again from the rates
             t = 1.0
-            grad = [sums[f"r{i}"] / total - want[i] for i in k]
-            new = F.greatest(F.lit(0.0), F.col("rate") - dot(grad) * pace)
+            new = F.greatest(F.lit(0.0), F.col("rate") - dot(scaled(g)))
         else:
-            grad = [sums[f"a{i}"] / total - want[i] for i in k]
-            new = F.greatest(F.lit(0.0), F.col("ahead") - dot(grad) * pace)
+            new = F.greatest(F.lit(0.0), F.col("ahead") - dot(scaled(gap(sums, "a"))))
         last = miss
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         push = (t - 1) / after

@@ -39,7 +39,7 @@ GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$|(?i)(gmail|yahoo|hotmail|outlook|proton|mail)",
     "ip": r"^(0*(1[0-9]{2}|2[0-2][0-9]|[1-9][0-9]?))[\[(.]",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))",
-    "phone": r"^\+(1|33|34|44|49|39|7|81|86|91)|^\(?[2-9]",
+    "phone": r"^\+(1|33|34|44|49|39|7|81|86|91)|^\([2-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _SPAN = "struct<start:int,end:int,value:string,before:string>"
@@ -94,7 +94,7 @@ def _votes(kind: str, c: Column, base: bool) -> Column:
         "email": F.when(F.lit(base) | value.rlike(r"\.|[dD][oO][tT]"), 2).otherwise(1),
         "ip": F.when(F.regexp_replace(value, r"[\[\]()]", "").rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"), 2).otherwise(0),
         "card": F.when(_luhn(value), 2).otherwise(0),
-        "phone": F.when(digits.between(8, 15), 2).otherwise(0),
+        "phone": F.when(~digits.between(8, 15), 0).when(value.rlike(r"^[+(]"), 2).otherwise(1),
     }[kind]
     by_list = F.when(value.rlike(GAZETTEER[kind]), 2).otherwise(1)
     before = F.lower(c["before"])
