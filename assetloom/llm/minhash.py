@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +72,52 @@ def bag_signatures(shingle: np.ndarray, doc: np.ndarray, n: int, m: int) -> np.n
         live = every[open_[d] & (x <= until[d])]
 
 
-def _bands(bands: int, rows: int):
+def _signed(m: int):
     def run(batches):
         for b in _words.pieces(batches, "text"):
             w = _words.words(b.column("text"))
             h, doc, _ = _words.shingles(w)
-            sig = bag_signatures(h, doc, w.n, bands * rows)
-            v = sig.view(np.uint32).astype(np.uint64).reshape(w.n, bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _REG, (w.n, bands)).copy()
+            raw = np.ascontiguousarray(bag_signatures(h, doc, w.n, m)).tobytes()
+            some = pa.array(np.diff(w.first) > 0)
+            bounds = np.arange(w.n + 1, dtype=np.int32) * (4 * m)
+            sig = pa.Array.from_buffers(pa.binary(), w.n, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+            sig = pc.if_else(some, sig, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), sig], ["id", "digest", "sig"])
+
+    return run
+
+
+def _registers(sig: pa.Array, m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(len(sig), m)
+
+
+def _bands(bands: int, rows: int):
+    def run(batches):
+        for b in batches:
+            v = _registers(b.column("sig"), bands * rows).reshape(-1, bands, rows).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _REG, v.shape[:2]).copy()
             for r in range(rows):
                 key = _words.mix(key + v[:, :, r] * _STEP + np.uint64(r + 1))
-            some = np.diff(w.first) > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), keys], ["id", "digest", "bands"])
+            rep = np.repeat(b.column("rep").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(key.ravel().view(np.int64))], ["rep", "key"])
+
+    return run
+
+
+def _likely(m: int, least: float):
+    """Pairs of one block pair whose classes differ and whose signatures agree often enough."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, of, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
+        v = _registers(group.column("sig").combine_chunks(), m)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = []
+        for i in left:
+            j = right[(of[right] != of[i]) & ((rep[right] > rep[i]) | (side[i] == 0))]
+            j = j[(v[j] == v[i]).mean(axis=1) >= least]
+            out += [(min(rep[i], rep[x]), max(rep[i], rep[x])) for x in j]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -115,76 +150,73 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    threshold: float = 0.8,
+    bands: int = 32,
+    rows: int = 5,
+    deviations: float = 4.5,
+    block: int = 128,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row ``(doc_id, class_id)`` per input row; class_id is the smallest id of the class.
 
     Texts are linked if the multisets of their five-word shingles have a weighted Jaccard similarity of at least
     ``threshold``; classes are the connected components. Candidates share a band of the signature: at similarity 0.8 a
-    pair is missed with a chance below 4e-6 (24 bands of 4), and every candidate is verified on the texts themselves.
+    pair is missed with a chance of about 3e-6 (32 bands of 5), and every link is verified on the texts themselves.
 
-    Equal texts are one vertex, the smallest id, and cost one signature each. In a bucket only the members and one
-    leader are paired, so work is linear in its size; a bucket whose members are not yet one class gets further
-    leaders, round by round, until every two of its members were compared or are in one class: nothing is capped.
+    Equal texts are one vertex, the smallest id, and have one signature in the buckets. First the members of a bucket
+    are paired with one leader only, so work is linear in its size; that joins nearly all that belongs together. In
+    buckets whose other members are not one class then, members of different classes are compared by their signatures,
+    in pairs of blocks of about ``block`` members, and those that agree in a share of registers that is at most
+    ``deviations`` standard deviations below the threshold are verified too. Nothing is capped.
 
     Nulls and edge cases: a null text counts as empty; empty texts (and texts of only white space that are equal) are
     copies of one another. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
     """
-    spark = docs.sparkSession
+    m = bands * rows
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = src.filter("id is not null")
-    sig = stored(
-        known.select("id", "text", F.unhex(F.md5("text")).alias("digest")).mapInArrow(
-            _bands(bands, rows), "id long, digest binary, bands array<long>"
-        ),
-        "signatures",
-    )
-    unique = stored(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "unique")
+    known = src.filter("id is not null").withColumn("digest", F.unhex(F.md5("text")))
+    sig = stored(known.mapInArrow(_signed(m), "id long, digest binary, sig binary"), "signatures")
+    unique = stored(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "unique")
     copies = sig.select("id", "digest").join(unique.select("digest", "rep"), "digest").select("id", "rep").distinct()
-    keyed = unique.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    member = stored(keyed.join(shared, "key").select("key", "rep", "leader"), "buckets")
-    involved = member.select(F.col("rep").alias("id")).distinct()
-    digests = unique.select(F.col("rep").alias("id"), "digest")
+    keyed = unique.filter("sig is not null").select("rep", "sig").mapInArrow(_bands(bands, rows), "rep long, key long")
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    member = stored(keyed.join(shared, "key").filter("rep <> leader").select("key", "rep", "leader"), "buckets")
+    involved = member.select("rep").unionByName(member.select(F.col("leader").alias("rep"))).distinct()
     # the text of a representative is that of its own digest, also where rows with one id differ
     texts = stored(
-        known.withColumn("digest", F.unhex(F.md5("text")))
-        .join(involved.join(digests, "id"), ["id", "digest"])
+        known.join(involved.join(unique.select("rep", "digest"), "rep").withColumnRenamed("rep", "id"), ["id", "digest"])
         .dropDuplicates(["id", "digest"])
-        .select("id", "digest", "text"),
+        .select("id", "text"),
         "texts",
     )
-    pairs = stored(member.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = member.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(verified(pairs, texts, threshold), "links")
-    open_ = member.select("key", "rep", F.col("leader")).filter("rep <> leader").select("key", "rep")
-    turn = 0
-    while True:
+    label = stored(components(links.select("a", "b")), "labels")
+
+    told = member.select("key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    told = told.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    left = told.join(split, "key").select(
+        "key", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")
+    )
+    # a block meets every later block of its bucket, and itself: side 0, 1, or 2 for both
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key",
+        F.least("part", "other").alias("lo"),
+        F.greatest("part", "other").alias("hi"),
+        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
+        "rep",
+        "component",
+    )
+    least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / m)
+    likely = left.join(unique.select("rep", "sig"), "rep").groupBy("key", "lo", "hi").applyInArrow(_likely(m, least), "a long, b long").distinct()
+    more = stored(verified(likely, texts, threshold), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         label = stored(components(links.select("a", "b")), "labels")
-        told = open_.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        # members that may still have an untested partner: those that have not led, in buckets with two classes or more
-        left = stored(told.join(split, "key"), "open")
-        if left.isEmpty():
-            break
-        turn += 1
-        # an order of ids of its own for each leader: the smallest id after some bits are flipped
-        flips = [int(v) for v in (_words.mix(np.arange(8 * turn, 8 * turn + 8, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)]
-        least = left.groupBy("key").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(v))).alias(f"l{i}") for i, v in enumerate(flips)])
-        leads = least.select("key", F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(v)) for i, v in enumerate(flips)])).alias("leads"))
-        lead = leads.select("key", F.explode("leads").alias("leader"))
-        lead = lead.join(left.select("key", F.col("rep").alias("leader"), F.col("component").alias("of")), ["key", "leader"])
-        new = (
-            left.join(lead, "key")
-            .filter("component <> of")
-            .select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
-            .distinct()
-        )
-        new = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(new)
-        links = stored(links.unionByName(verified(new, texts, threshold)), "links")
-        open_ = left.select("key", "rep").join(lead.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
     # rows of one id with different texts tie their classes together
     ties = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     several = copies.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").limit(1)
