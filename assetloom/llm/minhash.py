@@ -98,23 +98,29 @@ def _bands(bands: int, rows: int):
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _REG, v.shape[:2]).copy()
             for r in range(rows):
                 key = _words.mix(key + v[:, :, r] * _STEP + np.uint64(r + 1))
-            rep = np.repeat(b.column("rep").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(key.ravel().view(np.int64))], ["rep", "key"])
+            rep, band = np.repeat(b.column("rep").to_numpy(), bands), np.tile(np.arange(bands, dtype=np.int32), len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(band), pa.array(key.ravel().view(np.int64))], ["rep", "band", "key"])
 
     return run
 
 
-def _likely(m: int, least: float):
-    """Pairs of one block pair whose classes differ and whose signatures agree often enough."""
+def _likely(bands: int, rows: int, least: float):
+    """Pairs of one block pair whose classes differ and whose signatures agree often enough.
+
+    A pair that meets in several bands is given in the first of them."""
+    m = bands * rows
 
     def run(group: pa.Table) -> pa.Table:
-        rep, of, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
+        rep, of, side, band = (group.column(c).to_numpy() for c in ("rep", "component", "side", "band"))
         v = _registers(group.column("sig").combine_chunks(), m)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
         for i in left:
             j = right[(of[right] != of[i]) & ((rep[right] > rep[i]) | (side[i] == 0))]
-            j = j[(v[j] == v[i]).mean(axis=1) >= least]
+            same = v[j] == v[i]
+            near = same.mean(axis=1) >= least
+            j, same = j[near], same[near].reshape(-1, bands, rows).all(axis=2)
+            j = j[same.argmax(axis=1) == band[i]]
             out += [(min(rep[i], rep[x]), max(rep[i], rep[x])) for x in j]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -154,8 +160,8 @@ def near_duplicate_classes(
     threshold: float = 0.8,
     bands: int = 32,
     rows: int = 5,
-    deviations: float = 4.5,
-    block: int = 128,
+    deviations: float = 4.0,
+    block: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -180,9 +186,9 @@ def near_duplicate_classes(
     sig = stored(known.mapInArrow(_signed(m), "id long, digest binary, sig binary"), "signatures")
     unique = stored(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "unique")
     copies = sig.select("id", "digest").join(unique.select("digest", "rep"), "digest").select("id", "rep").distinct()
-    keyed = unique.filter("sig is not null").select("rep", "sig").mapInArrow(_bands(bands, rows), "rep long, key long")
+    keyed = unique.filter("sig is not null").select("rep", "sig").mapInArrow(_bands(bands, rows), "rep long, band int, key long")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    member = stored(keyed.join(shared, "key").filter("rep <> leader").select("key", "rep", "leader"), "buckets")
+    member = stored(keyed.join(shared, "key").filter("rep <> leader").select("key", "band", "rep", "leader"), "buckets")
     involved = member.select("rep").unionByName(member.select(F.col("leader").alias("rep"))).distinct()
     # the text of a representative is that of its own digest, also where rows with one id differ
     texts = stored(
@@ -195,16 +201,17 @@ def near_duplicate_classes(
     links = stored(verified(pairs, texts, threshold), "links")
     label = stored(components(links.select("a", "b")), "labels")
 
-    told = member.select("key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    told = told.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    told = member.select("key", "band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    told = told.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     parts = F.ceil(F.col("n") / block).cast("int")
     left = told.join(split, "key").select(
-        "key", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")
+        "key", "band", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")
     )
     # a block meets every later block of its bucket, and itself: side 0, 1, or 2 for both
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key",
+        "band",
         F.least("part", "other").alias("lo"),
         F.greatest("part", "other").alias("hi"),
         F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
@@ -212,7 +219,7 @@ def near_duplicate_classes(
         "component",
     )
     least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / m)
-    likely = left.join(unique.select("rep", "sig"), "rep").groupBy("key", "lo", "hi").applyInArrow(_likely(m, least), "a long, b long").distinct()
+    likely = left.join(unique.select("rep", "sig"), "rep").groupBy("key", "lo", "hi").applyInArrow(_likely(bands, rows, least), "a long, b long").distinct()
     more = stored(verified(likely, texts, threshold), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
