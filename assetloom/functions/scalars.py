@@ -303,8 +303,16 @@ def is_stale(mtime: ColumnOrName, stored: ColumnOrName, tolerance: int = 1) -> C
 
 
 def typed_default(c: ColumnSpec) -> Column:
-    kinds = {"int": "int", "float": "float", "boolean": "boolean"}
-    return F.lit(c.default).cast(kinds.get(c.kind, "string"))
+    return F.lit(c.default).cast(KIND_TYPES.get(c.kind, "string"))
+
+
+KIND_TYPES = {"int": "int", "float": "float", "boolean": "boolean"}
+
+
+def complete(df: DataFrame, spec: list[ColumnSpec]) -> DataFrame:
+    """``df`` with every column of the spec; those it lacks are NULL."""
+    have = set(df.columns)
+    return df.select("*", *[F.lit(None).cast(KIND_TYPES.get(c.kind, "string")).alias(c.name) for c in spec if c.name not in have])
 
 
 def apply_defaults(df: DataFrame, spec: list[ColumnSpec]) -> DataFrame:

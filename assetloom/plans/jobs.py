@@ -11,6 +11,7 @@ from assetloom.functions import scalars as S
 from assetloom.functions import spec as P
 from assetloom.operators import geometry, inherit, manifest, resolve, signal, tables, validate
 from assetloom.sources import files as src
+from assetloom.sources.scratch import stored
 
 
 def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=None, **options) -> DataFrame:
@@ -112,10 +113,11 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     Files are taken from the tree of the locale (its SearchName). The diff against the previous manifest comes before
     any content is read, so only what is added or changed has to be converted."""
     aliases, bad = compile_aliases(ctx.sources, ctx.zones, ctx.templates)
-    aliases = aliases.withColumn("alias_key", F.xxhash64("zone", *P.DEDUP_KEYS))
-    platform = ctx.platforms.select("Platform", F.col("CompressionScale").alias("platform_scale"))
+    # read several times below: the wide expressions are evaluated once
+    aliases = stored(aliases, "aliases").withColumn("alias_key", F.xxhash64("zone", *P.DEDUP_KEYS))
+    platform = ctx.platforms.select(F.col("Platform").alias("__platform"), F.col("CompressionScale").alias("platform_scale"))
     locale = ctx.locales.select(F.col("Name").alias("language"), "SearchName", "IsShared", F.col("CompressionScale").alias("locale_scale"))
-    req = requests.join(inherit.dimension(platform), requests["platform"] == platform["Platform"]).drop("Platform").join(inherit.dimension(locale), "language")
+    req = requests.join(inherit.dimension(platform), requests["platform"] == platform["__platform"]).drop("__platform").join(inherit.dimension(locale), "language")
     rows = aliases.drop("Platform", "Language").join(inherit.dimension(req), "zone")
     rows = rows.filter(validate.for_platform("PlatformMask", F.col("platform")) & ~validate.all_blank(*P.SPECS))
     rows = rows.withColumn("row_key", F.struct("alias_key", "platform", "language"))
@@ -131,8 +133,9 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     found = found.withColumns({"storage_class": tables.split_storage("Storage"), "origin": F.col("Name"), "order": F.struct("__file", "__row", "slot", "source")})
     by = ["zone", "platform", "language", "storage_class"]
     found = found.withColumn("claim", F.struct(*by, "target"))
-    conflicts = resolve.target_conflicts(found, "claim", ["source", "looping", "Storage", "CompressionLevel"], "origin", "order")
     # settings that clash keep no asset: the build can't tell which is meant
+    found = stored(found, "found")
+    conflicts = resolve.target_conflicts(found, "claim", ["source", "looping", "Storage", "CompressionLevel"], "origin", "order")
     claims = resolve.claimed(found.join(conflicts.select("claim"), "claim", "left_anti").withColumn("target_key", F.to_json("claim")), "target_key", "order")
     first = resolve.first_resolved(found, "row_key", "slot")
     wide = first.groupBy("row_key").pivot("slot", ["main", "sustain", "release"]).agg(F.first("source").alias("source"), F.first("target").alias("target"))

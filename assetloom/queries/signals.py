@@ -1,4 +1,283 @@
-"""Queries."""
-from assetloom.queries.registry import Registry
+"""Queries of signals and geometry: embeddings as signals of 64 samples and as volumes, with small buckets and windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assetloom.functions import scalars as S
+from assetloom.operators import geometry as G
+from assetloom.operators import signal as A
+from assetloom.plans import jobs
+from assetloom.queries.registry import LEVEL_OF_KEY, LONG, SIG, Registry, level_of, signals, table
+from assetloom.queries.sources import volume_planes
+from assetloom.sources import files
+from assetloom.sources.scratch import stored
+
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
+
+
+@query(f"WITH {LONG} SELECT vec_id, (i // 10)::INT AS bucket, max(abs(s)) AS peak FROM long WHERE i // 10 < 6 GROUP BY 1, 2")
+def a7_bucket_peaks(spark, sf):
+    return signals(spark, sf).select("vec_id", F.posexplode(A.bucket_peaks("samples", 10)).alias("bucket", "peak"))
+
+
+@query(f"WITH {LONG} SELECT vec_id, max(abs(s)) / 32768.0 AS peak FROM long GROUP BY 1")
+def a8_whole_peak(spark, sf):
+    level, _ = A.short_envelope(A.max_abs("samples"))
+    return signals(spark, sf).select("vec_id", level[0].alias("peak"))
+
+
+@query(f"WITH {LONG} SELECT vec_id, round(20 * log10(max(abs(s)) / 32768.0), 6) AS db FROM long GROUP BY 1")
+def a9_peak_db(spark, sf):
+    return signals(spark, sf).select("vec_id", F.round(A.peak_db("samples"), 6).alias("db"))
+
+
+def _frames(spark, sf):
+    return signals(spark, sf).select("vec_id", F.posexplode("samples").alias("i", "s"), F.lit(64).alias("n"))
+
+
+_RMS = f"""{LONG}, w AS (SELECT vec_id, k, sum(s::BIGINT * s) AS q FROM long JOIN (SELECT unnest(range(27)) AS k) ON i >= 2 * k AND i < 2 * k + 10 GROUP BY 1, 2),
+r AS (SELECT vec_id, 20 * log10(sqrt(max(q) / 10.0) / 32768.0) AS rms FROM w GROUP BY 1)"""
+
+
+@query(f"WITH {_RMS} SELECT vec_id, round(rms, 6) AS rms_db FROM r")
+def a10_windowed_rms(spark, sf):
+    return A.windowed_rms_db(_frames(spark, sf), "vec_id", "i", "s", "n", 10).withColumn("rms_db", F.round("rms_db", 6))
+
+
+@query(f"WITH {_RMS}, p AS (SELECT vec_id, 20 * log10(max(abs(s)) / 32768.0) AS peak FROM long GROUP BY 1) SELECT vec_id, round(peak, 6) AS peak_db, round(rms, 6) AS rms_db, round(peak - rms, 5) AS crest FROM p JOIN r USING (vec_id)")
+def a11_loudness(spark, sf):
+    f = A.loudness(_frames(spark, sf).withColumn("ch", F.lit(0)), "vec_id", "ch", "i", "s", "n", 10)
+    return f.select("vec_id", F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"), F.round("crest", 5).alias("crest"))
+
+
+def _buckets(spark, sf):
+    """Coarse values, so that equal neighbours are common."""
+    return _frames(spark, sf).select("vec_id", "i", F.floor(F.abs("s") / 1500).cast("double").alias("v"))
+
+
+_B = f"{LONG}, b AS (SELECT vec_id, i, floor(abs(s) / 1500.0)::DOUBLE AS v FROM long)"
+_KNOTS = f"""{_B}, st AS (SELECT *, sign(v - lag(v) OVER w) AS step, lead(v) OVER w AS nxt, count(*) OVER (PARTITION BY vec_id) AS n FROM b WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+dr AS (SELECT *, last_value(CASE WHEN step <> 0 THEN step END IGNORE NULLS) OVER w AS dir, max(CASE WHEN step < 0 THEN i END) OVER w AS fall FROM st WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rs AS (SELECT *, min(CASE WHEN step > 0 THEN i END) OVER (PARTITION BY vec_id, fall) AS rise FROM dr),
+pu AS (SELECT vec_id, i, v, -1 AS pl FROM rs WHERE i = 0 UNION ALL SELECT vec_id, i, v, n FROM rs WHERE i = n - 1 UNION ALL
+SELECT vec_id, i, v, i FROM rs WHERE (i <= n - 3 AND v > nxt AND coalesce(dir, 1) > 0) OR (i = n - 2 AND coalesce(dir, 1) > 0 AND (fall IS NULL OR rise <= n - 3))),
+co AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv, lead(pl) OVER w IS NULL AS l1, lead(pl, 2) OVER w IS NULL AS l2 FROM pu WINDOW w AS (PARTITION BY vec_id ORDER BY pl)),
+kn AS (SELECT vec_id, i, v, row_number() OVER (PARTITION BY vec_id ORDER BY pl) - 1 AS seq FROM co WHERE l1 OR l2 OR pv IS NULL OR pv <> v OR nv <> v)"""
+
+
+@query(f"WITH {_KNOTS} SELECT vec_id, seq, i FROM kn")
+def w10_knots(spark, sf):
+    return A.knots(_buckets(spark, sf), "vec_id").select("vec_id", F.col("seq").cast("long").alias("seq"), F.col("i").cast("long").alias("i"))
+
+
+@query(f"""WITH {_KNOTS}, kd AS (SELECT DISTINCT vec_id, i FROM kn), j AS (SELECT b.vec_id, b.i, b.v, CASE WHEN kd.i IS NOT NULL THEN b.i END AS ki, CASE WHEN kd.i IS NOT NULL THEN b.v END AS kv FROM b LEFT JOIN kd ON kd.vec_id = b.vec_id AND kd.i = b.i),
+    f AS (SELECT *, last_value(ki IGNORE NULLS) OVER p AS li, last_value(kv IGNORE NULLS) OVER p AS lv, first_value(ki IGNORE NULLS) OVER q AS ri, first_value(kv IGNORE NULLS) OVER q AS rv FROM j
+    WINDOW p AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT vec_id, i, CASE WHEN li IS NULL OR ri IS NULL THEN v ELSE trunc(lv * (1 - (i - li) / (ri - li)) + rv * ((i - li) / (ri - li))) END AS v FROM f""")
+def w11_smooth(spark, sf):
+    b = _buckets(spark, sf)
+    return A.smooth(b, A.knots(b, "vec_id"), "vec_id").withColumn("i", F.col("i").cast("long"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, floor(value / 10) AS v FROM events), c AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv, lead(event_id) OVER w IS NULL AS l1, lead(event_id, 2) OVER w IS NULL AS l2 FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id FROM c WHERE l1 OR l2 OR pv IS NULL OR pv <> v OR nv <> v""")
+def w12_collapse_runs(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", F.floor(F.col("value") / 10).alias("v"))
+    return A.collapse_runs(e.withColumn("at", F.col("event_id")), "user_id").select("user_id", "event_id")
+
+
+@query(f"""WITH {_KNOTS}, k8 AS (SELECT vec_id, i, v, seq, count(*) OVER (PARTITION BY vec_id) AS m, first_value(v) OVER w AS v0, last_value(v) OVER (PARTITION BY vec_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v3 FROM kn WINDOW w AS (PARTITION BY vec_id ORDER BY seq)),
+    ca AS (SELECT a.vec_id, a.seq * 64 + c.seq AS ordinal, a.v0 AS l0, a.v AS l1, c.v AS l2, a.v3 AS l3, floor(a.i / 64.0 * 63) AS q1, floor(c.i / 64.0 * 63) AS q2 FROM k8 a JOIN k8 c ON a.vec_id = c.vec_id
+      AND ((a.m <= 4 AND a.seq = a.m // 2 - 1 AND c.seq = a.m // 2) OR (a.m > 4 AND a.seq >= 1 AND a.seq < a.m - 2 AND c.seq > a.seq AND c.seq < a.m - 2))),
+    er AS (SELECT vec_id, ordinal, CASE WHEN i < q1 THEN l0 * (1 - i / q1) + l1 * (i / q1) WHEN i < q2 THEN l1 * (1 - (i - q1) / (q2 - q1)) + l2 * ((i - q1) / (q2 - q1)) ELSE l2 * (1 - (i - q2) / (63 - q2)) + l3 * ((i - q2) / (63 - q2)) END - b.v AS e FROM ca JOIN b USING (vec_id) WHERE i < 63),
+    sc AS (SELECT vec_id, ordinal, round(sum(e * e) / 64, 9) AS s FROM er GROUP BY 1, 2)
+    SELECT vec_id, min(round(s, 5)) AS score FROM sc GROUP BY 1""")
+def a12_best_envelope(spark, sf):
+    b = _buckets(spark, sf)
+    k = stored(A.knots(b, "vec_id"), "knots")
+    best = A.score_candidates(A.candidates(k, "vec_id"), b, "vec_id")
+    return best.select("vec_id", F.round("score", 5).alias("score"))
+
+
+_GATED = f"""{LONG}, g AS (SELECT vec_id, i, s, max(abs(s)) OVER (PARTITION BY vec_id, i // 4) AS p FROM long)"""
+
+
+@query(f"WITH {_GATED} SELECT vec_id, i, CASE WHEN p >= 3000 THEN s ELSE 0 END AS s FROM g")
+def w9_silence_gate(spark, sf):
+    s = signals(spark, sf).select("vec_id", F.posexplode(A.silence_gate("samples", 3000, 4)).alias("i", "s"))
+    return s.withColumn("i", F.col("i").cast("long"))
+
+
+_POLY = f"""{SIG}, o AS (SELECT vec_id, samples, o, o / 96.0::DOUBLE * 64 AS pos FROM sig, range(96) t(o)),
+y AS (SELECT vec_id, o, pos - floor(pos) - 0.5 AS z, samples[((floor(pos)::INT + 62) % 64) + 1]::DOUBLE AS m2, samples[((floor(pos)::INT + 63) % 64) + 1]::DOUBLE AS m1, samples[(floor(pos)::INT % 64) + 1]::DOUBLE AS y0,
+  samples[((floor(pos)::INT + 1) % 64) + 1]::DOUBLE AS y1, samples[((floor(pos)::INT + 2) % 64) + 1]::DOUBLE AS y2, samples[((floor(pos)::INT + 3) % 64) + 1]::DOUBLE AS y3 FROM o),
+e AS (SELECT vec_id, o, z, y1+y0 AS a, y1-y0 AS b, y2+m1 AS c, y2-m1 AS d, y3+m2 AS e, y3-m2 AS f FROM y),
+r AS (SELECT vec_id, o, (((((b*0.0834979923567504::DOUBLE + d*-0.0417491284163099::DOUBLE + f*0.00834987866042734::DOUBLE)*z + (a*0.0416694667353327::DOUBLE + c*-0.0625042011435699::DOUBLE + e*0.020834734408418::DOUBLE))*z
+  + (b*-0.25112715343741::DOUBLE + d*0.0422302599220046::DOUBLE + f*0.0248872747299513::DOUBLE))*z + (a*-0.217009177221292::DOUBLE + c*0.200513765940862::DOUBLE + e*0.0164954112804021::DOUBLE))*z
+  + (b*0.358317723488933::DOUBLE + d*0.204516445547583::DOUBLE + f*0.00562658797241955::DOUBLE))*z + (a*0.426859834093794::DOUBLE + c*0.0723812351117003::DOUBLE + e*0.00075893079450573::DOUBLE) AS v FROM e)"""
+
+
+@query(f"WITH {_POLY} SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r")
+def w13_resample(spark, sf):
+    s = signals(spark, sf).select("vec_id", F.posexplode(A.resample("samples", 96)).alias("i", "s"))
+    return s.withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"WITH {_POLY} SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r")
+def w13_resample_chunks(spark, sf):
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.struct(c.cast("long").alias("chunk_no"), F.slice("samples", (c * 16 + 1).cast("int"), F.lit(16)).alias("samples")))
+    chunks = signals(spark, sf).select("vec_id", F.explode(chunk).alias("c")).select("vec_id", "c.*")
+    return A.resample_chunks(chunks, 64, 96, 16, "vec_id").select("vec_id", F.col("frame").alias("i"), F.col("sample").alias("s"))
+
+
+@query(f"""WITH {_POLY}, rs AS (SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r), lv AS (SELECT *, {LEVEL_OF_KEY} AS level, max(abs(s)) OVER (PARTITION BY vec_id, i // 128) AS p FROM rs)
+    SELECT vec_id, i, CASE WHEN level <> 'none' AND p < CASE level WHEN 'low' THEN 128 WHEN 'extreme' THEN 1024 ELSE 256 END THEN 0 ELSE s END & CASE level WHEN 'none' THEN -1 WHEN 'low' THEN -4 WHEN 'medium' THEN -16 WHEN 'high' THEN -64 ELSE -256 END AS s FROM lv""")
+def m1_condition(spark, sf):
+    s = signals(spark, sf).select("vec_id", "samples", F.lit(1).alias("channel_count"), F.lit(32000).alias("frame_rate"), level_of("vec_id").alias("level"))
+    return A.condition(s).select("vec_id", F.posexplode("samples").alias("i", "s")).withColumn("i", F.col("i").cast("long"))
+
+
+def _chunks(spark, sf):
+    return signals(spark, sf).select(F.col("vec_id").cast("string").alias("asset"), F.lit(0).cast("long").alias("chunk_no"), F.lit(1).alias("channel_count"), F.lit(48000).alias("frame_rate"), "samples")
+
+
+@query()
+def m2_envelope(spark, sf):
+    e = A.envelope(_chunks(spark, sf), bucket=2, chunk_frames=64, store=stored)
+    return e.select("asset", *[F.round(F.col("level")[i], 4).alias(f"l{i}") for i in range(4)], *[F.round(F.col("time")[i], 6).alias(f"t{i}") for i in (1, 2)])
+
+
+@query()
+def m3_refresh_features(spark, sf):
+    wav = signals(spark, sf).select(F.col("vec_id").cast("string").alias("path"), files.wav_bytes(F.col("samples")).alias("content"), F.timestamp_seconds(F.lit(1000) + F.col("vec_id") % 5).alias("mtime"))
+    wav = stored(wav.withColumn("md5", F.upper(F.md5("content"))), "wav")
+    cols = [*[f"envelope_loudness{i}" for i in range(4)], "envelope_time1", "envelope_time2"]
+    old = wav.filter("cast(path as long) % 3 <> 0").select(
+        "path", F.lit(1001).cast("long").alias("mtime"), F.lit("old").alias("md5"), F.lit(1).alias("frame_rate"), F.lit(1).alias("channel_count"), F.lit(0).cast("long").alias("frame_count"), *[F.lit(0).alias(c) for c in cols]
+    )
+    return jobs.refresh_features(wav.select("path", "mtime"), old, read=lambda stale: wav.join(stale.select("path"), "path"), store=stored, bucket=8, chunk_frames=4096)
+
+
+# --- geometry ------------------------------------------------------------------------------------------------------
+
+_VOLUMES = """q AS (SELECT vec_id, label, f, list_transform(embedding, lambda x: floor(x::DOUBLE * 100)) AS q FROM embeddings, range(5) t(f)),
+c AS (SELECT vec_id, label, f, q[9*f+1] AS x0, q[9*f+2] AS y0, q[9*f+3] AS z0, q[9*f+4]-q[9*f+1] AS ax, q[9*f+5]-q[9*f+2] AS ay, q[9*f+6]-q[9*f+3] AS az, q[9*f+7]-q[9*f+1] AS bx, q[9*f+8]-q[9*f+2] AS byy, q[9*f+9]-q[9*f+3] AS bz FROM q),
+n AS (SELECT *, ay*bz-az*byy AS nx, az*bx-ax*bz AS ny, ax*byy-ay*bx AS nz FROM c),
+pl AS (SELECT *, CASE WHEN nx=0 AND ny=0 AND nz=0 THEN 1 ELSE sqrt(nx*nx+ny*ny+nz*nz) END AS len FROM n),
+plane AS (SELECT vec_id, label, f, nx/len AS a, ny/len AS b, nz/len AS c, -((nx/len)*x0+(ny/len)*y0+(nz/len)*z0) AS d FROM pl),
+tri AS (SELECT p.vec_id, p.f AS i, r.f AS j, s.f AS k, p.a AS a1, p.b AS b1, p.c AS c1, p.d AS d1, r.a AS a2, r.b AS b2, r.c AS c2, r.d AS d2, s.a AS a3, s.b AS b3, s.c AS c3, s.d AS d3
+  FROM plane p JOIN plane r ON r.vec_id = p.vec_id AND p.f < r.f JOIN plane s ON s.vec_id = p.vec_id AND r.f < s.f),
+dt AS (SELECT *, (b1*c2-c1*b2)*a3+(c1*a2-a1*c2)*b3+(a1*b2-b1*a2)*c3 AS det FROM tri),
+pt AS (SELECT vec_id, i, j, k, (-d1*(b2*c3-c2*b3)-d2*(b3*c1-c3*b1)-d3*(b1*c2-c1*b2))/det AS x, (-d1*(c2*a3-a2*c3)-d2*(c3*a1-a3*c1)-d3*(c1*a2-a1*c2))/det AS y, (-d1*(a2*b3-b2*a3)-d2*(a3*b1-b3*a1)-d3*(a1*b2-b1*a2))/det AS z FROM dt WHERE abs(det) >= 1e-6),
+ok AS (SELECT pt.vec_id, i, j, k FROM pt WHERE NOT EXISTS (SELECT 1 FROM plane p WHERE p.vec_id = pt.vec_id AND p.a*x+p.b*y+p.c*z+p.d < -0.01))"""
+
+
+def _planes(spark, sf):
+    return volume_planes(spark, sf).select("vec_id", "label", F.col("vec_id").alias("volume"), "face_no", S.plane("p0", "p1", "p2").alias("plane"))
+
+
+@query(f"WITH {_VOLUMES} SELECT vec_id AS volume, i::INT AS i, j::INT AS j, k::INT AS k FROM pt")
+def j10_plane_triples(spark, sf):
+    return G.hull_points(_planes(spark, sf)).select("volume", "i", "j", "k")
+
+
+@query(f"WITH {_VOLUMES} SELECT DISTINCT vec_id AS volume FROM ok")
+def j11_valid_volumes(spark, sf):
+    return G.valid_volumes(_planes(spark, sf))
+
+
+@query(f"""WITH {_VOLUMES} SELECT vec_id AS volume, 'fewer than three planes' AS rule FROM embeddings WHERE vec_id % 10 = 0
+    UNION ALL SELECT vec_id, 'bounds nothing' FROM embeddings WHERE vec_id % 10 <> 0 AND vec_id NOT IN (SELECT vec_id FROM ok)""")
+def p13_hull_problems(spark, sf):
+    return G.hull_problems(_planes(spark, sf).filter("vec_id % 10 <> 0 or face_no < 2"))
+
+
+@query("SELECT vec_id AS volume, 5 AS n FROM embeddings")
+def a15_plane_count(spark, sf):
+    return _planes(spark, sf).groupBy("volume").agg(F.count("plane").alias("n"))
+
+
+@query("SELECT vec_id, coalesce(sum(vec_id % 4 + 1) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS plane_index FROM embeddings")
+def w6_plane_index(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("plane_count", F.col("vec_id") % 4 + 1)
+    return G.index_planes(v, "label", "vec_id").select("vec_id", "plane_index")
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS id FROM events WHERE event_type = 'view'")
+def w7_dense_ids(spark, sf):
+    return G.dense_ids(table(spark, sf, "events").filter("event_type = 'view'"), "user_id", "event_id").select("event_id", "id")
+
+
+@query("""SELECT label::VARCHAR AS file, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS id, 'room' || vec_id AS room, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 5)::BIGINT AS plane_index, 5::BIGINT AS plane_count FROM embeddings""")
+def m4_ambient_volumes(spark, sf):
+    f = volume_planes(spark, sf).select(
+        F.col("label").cast("string").alias("file"), F.col("vec_id").cast("int").alias("entity_no"), F.lit("trigger_multiple").alias("class_name"), F.lit("ambient_package").alias("target_name"),
+        F.concat(F.lit("room"), "vec_id").alias("room"), F.lit(1).alias("priority"), F.lit(0).alias("brush_no"), "face_no", "p0", "p1", "p2",
+    )
+    _, volumes, triggers, _ = jobs.ambient_volumes(f)
+    return triggers.join(volumes, ["file", "id"]).select("file", "id", "room", "plane_index", "plane_count")
+
+
+# --- the zone build ------------------------------------------------------------------------------------------------
+
+_BUILD = """al AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'east' ELSE 'west' END AS zone, p_partkey, lower(p_brand) AS b, CASE WHEN p_size % 3 = 0 THEN 'streamed' ELSE 'loaded' END AS storage_class FROM part WHERE p_size <> 13),
+lo AS (SELECT 'all' AS language, 50 AS sc UNION ALL SELECT 'french', 25),
+wanted AS (SELECT zone, language, storage_class, p_partkey, 'snd\\' || b || '\\' || p_partkey || '.' || upper(left(storage_class, 1)) || 'N' || sc || '.pc.snd' AS name, p_partkey * 10 + 1 AS size,
+  CASE WHEN zone = 'east' AND language = 'all' AND p_partkey % 3 = 0 THEN 0 ELSE 1 END AS placement FROM al, lo WHERE language = 'all' OR p_partkey % 4 = 0)"""
+
+
+def build_inputs(spark, sf):
+    """Parts as alias rows of two zones, as files of two trees and, some of them, as the manifest before."""
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    from assetloom.functions.spec import ALIAS
+
+    zone = F.when(key % 2 == 0, "east").otherwise("west")
+    rows = p.select(
+        zone.alias("zone"),
+        F.lit(None).cast("string").alias("source_level"),
+        F.concat(F.lit("a"), key).alias("Name"),
+        F.concat(F.lit("/Snd/"), "p_brand", F.lit("//"), key, F.lit(".wav")).alias("FileSpec"),
+        F.when(F.col("p_size") % 3 == 0, "STREAMED").alias("Storage"),
+        F.when(F.col("p_size") == 13, "xbox").otherwise(" PC ps4").alias("PlatformMask"),
+        F.lit("f.csv").alias("__file"),
+        key.alias("__row"),
+    )
+    rows = rows.unionByName(rows.withColumn("__file", F.lit("g.csv")))  # a second file repeats every row
+    rel = F.concat(F.lit("snd\\"), F.lower("p_brand"), F.lit("\\"), key, F.lit(".wav"))
+    tree = p.select(rel.alias("rel_path"), F.concat(F.lit("snd\\"), F.lower("p_brand")).alias("parent"), F.lit("wav").alias("ext"), F.md5(key.cast("string")).alias("source_checksum"), (key * 10 + 1).alias("size"), key.alias("k"))
+    trees = tree.withColumn("tree", F.lit("")).unionByName(tree.filter("k % 4 = 0").withColumn("tree", F.lit("french")))
+    storage = F.when(F.col("p_size") % 3 == 0, "streamed").otherwise("loaded")
+    target = F.concat(F.lit("snd\\"), F.lower("p_brand"), F.lit("\\"), key, F.lit("."), F.upper(F.left(storage, F.lit(1))), F.lit("N50.pc.snd"))
+    before = p.filter("p_partkey % 2 = 0 and p_partkey % 3 < 2 and p_size <> 13").select(
+        F.lit("east").alias("zone"), F.lit("pc").alias("platform"), F.lit("all").alias("language"), storage.alias("storage_class"), target.alias("name"), S.name_hash(target).alias("name_hash"), (key * 10 + 1).alias("size"),
+        F.when(key % 3 == 0, S.recipe_of(F.md5(key.cast("string")), F.lit("low"))).otherwise("other").alias("source_checksum"),
+    )
+    gone = before.withColumn("name", F.concat(F.lit("gone "), "name"))
+    ctx = jobs.Context(
+        sources=S.complete(rows, ALIAS),
+        zones=spark.createDataFrame([("east", "low"), ("west", None)], "zone string, zone_level string"),
+        templates=S.complete(spark.createDataFrame([("t",)], "Name string"), ALIAS),
+        files=trees,
+        platforms=spark.createDataFrame([("pc", 0.5)], "Platform string, CompressionScale float"),
+        locales=spark.createDataFrame([("all", "all", True, 1.0), ("french", "French", False, 0.5)], "Name string, SearchName string, IsShared boolean, CompressionScale float"),
+        previous=before.unionByName(gone),
+    )
+    requests = spark.createDataFrame([(z, "pc", lang) for z in ("east", "west") for lang in ("all", "french")], "zone string, platform string, language string")
+    return requests, ctx
+
+
+@query(f"""WITH {_BUILD} SELECT zone, language, storage_class, name, size, (2048 + coalesce(sum(size) OVER (PARTITION BY zone, language, storage_class ORDER BY placement, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM wanted""")
+def m5_build_manifest(spark, sf):
+    b = jobs.build(*build_inputs(spark, sf))
+    return b.manifest.select("zone", "language", "storage_class", "name", "size", "offset")
+
+
+@query(f"""WITH {_BUILD}, p AS (SELECT p_partkey, p_partkey % 3 AS m FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 < 2 AND p_size <> 13)
+    SELECT language, status, count(*) AS n FROM (SELECT w.language, CASE WHEN p.p_partkey IS NULL THEN 'add' WHEN m = 0 THEN 'keep' ELSE 'change' END AS status FROM wanted w LEFT JOIN p ON p.p_partkey = w.p_partkey AND w.zone = 'east' AND w.language = 'all'
+    UNION ALL SELECT 'all', 'remove' FROM p) GROUP BY 1, 2""")
+def m6_build_many(spark, sf):
+    b = jobs.build(*build_inputs(spark, sf))
+    return b.diff.groupBy(F.col("entry.language").alias("language"), "status").agg(F.count("*").alias("n"))

@@ -1,4 +1,239 @@
-"""Queries."""
-from assetloom.queries.registry import Registry
+"""Queries of the readers and writers: tables of the driver written in loose formats and read back, or parsed in place."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assetloom.functions import scalars as S
+from assetloom.functions.spec import ColumnSpec as C
+from assetloom.operators import manifest as M
+from assetloom.operators.tables import keep_last_by
+from assetloom.plans import jobs
+from assetloom.queries.registry import LONG, Registry, signals, table
+from assetloom.sources import configs, files, sinks
+from assetloom.sources import tables as tab
+from assetloom.sources.scratch import scratch
+
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
+
+
+def _csv(df, what):
+    path = scratch(df.sparkSession, what)
+    df.write.options(header=True, escape='"').csv(path)
+    return path
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def s1_read_table(spark, sf):
+    path = _csv(table(spark, sf, "region"), "region")
+    return tab.read_table(spark, tab.list_paths(spark, path, "*.csv", False), [C("r_regionkey", "int"), C("r_name")]).drop(*tab.ORDER)
+
+
+@query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS nation, c_mktsegment AS segment FROM customer
+    WHERE c_custkey % 5 NOT IN (1, 2) AND c_custkey % 7 <> 3""")
+def s2_read_table_relaxed(spark, sf):
+    k = F.col("c_custkey")
+    first = F.when(k % 5 == 1, "  ").when(k % 5 == 2, "\t# comment").when(k % 7 == 3, "#off").otherwise(F.concat(F.lit(" c"), k.cast("string"), F.lit(" ")))
+    c = table(spark, sf, "customer")
+    # two kinds of files with other headers: columns in another order, an unknown one, one missing
+    a, b = scratch(spark, "relaxed-a"), scratch(spark, "relaxed-b")
+    half = c.select((F.xxhash64("c_custkey") % 2 == 0).alias("h"), first.alias("id"), F.when(k % 4 != 0, F.concat(F.lit(" "), "c_nationkey")).alias("nation"), F.col("c_mktsegment").alias("segment"))
+    half.filter("h").select("id", "nation", "segment").write.options(header=True, escape='"').csv(a)
+    half.filter("not h").select("id", "segment", F.lit("x").alias("other"), "nation").write.options(header=True, escape='"').csv(b)
+    paths = tab.list_paths(spark, a, "*.csv", False) + tab.list_paths(spark, b, "*.csv", False)
+    return tab.read_table_relaxed(spark, paths, [C("id"), C("nation", "int"), C("segment")]).drop(*tab.ORDER)
+
+
+@query("""SELECT n_nationkey, 'region/' || n_regionkey || '.csv' AS "RowSourceFileName", n_regionkey::VARCHAR AS "RowSourceShortName",
+    row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS "RowSourceLineNumber" FROM nation""")
+def s3_provenance(spark, sf):
+    n = table(spark, sf, "nation")
+    file = F.concat(F.lit("region/"), F.col("n_regionkey").cast("string"), F.lit(".csv"))
+    return tab.with_provenance(n, file, "n_nationkey").select("n_nationkey", "RowSourceFileName", "RowSourceShortName", "RowSourceLineNumber")
+
+
+@query("SELECT s_suppkey::INT AS s_suppkey, s_name FROM supplier")
+def s4_read_tree(spark, sf):
+    path = scratch(spark, "tree")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").write.partitionBy("s_nationkey").options(header=True).csv(path)
+    return tab.read_tree(spark, path, "CSV", [C("s_suppkey", "int"), C("s_name")]).drop(*tab.ORDER)
+
+
+@query("""SELECT lower(p_type) AS template_key, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_brand DESC, p_partkey DESC) = 1""")
+def s5_templates_keep_last(spark, sf):
+    p = table(spark, sf, "part").withColumn("template_key", F.lower("p_type"))
+    return keep_last_by(p, ["template_key"], ["p_brand", "p_partkey"]).select("template_key", "p_partkey")
+
+
+@query("""SELECT 'ORDER' AS source_tag, o_orderkey AS key, 'low' AS "SourceLevel" FROM orders UNION ALL SELECT 'CUSTOMER', c_custkey, NULL FROM customer""")
+def s6_load_sources(spark, sf):
+    config = spark.createDataFrame([("ORDER", f"{sf}/orders.parquet", "low"), ("CUSTOMER", f"{sf}/customer.parquet", None), ("MUSIC", "none", None)], "Type string, Filename string, Level string")
+    readers = {
+        "ORDER": lambda p: spark.read.parquet(*p).select(F.col("o_orderkey").alias("key")),
+        "CUSTOMER": lambda p: spark.read.parquet(*p).select(F.col("c_custkey").alias("key")),
+    }
+    return tab.union_sources(*sorted(tab.load_sources(config, readers).items()))
+
+
+@query("""SELECT event_id, (props->>'$.k')::INT AS k, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS parent FROM events""")
+def s7_read_config(spark, sf):
+    e = table(spark, sf, "events").withColumn("v", configs.from_json5(F.regexp_replace(F.regexp_replace("props", '"k"', "k"), r"\}", ",\n }"), "k int"))
+    return e.select("event_id", F.col("v.k").alias("k"), configs.own_parent_cleared(F.col("event_type"), F.lit("view")).alias("parent"))
+
+
+@query("""SELECT 'd' || event_id AS "Name", CASE WHEN event_id % 3 = 0 THEN false ELSE true END AS "DefaultAllOn", CASE WHEN event_id % 2 = 0 THEN 'g' || (props->>'$.k') END AS "ValueDuckGroup" FROM events""")
+def s8_read_ducks(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(
+        F.lit("{Name: 'd"), "event_id", F.lit("', // comment\n"), F.when(F.col("event_id") % 3 == 0, "DefaultAllOn: false,").otherwise(""),
+        F.lit("Values: ["), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{DuckGroup: 'g"), k, F.lit("',},"))).otherwise(""), F.lit("]}"),
+    )
+    # one config a file is what the reader takes; a table's worth of configs goes through the column function
+    one = e.select(text.alias("value"))
+    d = one.select(configs.from_json5(F.col("value"), configs.DUCK).alias("v")).select("v.*")
+    flat = d.withColumn("value", F.explode_outer("Values"))
+    return flat.select("Name", F.coalesce("DefaultAllOn", F.lit(True)).alias("DefaultAllOn"), F.col("value.DuckGroup").alias("ValueDuckGroup"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations")
+def s9_nested_turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    sets = c.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role")))).alias("j"))
+    rows = sets.select("conv_id", F.explode(configs.from_json5(F.col("j"), "array<struct<turn:bigint,role:string>>")).alias("x"))
+    return rows.select("conv_id", "x.turn", "x.role")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def s10_pair_by_filename(spark, sf):
+    return tab.pair_by_filename(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(url, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, regexp_extract(url, '\.([^./]*)$', 1) AS ext FROM pages""")
+def s11_split_paths(spark, sf):
+    return files.split_path(table(spark, sf, "pages"), "url").select("page_id", "parent", "stem", "ext")
+
+
+@query("SELECT doc_id, strlen(text) AS size, upper(md5(text)) AS md5 FROM documents")
+def s12_content_hash(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("size"), S.content_md5("text").alias("md5"))
+
+
+@query(f"WITH {LONG} SELECT vec_id, i, s FROM long")
+def s13_wav_round_trip(spark, sf):
+    wav = signals(spark, sf).select(F.col("vec_id").cast("string").alias("path"), files.wav_bytes(F.col("samples")).alias("content"))
+    chunks = files.wav_to_chunks(wav, chunk_frames=16)
+    rows = chunks.select(F.col("asset").cast("long").alias("vec_id"), "chunk_no", F.posexplode("samples").alias("j", "s"))
+    return rows.select("vec_id", (F.col("chunk_no") * 16 + F.col("j")).alias("i"), F.col("s").cast("int").alias("s"))
+
+
+@query("""SELECT o_orderkey, (8000 + o_custkey % 184000)::INT AS frame_rate, (1 + o_orderkey % 2)::INT AS channel_count, 16 AS bits, o_orderkey * 1000003 AS total_samples FROM orders""")
+def s14_flac_streaminfo(spark, sf):
+    o = table(spark, sf, "orders")
+    total = F.col("o_orderkey") * 1000003
+    word = F.shiftleft(8000 + F.col("o_custkey") % 184000, 12) + F.shiftleft(F.col("o_orderkey") % 2, 9) + (15 << 4) + F.shiftright(total, 32)
+    head = F.concat(F.lit(b"fLaC".hex()), F.lit("80000022"), F.lit("10001000"), F.lit("0" * 12), F.lpad(F.hex(word), 8, "0"), F.lpad(F.hex(total.bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lit("0" * 32))
+    return files.flac_streaminfo(o.withColumn("content", F.unhex(head))).select("o_orderkey", "frame_rate", "channel_count", "bits", "total_samples")
+
+
+def doc_manifest(spark, sf):
+    """Documents as manifest entries, one bank per language."""
+    d = table(spark, sf, "documents")
+    m = d.select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.col("n_chars").alias("size"), F.md5("text").alias("source_checksum"), F.col("lang").alias("zone"), F.col("doc_id").alias("order"))
+    return M.packed_offsets(m.withColumns({"language": F.lit("shared"), "storage_class": F.lit("loaded"), "version": F.lit(3)}), ["zone", "language", "storage_class"], ["order"])
+
+
+@query("SELECT 'doc-' || doc_id AS name, n_chars AS size, md5(text) AS source_checksum, lang AS zone FROM documents")
+def s15_read_manifest(spark, sf):
+    path = scratch(spark, "manifest")
+    doc_manifest(spark, sf).write.partitionBy("zone", "language", "storage_class").parquet(path)
+    return files.read_manifest(spark, path, version=3).select("name", "size", "source_checksum", "zone")
+
+
+@query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 100)) AS q FROM embeddings)
+    SELECT vec_id::INT AS priority, f AS face_no, q[9*f+1] AS x0, q[9*f+9] AS z2 FROM q, range(4) t(f) WHERE vec_id % 3 <> 0
+    UNION ALL SELECT vec_id::INT, NULL, NULL, NULL FROM q WHERE vec_id % 3 = 0""")
+def s16_read_map_faces(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("q", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("string")))
+    face = [F.concat(*[x for p in range(3) for x in (F.lit("( "), F.concat_ws(" ", *[F.col("q")[9 * f + 3 * p + a] for a in range(3)]), F.lit(" ) "))], F.lit("mat 0 0\n")) for f in range(4)]
+    brush = F.concat(F.lit("// brush 0\n{\nlayer x\n"), *face, F.lit("mesh\n{\n( 1 2 3 )\n{\n}\n}\n}\n"))
+    ent = F.concat(F.lit('// entity 0\n{\n"classname" "trigger_multiple"\ntargetname ambient_package\n"script_ambientpriority" " '), "vec_id", F.lit('"\n'), F.when(F.col("vec_id") % 3 != 0, brush).otherwise(""), F.lit("}\n"))
+    path = scratch(spark, "map")
+    e.select(ent.alias("value")).write.text(path)
+    return files.read_map_faces(spark, path).select("priority", "face_no", F.col("p0")[0].alias("x0"), F.col("p2")[2].alias("z2"))
+
+
+_CUSTOMER = [C("c_custkey", "int"), C("c_name"), C("c_acctbal", "float"), C("good", "boolean"), C("hidden", written=False)]
+
+
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_nationkey || CASE c_custkey % 2 WHEN 0 THEN '.5' ELSE '' END END AS c_acctbal,
+    CASE WHEN c_custkey % 3 = 0 THEN 'True' ELSE 'False' END AS good FROM customer""")
+def k1_write_table(spark, sf):
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(
+        k.cast("int").alias("c_custkey"), "c_name", F.when(k % 4 != 0, F.col("c_nationkey") + F.when(k % 2 == 0, 0.5).otherwise(0.0)).cast("float").alias("c_acctbal"), (k % 3 == 0).alias("good"), F.lit(1).alias("hidden")
+    )
+    path = scratch(spark, "table")
+    sinks.write_table(c, _CUSTOMER, path)
+    # read back as text: what was written is what is compared
+    return spark.read.options(header=True, escape='"', lineSep="\r\n", nullValue="\0").csv(path).na.fill("")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS "Name", n_name AS "Reverb", '' AS "RowSourceFileName" FROM nation""")
+def k2_side_table(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("Name"), F.col("n_name").alias("Reverb"), F.lit("x").alias("RowSourceFileName"))
+    return sinks.formatted(n, [C("Name"), C("Reverb"), C("RowSourceFileName")], blank=["RowSourceFileName"])
+
+
+@query("SELECT DISTINCT p_name AS \"Name\" FROM part")
+def k3_write_names(spark, sf):
+    path = scratch(spark, "names")
+    sinks.write_names(table(spark, sf, "part"), path, "p_name")
+    return spark.read.option("header", True).csv(path)
+
+
+@query("SELECT 'doc-' || doc_id AS name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS position FROM documents")
+def k4_asset_list(spark, sf):
+    from assetloom.operators.tables import positions
+
+    m = doc_manifest(spark, sf)
+    return positions(m, [], ["offset", "order"], within=["zone"]).select("name", "position")
+
+
+@query("SELECT sum(n_chars)::BIGINT::VARCHAR AS value FROM documents")
+def k5_write_scalar(spark, sf):
+    path = scratch(spark, "total")
+    sinks.write_scalar(M.manifest_totals(table(spark, sf, "documents"), size="n_chars").select("total_bytes"), path)
+    return spark.read.text(path)
+
+
+def volume_planes(spark, sf):
+    """Embeddings as volumes of five faces each, in whole numbers, one file per label."""
+    e = table(spark, sf, "embeddings").withColumn("q", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("double")))
+    faces = F.array(*[F.struct(F.lit(i).alias("face_no"), *[F.slice("q", 9 * i + 3 * p + 1, 3).alias(f"p{p}") for p in range(3)]) for i in range(5)])
+    return e.select("vec_id", "label", F.explode(faces).alias("f")).select("vec_id", "label", "f.*")
+
+
+@query("""SELECT label::VARCHAR AS file, count(*) AS n_triggers, sum(5)::BIGINT AS n_planes, max((i - 1) * 5)::BIGINT AS last_index FROM
+    (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings) GROUP BY label""")
+def k6_geometry_json(spark, sf):
+    f = volume_planes(spark, sf).select(
+        F.col("label").cast("string").alias("file"), F.col("vec_id").cast("int").alias("entity_no"), F.lit("trigger_multiple").alias("class_name"), F.lit("ambient_package").alias("target_name"),
+        F.lit("room").alias("room"), F.lit(0).alias("priority"), F.lit(0).alias("brush_no"), "face_no", "p0", "p1", "p2",
+    )
+    planes, volumes, triggers, _ = jobs.ambient_volumes(f)
+    shape = "Nodes array<string>, Planes array<struct<Plane:array<double>>>, Volumes array<struct<Id:int,PlaneIndex:bigint,PlaneCount:bigint>>, Triggers array<struct<Id:int>>"
+    j = sinks.geometry_json(planes, volumes, triggers).select("file", F.from_json("value", shape).alias("g"))
+    return j.select(
+        "file", F.size("g.Triggers").cast("long").alias("n_triggers"), F.size("g.Planes").cast("long").alias("n_planes"), F.array_max("g.Volumes.PlaneIndex").alias("last_index")
+    )
+
+
+@query("SELECT 'doc-' || doc_id AS name, n_chars AS size, lang AS zone FROM documents")
+def k7_deploy(spark, sf):
+    a, b = scratch(spark, "cache"), scratch(spark, "ship")
+    sinks.deploy(doc_manifest(spark, sf), [a, b])
+    return spark.read.parquet(b).select("name", "size", "zone")
+
