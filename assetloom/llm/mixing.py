@@ -20,18 +20,26 @@ def domain_of_label() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """White-space separated words of the text in lower case; null and blank texts have none."""
-    t = F.trim(F.lower(F.coalesce(text, F.lit(""))))
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     ")
+    return F.array_remove(F.split(t, " "), "")
+
 
+def features(text: Column) -> Column:
+    """The number of words (n), and (f) the distinct words with one mark for how much they repeat given how many there are."""
 
-def features(words: Column) -> Column:
-    """Distinct words, and one mark for how much the words repeat given how many there are."""
-    distinct = F.array_distinct(words)
-    ratio = F.floor(F.size(distinct) * 8 / F.greatest(F.size(words), F.lit(1))).cast("int")
-    size = F.floor(F.log2(F.size(words) + F.lit(1.0)) / 2).cast("int")
-    return F.concat(distinct, F.array(F.concat_ws(" ", F.lit("repeats"), ratio.cast("string"), size.cast("string"))))
+    def of(x: Column) -> Column:
+        ratio = F.floor(F.size(x["d"]) * 8 / F.greatest(x["n"], F.lit(1))).cast("string")
+        size = F.floor(F.log2(x["n"] + F.lit(1.0)) / 2).cast("string")
+        return F.struct(x["n"].cast("long").alias("n"), F.concat(x["d"], F.array(F.concat_ws(" ", F.lit("repeats"), ratio, size))).alias("f"))
+
+    return let(let(tokens(text), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("d"))), of)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int, vocabulary: int) -> dict | None:
@@ -52,7 +60,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int, vocabular
         return None
     part = int(min(1.0, max_labelled / n) * 1_000_000)
     lab = lab.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < part).limit(max_labelled)
-    sample = stored(docs.select("id", "text").join(F.broadcast(lab), "id").select("id", "domain", features(tokens(F.col("text"))).alias("f")), "labelled")
+    sample = stored(docs.select("id", "text").join(F.broadcast(lab), "id").select("id", "domain", features(F.col("text"))["f"].alias("f")), "labelled")
     held = F.pmod(F.xxhash64("id", F.lit(31)), F.lit(4)) == 0
     known = sample.filter(~held)
     size = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
@@ -101,8 +109,8 @@ def posterior(f: Column, model: dict | None) -> Column:
         seen = F.array_intersect(f, F.array(*[F.lit(w) for w in words]))
         logits = F.aggregate(seen, start, lambda a, w: F.zip_with(a, F.try_element_at(table, w), lambda x, y: x + y))
     high = F.zip_with(prior, logits, lambda a, x: a + x * model["temper"])
-    mass = F.transform(high, lambda x: F.exp(x - F.array_max(high)))
-    return F.transform(mass, lambda x: x / F.aggregate(mass, F.lit(0.0), lambda a, y: a + y))
+    mass = let(high, lambda h: F.transform(h, lambda x: F.exp(x - F.array_max(h))))
+    return let(mass, lambda h: F.transform(h, lambda x: x / F.aggregate(h, F.lit(0.0), lambda a, y: a + y)))
 
 
 def inverse(m: list[list[float]]) -> list[list[float]]:
@@ -152,11 +160,12 @@ def mix(
     targets = TARGETS if targets is None else targets
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     model = fit_domains(src, labels, max_labelled, vocabulary)
-    narrow = src.select("id", tokens(F.col("text")).alias("w")).select(
-        "id", F.size("w").cast("long").alias("n"), posterior(features(F.col("w")), model).alias("p")
-    )
     k = range(len(DOMAINS))
-    flat = stored(narrow.select("id", "n", *[F.col("p")[i].alias(f"p{i}") for i in k]), "posteriors")
+    one = let(
+        features(F.col("text")),
+        lambda x: let(posterior(x["f"], model), lambda p: F.struct(x["n"].alias("n"), *[p[i].alias(f"p{i}") for i in k])),
+    )
+    flat = stored(src.select("id", F.explode(F.array(one)).alias("x")).select("id", "x.*"), "posteriors")
     moments = [F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in k for j in k]
     m = flat.agg(F.sum("n").alias("n"), *moments).first()
     total = m["n"] or 0
