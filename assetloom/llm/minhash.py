@@ -104,24 +104,45 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _likely(bands: int, rows: int, least: float):
-    """Pairs of one block pair whose classes differ and whose signatures agree often enough.
-
-    A pair that meets in several bands is given in the first of them."""
+def _levels(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets of shingles as sets: each shingle with the number of its occurrence; sorted by text."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    return _words.mix(h + (np.arange(len(h)) - first).astype(np.uint64) * _STEP), doc
+
+
+def _block_links(bands: int, rows: int, least: float, threshold: float):
+    """Links between texts of one block pair whose classes differ: signatures that agree in ``least`` of the registers
+    are held against each other by their texts. A pair that meets in several bands is compared in the first of them."""
     m = bands * rows
 
     def run(group: pa.Table) -> pa.Table:
         rep, of, side, band = (group.column(c).to_numpy() for c in ("rep", "component", "side", "band"))
         v = _registers(group.column("sig").combine_chunks(), m)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        for i in left:
+        sets = []
+        for piece in _words.pieces(group.select(["text"]).combine_chunks().to_batches(), "text"):
+            h, doc, _ = _words.shingles(_words.words(piece.column("text")))
+            h, doc = _levels(h, doc)
+            sets += np.split(h, np.searchsorted(doc, np.arange(1, piece.num_rows)))
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sets = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
+        mark = np.zeros(len(ids) + 1, bool)
+        right, out = np.flatnonzero(side != 0), []
+        for i in np.flatnonzero(side != 1):
             j = right[(of[right] != of[i]) & ((rep[right] > rep[i]) | (side[i] == 0))]
             same = v[j] == v[i]
             near = same.mean(axis=1) >= least
             j, same = j[near], same[near].reshape(-1, bands, rows).all(axis=2)
             j = j[same.argmax(axis=1) == band[i]]
-            out += [(min(rep[i], rep[x]), max(rep[i], rep[x])) for x in j]
+            mark[sets[i]] = True
+            for x in j:
+                both = np.count_nonzero(mark[sets[x]])
+                if both / (len(sets[i]) + len(sets[x]) - both) >= threshold:
+                    out.append((min(rep[i], rep[x]), max(rep[i], rep[x])))
+            mark[sets[i]] = False
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -162,6 +183,7 @@ def near_duplicate_classes(
     rows: int = 5,
     deviations: float = 4.0,
     block: int = 2048,
+    block_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -174,8 +196,9 @@ def near_duplicate_classes(
     Equal texts are one vertex, the smallest id, and have one signature in the buckets. First the members of a bucket
     are paired with one leader only, so work is linear in its size; that joins nearly all that belongs together. In
     buckets whose other members are not one class then, members of different classes are compared by their signatures,
-    in pairs of blocks of about ``block`` members, and those that agree in a share of registers that is at most
-    ``deviations`` standard deviations below the threshold are verified too. Nothing is capped.
+    in pairs of blocks of about ``block`` members (fewer, if their texts are long), and those that agree in a share of
+    registers that is at most ``deviations`` standard deviations below the threshold are verified there; only links
+    leave a block. Nothing is capped.
 
     Nulls and edge cases: a null text counts as empty; empty texts (and texts of only white space that are equal) are
     copies of one another. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
@@ -203,11 +226,11 @@ def near_duplicate_classes(
 
     told = member.select("key", "band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     told = told.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    left = told.join(split, "key").select(
-        "key", "band", "rep", "component", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")
-    )
+    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    size = texts.select(F.col("id").alias("rep"), F.octet_length("text").cast("long").alias("bytes"))
+    left = stored(told.join(split, "key").join(size, "rep"), "open")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts")
+    left = left.join(left.groupBy("key").agg(parts), "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a block meets every later block of its bucket, and itself: side 0, 1, or 2 for both
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key",
@@ -219,10 +242,11 @@ def near_duplicate_classes(
         "component",
     )
     least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / m)
-    likely = left.join(unique.select("rep", "sig"), "rep").groupBy("key", "lo", "hi").applyInArrow(_likely(bands, rows, least), "a long, b long").distinct()
-    more = stored(verified(likely, texts, threshold), "links")
+    full = left.join(unique.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    found = full.groupBy("key", "lo", "hi").applyInArrow(_block_links(bands, rows, least, threshold), "a long, b long")
+    more = stored(found.distinct(), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
+        links = links.select("a", "b").unionByName(more)
         label = stored(components(links.select("a", "b")), "labels")
     # rows of one id with different texts tie their classes together
     ties = copies.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
