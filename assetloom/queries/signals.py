@@ -93,12 +93,12 @@ def w12_collapse_runs(spark, sf):
       AND ((a.m <= 4 AND a.seq = a.m // 2 - 1 AND c.seq = a.m // 2) OR (a.m > 4 AND a.seq >= 1 AND a.seq < a.m - 2 AND c.seq > a.seq AND c.seq < a.m - 2))),
     er AS (SELECT vec_id, ordinal, CASE WHEN i < q1 THEN l0 * (1 - i / q1) + l1 * (i / q1) WHEN i < q2 THEN l1 * (1 - (i - q1) / (q2 - q1)) + l2 * ((i - q1) / (q2 - q1)) ELSE l2 * (1 - (i - q2) / (63 - q2)) + l3 * ((i - q2) / (63 - q2)) END - b.v AS e FROM ca JOIN b USING (vec_id) WHERE i < 63),
     sc AS (SELECT vec_id, ordinal, round(sum(e * e) / 64, 9) AS s FROM er GROUP BY 1, 2)
-    SELECT vec_id, min(round(s, 5)) AS score FROM sc GROUP BY 1""")
+    SELECT vec_id, round(min(s) + 1e-9, 5) AS score FROM sc GROUP BY 1""")
 def a12_best_envelope(spark, sf):
     b = _buckets(spark, sf)
     k = stored(A.knots(b, "vec_id"), "knots")
     best = A.score_candidates(A.candidates(k, "vec_id"), b, "vec_id")
-    return best.select("vec_id", F.round("score", 5).alias("score"))
+    return best.select("vec_id", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
 _GATED = f"""{LONG}, g AS (SELECT vec_id, i, s, max(abs(s)) OVER (PARTITION BY vec_id, i // 4) AS p FROM long)"""
