@@ -154,22 +154,23 @@ def j4_dimension(spark, sf):
     return c.join(J.dimension(n), c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", "n_name")
 
 
-_FILES = """f AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_partkey || CASE WHEN p_size % 5 = 0 THEN '.txt' ELSE '.wav' END AS rel, p_brand || '/' || p_type AS parent, p_size % 5 <> 0 AS ok FROM part),
-s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN p_brand || '/' || p_type || '/' || l_partkey || '.wav' ELSE 'Brand#' || (l_partkey % 30) || '/ECONOMY' END AS spec FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1)"""
+_FILES = """f AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_size || '/' || p_partkey || CASE WHEN p_size % 5 = 0 THEN '.txt' ELSE '.wav' END AS rel, p_brand || '/' || p_type || '/' || p_size AS parent, p_size % 5 <> 0 AS ok FROM part),
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN p_brand || '/' || p_type || '/' || p_size || '/' || l_partkey || '.wav' ELSE 'Brand#' || (l_partkey % 30) || '/ECONOMY/' || (l_suppkey % 50) END AS spec FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 def _specs(spark, sf):
     p = table(spark, sf, "part")
+    folder = F.concat_ws("/", "p_brand", "p_type", "p_size")
     f = p.select(
-        F.concat_ws("/", "p_brand", "p_type", F.concat(F.col("p_partkey"), F.when(F.col("p_size") % 5 == 0, ".txt").otherwise(".wav"))).alias("rel_path"),
-        F.concat_ws("/", "p_brand", "p_type").alias("parent"),
+        F.concat_ws("/", folder, F.concat(F.col("p_partkey"), F.when(F.col("p_size") % 5 == 0, ".txt").otherwise(".wav"))).alias("rel_path"),
+        folder.alias("parent"),
         F.when(F.col("p_size") % 5 == 0, "txt").otherwise("wav").alias("ext"),
     )
-    li = table(spark, sf, "lineitem").filter("l_quantity = 1")
+    li = table(spark, sf, "lineitem")
     s = li.join(p, li["l_partkey"] == p["p_partkey"]).select(
         "l_orderkey",
         "l_linenumber",
-        F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws("/", "p_brand", "p_type", F.concat("l_partkey", F.lit(".wav")))).otherwise(F.concat(F.lit("Brand#"), F.col("l_partkey") % 30, F.lit("/ECONOMY"))).alias("spec"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws("/", folder, F.concat("l_partkey", F.lit(".wav")))).otherwise(F.concat(F.lit("Brand#"), F.col("l_partkey") % 30, F.lit("/ECONOMY/"), F.col("l_suppkey") % 50)).alias("spec"),
     )
     return s, f
 
