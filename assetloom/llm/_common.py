@@ -41,6 +41,12 @@ def positional(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in cols]
 
 
+def pick(df: DataFrame, **cols: str) -> DataFrame:
+    """Only the given columns, under new names. They are found by exact name, so others may differ from them in case only."""
+    safe, names = positional(df, *cols.values())
+    return safe.select(*[F.col(c).alias(new) for new, c in zip(cols, names, strict=True)])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm import _words
-from assetloom.llm._common import positional
+from assetloom.llm._common import pick, positional
 
 #: Benchmark bytes that one pass over the documents takes; a larger benchmark is taken in as many blocks as it needs.
 BLOCK_BYTES = 8 << 20
@@ -94,7 +94,7 @@ class Items:
 def blocks(benchmark: DataFrame, least: int, block_bytes: int, id_col: str, text_col: str):
     """The benchmark as broadcast blocks, each of about ``block_bytes`` at most (or one passage)."""
     spark = benchmark.sparkSession
-    src = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    src = pick(benchmark, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("text is not null")
     size = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = math.ceil(size / block_bytes) if size else 0
     part = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
@@ -126,7 +126,7 @@ def contaminated_pairs(
     identify nothing); repeated rows give repeated pairs; ids may be null; extra columns are ignored.
     """
     schema = "doc_id long, item_id long, covered long, item_words long, n_tiles long"
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def scan(block):
         def run(batches):

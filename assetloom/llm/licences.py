@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.llm._common import pick
+
 # Licence texts, grant notices and equivalent spellings.
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
@@ -147,7 +149,7 @@ def scan(docs: DataFrame, texts=None, notices=None, id_col: str = "doc_id", text
     if len(lines) < len({_digest(t) for _, t in notices}):
         raise ValueError("a notice has to speak of a license")
     known = spark.createDataFrame(sorted(whole.items()) or [("", "")], "canonical_sha256 string, licence string")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_column(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), canonical_column(F.coalesce("text", F.lit(""))).alias("t"))
     pairs = [F.lit(x) for kv in sorted(lines.items()) for x in kv]
     table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
     named = F.transform(

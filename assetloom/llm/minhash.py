@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm import _words
-from assetloom.llm._common import components, positional, stored
+from assetloom.llm._common import components, pick, positional, stored
 
 _STEP, _REG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -204,7 +204,7 @@ def near_duplicate_classes(
     copies of one another. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
     """
     m = bands * rows
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = src.filter("id is not null").withColumn("digest", F.unhex(F.md5("text")))
     sig = stored(known.mapInArrow(_signed(m), "id long, digest binary, sig binary"), "signatures")
     unique = stored(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "unique")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm._common import stored
+from assetloom.llm._common import pick, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Default target shares of the expected tokens.
@@ -49,7 +49,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int, vocabular
     by chi-square; only those words' counts reach the driver. Returns prior and, per word, the log-odds by domain.
     """
     lab = (
-        labels.filter("doc_id is not null")
+        pick(labels, doc_id="doc_id", quality="quality", toxic="toxic")
+        .filter("doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("id"), domain_of_label().alias("domain"))
         .filter("domain is not null")
         .groupBy("id")
@@ -158,7 +159,7 @@ def mix(
     the others allow; no rows give no rows. Extra columns are ignored.
     """
     targets = TARGETS if targets is None else targets
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     model = fit_domains(src, labels, max_labelled, vocabulary)
     k = range(len(DOMAINS))
     one = let(

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.llm._common import stored
+from assetloom.llm._common import pick, stored
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def _pairs(query: np.ndarray, scores: np.ndarray, reps: np.ndarray) -> pa.Record
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vec) of the rows that take part: a usable vector of the most frequent length, one per id."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    v = pick(vectors, vec_id=id_col, vec=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"))
     v = v.filter("vec_id is not null and vec is not null and size(vec) > 0")
     v = v.filter(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter(F.exists("vec", lambda x: x != 0))
     size = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
@@ -142,7 +142,7 @@ def nearest(
     group = (
         member.withColumn("i", F.row_number().over(low)).filter(F.col("i") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
-    asked = member if queries is None else member.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id")
+    asked = member if queries is None else member.join(pick(queries, vec_id="vec_id").select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id")
     asked = stored(asked, "asked")
     leads = asked.select(F.col("rep").alias("query")).distinct()
 

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm._common import stored
+from assetloom.llm._common import pick, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What defines the base spans. Possessive repeats and the look-behinds find the same matches in linear time.
@@ -176,7 +176,7 @@ def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
     columns are ignored.
     """
     text = F.col("text")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cols = []
     for kind in KINDS:
         gate = text.rlike(GATE[kind])

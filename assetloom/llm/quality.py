@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm import _words
-from assetloom.llm._common import positional
+from assetloom.llm._common import pick, positional
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"%#$&*@^~", b"|<>{}[]\\", b".", b",;:", b"\n"]
 _KIND = np.zeros(256, np.int64)
@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool
     a hash of the id; corpora below the bounds are used whole. Only feature vectors of the sample reach the driver."""
     spark = docs.sparkSession
     lab = (
-        labels.filter("doc_id is not null and quality is not null")
+        pick(labels, doc_id="doc_id", quality="quality")
+        .filter("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
     )
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool
     if known is None:
         return None
     cols = [c for c in _NEEDS if c in docs.columns]
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), *cols)
+    src = pick(docs, id="doc_id", **{c: c for c in cols}).withColumn("id", F.col("id").cast("long"))
     src = src.join(F.broadcast(known), "id", "left").filter(
         F.col("y").isNotNull() | (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < int(min(1.0, max_pool / n_docs) * 1_000_000))
     )

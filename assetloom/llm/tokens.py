@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.llm._common import pick
+
 #: Counts of words kept by a Python worker; the table is emptied when it is full.
 CACHED = 400_000
 _loaded: dict[str, "PairCounter"] = {}
@@ -120,5 +122,5 @@ def token_counts(docs: DataFrame, limit: int = 4096, path: str | None = None, id
     Nulls and edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; ids may be
     null; extra columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return src.mapInArrow(_run(path), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

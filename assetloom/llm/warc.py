@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.llm._common import pick
+
 #: Skippable frames of the Zstandard format: one holds the dictionary, an empty one ends each record. The bytes of the
 #: empty frame are ASCII, so it can be the line separator of Spark's text writer.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -109,7 +111,7 @@ def write_warc(pages: DataFrame, path: str, archive_bytes: int = 32 << 20, level
     Nulls and edge cases: a null html is an empty payload; a null page_id counts as smaller than any other; of rows
     equal in page_id and payload one is the response (if the page is), the others revisit it; a null url becomes a URN.
     """
-    src = pages.select(
+    src = pick(pages, page_id="page_id", url="url", html="html").select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")
     ).withColumn("sha", F.sha1("html")).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
     total = src.agg(F.sum(F.octet_length("html").cast("long")).alias("n")).first()["n"] or 0

@@ -46,5 +46,5 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame(ODD, "doc_id long, text string, lang string, n_chars long").selectExpr(
-        "doc_id", "text", "lang", "n_chars", "lang as source", "n_chars as id", "lang as digest", "n_chars as `a.b`", "lang as hits", "n_chars as c0"
+        "doc_id", "text", "lang", "n_chars", "lang as source", "n_chars as id", "lang as digest", "n_chars as `a.b`", "lang as hits", "n_chars as c0", "'x' as TEXT", "lang as th"
     )
