@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.operators.tables import keep_first
+from assetloom.operators.inherit import dimension
+from assetloom.operators.tables import keep_first, ranged, ranks
 
 
 def diff_manifest(desired: DataFrame, previous: DataFrame, key: str = "name", checksum: str = "source_checksum") -> DataFrame:
@@ -65,17 +66,17 @@ def packed_offsets(m: DataFrame, by: Sequence[str], order: Sequence[str], size:
     """Gap-free offsets: ``base`` plus the sizes of the entries before, per group.
 
     A window holds a group's rows in one task. With ``two_level`` rows are range-partitioned by group and order, sizes
-    are summed per partition and group (a small table, broadcast), and only the sum within a partition is a window."""
+    are summed per partition and group (joined by broadcast if they are few), and only the sum within a partition is a
+    window."""
     if not two_level:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return m.withColumn("offset", F.lit(base).cast("long") + F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
-    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = m.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("__part", F.spark_partition_id())
+    r = ranged(m, by, order)
     sums = r.groupBy("__part", *by).agg(F.sum(size).alias("__sum"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base_of = sums.select("__part", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    j = r.join(F.broadcast(base_of), ["__part", *by])
+    j = r.join(dimension(base_of), ["__part", *by])
     own = F.coalesce(F.sum(size).over(inside), F.lit(0))
     return j.withColumn("offset", (F.lit(base) + F.col("__base") + own).cast("long")).drop("__part", "__base")
 
@@ -122,7 +123,7 @@ def content_checksum(m: DataFrame, by: Sequence[str], order: str, checksum: str)
     """MD5 over the ordered checksums of a group, in two levels: runs of 4096 ordered rows, then their digests.
 
     No task gathers more than a run of a group."""
-    ranked = m.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    ranked = ranks(m, by, [order], "__i")
 
     def digest(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), F.col(value).alias("v")))), lambda x: x["v"])

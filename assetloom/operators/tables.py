@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.operators.inherit import dimension
+from assetloom.sources.scratch import stored
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order; NULL and blank keys are alike.
@@ -34,18 +37,41 @@ def positions(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = (), desce
     """The place (from 1) of each row in the order of ``sort_table``.
 
     Without ``within`` the order is global: rows are range-partitioned by the keys, counted per partition, and numbered
-    by the counts before (one number per partition), so no task holds more than its range."""
+    by the counts before (one number per partition), so no task holds more than its range. With ``within`` a group is
+    one window; ``ranks`` splits large groups."""
     k = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
     order = [*[c.desc() if descending else c.asc() for c in k], *tie]
     if within:
         return df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    counts = ranged.groupBy("__part").agg((F.max("__i") + 1).alias("__n"))
+    r = ranged(df, [], order)
+    counts = r.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return ranged.join(F.broadcast(base), "__part").withColumn("position", (F.col("__base") + F.col("__i") + 1).cast("long")).drop("__part", "__i", "__base")
+    inside = Window.partitionBy("__part").orderBy(*order)
+    j = r.join(F.broadcast(base), "__part")  # one row per partition
+    return j.withColumn("position", (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__part", "__base")
+
+
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
+    """Rows range-partitioned by group and order, with their partition in ``__part``, written to shared storage.
+
+    Range bounds are sampled anew whenever they are computed, so the partition numbers have to be kept."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """The place (from 0) of each row within its group, also of a group that no single task should hold.
+
+    Rows are range-partitioned by group and order and counted per partition and group; those counts are joined (by
+    broadcast if they are few), and only the number within a partition is a window."""
+    r = ranged(df, by, order)
+    counts = r.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__part", *by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__part", *by).orderBy(*order)
+    j = r.join(dimension(base), ["__part", *by])
+    return j.withColumn(name, (F.col("__base") + F.row_number().over(inside) - 1).cast("long")).drop("__part", "__base")
 
 
 def distinct_names(*names: tuple[DataFrame, Column], skipped: Sequence[str] = ("default",)) -> DataFrame:
