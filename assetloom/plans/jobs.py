@@ -11,7 +11,7 @@ from assetloom.functions import scalars as S
 from assetloom.functions import spec as P
 from assetloom.operators import geometry, inherit, manifest, resolve, signal, tables, validate
 from assetloom.sources import files as src
-from assetloom.sources.scratch import stored
+from assetloom.sources.scratch import no_inferred_filters, stored
 
 
 def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=None, **options) -> DataFrame:
@@ -114,7 +114,9 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     any content is read, so only what is added or changed has to be converted."""
     aliases, bad = compile_aliases(ctx.sources, ctx.zones, ctx.templates)
     # read several times below: the wide expressions are evaluated once
-    aliases = stored(aliases, "aliases").withColumn("alias_key", F.xxhash64("zone", *P.DEDUP_KEYS))
+    with no_inferred_filters(requests.sparkSession):
+        aliases = stored(aliases, "aliases")
+    aliases = aliases.withColumn("alias_key", F.xxhash64("zone", *P.DEDUP_KEYS))
     platform = ctx.platforms.select(F.col("Platform").alias("__platform"), F.col("CompressionScale").alias("platform_scale"))
     locale = ctx.locales.select(F.col("Name").alias("language"), "SearchName", "IsShared", F.col("CompressionScale").alias("locale_scale"))
     req = requests.join(inherit.dimension(platform), requests["platform"] == platform["__platform"]).drop("__platform").join(inherit.dimension(locale), "language")
@@ -134,7 +136,8 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     by = ["zone", "platform", "language", "storage_class"]
     found = found.withColumn("claim", F.struct(*by, "target"))
     # settings that clash keep no asset: the build can't tell which is meant
-    found = stored(found, "found")
+    with no_inferred_filters(requests.sparkSession):
+        found = stored(found, "found")
     conflicts = resolve.target_conflicts(found, "claim", ["source", "looping", "Storage", "CompressionLevel"], "origin", "order")
     claims = resolve.claimed(found.join(conflicts.select("claim"), "claim", "left_anti").withColumn("target_key", F.to_json("claim")), "target_key", "order")
     first = resolve.first_resolved(found, "row_key", "slot")

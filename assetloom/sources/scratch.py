@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,15 @@ def stored(df: DataFrame, what: str = "stored") -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def no_inferred_filters(spark: SparkSession):
+    """For actions on tables of a hundred computed columns, where deriving filters from all of them takes longer than the job."""
+    name = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
