@@ -48,9 +48,12 @@ def silence_gate(samples: Column | str, threshold: Column | int, window: int = S
     A NULL threshold gates nothing."""
     ch = F.lit(channels) if isinstance(channels, int) else _c(channels)
     t = F.lit(threshold) if isinstance(threshold, int) else threshold
-    ints = F.transform(_c(samples), lambda x: x.cast("int"))
-    gated = F.flatten(F.transform(_blocks(ints, (ch * window).cast("int"), False), lambda b: F.when(max_abs(b) >= t, b).otherwise(F.transform(b, lambda x: F.lit(0)))))
-    return F.when(t.isNull(), ints).otherwise(gated)
+
+    def gate(ints: Column) -> Column:
+        loud = lambda b: F.when(max_abs(b) >= t, b).otherwise(F.transform(b, lambda x: F.lit(0)))
+        return F.when(t.isNull(), ints).otherwise(F.flatten(F.transform(_blocks(ints, (ch * window).cast("int"), False), loud)))
+
+    return S.let(F.transform(_c(samples), lambda x: x.cast("int")), gate)
 
 
 def _poly(x: Column, p: Sequence[Column]) -> Column:
@@ -70,18 +73,23 @@ def resample(samples: Column | str, frames_out: Column | int, channels: int = 1)
     """A whole signal (one row) at another length: positions i / out * in, six points, wrapping at the ends.
 
     There is no low-pass. For signals in several rows see ``resample_chunks``."""
-    s = F.transform(_c(samples), lambda x: x.cast("double"))
     out = F.lit(frames_out) if isinstance(frames_out, int) else frames_out
-    n = F.floor(F.size(s) / channels)
 
-    def at(i: Column, c: int) -> Column:
-        pos = i / out * n
-        base = F.floor(pos)
-        points = [F.element_at(s, (F.pmod(base + k, n) * channels + c + 1).cast("int")) for k in (-2, -1, 0, 1, 2, 3)]
-        return F.least(F.greatest(_poly(pos - base, points), F.lit(-32767.0)), F.lit(32767.0)).cast("int")
+    def whole(s: Column) -> Column:
+        n = F.floor(F.size(s) / channels)
+
+        def at(i: Column, c: int) -> Column:
+            def sample(pos: Column) -> Column:
+                base = F.floor(pos)
+                points = [F.element_at(s, (F.pmod(base + k, n) * channels + c + 1).cast("int")) for k in (-2, -1, 0, 1, 2, 3)]
+                return S.let(F.array(*points, pos - base), lambda p: F.least(F.greatest(_poly(p[6], [p[j] for j in range(6)]), F.lit(-32767.0)), F.lit(32767.0)).cast("int"))
+
+            return S.let(i / out * n, sample)
+
+        frames = F.transform(F.sequence(F.lit(0).cast("long"), out - 1), lambda i: F.array(*[at(i.cast("double"), c) for c in range(channels)]))
+        return F.when((out > 0) & (n > 0), F.flatten(frames)).otherwise(F.array().cast("array<int>"))
 
-    frames = F.transform(F.sequence(F.lit(0).cast("long"), out - 1), lambda i: F.array(*[at(i.cast("double"), c) for c in range(channels)]))
-    return F.when((out > 0) & (n > 0), F.flatten(frames)).otherwise(F.array().cast("array<int>"))
+    return S.let(F.transform(_c(samples), lambda x: x.cast("double")), whole)
 
 
 def resample_chunks(chunks: DataFrame, frames_in: int | Column, frames_out: int | Column, chunk_frames: int, asset: str = "asset", channels: int = 1) -> DataFrame:
