@@ -25,8 +25,14 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
 }
-#: A text without a match of these has no span of the kind; they are cheap to look for.
-GATE = {"email": "@|[aA][tT]\x20?[\\])}]", "ip": r"[0-9][\])]?[.\[(]", "card": r"[0-9][./_\x20-]?[0-9]{3}", "phone": r"\+[0-9]|[0-9][.\x20-][0-9]{4}"}
+#: A text without a match of these has no span of the kind; they are cheap to look for. A card has 16 digits at least,
+#: which may stand singly; only the looser shape has groups.
+GATE = {
+    "email": "@|[aA][tT]\x20?[\\])}]",
+    "ip": r"[0-9][\])]?[.\[(]",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){15}|[0-9]{4}[./_][0-9]{4}[./_]",
+    "phone": r"\+[0-9]|[0-9][.\x20-][0-9]{4}",
+}
 # Words that speak for or against a kind when they stand shortly before a candidate.
 FOR = {
     "email": "e-?mail|mail|contact|write|reach|adresse|correo",

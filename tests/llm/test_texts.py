@@ -80,6 +80,28 @@ def test_base_spans_equal_brute_force(spark, docs):
         assert set(want) <= set(r.spans.split(",")) | {""} and len(r.spans.split(",")) == len(want) + r.added or not want
 
 
+def test_cards_of_any_grouping_are_found(spark):
+    rnd = random.Random(7)
+    digits = ["4111111111111111", "4591718099287256", "6304000000000000000", "4111111111111112"]
+
+    def dealt(d, sizes, sep):
+        out = []
+        while d:
+            n = rnd.choice(sizes)
+            out, d = [*out, d[:n]], d[n:]
+        return "".join(x + rnd.choice(sep) for x in out[:-1]) + out[-1]
+
+    rows = ["41 11 11 11 11 11 11 11", "-".join("4111111111111111"), "x 1 2 y 33-44"]
+    rows += [dealt(rnd.choice(digits), sizes, sep) for sizes in ([1], [2], [3], [1, 2], [1, 2, 3]) for sep in (" ", "-", " -") for _ in range(10)]
+    rows += ["".join(rnd.choice(["4 1 1 1 1 1 1 1 ", "1 1 1 1 1 1 1 1", "41-11-11-11-", "11 11", "a", " ", "-", "7", "12"]) for _ in range(8)) for _ in range(300)]
+    got = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sum(r.n_card for r in got) > 100
+    for r in got:
+        want = base_spans(rows[r.doc_id])
+        assert r.n_card == sum(x.startswith("card") for x in want), rows[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), rows[r.doc_id]
+
+
 def test_pii_adds_convincing_candidates_only(spark, odd):
     rows = [(i, f"please call our phone (212) 555-{i:04d} or write mail to joe{i} [at] mail [dot] com") for i in range(60)]
     rows += [(100 + i, f"invoice order serial 212-555-{i:04d}") for i in range(60)] + [(200 + i, f"mail me@host{i}.com") for i in range(20)]
