@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm import _words
-from assetloom.llm._common import pick, positional
+from assetloom.llm._common import pick, positional, stored
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"%#$&*@^~", b"|<>{}[]\\", b".", b",;:", b"\n"]
 _KIND = np.zeros(256, np.int64)
@@ -21,6 +22,10 @@ for _i, _c in enumerate(_CLASSES):
     _KIND[list(_c)] = _i + 1
 _KIND[128:] = len(_CLASSES) + 1
 _N = len(_CLASSES) + 2
+_BUCKETS = 32
+#: Numbers kept of a document: the text view, and the metadata before languages and sources become columns.
+_TEXT = _N + 4
+_WIDE = [f"f{i}" for i in range(_TEXT + 4)]
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
@@ -44,15 +49,21 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return np.column_stack([np.sqrt(share[:, 1:]), np.log1p(length), again, distinct, np.log1p(words), distinct * np.log1p(words)])
 
 
-def metadata_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array, lines: np.ndarray, buckets: int = 32) -> np.ndarray:
-    """What is known of a text besides its words: language and source (hashed), stated length, number of lines."""
+def metadata_codes(lang: pa.Array, source: pa.Array, n_chars: pa.Array, lines: np.ndarray, buckets: int = _BUCKETS) -> np.ndarray:
+    """What is known of a text besides its words: stated length, number of lines (logarithms), language and source (hashed)."""
     chars = np.asarray(pc.fill_null(n_chars.cast(pa.float64(), safe=False), 0.0).to_numpy(zero_copy_only=False))
     chars = np.log1p(np.maximum(np.nan_to_num(chars), 0))
-    out = [chars, chars**2 / 10, np.log1p(lines), chars - np.log1p(lines)]
-    for col, salt in ((lang, "l"), (source, "s")):
-        code = np.array([zlib.crc32(f"{salt}{v}".encode()) % buckets for v in col.to_pylist()])
+    code = [np.array([zlib.crc32(f"{salt}{v}".encode()) % buckets for v in col.to_pylist()], float) for col, salt in ((lang, "l"), (source, "s"))]
+    return np.column_stack([chars, np.log1p(lines), *code])
+
+
+def metadata_features(codes: np.ndarray, buckets: int = _BUCKETS) -> np.ndarray:
+    """The metadata view of ``metadata_codes``: one column per bucket of language and source."""
+    chars, lines = codes[:, 0], codes[:, 1]
+    out = [chars, chars**2 / 10, lines, chars - lines]
+    for code in codes[:, 2:].T:
         hot = np.zeros((len(code), buckets))
-        hot[np.arange(len(code)), code] = 1
+        hot[np.arange(len(code)), code.astype(int)] = 1
         out.extend(hot.T)
     return np.column_stack(out)
 
@@ -99,104 +110,166 @@ class CoTrained:
     meta: Logistic
     joint: Logistic
     cut: float
+    shift: float = 0.0
 
     def score(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.joint.logit(np.column_stack([self.text.logit(t), self.meta.logit(m)])))
+        return _sigmoid(self.joint.logit(np.column_stack([self.text.logit(t), self.meta.logit(m)])) + self.shift)
 
 
-def co_train(t, m, y, rounds: int = 4, each: int = 400, sure: float = 0.95) -> CoTrained | None:
-    """y: 1 good, 0 poor, -1 unlabelled. A fifth of the labelled rows is held out to calibrate and to combine the views.
+def co_train(rows: np.ndarray, y: np.ndarray, surest, shift: float = 0.0, rounds: int = 4, each: int = 400, sure: float = 0.95) -> CoTrained | None:
+    """rows, y: labelled documents, 1 good, 0 poor. A fifth of them is held out to calibrate and to combine the views.
 
     In every round each view names up to ``each`` unlabelled rows of either class that it is surest of (probability at
-    least ``sure``), and the other view learns from them with half weight. Returns None if a class has under five rows.
+    least ``sure``), and the other view learns from them with half weight. ``surest(fits, shift, each, sure)`` finds them
+    among all unlabelled documents and returns (rows, labels) by view. ``shift`` is the logarithm by which the odds of
+    good are higher in the corpus than among ``rows``. Returns None if a class has under five rows.
     """
-    known = np.flatnonzero(y >= 0)
-    if min((y[known] == 1).sum(), (y[known] == 0).sum()) < 5:
+    if min((y == 1).sum(), (y == 0).sum()) < 5:
         return None
-    held = known[np.arange(len(known)) % 5 == 4]
+    t, m = views = _views(rows)
+    known = np.arange(len(y))
+    held = known[known % 5 == 4]
     train = np.setdiff1d(known, held)
     if len(set(y[held])) < 2 or len(set(y[train])) < 2:
         held = train = known
-    pool = np.flatnonzero(y < 0)
-    extra = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]
-    views = (t, m)
-
-    def fit(v: int) -> Logistic:
-        rows, labels = extra[v]
-        x = np.concatenate([views[v][train], views[v][rows]])
-        return Logistic().fit(x, np.concatenate([y[train], labels]), np.concatenate([np.ones(len(train)), np.full(len(rows), 0.5)]))
-
-    fits = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool) else 0):
-        for v in (0, 1):
-            p = _sigmoid(fits[v].logit(views[v][pool]))
-            good = pool[np.argsort(-p, kind="stable")[:each]][: int((p >= sure).sum())]
-            poor = pool[np.argsort(p, kind="stable")[:each]][: int((p <= 1 - sure).sum())]
-            extra[1 - v] = (np.concatenate([good, poor]), np.concatenate([np.ones(len(good)), np.zeros(len(poor))]))
-        fits = [fit(0), fit(1)]
+
+    def fit(v: int, more: np.ndarray, labels: np.ndarray) -> Logistic:
+        x = np.concatenate([views[v][train], _views(more)[v]])
+        return Logistic().fit(x, np.concatenate([y[train], labels]), np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)]))
+
+    none = np.zeros((0, len(_WIDE))), np.zeros(0)
+    fits = [fit(0, *none), fit(1, *none)]
+    for _ in range(rounds):
+        named = surest(fits, shift, each, sure)
+        if not any(len(labels) for _, labels in named):
+            break
+        fits = [fit(0, *named[1]), fit(1, *named[0])]
     pair = np.column_stack([fits[0].logit(t[held]), fits[1].logit(m[held])])
     joint = Logistic(ridge=0.1).fit(pair, y[held].astype(float), np.ones(len(held)))
-    out = CoTrained(fits[0], fits[1], joint, 0.5)
-    # reject only what is surely poor: the cut lies where at most one in 500 good rows would be lost
-    p = out.score(t[known], m[known])
-    out.cut = float(min(0.5, np.quantile(p[y[known] == 1], 0.002)))
+    out = CoTrained(fits[0], fits[1], joint, 0.5, shift)
+    # reject only what is surely poor: the cut lies where at most one in 500 good rows would be lost, or at even odds among
+    # ``rows``, so that it isn't lower where poor documents are rare
+    p = out.score(t, m)
+    out.cut = float(min(_sigmoid(shift), np.quantile(p[y == 1], 0.002)))
     return out
 
 
 _NEEDS = ("text", "lang", "source", "n_chars")
 
 
-def _features(b: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _views(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows[:, :_TEXT], metadata_features(rows[:, _TEXT:])
+
+
+def _rows(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
     texts = b.column(names.index("text"))
 
     def col(name, kind):
         return b.column(names.index(name)) if name in names else pa.nulls(b.num_rows, kind)
 
     lines = pc.count_substring(pc.fill_null(texts, ""), "\n").to_numpy(zero_copy_only=False) + 1.0
-    return text_features(texts), metadata_features(col("lang", pa.string()), col("source", pa.string()), col("n_chars", pa.int64()), lines)
+    return np.column_stack([text_features(texts), metadata_codes(col("lang", pa.string()), col("source", pa.string()), col("n_chars", pa.int64()), lines)])
+
+
+def _wide(b) -> np.ndarray:
+    """The feature columns of a batch or table."""
+    return np.column_stack([np.asarray(b.column(b.schema.names.index(c)).to_numpy(), float) for c in _WIDE]).reshape(b.num_rows, len(_WIDE))
+
+
+def _first(v: np.ndarray, each: int) -> np.ndarray:
+    """The first ``each`` places of either class and view. v: columns view, label, logit, features; surest first, then by features."""
+    order = np.lexsort([*v.T[:2:-1], -np.abs(v[:, 2]), v[:, 1], v[:, 0]])
+    group = v[order, 0] * 2 + v[order, 1]
+    start = np.searchsorted(group, group)
+    return order[np.arange(len(order)) - start < each]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 4000, **options) -> CoTrained | None:
-    """Fit on a bounded sample: at most about ``max_labelled`` labelled and ``max_pool`` unlabelled documents, chosen by
-    a hash of the id; corpora below the bounds are used whole. Only feature vectors of the sample reach the driver."""
-    spark = docs.sparkSession
+def surest_of(pool: DataFrame):
+    """For ``co_train``: the rows of ``pool`` that each view is surest of.
+
+    Every row is scored by both views. Each task keeps the first ``each`` of either class and view, a second level of
+    tasks those of about a square root of the tasks, and the driver merges what is left.
+    """
+    names = ["view", "label", "logit", *_WIDE]
+    kinds = ", ".join(f"{c} double" for c in names)
+    groups = max(1, math.ceil(math.sqrt(pool.rdd.getNumPartitions())))
+
+    def best(fits: list[Logistic], shift: float, each: int, sure: float):
+        least = math.log(sure / (1 - sure))
+
+        def batch(v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in v.T], names)
+
+        def name(batches):
+            kept = np.zeros((0, len(names)))
+            for b in batches:
+                rows = _wide(b)
+                parts = [kept]
+                for view, x in enumerate(_views(rows)):
+                    z = fits[view].logit(x) + shift
+                    at = np.flatnonzero(np.abs(z) >= least)
+                    parts.append(np.column_stack([np.full(len(at), float(view)), (z[at] > 0).astype(float), z[at], rows[at]]))
+                kept = np.concatenate(parts)
+                kept = kept[_first(kept, each)]
+            yield batch(kept)
+
+        def merge(batches):
+            kept = np.zeros((0, len(names)))
+            for b in batches:
+                kept = np.concatenate([kept, np.column_stack([b.column(c).to_numpy() for c in names])])
+                kept = kept[_first(kept, each)]
+            yield batch(kept)
+
+        got = pool.select(*_WIDE).mapInArrow(name, kinds).repartition(groups).mapInArrow(merge, kinds).toArrow()
+        v = np.column_stack([got.column(c).to_numpy() for c in names]).reshape(got.num_rows, len(names))
+        v = v[_first(v, each)]
+        return [(v[v[:, 0] == view][:, 3:], v[v[:, 0] == view][:, 1]) for view in (0, 1)]
+
+    return best
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **options) -> CoTrained | None:
+    """Fit on labelled and all unlabelled documents.
+
+    At most ``max_labelled`` labelled documents reach the driver, chosen by a hash of the id, half of them from either
+    class if it has so many (else all of the class); scores are corrected for that. Every document without a label is
+    scored in each round of co-training. The features of all documents (19 numbers each) are written once to the shared
+    folder. Labels of documents that are not in ``docs`` don't count.
+    """
+    cols = [c for c in _NEEDS if c in docs.columns]
     lab = (
         pick(labels, doc_id="doc_id", quality="quality")
         .filter("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
     )
-    n_lab, n_docs = lab.count(), docs.count()
-    if not n_lab or not n_docs:
-        return None
-    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
-    lab = lab.filter(place < int(min(1.0, max_labelled / n_lab) * 1_000_000)).limit(max_labelled)
-    rows = lab.collect()
-    known = spark.createDataFrame(rows, "id long, y double") if rows else None
-    if known is None:
-        return None
-    cols = [c for c in _NEEDS if c in docs.columns]
     src = pick(docs, id="doc_id", **{c: c for c in cols}).withColumn("id", F.col("id").cast("long"))
-    src = src.join(F.broadcast(known), "id", "left").filter(
-        F.col("y").isNotNull() | (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) < int(min(1.0, max_pool / n_docs) * 1_000_000))
-    )
 
     def run(batches):
         for b in _words.pieces(batches, "text"):
-            t, m = _features(b, b.schema.names)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("y"), pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))],
-                ["id", "y", "t", "m"],
-            )
-
-    got = src.mapInArrow(run, "id long, y double, t array<double>, m array<double>").toArrow()
-    order = pc.sort_indices(got, sort_keys=[("id", "ascending")])
-    got = got.take(order)
-    if not got.num_rows:
+            v = _rows(b, b.schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in v.T]], ["id", *_WIDE])
+
+    found = src.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in _WIDE))
+    # rows without an id are dealt by their features, so that they are no hot key
+    found = found.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64(*_WIDE)).otherwise(0))
+    found = stored(found.join(lab.withColumn("salt", F.lit(0).cast("long")), ["id", "salt"], "left").select("id", "y", *_WIDE), "quality")
+    have = {int(r["y"]): r["count"] for r in found.filter("y is not null").groupBy("y").count().collect()}
+    if min(have.get(0, 0), have.get(1, 0)) < 5:
         return None
-    y = pc.fill_null(got.column("y"), -1.0).to_numpy()
-    t, m = (np.array(got.column(c).to_pylist(), float).reshape(got.num_rows, -1) for c in ("t", "m"))
-    return co_train(t, m, y.astype(int), **options)
+    half = max_labelled // 2
+    take = {c: min(have[c], max(half, max_labelled - have[1 - c])) for c in (0, 1)}
+    place, full = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40)), 1 << 40
+    parts = []
+    for c in (0, 1):
+        near = int(min(1.0, (take[c] + 5 * math.sqrt(take[c]) + 50) / have[c]) * full)
+        some = found.filter((F.col("y") == c) & (place < near)).withColumn("place", place)
+        parts.append(some.orderBy("place", "id", *_WIDE).limit(take[c]).select("id", "y", *_WIDE).toArrow())
+    got = pa.concat_tables(parts)
+    got = got.take(pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("id", *_WIDE)]))
+    y = got.column("y").to_numpy()
+    shift = math.log(have[1] / max((y == 1).sum(), 1)) - math.log(have[0] / max((y == 0).sum(), 1))
+    return co_train(_wide(got), y, surest_of(found.filter("y is null")), shift, **options)
 
 
 def scored(docs: DataFrame, model: CoTrained | None, only_kept: bool = False) -> DataFrame:
@@ -215,7 +288,7 @@ def scored(docs: DataFrame, model: CoTrained | None, only_kept: bool = False) ->
             if model is None:
                 p, keep = pa.nulls(b.num_rows, pa.float64()), pa.array(np.ones(b.num_rows, bool))
             else:
-                v = model.score(*_features(b, names))
+                v = model.score(*_views(_rows(b, names)))
                 p, keep = pa.array(v), pa.array(v >= model.cut)
             if only_kept:
                 yield b.filter(keep)

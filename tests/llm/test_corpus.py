@@ -179,6 +179,41 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) >= 0.98 and np.mean(poor) <= 0.15
 
 
+def shaped(spark, n, poor, labelled, odd=0):
+    """n documents of words, of which those in ``poor`` are junk; the last ``odd`` are worse junk with a length of their own."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(n):
+        junk = i in poor or i >= n - odd
+        words = [rnd.choice(["##|<>", "%%&*{}", "11223", "AAXX!"]) if junk and (i >= n - odd or rnd.random() < 0.7) else rnd.choice(["river", "stone", "of", "the", "winter", "table"]) for _ in range(rnd.randint(20, 60))]
+        rows.append((i, " ".join(words), "en", "web" if i < n - odd else "rare", 1_000_000 + i if i >= n - odd else 300 + rnd.randrange(200)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, spark.createDataFrame([(i, int(i not in poor)) for i in labelled], "doc_id long, quality int")
+
+
+def test_quality_sample_keeps_rare_classes(spark):
+    poor = set(range(0, 6000, 150))
+    docs, labels = shaped(spark, 6000, poor, range(6000))
+    model = quality.train(docs, labels, max_labelled=120)
+    assert model is not None
+    kept = {r.doc_id for r in quality.scored(docs, model, only_kept=True).collect()}
+    assert len(kept & poor) <= 2 and len(kept) >= 5900
+
+
+def test_quality_exchange_sees_every_unlabelled_document(spark, monkeypatch):
+    poor = set(range(0, 200, 4))
+    docs, labels = shaped(spark, 12_020, poor, range(200), odd=20)
+    seen, fit = set(), quality.Logistic.fit
+
+    def spy(self, x, y, weight):
+        seen.update(np.round(np.expm1(x[:, 0])).astype(int).tolist() if x.shape[1] > 20 else [])
+        return fit(self, x, y, weight)
+
+    monkeypatch.setattr(quality.Logistic, "fit", spy)
+    assert quality.train(docs, labels) is not None
+    assert {1_000_000 + i for i in range(12_000, 12_020)} <= seen
+
+
 def test_quality_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.train(odd, labels.limit(0)) is None
