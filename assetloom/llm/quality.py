@@ -147,13 +147,28 @@ def co_train(rows: np.ndarray, y: np.ndarray, surest, shift: float = 0.0, rounds
     pair = np.column_stack([fits[0].logit(t[held]), fits[1].logit(m[held])])
     joint = Logistic(ridge=0.1).fit(pair, y[held].astype(float), np.ones(len(held)))
     out = CoTrained(fits[0], fits[1], joint, 0.5, shift)
-    # reject only what is surely poor: the cut lies where at most one in 500 good rows would be lost, or at even odds among
-    # ``rows``, so that it isn't lower where poor documents are rare
-    p = out.score(t, m)
-    out.cut = float(min(_sigmoid(shift), np.quantile(p[y == 1], 0.002)))
+    # odds among ``rows``, so that the cut isn't lower where poor documents are rare
+    p = out.score(t[held], m[held])
+    out.cut = _cut(p, y[held], *(float(_sigmoid(shift + math.log(x / (1 - x)))) for x in (_FLOOR, 0.5)))
     return out
 
 
+#: A good document lost counts as much as so many poor ones kept; for exact probabilities, the cut is then at _FLOOR.
+_GOOD_COSTS = 4.0
+_FLOOR = 1 / (1 + _GOOD_COSTS)
+
+
+def _cut(p: np.ndarray, y: np.ndarray, low: float, high: float) -> float:
+    """The highest cut between ``low`` and ``high`` with the least loss on rows of probability ``p`` and label ``y``.
+
+    Wrong labels far below ``low`` cost the same at every cut, so they don't draw it down among the poor documents.
+    """
+    at = np.unique(np.concatenate([[low, high], p[(p > low) & (p < high)]]))
+    good, poor = np.sort(p[y == 1]), np.sort(p[y == 0])
+    loss = _GOOD_COSTS * np.searchsorted(good, at) + len(poor) - np.searchsorted(poor, at)
+    return float(at[np.flatnonzero(loss == loss.min())[-1]])
+
+
 _NEEDS = ("text", "lang", "source", "n_chars")
 
 

@@ -214,6 +214,21 @@ def test_quality_exchange_sees_every_unlabelled_document(spark, monkeypatch):
     assert {1_000_000 + i for i in range(12_000, 12_020)} <= seen
 
 
+@pytest.mark.parametrize("flipped", [10, 20])
+def test_quality_with_wrong_labels(spark, flipped):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    wrong = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < flipped
+    known = labels.filter("doc_id % 2 = 1").select("doc_id", F.when(wrong, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    rows = quality.scored(docs, quality.train(docs, known)).join(labels.filter("doc_id % 2 = 0"), "doc_id").collect()
+    assert np.mean([r.keep for r in rows if r.quality == 1]) >= 0.99 and np.mean([r.keep for r in rows if r.quality == 0]) <= 0.15
+
+
+def test_quality_cut():
+    p, y = np.array([0.01, 0.02, 0.3, 0.6, 0.9, 0.95]), np.array([1, 0, 1, 1, 1, 1])
+    assert quality._cut(p, y, 0.2, 0.5) == 0.3
+    assert quality._cut(p, np.array([1, 0, 0, 1, 1, 1]), 0.2, 0.5) == 0.5
+
+
 def test_quality_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.train(odd, labels.limit(0)) is None
