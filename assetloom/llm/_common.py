@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is set.
+    Only on a single machine (a local master) may that setting be absent: a temporary folder is set then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -29,7 +37,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and a lost executor costs no rework."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``: for the states of a loop that a later one has replaced."""
+    spark, path = df.sparkSession, df.stored_at
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def positional(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
@@ -47,6 +64,60 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return safe.select(*[F.col(c).alias(new) for new, c in zip(cols, names, strict=True)])
 
 
+def led(df: DataFrame, key: Sequence[str], order: Sequence[str], what: str = "led") -> DataFrame:
+    """Every row with the first row of its key: ``lead_x`` for each x in ``order``, and ``chunk``.
+
+    Rows are range-partitioned and sorted by key and order, so a key in a third of all rows spreads over as many tasks
+    as its rows need; each task hands the first row of a key on to the next rows. Of every task the first and the last
+    key (one row) go to the driver, which tells a task whose first key began in an earlier one what leads it. ``chunk``
+    numbers runs of at most 1,024 rows of one key. Keys must not be null; equal rows share a lead. Order: nulls first.
+    """
+    spark, names = df.sparkSession, df.columns
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    leads = [f"lead_{c}" for c in order]
+
+    def mark(batches):
+        part, carry, base = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {c: b.column(names.index(c)) for c in [*key, *order]}
+            if carry is not None:  # stands for the last row before: its key, and the order of what leads it
+                cols = {c: pa.concat_arrays([carry[c], x]) for c, x in cols.items()}
+            n, skip = len(cols[key[0]]), int(carry is not None)
+            new = np.ones(n, bool)
+            new[1:] = False
+            for c in key:
+                new[1:] |= np.asarray(pc.not_equal(cols[c][1:], cols[c][:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            pos = np.arange(n) - first + np.where(first == 0, base, 0)
+            lead = {c: cols[c].take(pa.array(first)) for c in order}
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(lead[c][skip:] for c in order), pa.array(np.full(n - skip, part, np.int32)), pa.array((part << 32) + pos[skip:] // 1024)],
+                [*names, *leads, "part", "chunk"],
+            )
+            carry, base = {c: (lead[c] if c in lead else cols[c])[n - 1 :] for c in cols}, int(pos[-1])
+
+    fields = [*df.schema.fields, *[T.StructField(a, kind[c]) for a, c in zip(leads, order, strict=True)], T.StructField("part", T.IntegerType()), T.StructField("chunk", T.LongType())]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(parts, *key, *order).sortWithinPartitions(*key, *order).mapInArrow(mark, T.StructType(fields))
+    out = stored(out, what)
+    k = F.struct(*key)
+    ends = out.groupBy("part").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.max_by(F.struct(*leads), k).alias("lead")).orderBy("part").collect()
+    wrong, at, lead = [], None, None
+    for r in ends:
+        if r["lo"] == at:
+            wrong.append((r["part"], *at, *lead))
+        if r["hi"] != at:
+            at, lead = r["hi"], r["lead"]
+    if not wrong:
+        return out.drop("part")
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(c, kind[c]) for c in key], *[T.StructField(f"true_{a}", kind[c]) for a, c in zip(leads, order, strict=True)]])
+    mend = spark.createDataFrame(wrong, schema).withColumn("mended", F.lit(True))  # one row a partition at most
+    out = out.join(F.broadcast(mend), ["part", *key], "left")
+    return out.select(*names, *[F.when(F.col("mended"), F.col(f"true_{a}")).otherwise(F.col(a)).alias(a) for a in leads], "chunk")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 
@@ -74,8 +145,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        cur = stored(small, "edges")
+        was_cur, cur = cur, stored(small, "edges")
         now = mark(cur)
+        dropped(was_cur)
         if now == was:
             break
         was = now

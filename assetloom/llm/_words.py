@@ -32,6 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+#: A second family of hashes, for keys of 128 bits.
+OTHER_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+OTHER_BASE, OTHER_WORD_BASE = np.uint64(0xC6A4A7935BD1E995), np.uint64(0xFF51AFD7ED558CCD)
+OTHER_INVERSE, OTHER_WORD_INVERSE = (np.uint64(pow(int(b), -1, 1 << 64)) for b in (OTHER_BASE, OTHER_WORD_BASE))
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
 _powers: dict[int, np.ndarray] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from assetloom.llm import decontaminate, linededup, minhash, mixing, neighbours, quality
 from assetloom.llm import queries as q
-from assetloom.llm._common import components
+from assetloom.llm._common import components, led
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -85,30 +85,24 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.035
 
 
-def brute_lines(rows, least=50):
-    """Lines of any later run of at least ``least`` words that equals an earlier one: by windows of every line start."""
-    lines = {}
-    for i, text in rows:
-        lines[i] = [tuple(x.split()) for x in text.split("\n") if x.split()]
-    at = defaultdict(list)
+def brute_lines(rows, least_lines=3, least_words=50, longest=9):
+    """Lines of any run that is large enough and equals an earlier one, which it doesn't overlap: all runs, one by one."""
+    lines = {i: [tuple(x.split()) for x in text.split("\n") if x.split()] for i, text in rows}
+    seen, gone = {}, {i: set() for i in lines}
     for i in sorted(lines):
-        for j, line in enumerate(lines[i]):
-            at[line].append((i, j))
-    gone = {i: set() for i in lines}
-    for i in sorted(lines):
-        for j in range(len(lines[i])):
-            for a, b in at[lines[i][j]]:
-                if (a, b) >= (i, j) or (j and b and lines[a][b - 1] == lines[i][j - 1]):
+        for s in range(len(lines[i])):
+            for t in range(s, min(len(lines[i]), s + longest)):
+                run = tuple(lines[i][s : t + 1])
+                if len(run) < least_lines and sum(map(len, run)) < least_words:
                     continue
-                n = 0
-                while j + n < len(lines[i]) and b + n < len(lines[a]) and lines[a][b + n] == lines[i][j + n]:
-                    n += 1
-                if sum(len(x) for x in lines[i][j : j + n]) >= least:
-                    gone[i].update(range(j, j + n))
+                j, u, v = seen.setdefault(run, (i, s, t))
+                if (j, u) != (i, s) and not (j == i and s <= v):
+                    gone[i].update(range(s, t + 1))
     return {i: [" ".join(x) for j, x in enumerate(lines[i]) if j not in gone[i]] for i in lines}
 
 
-def test_line_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("size", [(3, 50), (2, 12), (1000, 30)])
+def test_line_dedup_equals_brute_force(spark, docs, size):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rnd = random.Random(9)
     pool = [" ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.choice([1, 4, 12, 30, 60]))) for _ in range(60)]
@@ -117,9 +111,10 @@ def test_line_dedup_equals_brute_force(spark, docs):
         run = pool[at : at + rnd.randrange(1, 9)]
         fresh = [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(10)) for _ in range(3)]
         rows.append((10_000 + i, "\n".join(fresh[:1] + run + fresh[1:])))
-    out = linededup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(20_000, "\n".join(["a b c d e"] * 30)), (20_001, "\n".join(["x", *["a b c d e"] * 11]))]
+    out = linededup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), *size).collect()
     got = {r.doc_id: [" ".join(x.split()) for x in r.text.split("\n") if x.split()] for r in out}
-    want = brute_lines(rows)
+    want = brute_lines(rows, *size, longest=31)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
@@ -134,6 +129,29 @@ def test_line_dedup_edge_cases(spark, odd):
     assert linededup.drop_repeated_runs(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_texts_and_a_line_everywhere(spark):
+    run = "\n".join(f"line {i} of the run" for i in range(5))
+    rows = [(i, f"own {i}\n{run}\nend {i}") for i in range(3000)] + [(5000, "\n".join(f"long {i % 40_000}" for i in range(80_000)))]
+    got = {r.doc_id: r for r in linededup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), count_col="cut").collect()}
+    assert got[0].cut == 0 and all(got[i].cut == 5 and got[i].text == f"own {i}\nend {i}" for i in range(1, 3000))
+    assert got[5000].cut == 40_000
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_leads_of_keys(spark, parts):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 1, 2, rnd.randrange(100)]), rnd.choice([None, *range(50)]), i % 3) for i in range(5000)]
+    got = led(spark.createDataFrame(rows, "k long, a long, b long"), ["k"], ["a", "b"]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    low = {}
+    for k, a, b in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        low.setdefault(k, (a, b))
+    assert len(got) == len(rows) and all((r.lead_a, r.lead_b) == low[r.k] for r in got)
+    assert max(Counter((r.k, r.chunk) for r in got).values()) <= 1024
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
