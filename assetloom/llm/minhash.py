@@ -7,11 +7,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm import _words
-from assetloom.llm._common import components, pick, positional, stored
+from assetloom.llm._common import components, led, pick, positional, stored
 
 _STEP, _REG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,47 +104,24 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _levels(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The multisets of shingles as sets: each shingle with the number of its occurrence; sorted by text."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return _words.mix(h + (np.arange(len(h)) - first).astype(np.uint64) * _STEP), doc
-
-
-def _block_links(bands: int, rows: int, least: float, threshold: float):
-    """Links between texts of one block pair whose classes differ: signatures that agree in ``least`` of the registers
-    are held against each other by their texts. A pair that meets in several bands is compared in the first of them."""
+def _block_pairs(bands: int, rows: int, least: float):
+    """Pairs of one block pair whose classes differ and whose signatures agree in ``least`` of the registers. A pair that
+    meets in several bands is named in the first of them."""
     m = bands * rows
 
     def run(group: pa.Table) -> pa.Table:
         rep, of, side, band = (group.column(c).to_numpy() for c in ("rep", "component", "side", "band"))
         v = _registers(group.column("sig").combine_chunks(), m)
-        sets = []
-        for piece in _words.pieces(group.select(["text"]).combine_chunks().to_batches(), "text"):
-            h, doc, _ = _words.shingles(_words.words(piece.column("text")))
-            h, doc = _levels(h, doc)
-            sets += np.split(h, np.searchsorted(doc, np.arange(1, piece.num_rows)))
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        sets = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
-        mark = np.zeros(len(ids) + 1, bool)
-        right, out = np.flatnonzero(side != 0), []
+        right, out = np.flatnonzero(side != 0), [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(side != 1):
             j = right[(of[right] != of[i]) & ((rep[right] > rep[i]) | (side[i] == 0))]
             same = v[j] == v[i]
             near = same.mean(axis=1) >= least
             j, same = j[near], same[near].reshape(-1, bands, rows).all(axis=2)
             j = j[same.argmax(axis=1) == band[i]]
-            mark[sets[i]] = True
-            for x in j:
-                both = np.count_nonzero(mark[sets[x]])
-                if both / (len(sets[i]) + len(sets[x]) - both) >= threshold:
-                    out.append((min(rep[i], rep[x]), max(rep[i], rep[x])))
-            mark[sets[i]] = False
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            out.append(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
+        out = np.concatenate(out)
+        return pa.table({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
 
     return run
 
@@ -170,12 +147,19 @@ def _overlaps(threshold: float):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles overlap enough. Text b travels with its pair, text a once per leader."""
+    """The pairs (a, b, chunk) whose multisets of shingles overlap enough.
+
+    Text b travels with its pair, text a once for every chunk of at most 1,024 pairs, so that a frequent a is split."""
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    heads = pairs.select("a", "chunk").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(heads, ["a", "chunk"])
     return both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(threshold), "a long, b long, similarity double")
 
 
+#: Keys of open buckets are broadcast up to this number (8 bytes each, counted first); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -183,7 +167,6 @@ def near_duplicate_classes(
     rows: int = 5,
     deviations: float = 4.0,
     block: int = 2048,
-    block_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -194,14 +177,16 @@ def near_duplicate_classes(
     pair is missed with a chance of about 3e-6 (32 bands of 5), and every link is verified on the texts themselves.
 
     Equal texts are one vertex, the smallest id, and have one signature in the buckets. First the members of a bucket
-    are paired with one leader only, so work is linear in its size; that joins nearly all that belongs together. In
-    buckets whose other members are not one class then, members of different classes are compared by their signatures,
-    in pairs of blocks of about ``block`` members (fewer, if their texts are long), and those that agree in a share of
-    registers that is at most ``deviations`` standard deviations below the threshold are verified there; only links
-    leave a block. Nothing is capped.
+    are paired with its smallest member only (``led``: a bucket is sorted over as many tasks as its rows need), so work
+    is linear in its size; that joins nearly all that belongs together. In buckets whose other members are not one class
+    then, members of different classes are compared by their signatures, in pairs of blocks of about ``block`` members;
+    those that agree in a share of registers that is at most ``deviations`` standard deviations below the threshold
+    leave their block as pairs of ids and are verified on their texts like the first ones. Nothing is capped, and no
+    text is copied for the blocks, but a family of n texts that share a bucket without being one class costs the square
+    of n in comparisons and n * n / ``block`` rows of signatures.
 
     Nulls and edge cases: a null text counts as empty; empty texts (and texts of only white space that are equal) are
-    copies of one another. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
+    copies of one another; an empty table has no rows. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
     """
     m = bands * rows
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -210,27 +195,26 @@ def near_duplicate_classes(
     unique = stored(sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "unique")
     copies = sig.select("id", "digest").join(unique.select("digest", "rep"), "digest").select("id", "rep").distinct()
     keyed = unique.filter("sig is not null").select("rep", "sig").mapInArrow(_bands(bands, rows), "rep long, band int, key long")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    member = stored(keyed.join(shared, "key").filter("rep <> leader").select("key", "band", "rep", "leader"), "buckets")
+    member = led(keyed, ["key"], ["rep"], "buckets").filter("rep <> lead_rep").select("key", "band", "rep", F.col("lead_rep").alias("leader"), "chunk")
     involved = member.select("rep").unionByName(member.select(F.col("leader").alias("rep"))).distinct()
     # the text of a representative is that of its own digest, also where rows with one id differ
     texts = stored(
         known.join(involved.join(unique.select("rep", "digest"), "rep").withColumnRenamed("rep", "id"), ["id", "digest"])
-        .dropDuplicates(["id", "digest"])
+        .groupBy("id", "digest")
+        .agg(F.min("text").alias("text"))
         .select("id", "text"),
         "texts",
     )
-    pairs = member.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = member.groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.min("chunk").alias("chunk"))
     links = stored(verified(pairs, texts, threshold), "links")
     label = stored(components(links.select("a", "b")), "labels")
 
     told = member.select("key", "band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    told = told.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    size = texts.select(F.col("id").alias("rep"), F.octet_length("text").cast("long").alias("bytes"))
-    left = stored(told.join(split, "key").join(size, "rep"), "open")
-    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts")
-    left = left.join(left.groupBy("key").agg(parts), "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    told = stored(told.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")), "told")
+    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    split = stored(split.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "split")
+    few = split.count() <= BROADCAST_KEYS
+    left = told.join(F.broadcast(split) if few else split, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a block meets every later block of its bucket, and itself: side 0, 1, or 2 for both
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key",
@@ -242,9 +226,11 @@ def near_duplicate_classes(
         "component",
     )
     least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / m)
-    full = left.join(unique.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
-    found = full.groupBy("key", "lo", "hi").applyInArrow(_block_links(bands, rows, least, threshold), "a long, b long")
-    more = stored(found.distinct(), "links")
+    full = left.join(unique.select("rep", "sig"), "rep")
+    near = full.groupBy("key", "lo", "hi").applyInArrow(_block_pairs(bands, rows, least), "a long, b long").distinct()
+    # pairs of one text are spread by the other: text a is copied at most 64 times
+    found = verified(stored(near.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64))), "near"), texts, threshold)
+    more = stored(found.select("a", "b"), "links")
     if not more.isEmpty():
         links = links.select("a", "b").unionByName(more)
         label = stored(components(links.select("a", "b")), "labels")
@@ -264,9 +250,16 @@ def near_duplicate_classes(
 
 
 def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the smallest id. Rows with a null id stay."""
+    """``docs`` with one row of each near-duplicate class: that of the smallest id, of several rows of that id the one
+    with the smallest text, of equal ones the one with the smallest hash of its columns.
+
+    Rows with a null id stay; null and empty texts are one class; an empty table stays empty; extra columns pass through.
+    """
     inner, (id_, text) = positional(docs, id_col, text_col)
     classes = near_duplicate_classes(inner, id_col=id_, text_col=text, **options)
     first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = inner.join(first, F.col(id_).cast("long") == F.col("doc_id")).drop("doc_id").dropDuplicates([id_])
+    mine = inner.join(first, F.col(id_).cast("long") == F.col("doc_id")).drop("doc_id")
+    whole = F.xxhash64(*[f.name for f in inner.schema.fields if "map<" not in f.dataType.simpleString()])
+    order = Window.partitionBy(id_).orderBy(F.col(text).asc_nulls_first(), whole)
+    kept = mine.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
     return kept.unionByName(inner.filter(F.col(id_).isNull())).toDF(*docs.columns)
