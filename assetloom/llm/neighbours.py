@@ -106,6 +106,7 @@ def nearest(
     axes: int = 8,
     bits: int = 6,
     block: int = 2048,
+    group: int = 2048,
     wanted: float = 0.95,
     probes: int = 64,
     sample: int = 10_000,
@@ -119,7 +120,8 @@ def nearest(
 
     Equal vectors are one point with the k + 1 smallest ids, so a vector in a third of the rows is no hot spot and its
     ties come out exactly. Points are ordered along ``curves`` Hilbert curves by range partitioning; ranks come from the
-    counts of the partitions. A query meets the blocks of ``block`` ranks that its window touches on each curve; the
+    counts of the partitions. A query meets the blocks of at most ``block`` ranks that its window touches on each curve;
+    the queries of a block are dealt to groups of about ``group``, so no task holds more than a block and a group. The
     best of all curves are merged and have exact scores. The window is fitted: for at most ``probes`` queries the true
     neighbours are found by comparing them with all rows (a stated, bounded query set), and the window is as wide as
     brings ``wanted`` of those neighbours into reach on some curve. Vectors without structure need windows in
@@ -139,7 +141,7 @@ def nearest(
         return spark.createDataFrame([], out_schema)
     low = Window.partitionBy("rep").orderBy("vec_id")
     member = stored(rows.join(points, "vec").select("vec_id", "rep"), "members")
-    group = (
+    ids_of = (
         member.withColumn("i", F.row_number().over(low)).filter(F.col("i") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
     asked = member if queries is None else member.join(pick(queries, vec_id="vec_id").select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id")
@@ -205,20 +207,16 @@ def nearest(
         if got:
             window = max(block // 2, int(got[min(len(got) - 1, int(wanted * len(got)))]))
 
-    blocks = ranked.select("curve", "rep", F.floor(F.col("at") / block).alias("block"))
-    cand = blocks.join(points, "rep").select("curve", "block", "rep", "vec")
-    reach = (
-        ranked.join(leads.withColumnRenamed("query", "rep"), "rep")
-        .select(
-            "curve",
-            F.col("rep").alias("query"),
-            F.explode(
-                F.sequence(F.floor(F.greatest(F.col("at") - window, F.lit(0)) / block), F.floor(F.least(F.col("at") + window, F.lit(n - 1)) / block))
-            ).alias("block"),
-        )
-        .join(points.select(F.col("rep").alias("query"), "vec"), "query")
-        .select("curve", "block", "query", "vec")
-    )
+    block = int(min(block, max(128, window)))  # narrow windows: small blocks, or most of a block would be out of reach
+    lo, hi = F.floor(F.greatest(F.col("at") - window, F.lit(0)) / block), F.floor(F.least(F.col("at") + window, F.lit(n - 1)) / block)
+    reach = ranked.join(leads.withColumnRenamed("query", "rep"), "rep").select("curve", F.col("rep").alias("query"), F.explode(F.sequence(lo, hi)).alias("block"))
+    # queries of a block are dealt to groups of about ``group`` that each meet the block: one row for a curve and block
+    load = stored(reach.groupBy("curve", "block").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "groups")
+    reach = reach.join(load, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("query", F.lit(seed)), F.col("groups")).cast("int"))
+    reach = reach.join(points.select(F.col("rep").alias("query"), "vec"), "query").select("curve", "block", "part", "query", "vec")
+    blocks = ranked.select("curve", "rep", F.floor(F.col("at") / block).alias("block")).join(load, ["curve", "block"])
+    blocks = blocks.select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "rep")
+    cand = blocks.join(points, "rep").select("curve", "block", "part", "rep", "vec")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [_pairs(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 1), np.int64))]
@@ -234,8 +232,9 @@ def nearest(
                 out.append(_pairs(ids[i : i + 256], s, r))
         return pa.Table.from_batches(out)
 
-    reach, cand = reach.toDF("curve", "block", "query", "vec"), cand.toDF("curve", "block", "rep", "vec")  # new attributes for the cogroup
-    found = reach.groupBy("curve", "block").cogroup(cand.groupBy("curve", "block")).applyInArrow(rerank, _PAIR)
+    keys = ["curve", "block", "part"]
+    reach, cand = reach.toDF(*keys, "query", "vec"), cand.toDF(*keys, "rep", "vec")  # new attributes for the cogroup
+    found = reach.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(rerank, _PAIR)
     # one row per pair: curves meet the same pairs, whose scores may differ in the last bit
     best = found.filter("score > -2").groupBy("query", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
@@ -243,7 +242,7 @@ def nearest(
 
     dot = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     own = points.join(leads, points["rep"] == leads["query"]).select("query", "rep", (dot / (F.sqrt(dot) * F.sqrt(dot))).alias("score"))
-    each = best.unionByName(own).join(group, "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    each = best.unionByName(own).join(ids_of, "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     each = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(each, "query").filter("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
