@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -108,7 +109,81 @@ def test_pii_adds_convincing_candidates_only(spark, odd):
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].added == 2 for i in range(60)) and all(got[200 + i].n_email == 1 for i in range(20))
     assert all(got[100 + i].added == 0 for i in range(60))
-    assert len(pii.find(odd).collect()) == 9
+    assert len(pii.find(odd).collect()) == 9 and pii.find(odd.limit(0)).count() == 0
+
+
+def test_secrets_and_gazetteers(spark):
+    rnd = random.Random(3)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'some words then token = "{key()}" and more') for i in range(40)]
+    rows += [(100 + i, f"see the page at chapters/section_{i}_with_many_words/page") for i in range(40)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_secret == 1 and got[i].spans == "secret:25:65" for i in range(40))
+    assert all(got[100 + i].added == 0 for i in range(40))
+
+
+def brute_trust(rows, rounds=200):
+    """The same expectation-maximisation over single candidates instead of counted patterns, for one kind."""
+    import math
+
+    p = [1 / (1 + math.exp(-1.5 * sum(x - 1 for x in v))) for v in rows]
+    for _ in range(rounds):
+        good, bad, odds = 2 + sum(p), 2 + sum(1 - x for x in p), []
+        for v in rows:
+            o = math.log(good / bad)
+            for i, x in enumerate(v):
+                g = (0.2, 0.6, 1.2)[x] + sum(q for w, q in zip(rows, p, strict=True) if w[i] == x)
+                b = (1.2, 0.6, 0.2)[x] + sum(1 - q for w, q in zip(rows, p, strict=True) if w[i] == x)
+                o += math.log(g / good) - math.log(b / bad)
+            odds.append(o)
+        p = [1 / (1 + math.exp(-o)) for o in odds]
+    return p
+
+
+def test_trust_equals_brute_force():
+    import math
+    from collections import Counter
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        good = i % 3 > 0
+        rows.append(tuple((2 if rnd.random() < a else 1 if rnd.random() < 0.5 else 0) if good else (0 if rnd.random() < a else 1) for a in (0.9, 0.7, 0.6, 0.3, 0.5)))
+    model = pii.estimate([("ip", "".join(map(str, v)), n) for v, n in Counter(rows).items()])
+    start, weight = model["ip"]
+    got = [1 / (1 + math.exp(-start - sum(weight[i][x] for i, x in enumerate(v)))) for v in rows]
+    assert got == pytest.approx(brute_trust(rows), abs=1e-5)
+    counts = Counter()
+    for v, q in zip(rows, got, strict=True):
+        for place, x in enumerate(v):
+            counts["ip", place, x, 0] += q
+            counts["ip", place, x, 1] += 1 - q
+    start, table = pii.classifier([(k, p, v, counts[k, p, v, 0], counts[k, p, v, 1]) for k, p, v, i in list(counts) if i == 0])["ip"]
+    good, bad = 1 + sum(got), 1 + sum(1 - q for q in got)
+    assert start == pytest.approx(math.log(good / bad))
+    assert table[1][2] == pytest.approx(math.log((counts["ip", 1, 2, 0] + 1 / 3) / good) - math.log((counts["ip", 1, 2, 1] + 1 / 3) / bad))
+
+
+def test_added_spans_touch_no_base_span_and_cover_the_given_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    added = 0
+    for r in pii.find(docs).collect():
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text[r.doc_id])]
+        more = [x.split(":") for x in r.spans.split(",") if x and x not in base_spans(text[r.doc_id])]
+        assert len(more) == r.added and all(int(e) <= s or t <= int(b) for _, b, e in more for s, t in base)
+        want = {m[1] for m in re.finditer(r'token = "([0-9a-f]{40})"', text[r.doc_id])}
+        assert want <= {text[r.doc_id][int(b) : int(e)] for _, b, e in more}
+        added += r.added
+    assert added > 0
+
+
+def test_many_matches_are_linear(spark):
+    rows = [(1, ", ".join(str(10**6 + i) for i in range(130_000))), (2, ", ".join(["4111 1111 1111 1111"] * 30_000)), (3, "x[.]" + ", 10.0.0.1, 10[.]0[.]0[.]2" * 5000)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_card == 0 and got[2].n_card == 30_000 and got[3].n_ip == 5000 and time.time() - began < 60
+    assert got[2].spans.startswith("card:0:19,card:21:40,")
 
 
 def test_long_runs_are_linear(spark):
@@ -124,7 +199,54 @@ def test_licences(spark, odd):
     assert got[1].licence == "MIT" and got[2].licence is None and got[2].notices == "Apache-2.0,MIT" and got[3].licence is None
     for r in rows:
         assert got[r[0]].canonical_sha256 == licences._digest(r[1])
-    assert {r.licence for r in licences.scan(odd).collect()} == {None}
+    assert {r.licence for r in licences.scan(odd).collect()} == {None} and licences.scan(odd.limit(0)).count() == 0
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+
+
+def test_whole_licences_in_any_wrapping(spark):
+    import os
+
+    rows, want = [], []
+    for name, text in licences.LICENCE_TEXTS:
+        for head in ("", "Copyright (c) 2001-2020, The Authors\nAll rights reserved.\n\n", "Copyright The Foo Authors\n\n", "© 2020 X\n", "Copyright <YEAR> <HOLDER>\n\n"):
+            for width in (60, 79, 10_000):
+                rows.append(head + wrapped(text, width))
+                want.append(name)
+    folder = "/usr/share/common-licenses"
+    for name, file in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}").read()
+            rows += [text, text.replace("\n", "\r\n").upper(), re.sub(r"[ \n]+", " ", text) if name in ("CC0-1.0", "MPL-2.0") else text]
+            want += [name] * 3
+    rows += [rows[0] + " and more", "licence", "Copyright notice and nothing else\n\nbody"]
+    want += [None] * 3
+    out = licences.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.licence for r in out}
+    assert [(i, rows[i][:80], got[i]) for i in range(len(rows)) if got[i] != want[i]] == []
+    assert all(r.canonical_sha256 == licences._digest(rows[r.doc_id]) for r in out)
+
+
+def test_licence_sql_on_odd_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    rnd = random.Random(8)
+    bits = ["Copyright (c) 2020 A", "copyright notice and", "All rights reserved.", "", "", " ", "\t", "Released under the MIT Licence!", "licence licenced organisation", "sub-license", "© x", "A & B",
+            "Copyright The Authors", "(c) 1999", "wilful_favour", "déjà-licence", "SPDX-License-Identifier: MIT", "all rights reserved to x", "non infringement", "silicence"]
+    rows = [(i, "\n".join(rnd.choice(bits) for _ in range(rnd.randint(0, 7)))) for i in range(3000)] + [(5000, None), (5001, "")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.execute(f"select doc_id, canonical_sha256, licence, notices from ({licences.oracle()})").fetchall()
+    left, right = {r[0]: tuple(r) for r in got}, {r[0]: r for r in want}
+    text = dict(rows)
+    wrong = [(text[i], left[i], right[i]) for i in left if left[i] != right[i]]
+    assert not wrong, wrong[:5]
 
 
 PAGES = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (None, "v", "<p>é</p>"), (7, "w", "y" * 300_000)]
