@@ -7,92 +7,123 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assetloom.llm import _words
-from assetloom.llm._common import pick, positional
+from assetloom.llm._common import pick, positional, stored
 
 #: Benchmark bytes that one pass over the documents takes; a larger benchmark is taken in as many blocks as it needs.
 BLOCK_BYTES = 8 << 20
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts in compatibility form and lower case, with spaces for punctuation and around signs that are words of their own."""
+    texts = pc.fill_null(texts, "")
+    plain = pc.string_is_ascii(texts)
+    if pc.all(plain).as_py() is not False:
+        return texts  # what is left to do in ASCII is done where words are cut
+    rest = texts.filter(pc.invert(plain))
+    rest = pc.utf8_lower(pc.utf8_normalize(rest, "NFKC"))
+    rest = pc.replace_substring_regex(rest, r"[\p{P}\p{S}\p{Z}\p{C}]+", " ")
+    rest = pc.replace_substring_regex(rest, r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ")
+    return pc.replace_with_mask(texts, pc.invert(plain), rest)
+
+
+def _of(words: _words.Words, at: int) -> np.ndarray:
+    return words.hash[words.first[at] : words.first[at + 1]]
+
+
 class Items:
-    """The words of a block of benchmark passages and the hashes of all their runs of ``least`` words (the seeds)."""
+    """The words of a block of benchmark passages and the hashes of all their runs of ``least`` words (the seeds).
+
+    A passage with fewer words has one seed, all its words."""
 
     def __init__(self, ids: list, texts: list[str], least: int):
-        w = _words.words(pa.array(texts, pa.string()), folded=True)
-        self.least = least
-        self.ids, self.words = ids, [w.hash[w.first[i] : w.first[i + 1]] for i in range(w.n)]
-        h, item, at = _words.shingles(w, least)
-        long_enough = np.diff(w.first)[item] >= least
-        h, item, at = h[long_enough], item[long_enough], at[long_enough]
-        order = np.argsort(h, kind="stable")
-        self.seed, self.item, self.at = h[order], item[order], (at - w.first[item])[order]
-
-    def tiles(self, item: int, text: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Greedy string tiling of one passage against one text from the seeds (place in passage, place in text).
-
-        Seeds are equal fingerprints of ``least`` words; each maximal match is extended from its first seed by comparing
-        words. The longest match is marked first (ties: earlier in the passage, then in the text); what a match loses
-        to earlier marks splits it, and pieces of at least ``least`` words compete again.
+        w = _words.words(folded(pa.array(texts, pa.string())), folded=True)
+        size = np.diff(w.first)
+        self.least, self.ids, self.words = least, ids, [_of(w, i) for i in range(w.n)]
+        self.seeds = {}
+        for k in sorted({min(int(n), least) for n in size if n}):
+            h, item, at = _words.shingles(w, k)
+            mine = size[item] >= least if k == least else size[item] == k
+            h, item, at = h[mine], item[mine], at[mine]
+            order = np.argsort(h, kind="stable")
+            self.seeds[k] = h[order], item[order], (at - w.first[item])[order]
+
+    def tiles(self, item: int, text: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+        """Greedy string tiling of one passage against one text from the seeds (places i in the passage, j in the text).
+
+        Seeds are equal fingerprints of ``least`` words; seeds that follow one another make up the maximal matches,
+        whose words are compared. The longest match is marked first (ties: earlier in the passage, then in the text);
+        what a match loses to earlier marks splits it, and pieces of at least ``least`` words compete again. It ends
+        when no stretch of ``least`` words of the passage is free.
         """
-        mine, heap, known = self.words[item], [], set(pairs)
-        for i, j in pairs:
-            if (i - 1, j - 1) in known:
-                continue
-            n = self.least
-            while i + n < len(mine) and j + n < len(text) and mine[i + n] == text[j + n]:
-                n += 1
-            if (mine[i : i + self.least] == text[j : j + self.least]).all():
-                heap.append((-n, i, j))
+        mine = self.words[item]
+        least = min(self.least, len(mine))
+        order = np.lexsort((i, j - i))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+        at = np.flatnonzero(new)
+        heap = [(-(n + least - 1), x, y) for n, x, y in zip(np.diff(np.append(at, len(i))).tolist(), i[at].tolist(), j[at].tolist(), strict=True)]
         heapq.heapify(heap)
-        taken_i, taken_j, out = np.zeros(len(mine), bool), set(), []
+        taken, used, out = np.zeros(len(mine), bool), np.zeros(len(text), bool), []
         while heap:
-            n, i, j = heapq.heappop(heap)
-            free = [not taken_i[i + k] and (j + k) not in taken_j for k in range(-n)]
-            if all(free):
-                taken_i[i : i - n] = True
-                taken_j.update(range(j, j - n))
-                out.append((i, j, -n))
+            n, x, y = heapq.heappop(heap)
+            busy = np.flatnonzero(taken[x : x - n] | used[y : y - n] | (mine[x : x - n] != text[y : y - n]))
+            if not len(busy):
+                taken[x : x - n] = used[y : y - n] = True
+                out.append((x, y, -n))
+                walls = np.concatenate([[-1], np.flatnonzero(taken), [len(mine)]])
+                if np.diff(walls).max() <= least:
+                    break
                 continue
-            k = 0
-            while k < len(free):
-                e = k
-                while e < len(free) and free[e]:
-                    e += 1
-                if e - k >= self.least:
-                    heapq.heappush(heap, (k - e, i + k, j + k))
-                k = e + 1
+            walls = np.concatenate([[-1], busy, [-n]])
+            for k in np.flatnonzero(np.diff(walls) > least):
+                lo = int(walls[k]) + 1
+                heapq.heappush(heap, (-(int(walls[k + 1]) - lo), x + lo, y + lo))
         return out
 
     def search(self, texts: pa.Array, threshold: float):
         """(text, item, words covered, words of the item, tiles) where the tiles cover enough of the item."""
-        if not len(self.seed):
+        if not self.seeds:
             return
-        w = _words.words(texts, folded=True)
-        h, doc, at = _words.shingles(w, self.least)
-        lo = np.searchsorted(self.seed, h)
-        hit = np.flatnonzero(self.seed[np.minimum(lo, len(self.seed) - 1)] == h)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x in hit.tolist():
-            d, k = int(doc[x]), int(lo[x])
-            j = int(at[x] - w.first[d])
-            while k < len(self.seed) and self.seed[k] == h[x]:
-                found.setdefault((d, int(self.item[k])), []).append((int(self.at[k]), j))
-                k += 1
-        for (d, item), pairs in sorted(found.items()):
-            most = len({i + k for i, _ in pairs for k in range(self.least)})
-            if most < threshold * len(self.words[item]):
-                continue
-            tiles = self.tiles(item, w.hash[w.first[d] : w.first[d + 1]], pairs)
-            covered = sum(n for _, _, n in tiles)
-            if covered >= threshold * len(self.words[item]):
-                yield d, item, covered, len(self.words[item]), len(tiles)
+        w = _words.words(folded(texts), folded=True)
+        for k, (seed, item_of, place) in self.seeds.items():
+            h, doc, at = _words.shingles(w, k)
+            whole = np.diff(w.first)[doc] >= k
+            h, doc, at = h[whole], doc[whole], at[whole]
+            lo, hi = np.searchsorted(seed, h), np.searchsorted(seed, h, "right")
+            hit = np.flatnonzero(hi > lo)
+            some, begin = np.unique(doc[hit], return_index=True)  # texts come in their order
+            for d, x, y in zip(some.tolist(), begin, np.append(begin[1:], len(hit)), strict=False):  # one text's pairs at once
+                mine = hit[x:y]
+                n = hi[mine] - lo[mine]
+                pair = np.repeat(lo[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                j = np.repeat(at[mine] - w.first[d], n)
+                item, i = item_of[pair], place[pair]
+                order = np.argsort(item, kind="stable")
+                item, i, j = item[order], i[order], j[order]
+                bound = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
+                for a, b in zip(bound[:-1], bound[1:], strict=True):
+                    size = len(self.words[item[a]])
+                    reach = np.zeros(size + 1, np.int64)
+                    starts = np.unique(i[a:b])
+                    np.add.at(reach, starts, 1)
+                    np.add.at(reach, starts + k, -1)
+                    if np.count_nonzero(np.cumsum(reach)) < threshold * size:
+                        continue
+                    tiles = self.tiles(int(item[a]), _of(w, d), i[a:b], j[a:b])
+                    covered = sum(t for _, _, t in tiles)
+                    if covered >= threshold * size:
+                        yield d, int(item[a]), covered, size, len(tiles)
 
 
 def blocks(benchmark: DataFrame, least: int, block_bytes: int, id_col: str, text_col: str):
-    """The benchmark as broadcast blocks, each of about ``block_bytes`` at most (or one passage)."""
+    """The benchmark as broadcast blocks, each with whether it is the last and of about ``block_bytes`` at most (or one passage)."""
     spark = benchmark.sparkSession
     src = pick(benchmark, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).filter("text is not null")
     size = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -100,7 +131,7 @@ def blocks(benchmark: DataFrame, least: int, block_bytes: int, id_col: str, text
     part = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
     for k in range(n):
         rows = src.filter(part == k).orderBy("id", "text").collect()
-        yield spark.sparkContext.broadcast(Items([r["id"] for r in rows], [r["text"] for r in rows], least))
+        yield spark.sparkContext.broadcast(Items([r["id"] for r in rows], [r["text"] for r in rows], least)), k == n - 1
 
 
 def contaminated_pairs(
@@ -116,14 +147,16 @@ def contaminated_pairs(
 ) -> DataFrame:
     """Pairs (doc_id, item_id, covered, item_words, coverage, n_tiles) whose tiles cover ``threshold`` of the passage.
 
-    Words are compared in lower case without punctuation (ASCII). Tiles hold at least ``least`` words and overlap
-    neither in the text nor in the passage, so a passage whose parts were put in another order is still found.
+    Words are compared in lower case without punctuation, in any script; ideographs and kana are words of their own.
+    Tiles hold at least ``least`` words and overlap neither in the text nor in the passage, so a passage whose parts were
+    put in another order is still found. A passage of fewer words counts where it stands whole.
 
-    The benchmark is a query set against all documents: a block of bounded size is broadcast at a time, a larger
-    benchmark takes more passes. Documents are read where they are; there is no shuffle.
+    The benchmark is a query set against all documents: a block of bounded size is broadcast at a time. A larger
+    benchmark takes a pass over the documents for each block, whose pairs are stored before the next is broadcast, so
+    only one is held at once. Documents are read where they are; there is no shuffle.
 
-    Nulls and edge cases: null or empty texts match nothing; passages of fewer than ``least`` words take no part (they
-    identify nothing); repeated rows give repeated pairs; ids may be null; extra columns are ignored.
+    Nulls and edge cases: null or empty texts and passages match nothing; empty tables give no pairs; repeated rows give
+    repeated pairs; ids may be null; extra columns are ignored.
     """
     schema = "doc_id long, item_id long, covered long, item_words long, n_tiles long"
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -132,7 +165,7 @@ def contaminated_pairs(
         def run(batches):
             items = block.value
             for b in _words.pieces(batches, "text"):
-                got = list(items.search(b.column("text"), threshold))
+                got = sorted(items.search(b.column("text"), threshold))
                 if got:
                     d, item, *rest = zip(*got, strict=True)
                     ids = pa.array([items.ids[i] for i in item], pa.int64())
@@ -144,8 +177,12 @@ def contaminated_pairs(
         return src.mapInArrow(run, schema)
 
     out = None
-    for block in blocks(benchmark, least, block_bytes, item_col, item_text):
-        out = scan(block) if out is None else out.unionByName(scan(block))
+    for block, last in blocks(benchmark, least, block_bytes, item_col, item_text):
+        found = scan(block)
+        if not (last and out is None):  # more than one block
+            found = stored(found, "pairs")
+            block.destroy()
+        out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumn("coverage", F.round(F.col("covered") / F.col("item_words"), 6))
@@ -154,17 +191,29 @@ def contaminated_pairs(
 def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, block_bytes: int = BLOCK_BYTES, text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that ``contaminated_pairs`` would report, one filtering pass for each block."""
+    """``docs`` without the rows that ``contaminated_pairs`` would report.
+
+    One filtering pass for each block of the benchmark; what is left after a block is stored if another follows.
+
+    Nulls and edge cases: rows with null or empty texts or null ids stay like any that match nothing; an empty benchmark
+    keeps every row; an empty table stays empty; repeated rows go or stay together; extra columns pass through, whatever
+    their names.
+    """
     inner, (text,) = positional(docs, text_col)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in inner.schema.fields])
 
     def drop(df, block):
         def run(batches):
             for b in _words.pieces(batches, text):
-                bad = {d for d, *_ in block.value.search(b.column(text), threshold)}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                keep[[d for d, *_ in block.value.search(b.column(text), threshold)]] = False
+                yield b.filter(pa.array(keep))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(run, schema)
 
-    for block in blocks(benchmark, least, block_bytes, "item_id", "text"):
+    for block, last in blocks(benchmark, least, block_bytes, "item_id", "text"):
         inner = drop(inner, block)
+        if not last:
+            inner = stored(inner, "left")
+            block.destroy()
     return inner.toDF(*docs.columns)
