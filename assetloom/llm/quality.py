@@ -23,13 +23,21 @@ for _i, _c in enumerate(_CLASSES):
 _KIND[128:] = len(_CLASSES) + 1
 _N = len(_CLASSES) + 2
 _BUCKETS = 32
-#: Numbers kept of a document: the text view, and the metadata before languages and sources become columns.
+#: Numbers kept of a document: the shape of its text, and the metadata before languages and sources become columns.
 _TEXT = _N + 4
-_WIDE = [f"f{i}" for i in range(_TEXT + 4)]
-
-
-def text_features(texts: pa.Array) -> np.ndarray:
-    """Shape of whole texts: shares of character classes, word length, repetition; one row of floats per text."""
+_WIDE = [f"f{i}" for i in range(_TEXT + 3)]
+#: Buckets of hashed words; a document keeps a byte for each, its number of words there up to 255.
+_WORDS = 192
+#: Words are many and rare: their weights are held back more than those of the shape.
+_WORD_RIDGE = 60.0
+
+
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole texts, a row each: their shape (shares of character classes, word length, repetition; floats), and how
+    many of their words (lower case, without punctuation) fall into each bucket (bytes)."""
+    w = _words.words(texts, folded=True)
+    bag = np.bincount(w.doc * _WORDS + (w.hash % np.uint64(_WORDS)).astype(np.int64), minlength=w.n * _WORDS).reshape(w.n, _WORDS)
+    bag = np.minimum(bag, 255).astype(np.uint8)
     w = _words.words(texts)
     n = w.n
     size = np.maximum(np.diff(w.offsets), 1)
@@ -46,22 +54,22 @@ def text_features(texts: pa.Array) -> np.ndarray:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     distinct = np.bincount(d[new], minlength=n) / words
-    return np.column_stack([np.sqrt(share[:, 1:]), np.log1p(length), again, distinct, np.log1p(words), distinct * np.log1p(words)])
+    return np.column_stack([np.sqrt(share[:, 1:]), np.log1p(length), again, distinct, np.log1p(words), distinct * np.log1p(words)]), bag
 
 
-def metadata_codes(lang: pa.Array, source: pa.Array, n_chars: pa.Array, lines: np.ndarray, buckets: int = _BUCKETS) -> np.ndarray:
-    """What is known of a text besides its words: stated length, number of lines (logarithms), language and source (hashed)."""
+def metadata_codes(lang: pa.Array, source: pa.Array, n_chars: pa.Array, buckets: int = _BUCKETS) -> np.ndarray:
+    """What is known of a text without reading it: stated length (logarithm), language and source (hashed)."""
     chars = np.asarray(pc.fill_null(n_chars.cast(pa.float64(), safe=False), 0.0).to_numpy(zero_copy_only=False))
     chars = np.log1p(np.maximum(np.nan_to_num(chars), 0))
     code = [np.array([zlib.crc32(f"{salt}{v}".encode()) % buckets for v in col.to_pylist()], float) for col, salt in ((lang, "l"), (source, "s"))]
-    return np.column_stack([chars, np.log1p(lines), *code])
+    return np.column_stack([chars, *code])
 
 
 def metadata_features(codes: np.ndarray, buckets: int = _BUCKETS) -> np.ndarray:
     """The metadata view of ``metadata_codes``: one column per bucket of language and source."""
-    chars, lines = codes[:, 0], codes[:, 1]
-    out = [chars, chars**2 / 10, lines, chars - lines]
-    for code in codes[:, 2:].T:
+    chars = codes[:, 0]
+    out = [chars, chars**2 / 10, np.minimum(chars, 6), np.maximum(chars, 9)]
+    for code in codes[:, 1:].T:
         hot = np.zeros((len(code), buckets))
         hot[np.arange(len(code)), code.astype(int)] = 1
         out.extend(hot.T)
@@ -73,6 +81,7 @@ class Logistic:
     """Ridge-regularised logistic regression on standardised features, fitted by Newton steps."""
 
     ridge: float = 1.0
+    more: dict[int, float] = field(default_factory=dict)  # from a column on, another weight of the ridge
     mean: np.ndarray = field(default=None)
     scale: np.ndarray = field(default=None)
     w: np.ndarray = field(default=None)
@@ -82,6 +91,8 @@ class Logistic:
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
         w = np.zeros(z.shape[1])
         reg = np.full(len(w), self.ridge)
+        for first, ridge in self.more.items():
+            reg[1 + first :] = ridge
         reg[0] = 1e-3
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -135,9 +146,9 @@ def co_train(rows: np.ndarray, y: np.ndarray, surest, shift: float = 0.0, rounds
 
     def fit(v: int, more: np.ndarray, labels: np.ndarray) -> Logistic:
         x = np.concatenate([views[v][train], _views(more)[v]])
-        return Logistic().fit(x, np.concatenate([y[train], labels]), np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)]))
+        return Logistic(more={_TEXT: _WORD_RIDGE} if v == 0 else {}).fit(x, np.concatenate([y[train], labels]), np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)]))
 
-    none = np.zeros((0, len(_WIDE))), np.zeros(0)
+    none = np.zeros((0, len(_WIDE) + _WORDS)), np.zeros(0)
     fits = [fit(0, *none), fit(1, *none)]
     for _ in range(rounds):
         named = surest(fits, shift, each, sure)
@@ -146,6 +157,11 @@ def co_train(rows: np.ndarray, y: np.ndarray, surest, shift: float = 0.0, rounds
         fits = [fit(0, *named[1]), fit(1, *named[0])]
     pair = np.column_stack([fits[0].logit(t[held]), fits[1].logit(m[held])])
     joint = Logistic(ridge=0.1).fit(pair, y[held].astype(float), np.ones(len(held)))
+    worst = int(np.argmin(joint.w[1:]))
+    if joint.w[1 + worst] < 0:  # few held-out rows turned a view against itself: the other one decides
+        pair[:, worst] = 0.0
+        joint = Logistic(ridge=0.1).fit(pair, y[held].astype(float), np.ones(len(held)))
+        joint.w[1 + worst] = 0.0
     out = CoTrained(fits[0], fits[1], joint, 0.5, shift)
     # odds among ``rows``, so that the cut isn't lower where poor documents are rare
     p = out.score(t[held], m[held])
@@ -173,7 +189,10 @@ _NEEDS = ("text", "lang", "source", "n_chars")
 
 
 def _views(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return rows[:, :_TEXT], metadata_features(rows[:, _TEXT:])
+    """The text view and the metadata view of rows as ``_rows`` gives them: shape, metadata, words."""
+    k = len(_WIDE)
+    words = np.sqrt(rows[:, k:])
+    return np.column_stack([rows[:, :_TEXT], words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)]), metadata_features(rows[:, _TEXT:k])
 
 
 def _rows(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -182,18 +201,32 @@ def _rows(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
     def col(name, kind):
         return b.column(names.index(name)) if name in names else pa.nulls(b.num_rows, kind)
 
-    lines = pc.count_substring(pc.fill_null(texts, ""), "\n").to_numpy(zero_copy_only=False) + 1.0
-    return np.column_stack([text_features(texts), metadata_codes(col("lang", pa.string()), col("source", pa.string()), col("n_chars", pa.int64()), lines)])
+    shape, bag = text_features(texts)
+    return np.column_stack([shape, metadata_codes(col("lang", pa.string()), col("source", pa.string()), col("n_chars", pa.int64())), bag])
+
+
+def _columns(rows: np.ndarray) -> list[pa.Array]:
+    """Rows as columns: the numbers, and the words as one binary column."""
+    bag = np.ascontiguousarray(rows[:, len(_WIDE) :]).astype(np.uint8)
+    bounds = np.arange(len(rows) + 1, dtype=np.int32) * _WORDS
+    packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(bag.tobytes())])
+    return [*(pa.array(np.ascontiguousarray(c)) for c in rows[:, : len(_WIDE)].T), packed]
+
+
+_KEPT = [*_WIDE, "bag"]
+_KINDS = ", ".join([*(f"{c} double" for c in _WIDE), "bag binary"])
 
 
 def _wide(b) -> np.ndarray:
-    """The feature columns of a batch or table."""
-    return np.column_stack([np.asarray(b.column(b.schema.names.index(c)).to_numpy(), float) for c in _WIDE]).reshape(b.num_rows, len(_WIDE))
+    """The rows of a batch or table with the columns of ``_columns``."""
+    numbers = [np.asarray(b.column(b.schema.names.index(c)).to_numpy(), float) for c in _WIDE]
+    bag = np.frombuffer(b"".join(b.column(b.schema.names.index("bag")).to_pylist()), np.uint8).reshape(b.num_rows, _WORDS)
+    return np.column_stack([*numbers, bag]) if b.num_rows else np.zeros((0, len(_WIDE) + _WORDS))
 
 
 def _first(v: np.ndarray, each: int) -> np.ndarray:
     """The first ``each`` places of either class and view. v: columns view, label, logit, features; surest first, then by features."""
-    order = np.lexsort([*v.T[:2:-1], -np.abs(v[:, 2]), v[:, 1], v[:, 0]])
+    order = np.lexsort([*v.T[2 + len(_WIDE) : 2 : -1], -np.abs(v[:, 2]), v[:, 1], v[:, 0]])
     group = v[order, 0] * 2 + v[order, 1]
     start = np.searchsorted(group, group)
     return order[np.arange(len(order)) - start < each]
@@ -205,18 +238,22 @@ def surest_of(pool: DataFrame):
     Every row is scored by both views. Each task keeps the first ``each`` of either class and view, a second level of
     tasks those of about a square root of the tasks, and the driver merges what is left.
     """
-    names = ["view", "label", "logit", *_WIDE]
-    kinds = ", ".join(f"{c} double" for c in names)
+    names = ["view", "label", "logit", *_KEPT]
+    kinds = f"view double, label double, logit double, {_KINDS}"
     groups = max(1, math.ceil(math.sqrt(pool.rdd.getNumPartitions())))
 
+    def batch(v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in v[:, :3].T), *_columns(v[:, 3:])], names)
+
+    def matrix(b) -> np.ndarray:
+        head = np.column_stack([b.column(b.schema.names.index(c)).to_numpy() for c in names[:3]]).reshape(b.num_rows, 3)
+        return np.column_stack([head, _wide(b)])
+
     def best(fits: list[Logistic], shift: float, each: int, sure: float):
         least = math.log(sure / (1 - sure))
 
-        def batch(v: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in v.T], names)
-
         def name(batches):
-            kept = np.zeros((0, len(names)))
+            kept = np.zeros((0, 3 + len(_WIDE) + _WORDS))
             for b in batches:
                 rows = _wide(b)
                 parts = [kept]
@@ -229,14 +266,13 @@ def surest_of(pool: DataFrame):
             yield batch(kept)
 
         def merge(batches):
-            kept = np.zeros((0, len(names)))
+            kept = np.zeros((0, 3 + len(_WIDE) + _WORDS))
             for b in batches:
-                kept = np.concatenate([kept, np.column_stack([b.column(c).to_numpy() for c in names])])
+                kept = np.concatenate([kept, matrix(b)])
                 kept = kept[_first(kept, each)]
             yield batch(kept)
 
-        got = pool.select(*_WIDE).mapInArrow(name, kinds).repartition(groups).mapInArrow(merge, kinds).toArrow()
-        v = np.column_stack([got.column(c).to_numpy() for c in names]).reshape(got.num_rows, len(names))
+        v = matrix(pool.select(*_KEPT).mapInArrow(name, kinds).repartition(groups).mapInArrow(merge, kinds).toArrow())
         v = v[_first(v, each)]
         return [(v[v[:, 0] == view][:, 3:], v[v[:, 0] == view][:, 1]) for view in (0, 1)]
 
@@ -248,8 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **option
 
     At most ``max_labelled`` labelled documents reach the driver, chosen by a hash of the id, half of them from either
     class if it has so many (else all of the class); scores are corrected for that. Every document without a label is
-    scored in each round of co-training. The features of all documents (19 numbers each) are written once to the shared
-    folder. Labels of documents that are not in ``docs`` don't count.
+    scored in each round of co-training. The features of all documents (18 numbers and 192 bytes each) are written once
+    to the shared folder.
+
+    Nulls and edge cases: labels without id or quality, or of documents that are not in ``docs``, don't count; several
+    labels of one id count by their mean (a tie is good), and all rows of that id have it. Null or empty texts have the
+    shape of no words; null language or source is a value of its own, null length counts as 0, and so does a column that
+    is missing. Rows without an id are unlabelled. Fewer than five documents of a class, or an empty table, give no
+    model (None). Extra columns are ignored.
     """
     cols = [c for c in _NEEDS if c in docs.columns]
     lab = (
@@ -263,12 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **option
     def run(batches):
         for b in _words.pieces(batches, "text"):
             v = _rows(b, b.schema.names)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in v.T]], ["id", *_WIDE])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *_columns(v)], ["id", *_KEPT])
 
-    found = src.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in _WIDE))
+    found = src.mapInArrow(run, f"id long, {_KINDS}")
     # rows without an id are dealt by their features, so that they are no hot key
     found = found.withColumn("salt", F.when(F.col("id").isNull(), F.xxhash64(*_WIDE)).otherwise(0))
-    found = stored(found.join(lab.withColumn("salt", F.lit(0).cast("long")), ["id", "salt"], "left").select("id", "y", *_WIDE), "quality")
+    found = stored(found.join(lab.withColumn("salt", F.lit(0).cast("long")), ["id", "salt"], "left").select("id", "y", *_KEPT), "quality")
     have = {int(r["y"]): r["count"] for r in found.filter("y is not null").groupBy("y").count().collect()}
     if min(have.get(0, 0), have.get(1, 0)) < 5:
         return None
@@ -279,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **option
     for c in (0, 1):
         near = int(min(1.0, (take[c] + 5 * math.sqrt(take[c]) + 50) / have[c]) * full)
         some = found.filter((F.col("y") == c) & (place < near)).withColumn("place", place)
-        parts.append(some.orderBy("place", "id", *_WIDE).limit(take[c]).select("id", "y", *_WIDE).toArrow())
+        parts.append(some.orderBy("place", "id", *_WIDE).limit(take[c]).select("id", "y", *_KEPT).toArrow())
     got = pa.concat_tables(parts)
     got = got.take(pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("id", *_WIDE)]))
     y = got.column("y").to_numpy()
@@ -290,12 +332,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **option
 def scored(docs: DataFrame, model: CoTrained | None, only_kept: bool = False) -> DataFrame:
     """``docs`` with ``quality_score`` and ``keep``; or its own columns with the kept rows alone.
 
-    Without a model (no usable labels) every score is null and every row is kept. Null and empty texts are scored by
-    their shape like any other.
+    Columns of these two names that ``docs`` has already are replaced (unless ``only_kept``, which adds none). Without a
+    model every score is null and every row is kept.
+
+    Nulls and edge cases: null and empty texts are scored by their shape like any other; null or missing metadata as in
+    ``train``; repeated rows are scored each; ids don't matter; an empty table stays empty; extra columns pass through.
     """
-    names = docs.columns
-    inner, (text,) = positional(docs, "text")
     more = [] if only_kept else ["quality_score", "keep"]
+    inner, (text,) = positional(docs, "text")
+    names = [n for n in docs.columns if n not in more]
+    inner = inner.select(*[c for c, n in zip(inner.columns, docs.columns, strict=True) if n not in more])
     kinds = [T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())]
 
     def run(batches):

@@ -177,6 +177,76 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.contaminated_pairs(odd, bench).count() == 0
     assert decontaminate.without_contaminated(odd, bench).columns == odd.columns
     assert decontaminate.contaminated_pairs(odd, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated_pairs(odd.limit(0), bench).count() == decontaminate.without_contaminated(odd.limit(0), bench).count() == 0
+    assert decontaminate.without_contaminated(odd, bench).count() == decontaminate.without_contaminated(odd, bench.limit(0)).count() == 9
+
+
+def plain_words(text):
+    import re
+    import unicodedata
+
+    t = unicodedata.normalize("NFKC", text or "").lower()
+    t = "".join(" " if unicodedata.category(c)[0] in "PSZC" else c for c in t)
+    return re.sub("([\u3041-\u30ff\u4e00-\u9fff])", r" \1 ", t).split()
+
+
+def brute_tiles(passage, text, least):
+    """Greedy tiling by looking at every pair of places in every round."""
+    a, b = plain_words(passage), plain_words(text)
+    least = min(least, len(a))
+    mine, other, out = [True] * len(a), [True] * len(b), []
+    while a:
+        best = (least - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and mine[i + n] and other[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            break
+        mine[i : i + n], other[j : j + n] = [False] * n, [False] * n
+        out.append(n)
+    return sum(out), len(a), len(out)
+
+
+def test_tiling_equals_brute_force(spark):
+    rnd = random.Random(12)
+    vocabulary = ["a", "b", "c", "été", "Größe", "x", "漢", "Y", "ΣΑΣ"]
+    passages = [" ".join(rnd.choice(vocabulary[: rnd.choice([2, 5, 9])]) for _ in range(rnd.choice([1, 3, 5, 8, 14, 25]))) for _ in range(40)] + ["", None]
+    texts = []
+    for i in range(150):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randrange(20))]
+        for _ in range(rnd.randrange(3)):
+            p = (passages[rnd.randrange(40)] or "").split()
+            lo = rnd.randrange(max(1, len(p)))
+            w += [x.upper() + rnd.choice(["", ",", "“", "…", "!"]) for x in p[lo : lo + rnd.randrange(3, 25)]]
+        texts.append(" ".join(w))
+    texts += ["漢字かな、漢字", "", None, "a a a a a " * 60]
+    passages += ["漢字かな", "a a a a a a a a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.item_words, r.n_tiles) for r in decontaminate.contaminated_pairs(docs, bench, least=3).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in enumerate(passages):
+            covered, size, n = brute_tiles(p, t, 3)
+            if size and covered and covered >= 0.5 * size:
+                want[d, i] = (covered, size, n)
+    assert len(want) > 100 and {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    left = {r.doc_id for r in decontaminate.without_contaminated(docs, bench, least=3, block_bytes=200).collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_tiling_of_repetitive_texts_is_fast(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "one two three four five " * 20_000), (2, "x " * 200_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "one two three four five " * (i + 1)) for i in range(20)], "item_id long, text string")
+    began = time.time()
+    assert decontaminate.contaminated_pairs(docs, bench).count() == 20 and time.time() - began < 30
 
 
 def test_tiles_do_not_overlap_and_longest_comes_first():
@@ -247,6 +317,43 @@ def test_quality_cut():
     assert quality._cut(p, np.array([1, 0, 0, 1, 1, 1]), 0.2, 0.5) == 0.5
 
 
+def test_quality_features_equal_brute_force():
+    import math
+
+    import pyarrow as pa
+
+    texts = ["Ab c, 12!\nab ab |x|", "", None, "ünï x", "word " * 300 + "other other", "A" * 5000]
+    shape, bag = quality.text_features(pa.array(texts))
+    classes = quality._CLASSES
+    for row, counts, text in zip(shape, bag, texts, strict=True):
+        raw, words = (text or "").encode(), (text or "").encode().split()
+        share = [sum(b in c for b in raw) / max(len(raw), 1) for c in classes] + [sum(b >= 128 for b in raw) / max(len(raw), 1)]
+        n = max(len(words), 1)
+        again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+        rest = [math.log1p(sum(map(len, words)) / n), again, len(set(words)) / n, math.log1p(n), len(set(words)) / n * math.log1p(n)]
+        assert np.allclose(row, [math.sqrt(x) for x in share] + rest)
+        folded = "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in (text or "")).split()
+        assert counts.sum() == (len(folded) if len(folded) < 256 else 255 + 2)
+    codes = quality.metadata_codes(pa.array(["en", None]), pa.array(["a", "a"]), pa.array([100, None]))
+    view = quality.metadata_features(codes)
+    assert view.shape == (2, 4 + 2 * quality._BUCKETS) and view[:, 4:].sum() == 4 and view[1, 0] == 0 and (view[0, -quality._BUCKETS :] == view[1, -quality._BUCKETS :]).all()
+
+
+def test_quality_scores_equal_the_formula(spark):
+    docs, known = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, known)
+    rows = docs.collect()
+    import pyarrow as pa
+
+    batch = pa.table({c: [r[c] for r in rows] for c in ("text", "lang", "source", "n_chars")}).combine_chunks().to_batches()[0]
+    views = quality._views(quality._rows(batch, batch.schema.names))
+    one = [m.w[0] + ((x - m.mean) / m.scale) @ m.w[1:] for m, x in zip((model.text, model.meta), views, strict=True)]
+    joint = model.joint.w[0] + ((np.column_stack([np.clip(x, -30, 30) for x in one]) - model.joint.mean) / model.joint.scale) @ model.joint.w[1:]
+    want = dict(zip([r.doc_id for r in rows], 1 / (1 + np.exp(-joint - model.shift)), strict=True))
+    got = {r.doc_id: r.quality_score for r in quality.scored(docs, model).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_quality_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.train(odd, labels.limit(0)) is None
@@ -255,7 +362,11 @@ def test_quality_edge_cases(spark, odd):
     docs, known = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, known)
     assert quality.scored(odd, model).count() == 9 and quality.scored(odd, model, only_kept=True).columns == odd.columns
-    assert quality.scored(odd.limit(0), model).count() == 0
+    assert quality.scored(odd.limit(0), model).count() == 0 and quality.train(odd.limit(0), labels) is None
+    twice = quality.scored(quality.scored(docs, model), model)
+    assert twice.columns == [*docs.columns, "quality_score", "keep"] and twice.filter("quality_score is null").count() == 0
+    bare = quality.train(docs.select("doc_id", "text"), known)
+    assert bare is None or quality.scored(docs.select("text", "doc_id"), bare).count() == docs.count()
 
 
 def brute_nearest(vectors, ids, k=5):
