@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm._common import pick, stored
+from assetloom.llm._common import dropped, pick, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Default target shares of the expected tokens.
@@ -59,8 +59,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int, vocabular
     n = lab.count()
     if not n:
         return None
-    part = int(min(1.0, max_labelled / n) * 1_000_000)
-    lab = lab.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < part).limit(max_labelled)
+    if n > max_labelled:  # by rank of the hash, among those of a low one: the same rows whatever the partitioning
+        place, near = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 40)), min(1.0, (max_labelled + 5 * math.sqrt(max_labelled) + 50) / n)
+        lab = lab.withColumn("place", place).filter(F.col("place") < int(near * (1 << 40))).orderBy("place", "id").limit(max_labelled).drop("place")
     sample = stored(docs.select("id", "text").join(F.broadcast(lab), "id").select("id", "domain", features(F.col("text"))["f"].alias("f")), "labelled")
     held = F.pmod(F.xxhash64("id", F.lit(31)), F.lit(4)) == 0
     known = sample.filter(~held)
@@ -188,7 +189,7 @@ def mix(
     def dot(g: list[float]) -> Column:
         return sum((F.col(f"p{i}") * g[i] for i in k), F.lit(0.0))
 
-    t, last = 1.0, math.inf
+    t, last, kept = 1.0, math.inf, None
     for step in range(1, steps + 1):
         sums = state.agg(
             *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("ahead")).alias(f"a{i}") for i in k],
@@ -210,6 +211,9 @@ def mix(
         state = state.withColumn("new", new)
         state = state.select("id", "n", *[f"p{i}" for i in k], F.col("new").alias("rate"), (F.col("new") + (F.col("new") - F.col("rate")) * push).alias("ahead"))
         if step % 8 == 0:
-            state = stored(state, "rates")
+            before, state = kept, stored(state, "rates")
+            kept = state
+            if before is not None:
+                dropped(before)
     rounded = [F.round(F.col(f"p{i}"), 6).alias(f"p_{d}") for i, d in zip(k, DOMAINS, strict=True)]
     return state.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *rounded, F.round("rate", 6).alias("rate"))

@@ -81,10 +81,10 @@ _BASE32 = """(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
 SQL: dict[str, str] = {
     "op6_warc": f"""
     WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-    m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+    m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS n FROM p)
     SELECT page_id, strlen(h) AS payload_bytes, {_BASE32} AS payload_digest,
-           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-           CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+           CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN n = 1 THEN NULL ELSE top END AS refers_to
     FROM m""",
     "op7_license_scan": licences.oracle(),
 }

@@ -19,12 +19,48 @@ CACHED = 400_000
 _loaded: dict[str, "PairCounter"] = {}
 
 
+def piece_kinds(model: bytes) -> set[int]:
+    """The kinds of the pieces of a sentencepiece model (1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte)."""
+
+    def number(at: int) -> tuple[int, int]:
+        value, shift = 0, 0
+        while True:
+            b = model[at]
+            value |= (b & 127) << shift
+            at, shift = at + 1, shift + 7
+            if b < 128:
+                return value, at
+
+    def fields(at: int, end: int):
+        while at < end:
+            tag, at = number(at)
+            if tag & 7 == 2:
+                size, at = number(at)
+                yield tag >> 3, at, at + size
+                at += size
+            elif tag & 7 == 0:
+                value, to = number(at)
+                yield tag >> 3, value, None
+                at = to
+            else:
+                at += 4 if tag & 7 == 5 else 8
+
+    kinds = set()
+    for no, lo, hi in fields(0, len(model)):
+        if no == 1 and hi is not None:
+            kinds.add(next((v for n, v, end in fields(lo, hi) if n == 3 and end is None), 1))
+    return kinds
+
+
 class PairCounter:
     """Counts tokens as a sentencepiece model of byte-pair kind with the identity normaliser gives them."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        with open(path, "rb") as f:
+            if piece_kinds(f.read()) & {4, 5}:
+                raise ValueError("this model has user-defined or unused pieces, which aren't made by merging")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.rank = {}
         for i in range(sp.get_piece_size()):

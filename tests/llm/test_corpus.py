@@ -455,6 +455,20 @@ def test_mixing_meets_targets(spark, docs, odd):
     assert {r.rate for r in mixing.mix(odd.filter("doc_id in (2, 3)"), labels).collect()} == {1.0}
 
 
+def test_posteriors_equal_the_formula(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = mixing.fit_domains(docs.select(F.col("doc_id").alias("id"), "text"), labels, 4000, 128)
+    got = {r.doc_id: r.p for r in docs.select("doc_id", mixing.posterior(mixing.features(F.col("text"))["f"], model).alias("p")).collect()}
+    for r in docs.collect():
+        words = r.text.lower().split()
+        repeats = f"repeats {len(set(words)) * 8 // max(len(words), 1)} {int(np.log2(len(words) + 1) / 2)}"
+        z = np.array(model["absent"]) + sum((np.array(model["words"][w]) for w in {*words, repeats} & model["words"].keys()), np.zeros(3))
+        z = np.array(model["prior"]) + z * model["temper"]
+        assert np.allclose(got[r.doc_id], np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    few = [mixing.fit_domains(docs.select(F.col("doc_id").alias("id"), "text").repartition(n), labels, 40, 128) for n in (1, 7)]
+    assert few[0] == few[1]
+
+
 def test_mixing_classifier_knows_domains(spark):
     big = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
@@ -491,6 +505,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
+    con.execute("set threads = 4")
     for t in ("documents", "pages"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got = q.QUERIES[name](spark, SMALL)

@@ -30,10 +30,23 @@ def test_token_counts_equal_the_library(sp, text):
 def test_token_counts_of_whole_table(spark, docs, odd, sp):
     for r in tokens.token_counts(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert r.n_bytes == len(r.text.encode()) and r.n_tokens == len(sp[1].encode(r.text)) and r.over_limit == (r.n_tokens > 4096)
+    assert tokens.token_counts(odd.limit(0)).count() == 0
     got = tokens.token_counts(odd, limit=3).collect()
     assert len(got) == 9 and sum(r.n_tokens == 0 for r in got) == 3 and any(r.over_limit for r in got)
 
 
+def test_models_with_other_pieces_are_refused(tmp_path, sp):
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    assert tokens.piece_kinds(raw) <= {1, 2, 3, 6}
+    piece = b"\x0a\x05<own>\x15" + b"\0" * 4 + b"\x18\x04"
+    path = tmp_path / "own.model"
+    path.write_bytes(raw + b"\x0a" + bytes([len(piece)]) + piece)
+    with pytest.raises(ValueError, match="user-defined"):
+        tokens.PairCounter(str(path))
+
+
 def test_long_word_needs_no_quadratic_time(sp):
     text = "ab" * 30_000
     assert sp[0].count(text) == len(sp[1].encode(text))
