@@ -56,15 +56,24 @@ def silence_gate(samples: Column | str, threshold: Column | int, window: int = S
     return S.let(F.transform(_c(samples), lambda x: x.cast("int")), gate)
 
 
+# The coefficients of the powers of the place, for the sums (even powers) and the differences (odd ones) of the
+# three symmetric pairs of points, from the inner pair outward.
+COEFFICIENTS = {
+    0: (0.426859834093794, 0.0723812351117003, 0.00075893079450573),
+    1: (0.358317723488933, 0.204516445547583, 0.00562658797241955),
+    2: (-0.217009177221292, 0.200513765940862, 0.0164954112804021),
+    3: (-0.25112715343741, 0.0422302599220046, 0.0248872747299513),
+    4: (0.0416694667353327, -0.0625042011435699, 0.020834734408418),
+    5: (0.0834979923567504, -0.0417491284163099, 0.00834987866042734),
+}
+
+
 def _poly(x: Column, p: Sequence[Column]) -> Column:
     """Six-point, fifth-order interpolation at x in [0, 1) between the third and the fourth point."""
-    # The coefficients, for the sums (even) and differences (odd) of the three symmetric pairs.
-    even = {0: (0.426859834093794, 0.0723812351117003, 0.00075893079450573), 2: (-0.217009177221292, 0.200513765940862, 0.0164954112804021), 4: (0.0416694667353327, -0.0625042011435699, 0.020834734408418)}
-    odd = {1: (0.358317723488933, 0.204516445547583, 0.00562658797241955), 3: (-0.25112715343741, 0.0422302599220046, 0.0248872747299513), 5: (0.0834979923567504, -0.0417491284163099, 0.00834987866042734)}
     sums, diffs = [p[3] + p[2], p[4] + p[1], p[5] + p[0]], [p[3] - p[2], p[4] - p[1], p[5] - p[0]]
     z, out = x - 0.5, None
     for k in range(5, -1, -1):
-        term = sum((w * c for w, c in zip((even | odd)[k], sums if k % 2 == 0 else diffs, strict=True)), F.lit(0.0))
+        term = sum((w * c for w, c in zip(COEFFICIENTS[k], sums if k % 2 == 0 else diffs, strict=True)), F.lit(0.0))
         out = term if out is None else out * z + term
     return out
 
@@ -92,36 +101,59 @@ def resample(samples: Column | str, frames_out: Column | int, channels: int = 1)
     return S.let(F.transform(_c(samples), lambda x: x.cast("double")), whole)
 
 
-def resample_chunks(chunks: DataFrame, frames_in: int | Column, frames_out: int | Column, chunk_frames: int, asset: str = "asset", channels: int = 1) -> DataFrame:
-    """Resampling of signals in rows (asset, chunk_no, samples) of ``chunk_frames`` frames: each output frame reads from
-    its own chunk and a halo of two frames before and three behind, which come from the neighbouring chunks; the ends
-    of a signal are neighbours. Returns (asset, frame, channel, sample)."""
-    n = F.lit(frames_in) if isinstance(frames_in, int) else frames_in
-    out = F.lit(frames_out) if isinstance(frames_out, int) else frames_out
-    w = Window.partitionBy(asset).orderBy("chunk_no")
-    every = Window.partitionBy(asset)
-    edge = chunks.select(asset, "chunk_no", "samples", n.alias("__n"), out.alias("__out"))
-    # the halo of a row is a few samples; whole rows stay where the window put them
-    head, tail = F.slice("samples", 1, 3 * channels), F.slice("samples", F.greatest(F.size("samples") - 2 * channels + 1, F.lit(1)), 2 * channels)
-    edge = edge.withColumns({"__head": head, "__tail": tail})
-    edge = edge.withColumns(
-        {
-            "__before": F.coalesce(F.lag("__tail").over(w), F.max_by("__tail", "chunk_no").over(every)),
-            "__after": F.coalesce(F.lead("__head").over(w), F.min_by("__head", "chunk_no").over(every)),
-        }
-    )
-    first = F.col("chunk_no") * chunk_frames
-    local = F.concat("__before", "samples", "__after")
-    lo, hi = F.ceil(first * F.col("__out") / F.col("__n")), F.ceil((first + F.floor(F.size("samples") / channels)) * F.col("__out") / F.col("__n")) - 1
-    rows = edge.filter(lo <= F.least(hi, F.col("__out") - 1)).withColumn("frame", F.explode(F.sequence(lo, F.least(hi, F.col("__out") - 1)))).withColumn("__local", local)
-    pos = F.col("frame").cast("double") / F.col("__out") * F.col("__n")
-    base = F.floor(pos)
-    outs = []
-    for c in range(channels):
-        points = [F.element_at("__local", ((base - first + 2 + k) * channels + c + 1).cast("int")).cast("double") for k in (-2, -1, 0, 1, 2, 3)]
-        v = F.least(F.greatest(_poly(pos - base, points), F.lit(-32767.0)), F.lit(32767.0)).cast("int")
-        outs.append(F.struct(F.lit(c).alias("channel"), v.alias("sample")))
-    return rows.select(asset, "frame", F.explode(F.array(*outs)).alias("x")).select(asset, "frame", "x.channel", "x.sample")
+def resample_chunks(chunks: DataFrame, frames_in: int | str | Column, frames_out: int | str | Column, chunk_frames: int, asset: str = "asset", channels: int | str | Column = 1) -> DataFrame:
+    """Resampling of signals in rows (asset, chunk_no, samples) of ``chunk_frames`` frames (at least four), the last one
+    of any length: (asset, chunk_no, samples) in rows of as many frames again.
+
+    Each output frame reads from its own row and a halo of three frames before and four behind (one more than it needs,
+    as positions are rounded). The halo comes from the neighbouring rows, from two of them where the last row is shorter
+    than it, and the ends of a signal are neighbours.
+    What one row yields is cut at the bounds of the new rows, and each of these gathers its few pieces."""
+    if chunk_frames < 4:
+        raise ValueError("a row has to hold four frames")
+    n, out, ch = (F.lit(x) if isinstance(x, int) else _c(x) for x in (frames_in, frames_out, channels))
+    w, every = Window.partitionBy(asset).orderBy("chunk_no"), Window.partitionBy(asset)
+    ints = F.transform("samples", lambda x: x.cast("int"))
+    edge = chunks.select(asset, "chunk_no", ints.alias("samples"), n.cast("long").alias("__n"), out.cast("long").alias("__out"), ch.cast("int").alias("__ch"))
+    edge = edge.filter("__n > 0 and __out > 0")
+    # what travels to other rows is a few frames
+    edge = edge.withColumns({"__head": F.slice("samples", F.lit(1), 4 * F.col("__ch")), "__tail": _last("samples", 3 * F.col("__ch"))})
+    none = F.array().cast("array<int>")
+    edge = edge.withColumn("__end", _last(F.concat(F.coalesce(F.lag("__tail").over(w), none), "__tail"), 3 * F.col("__ch")))
+    edge = edge.withColumns({"__first": F.min_by("__head", "chunk_no").over(every), "__last": F.max_by("__end", "chunk_no").over(every)})
+    # a signal of a few frames is repeated until it fills the halo
+    first = F.slice(F.concat(*["__first"] * 4), F.lit(1), 4 * F.col("__ch"))
+    before = F.coalesce(F.lag("__end").over(w), _last(F.concat(*["__last"] * 3), 3 * F.col("__ch")))
+    after = F.slice(F.concat(F.coalesce(F.lead("__head").over(w), none), first), F.lit(1), 4 * F.col("__ch"))
+    start = F.col("chunk_no") * chunk_frames
+    stop = start + F.floor(F.size("samples") / F.col("__ch"))
+    local = edge.select(
+        asset, "__n", "__out", "__ch", start.alias("__start"), F.concat(before, "samples", after).alias("__local"),
+        F.ceil(start * F.col("__out") / F.col("__n")).alias("__lo"),
+        F.least(F.ceil(stop * F.col("__out") / F.col("__n")), F.col("__out")).alias("__hi"),
+    ).filter("__lo < __hi")
+    pieces = local.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("__lo") / chunk_frames), F.floor((F.col("__hi") - 1) / chunk_frames))))
+    lo, hi = F.greatest("__lo", F.col("chunk_no") * chunk_frames), F.least("__hi", (F.col("chunk_no") + 1) * chunk_frames)
+
+    def frame(i: Column) -> Column:
+        def at(pos: Column) -> Column:
+            base = F.floor(pos)
+
+            def sample(c: Column) -> Column:
+                points = [F.element_at("__local", ((base - F.col("__start") + 3 + k) * F.col("__ch") + c + 1).cast("int")).cast("double") for k in (-2, -1, 0, 1, 2, 3)]
+                return S.let(F.array(*points, pos - base), lambda p: F.least(F.greatest(_poly(p[6], [p[j] for j in range(6)]), F.lit(-32767.0)), F.lit(32767.0)).cast("int"))
+
+            return F.transform(F.sequence(F.lit(0), F.col("__ch") - 1), sample)
+
+        return S.let(i.cast("double") / F.col("__out") * F.col("__n"), at)
+
+    pieces = pieces.select(asset, "chunk_no", lo.alias("__at"), F.flatten(F.transform(F.sequence(lo, hi - 1), frame)).alias("__piece"))
+    whole = F.array_sort(F.collect_list(F.struct("__at", "__piece")))
+    return pieces.groupBy(asset, "chunk_no").agg(F.flatten(F.transform(whole, lambda x: x["__piece"])).alias("samples"))
+
+
+def _last(samples: Column | str, n: Column) -> Column:
+    return F.slice(samples, F.greatest(F.size(samples) - n + 1, F.lit(1)), n)
 
 
 def windowed_rms_db(frames: DataFrame, asset: str, frame: str, sample: str, n: str, width: int, hop: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -190,27 +222,31 @@ def collapse_runs(p: DataFrame, asset: str, at: str = "at", v: str = "v") -> Dat
 
 
 def smooth(buckets: DataFrame, ks: DataFrame, asset: str = "asset") -> DataFrame:
-    """Buckets replaced by straight lines between their knots, truncated to whole numbers; knots keep their values."""
+    """Buckets replaced by straight lines between their knots, all truncated to whole numbers; only a first bucket that
+    is a knot twice keeps its fraction."""
     w = Window.partitionBy(asset).orderBy("i")
-    k = ks.select(asset, "i").distinct().withColumn("k", F.lit(True))
+    k = ks.groupBy(asset, "i").agg(F.count("*").alias("k"))
     j = buckets.join(k, [asset, "i"], "left")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    mark = F.when(F.col("k"), F.struct("i", "v"))
+    mark = F.when(F.col("k") > 0, F.struct("i", "v"))
     j = j.withColumns({"__l": F.last(mark, ignorenulls=True).over(back), "__r": F.first(mark, ignorenulls=True).over(ahead)})
     t = (F.col("i") - F.col("__l.i")) / (F.col("__r.i") - F.col("__l.i"))
-    line = F.col("__l.v") * (1 - t) + F.col("__r.v") * t
-    value = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.col("v")).otherwise(F.when(line < 0, F.ceil(line)).otherwise(F.floor(line)).cast("double"))
-    return j.select(asset, "i", value.alias("v"))
+    line = F.when(F.col("__l").isNull(), F.col("v")).otherwise(F.col("__l.v") * (1 - t) + F.col("__r.v") * t)
+    whole = F.when(line < 0, F.ceil(line)).otherwise(F.floor(line)).cast("double")
+    return j.select(asset, "i", F.when(F.col("__l").isNull() & (F.col("k") > 1), F.col("v")).otherwise(whole).alias("v"))
 
 
-def decimate(buckets: DataFrame, most: int = 32, rounds: int = 16, asset: str = "asset", store=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(buckets, knots, unfinished): knots found and buckets smoothed between them until a signal has under ``most``.
+def decimate(buckets: DataFrame, most: int = 32, asset: str = "asset", store=None) -> tuple[DataFrame, DataFrame]:
+    """(buckets, knots): knots found and buckets smoothed between them until each signal has under ``most`` (at least 8).
 
-    Each round works on the signals that are not done yet. ``store`` writes a frame to shared storage and reads it back
-    (default: ``checkpoint``, which needs a checkpoint folder)."""
+    Each round works on the signals that are not done yet, until there are none: maxima of the smoothed line are maxima
+    among the knots before, about half as many, so rounds grow with the logarithm of the longest signal. ``store``
+    writes a frame to shared storage and reads it back (default: ``checkpoint``, which needs a checkpoint folder)."""
+    if most < 8:
+        raise ValueError("so few knots may never be reached")
     store = store or (lambda df: df.checkpoint())
     rest, done_b, done_k = buckets, [], []
-    for _ in range(rounds):
+    while True:
         ks = store(knots(rest, asset))
         many = ks.groupBy(asset).count().filter(F.col("count") >= most).select(asset)
         done_k.append(ks.join(many, asset, "left_anti"))
@@ -221,11 +257,11 @@ def decimate(buckets: DataFrame, most: int = 32, rounds: int = 16, asset: str =
     b, k = done_b[0], done_k[0]
     for x, y in zip(done_b[1:], done_k[1:], strict=True):
         b, k = b.unionByName(x), k.unionByName(y)
-    return b, k, rest.select(asset).distinct()
+    return b, k
 
 
-def candidates(ks: DataFrame, asset: str = "asset") -> DataFrame:
-    """Envelopes of four points: (asset, ordinal, level[4], time[4]).
+def candidates(ks: DataFrame, asset: str = "asset", most: int = 64) -> DataFrame:
+    """Envelopes of four points: (asset, ordinal, level[4], time[4]) of signals with under ``most`` knots.
 
     With up to four knots the two in the middle; else every pair of inner knots but the last one."""
     size = ks.groupBy(asset).agg(F.count("*").alias("m"), F.min_by("v", "seq").alias("v0"), F.max_by("v", "seq").alias("v3"))
@@ -237,7 +273,7 @@ def candidates(ks: DataFrame, asset: str = "asset") -> DataFrame:
     j = left.join(right, asset).filter(few | many)
     return j.select(
         asset,
-        (x * 64 + y).alias("ordinal"),
+        (x * most + y).alias("ordinal"),
         F.array("v0", "v", "v2", "v3").alias("level"),
         F.array(F.lit(0.0), F.col("i") / F.col("n"), F.col("i2") / F.col("n"), F.lit(1.0)).alias("time"),
         "n",
@@ -246,17 +282,35 @@ def candidates(ks: DataFrame, asset: str = "asset") -> DataFrame:
 
 def score_candidates(cands: DataFrame, buckets: DataFrame, asset: str = "asset") -> DataFrame:
     """The candidate of least mean squared error against the buckets; of equal ones the first. The last bucket has no
-    error, as the lines end there."""
-    c = cands.withColumns({"q1": F.floor(F.col("time")[1] * (F.col("n") - 1)), "q2": F.floor(F.col("time")[2] * (F.col("n") - 1)), "q3": F.col("n") - 1})
-    j = c.join(buckets.select(asset, "i", F.col("v").alias("b")), asset).filter(F.col("i") < F.col("q3"))
-    i = F.col("i")
-    seg = F.when(i < F.col("q1"), 0).when(i < F.col("q2"), 1).otherwise(2)
-    lo = F.element_at(F.array(F.lit(0), "q1", "q2"), seg + 1)
-    hi = F.element_at(F.array("q1", "q2", "q3"), seg + 1)
-    t = (i - lo) / (hi - lo)
-    e = F.element_at("level", seg + 1) * (1 - t) + F.element_at("level", seg + 2) * t - F.col("b")
-    scored = j.groupBy(asset, "ordinal").agg((F.sum(e * e) / F.first("n")).alias("score"), F.first("level").alias("level"), F.first("time").alias("time"))
-    best = scored.groupBy(asset).agg(F.min(F.struct(F.round("score", 9).alias("s"), "ordinal", "level", "time")).alias("x"))
+    error, as the lines end there.
+
+    The squared distance of a line from a stretch of buckets is made of their number and running sums of v, i * v and
+    v * v, so a candidate reads four rows of the buckets, however long the signal is."""
+    before = Window.partitionBy(asset).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    v, i = F.col("v"), F.col("i").cast("double")
+    sums = F.struct(*[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(name) for name, x in (("v", v), ("iv", i * v), ("vv", v * v))])
+    at = buckets.select(asset, F.col("i").cast("long").alias("q"), sums.alias("s"))
+    c = cands.withColumns({"q1": F.floor(F.col("time")[1] * (F.col("n") - 1)), "q2": F.floor(F.col("time")[2] * (F.col("n") - 1)), "q3": (F.col("n") - 1).cast("long")})
+    for k in (1, 2, 3):
+        c = c.join(at.withColumnsRenamed({"q": f"q{k}", "s": f"s{k}"}), [asset, f"q{k}"])
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("iv"), F.lit(0.0).alias("vv"))
+
+    def error(lo: Column, hi: Column, s: Column, t: Column, left: Column, right: Column) -> Column:
+        n = (hi - lo).cast("double")
+        slope = (right - left) / n
+        sv, siv, svv = (t[x] - s[x] for x in ("v", "iv", "vv"))
+        jv = siv - lo * sv  # places within the stretch
+        total = n * left * left + left * slope * n * (n - 1) + slope * slope * (n - 1) * n * (2 * n - 1) / 6 - 2 * left * sv - 2 * slope * jv + svv
+        return F.when(hi > lo, total).otherwise(0.0)
+
+    level = F.col("level")
+    sums = (
+        error(F.lit(0).cast("long"), F.col("q1"), zero, F.col("s1"), level[0], level[1])
+        + error(F.col("q1"), F.col("q2"), F.col("s1"), F.col("s2"), level[1], level[2])
+        + error(F.col("q2"), F.col("q3"), F.col("s2"), F.col("s3"), level[2], level[3])
+    )
+    scored = c.select(asset, F.abs(F.round(sums / F.col("n"), 8)).alias("s"), "ordinal", "level", "time")
+    best = scored.groupBy(asset).agg(F.min(F.struct("s", "ordinal", "level", "time")).alias("x"))
     return best.select(asset, F.col("x.s").alias("score"), "x.ordinal", "x.level", "x.time")
 
 
@@ -277,8 +331,8 @@ def envelope(chunks: DataFrame, bucket: int = BUCKET, chunk_frames: int = 4096,
     peaks = peaks_of_chunks(chunks, bucket, chunk_frames, asset).select(asset, "i", S.linear_to_spl(F.col("peak") / 32768.0).alias("v"))
     count = chunks.groupBy(asset).agg(F.max(max_abs("samples")).alias("peak"), F.sum(F.floor(F.size("samples") / F.col("channel_count"))).alias("frames"))
     long_ = count.filter(F.col("frames") >= 2 * bucket).select(asset)
-    b, k, _ = decimate(peaks.join(long_, asset, "left_semi"), most, asset=asset, store=store)
-    best = score_candidates(candidates(k, asset), b, asset).select(asset, "level", "time")
+    b, k = decimate(peaks.join(long_, asset, "left_semi"), most, asset=asset, store=store)
+    best = score_candidates(candidates(k, asset, most), b, asset).select(asset, "level", "time")
     level, time = short_envelope(F.col("peak"))
     return best.unionByName(count.filter(F.col("frames") < 2 * bucket).select(asset, level.alias("level"), time.alias("time")))
 
@@ -295,3 +349,21 @@ def condition(signals: DataFrame, level: str = "level", to: int = 48000) -> Data
     s = signals.withColumn("samples", F.when(F.col("channel_count") == 2, at_rate(2)).otherwise(at_rate(1))).withColumn("frame_rate", F.lit(to))
     s = s.withColumn("samples", silence_gate("samples", S.gate_threshold(level), channels="channel_count"))
     return s.withColumn("samples", S.truncate_bits("samples", level))
+
+
+def condition_chunks(chunks: DataFrame, level: str = "level", to: int = 48000, chunk_frames: int = 4096, window: int = S.GATE_WINDOW, asset: str = "asset") -> DataFrame:
+    """``condition`` of signals in rows (asset, chunk_no, channel_count, frame_rate, level, samples) of ``chunk_frames``
+    frames, a multiple of the gate's window: the same columns, of signals of any length.
+
+    Signals that have the rate already are a map; of the others only halos and cut pieces travel, by signal and row."""
+    if chunk_frames % window:
+        raise ValueError("rows have to hold whole windows")
+    facts = ["channel_count", "frame_rate", level]
+    frames = F.sum(F.floor(F.size("samples") / F.col("channel_count"))).over(Window.partitionBy(asset))
+    other = chunks.filter(F.col("frame_rate") != to).withColumn("__n", frames)
+    head = other.filter("chunk_no = 0").select(asset, *facts)
+    done = resample_chunks(other, "__n", S.resampled_frames(F.col("__n"), F.col("frame_rate"), to), chunk_frames, asset, "channel_count").join(head, asset)
+    same = chunks.filter(F.col("frame_rate") == to).withColumn("samples", F.transform("samples", lambda x: x.cast("int")))
+    s = same.select(asset, "chunk_no", *facts, "samples").unionByName(done.select(asset, "chunk_no", *facts, "samples"))
+    s = s.withColumn("samples", silence_gate("samples", S.gate_threshold(level), window, "channel_count"))
+    return s.withColumn("samples", S.truncate_bits("samples", level)).withColumn("frame_rate", F.lit(to))

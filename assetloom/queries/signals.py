@@ -72,12 +72,12 @@ def w10_knots(spark, sf):
     return A.knots(_buckets(spark, sf), "vec_id").select("vec_id", F.col("seq").cast("long").alias("seq"), F.col("i").cast("long").alias("i"))
 
 
-@query(f"""WITH {_KNOTS}, kd AS (SELECT DISTINCT vec_id, i FROM kn), j AS (SELECT b.vec_id, b.i, b.v, CASE WHEN kd.i IS NOT NULL THEN b.i END AS ki, CASE WHEN kd.i IS NOT NULL THEN b.v END AS kv FROM b LEFT JOIN kd ON kd.vec_id = b.vec_id AND kd.i = b.i),
+@query(f"""WITH {_KNOTS.replace("floor(abs(s) / 1500.0)::DOUBLE", "abs(s) / 700.0::DOUBLE")}, kd AS (SELECT DISTINCT vec_id, i FROM kn), j AS (SELECT b.vec_id, b.i, b.v, CASE WHEN kd.i IS NOT NULL THEN b.i END AS ki, CASE WHEN kd.i IS NOT NULL THEN b.v END AS kv FROM b LEFT JOIN kd ON kd.vec_id = b.vec_id AND kd.i = b.i),
     f AS (SELECT *, last_value(ki IGNORE NULLS) OVER p AS li, last_value(kv IGNORE NULLS) OVER p AS lv, first_value(ki IGNORE NULLS) OVER q AS ri, first_value(kv IGNORE NULLS) OVER q AS rv FROM j
     WINDOW p AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT vec_id, i, CASE WHEN li IS NULL OR ri IS NULL THEN v ELSE trunc(lv * (1 - (i - li) / (ri - li)) + rv * ((i - li) / (ri - li))) END AS v FROM f""")
+    SELECT vec_id, i, CASE WHEN li IS NULL AND (SELECT count(*) FROM kn WHERE kn.vec_id = f.vec_id AND kn.i = 0) = 2 THEN v WHEN li IS NULL THEN trunc(v) ELSE trunc(lv * (1 - (i - li) / (ri - li)) + rv * ((i - li) / (ri - li))) END AS v FROM f""")
 def w11_smooth(spark, sf):
-    b = _buckets(spark, sf)
+    b = _frames(spark, sf).select("vec_id", "i", (F.abs("s") / 700.0).alias("v"))  # with fractions
     return A.smooth(b, A.knots(b, "vec_id"), "vec_id").withColumn("i", F.col("i").cast("long"))
 
 
@@ -110,13 +110,17 @@ def w9_silence_gate(spark, sf):
     return s.withColumn("i", F.col("i").cast("long"))
 
 
+def _power_sum() -> str:
+    """The interpolation as one sum of powers over the points y[1..6], from the same table of coefficients."""
+    pairs = ((4, 3), (5, 2), (6, 1))
+    terms = [f"{c!r}::DOUBLE * (y[{hi}] {'+' if k % 2 == 0 else '-'} y[{lo}]) * pow(z, {k})" for k, row in A.COEFFICIENTS.items() for c, (hi, lo) in zip(row, pairs, strict=True)]
+    return " + ".join(terms)
+
+
+#: Signals of 64 samples at 96: for each output frame its place, six points around it (wrapping) and their value.
 _POLY = f"""{SIG}, o AS (SELECT vec_id, samples, o, o / 96.0::DOUBLE * 64 AS pos FROM sig, range(96) t(o)),
-y AS (SELECT vec_id, o, pos - floor(pos) - 0.5 AS z, samples[((floor(pos)::INT + 62) % 64) + 1]::DOUBLE AS m2, samples[((floor(pos)::INT + 63) % 64) + 1]::DOUBLE AS m1, samples[(floor(pos)::INT % 64) + 1]::DOUBLE AS y0,
-  samples[((floor(pos)::INT + 1) % 64) + 1]::DOUBLE AS y1, samples[((floor(pos)::INT + 2) % 64) + 1]::DOUBLE AS y2, samples[((floor(pos)::INT + 3) % 64) + 1]::DOUBLE AS y3 FROM o),
-e AS (SELECT vec_id, o, z, y1+y0 AS a, y1-y0 AS b, y2+m1 AS c, y2-m1 AS d, y3+m2 AS e, y3-m2 AS f FROM y),
-r AS (SELECT vec_id, o, (((((b*0.0834979923567504::DOUBLE + d*-0.0417491284163099::DOUBLE + f*0.00834987866042734::DOUBLE)*z + (a*0.0416694667353327::DOUBLE + c*-0.0625042011435699::DOUBLE + e*0.020834734408418::DOUBLE))*z
-  + (b*-0.25112715343741::DOUBLE + d*0.0422302599220046::DOUBLE + f*0.0248872747299513::DOUBLE))*z + (a*-0.217009177221292::DOUBLE + c*0.200513765940862::DOUBLE + e*0.0164954112804021::DOUBLE))*z
-  + (b*0.358317723488933::DOUBLE + d*0.204516445547583::DOUBLE + f*0.00562658797241955::DOUBLE))*z + (a*0.426859834093794::DOUBLE + c*0.0723812351117003::DOUBLE + e*0.00075893079450573::DOUBLE) AS v FROM e)"""
+y AS (SELECT vec_id, o, pos - floor(pos) - 0.5 AS z, list_transform(range(-2, 4), lambda k: samples[((floor(pos)::INT + k::INT + 64) % 64) + 1]::DOUBLE) AS y FROM o),
+r AS (SELECT vec_id, o, {_power_sum()} AS v FROM y)"""
 
 
 @query(f"WITH {_POLY} SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r")
@@ -129,7 +133,8 @@ def w13_resample(spark, sf):
 def w13_resample_chunks(spark, sf):
     chunk = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.struct(c.cast("long").alias("chunk_no"), F.slice("samples", (c * 16 + 1).cast("int"), F.lit(16)).alias("samples")))
     chunks = signals(spark, sf).select("vec_id", F.explode(chunk).alias("c")).select("vec_id", "c.*")
-    return A.resample_chunks(chunks, 64, 96, 16, "vec_id").select("vec_id", F.col("frame").alias("i"), F.col("sample").alias("s"))
+    rows = A.resample_chunks(chunks, 64, 96, 16, "vec_id").select("vec_id", "chunk_no", F.posexplode("samples").alias("j", "s"))
+    return rows.select("vec_id", (F.col("chunk_no") * 16 + F.col("j")).alias("i"), "s")
 
 
 @query(f"""WITH {_POLY}, rs AS (SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r), lv AS (SELECT *, {LEVEL_OF_KEY} AS level, max(abs(s)) OVER (PARTITION BY vec_id, i // 128) AS p FROM rs)
@@ -139,17 +144,83 @@ def m1_condition(spark, sf):
     return A.condition(s).select("vec_id", F.posexplode("samples").alias("i", "s")).withColumn("i", F.col("i").cast("long"))
 
 
+@query(f"""WITH {_POLY}, rs AS (SELECT vec_id, o AS i, trunc(greatest(least(v, 32767), -32767))::INT AS s FROM r WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, unnest(range(64)), unnest(samples) FROM sig WHERE vec_id % 2 = 1),
+    lv AS (SELECT *, {LEVEL_OF_KEY} AS level, max(abs(s)) OVER (PARTITION BY vec_id, i // 8) AS p FROM rs)
+    SELECT vec_id, i, CASE WHEN level <> 'none' AND p < CASE level WHEN 'low' THEN 128 WHEN 'extreme' THEN 1024 ELSE 256 END THEN 0 ELSE s END & CASE level WHEN 'none' THEN -1 WHEN 'low' THEN -4 WHEN 'medium' THEN -16 WHEN 'high' THEN -64 ELSE -256 END AS s FROM lv""")
+def m1_condition_chunks(spark, sf):
+    rate = F.when(F.col("vec_id") % 2 == 0, 32000).otherwise(48000)
+    s = _rows_of(signals(spark, sf), 24).select("vec_id", "chunk_no", F.lit(1).alias("channel_count"), rate.alias("frame_rate"), level_of("vec_id").alias("level"), "samples")
+    rows = A.condition_chunks(s, chunk_frames=24, window=8, asset="vec_id").select("vec_id", "chunk_no", F.posexplode("samples").alias("j", "s"))
+    return rows.select("vec_id", (F.col("chunk_no") * 24 + F.col("j")).alias("i"), "s")
+
+
+def _rows_of(sig, frames: int):
+    """Signals of 64 samples in rows of so many frames, the last one shorter."""
+    chunk = F.transform(F.sequence(F.lit(0), F.lit(63 // frames)), lambda c: F.struct(c.cast("long").alias("chunk_no"), F.slice("samples", (c * frames + 1).cast("int"), F.lit(frames)).alias("samples")))
+    return sig.select("vec_id", F.explode(chunk).alias("c")).select("vec_id", "c.*")
+
+
 def _chunks(spark, sf):
-    return signals(spark, sf).select(F.col("vec_id").cast("string").alias("asset"), F.lit(0).cast("long").alias("chunk_no"), F.lit(1).alias("channel_count"), F.lit(48000).alias("frame_rate"), "samples")
+    """Four embeddings one after another are one signal of 256 samples, each of them a row."""
+    s = signals(spark, sf)
+    return s.select(
+        F.floor(F.col("vec_id") / 4).cast("string").alias("asset"), (F.col("vec_id") % 4).alias("chunk_no"), F.lit(1).alias("channel_count"), F.lit(48000).alias("frame_rate"), "samples"
+    )
 
 
-@query()
+def envelope_sql(buckets: str, most: int) -> str:
+    """CTEs from ``buckets`` (asset, i, v), numbered from 0, to ``best`` (asset, l0..l3, t1, t2): knots by their definition
+    over list slices, smoothing in a recursion until under ``most`` are left, candidates compared bucket by bucket."""
+    knots = """list_filter(range(0, n), lambda m: m <= n - 3 AND b[m + 1] > b[m + 2] AND coalesce(list_last(list_filter(d[:m + 1], lambda x: x <> 0)), 1) > 0
+      OR m = n - 2 AND n >= 3 AND coalesce(list_last(list_filter(d[:m + 1], lambda x: x <> 0)), 1) > 0
+        AND (NOT list_contains(d[:m + 1], -1) OR coalesce(list_position(d[len(d[:m + 1]) - list_position(list_reverse(d[:m + 1]), -1) + 2:], 1) + len(d[:m + 1]) - list_position(list_reverse(d[:m + 1]), -1), n) <= n - 3))"""
+    thin = "list_filter(range(0, len(p)), lambda k: k = 0 OR k = len(p) - 1 OR k = len(p) - 2 OR b[p[k] + 1] <> b[p[k + 1] + 1] OR b[p[k + 2] + 1] <> b[p[k + 1] + 1])"
+    return f"""
+    l0 AS (SELECT asset, list(v ORDER BY i) AS b, count(*) AS n FROM {buckets} GROUP BY asset),
+    it AS (SELECT asset, n, b, 0 AS round, NULL::BIGINT[] AS k FROM l0
+      UNION ALL
+      SELECT asset, n, CASE WHEN len(k) >= {most} THEN list_transform(range(0, n), lambda i: CASE
+          WHEN i = 0 AND k[2] = 0 THEN b[1]
+          ELSE trunc(b[(CASE WHEN i = 0 THEN 0 ELSE list_last(list_filter(k, lambda x: x < i)) END) + 1] * (1 - (i - (CASE WHEN i = 0 THEN 0 ELSE list_last(list_filter(k, lambda x: x < i)) END)) /
+            (list_first(list_filter(k[2:], lambda x: x >= i)) - (CASE WHEN i = 0 THEN 0 ELSE list_last(list_filter(k, lambda x: x < i)) END))::DOUBLE)
+            + b[list_first(list_filter(k[2:], lambda x: x >= i)) + 1] * ((i - (CASE WHEN i = 0 THEN 0 ELSE list_last(list_filter(k, lambda x: x < i)) END)) /
+            (list_first(list_filter(k[2:], lambda x: x >= i)) - (CASE WHEN i = 0 THEN 0 ELSE list_last(list_filter(k, lambda x: x < i)) END))::DOUBLE)) END) ELSE b END,
+        round + 1, CASE WHEN len(k) >= {most} THEN NULL ELSE k END
+      FROM (SELECT asset, n, b, round, list_transform({thin}, lambda j: p[j + 1]) AS k FROM
+        (SELECT asset, n, b, round, list_concat([0], {knots}, [n - 1]) AS p FROM
+          (SELECT asset, n, b, round, list_prepend(0, list_transform(range(1, n), lambda m: sign(b[m + 1] - b[m]))) AS d FROM it WHERE k IS NULL)))),
+    done AS (SELECT asset, n, b, k, len(k) AS m FROM it WHERE k IS NOT NULL),
+    pr AS (SELECT asset, n, b, k, m, unnest(CASE WHEN m <= 4 THEN [m // 2 - 1] ELSE range(1, m - 2) END) AS x FROM done),
+    ca AS (SELECT *, unnest(CASE WHEN m <= 4 THEN [m // 2] ELSE range(x + 1, m - 2) END) AS y FROM pr),
+    cq AS (SELECT *, k[x + 1] / n::DOUBLE AS t1, k[y + 1] / n::DOUBLE AS t2, b[1] AS e0, b[k[x + 1] + 1] AS e1, b[k[y + 1] + 1] AS e2, b[n] AS e3 FROM ca),
+    cs AS (SELECT *, floor(t1 * (n - 1))::BIGINT AS q1, floor(t2 * (n - 1))::BIGINT AS q2 FROM cq),
+    er AS (SELECT asset, x, y, e0, e1, e2, e3, t1, t2, round(list_sum(list_transform(range(0, n - 1), lambda i: pow(CASE
+        WHEN i < q1 THEN e0 * (1 - i / q1::DOUBLE) + e1 * (i / q1::DOUBLE) WHEN i < q2 THEN e1 * (1 - (i - q1) / (q2 - q1)::DOUBLE) + e2 * ((i - q1) / (q2 - q1)::DOUBLE)
+        ELSE e2 * (1 - (i - q2) / (n - 1 - q2)::DOUBLE) + e3 * ((i - q2) / (n - 1 - q2)::DOUBLE) END - b[i + 1], 2))) / n, 8) AS score FROM cs),
+    best AS (SELECT asset, e0 AS l0, e1 AS l1, e2 AS l2, e3 AS l3, t1, t2 FROM er QUALIFY row_number() OVER (PARTITION BY asset ORDER BY score, x, y) = 1)"""
+
+
+_SPL = "CASE WHEN p / 32768.0 < 1e-4 THEN 0 ELSE 20 * log10(p / 32768.0) + 100 END"
+
+
+@query(f"""WITH RECURSIVE {LONG}, pk AS (SELECT (vec_id // 4)::VARCHAR AS asset, (vec_id % 4 * 64 + i) // 2 AS i, max(abs(s)) AS p FROM long GROUP BY 1, 2), bu AS (SELECT asset, i, {_SPL}::DOUBLE AS v FROM pk), {envelope_sql("bu", 32)}
+    SELECT asset, round(l0, 4) AS l0, round(l1, 4) AS l1, round(l2, 4) AS l2, round(l3, 4) AS l3, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM best""")
 def m2_envelope(spark, sf):
     e = A.envelope(_chunks(spark, sf), bucket=2, chunk_frames=64, store=stored)
     return e.select("asset", *[F.round(F.col("level")[i], 4).alias(f"l{i}") for i in range(4)], *[F.round(F.col("time")[i], 6).alias(f"t{i}") for i in (1, 2)])
 
 
-@query()
+#: The file of a signal as hexadecimal text: the fixed head of 64 samples of one channel at 48 kHz, and the samples.
+_WAV = f"""'{(b"RIFF" + (36 + 128).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (48000).to_bytes(4, "little") + (96000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + (128).to_bytes(4, "little")).hex()}' ||
+  list_aggregate(list_transform(samples, lambda x: printf('%02x%02x', (x + 65536) % 256, ((x + 65536) // 256) % 256)), 'string_agg', '')"""
+
+
+@query(f"""WITH RECURSIVE {LONG}, pk AS (SELECT vec_id::VARCHAR AS asset, i // 4 AS i, max(abs(s)) AS p FROM long GROUP BY 1, 2), bu AS (SELECT asset, i, {_SPL}::DOUBLE AS v FROM pk), {envelope_sql("bu", 32)},
+    stale AS (SELECT vec_id FROM sig WHERE vec_id % 3 = 0 OR 1000 + vec_id % 5 > 1002),
+    q AS (SELECT s.vec_id::VARCHAR AS path, 1000 + s.vec_id % 5 AS mtime, upper(md5(unhex({_WAV}))) AS md5, l0, l1, l2, l3, t1, t2 FROM sig s JOIN stale USING (vec_id) JOIN best b ON b.asset = s.vec_id::VARCHAR)
+    SELECT path, mtime, md5, 48000 AS frame_rate, 1 AS channel_count, 64 AS frame_count, trunc(l0)::INT AS envelope_loudness0, trunc(l1)::INT AS envelope_loudness1, trunc(l2)::INT AS envelope_loudness2, trunc(l3)::INT AS envelope_loudness3,
+      trunc(t1 * 65535)::INT AS envelope_time1, trunc(t2 * 65535)::INT AS envelope_time2 FROM q
+    UNION ALL SELECT vec_id::VARCHAR, 1001, 'old', 1, 1, 0, 0, 0, 0, 0, 0, 0 FROM sig WHERE vec_id NOT IN (SELECT vec_id FROM stale)""")
 def m3_refresh_features(spark, sf):
     wav = signals(spark, sf).select(F.col("vec_id").cast("string").alias("path"), files.wav_bytes(F.col("samples")).alias("content"), F.timestamp_seconds(F.lit(1000) + F.col("vec_id") % 5).alias("mtime"))
     wav = stored(wav.withColumn("md5", F.upper(F.md5("content"))), "wav")
@@ -157,7 +228,7 @@ def m3_refresh_features(spark, sf):
     old = wav.filter("cast(path as long) % 3 <> 0").select(
         "path", F.lit(1001).cast("long").alias("mtime"), F.lit("old").alias("md5"), F.lit(1).alias("frame_rate"), F.lit(1).alias("channel_count"), F.lit(0).cast("long").alias("frame_count"), *[F.lit(0).alias(c) for c in cols]
     )
-    return jobs.refresh_features(wav.select("path", "mtime"), old, read=lambda stale: wav.join(stale.select("path"), "path"), store=stored, bucket=8, chunk_frames=4096)
+    return jobs.refresh_features(wav.select("path", "mtime"), old, read=lambda stale: wav.join(stale.select("path"), "path"), store=stored, bucket=4, chunk_frames=4096)
 
 
 # --- geometry ------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators on small frames, properties, and knots by definition."""
 
+import math
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from assetloom.operators import geometry, inherit, manifest, resolve, signal, ta
 from assetloom.plans import jobs
 from assetloom.sources import configs, files, sinks
 from assetloom.sources import tables as tab
+from assetloom.sources.scratch import stored
 
 
 def test_relaxed_scan(spark, tmp_path):
@@ -181,13 +183,125 @@ def test_envelope_score(spark):
     assert signal.score_candidates(c, b).first().score == 0.0
 
 
-def test_decimation_ends_below_the_bound(spark):
+def line_by_definition(b, ks):
+    """Buckets on the lines between knots, by the places the definition names: truncated, but for a first bucket known twice."""
+    out = []
+    for i in range(len(b)):
+        if i == 0 and ks[1] == 0:
+            out.append(b[0])
+            continue
+        lo = max((x for x in ks if x < i), default=0)
+        hi = min(x for x in ks[1:] if x >= i)
+        t = (i - lo) / (hi - lo)
+        out.append(float(math.trunc(b[lo] * (1 - t) + b[hi] * t)))
+    return out
+
+
+def envelope_by_definition(b, most=32):
+    n = len(b)
+    while len(ks := knots_by_definition(b)) >= most:
+        b = line_by_definition(b, ks)
+    m = len(ks)
+    pairs = [(m // 2 - 1, m // 2)] if m <= 4 else [(x, y) for x in range(1, m - 2) for y in range(x + 1, m - 2)]
+    best = None
+    for x, y in pairs:
+        level, time = [b[ks[0]], b[ks[x]], b[ks[y]], b[ks[-1]]], [0.0, ks[x] / n, ks[y] / n, 1.0]
+        q = [0, int(time[1] * (n - 1)), int(time[2] * (n - 1)), n - 1]
+        e = sum((level[k] * (1 - (i - q[k]) / (q[k + 1] - q[k])) + level[k + 1] * (i - q[k]) / (q[k + 1] - q[k]) - b[i]) ** 2 for k in range(3) for i in range(q[k], q[k + 1]))
+        if best is None or round(e / n, 8) < best[0]:
+            best = (round(e / n, 8), level, time)
+    return best[1], best[2]
+
+
+def nested(depth):
+    """Maxima among maxima: every round of decimation leaves about half of them."""
+    return [float(60 + 5 * (((i & -i).bit_length() if i else depth) - 1)) + 0.37 if i % 2 == 0 else 1.5 for i in range(1 << depth)]
+
+
+def test_smoothing_of_fractional_levels_equals_its_definition(spark):
+    rnd = random.Random(18)
+    sigs = {i: [rnd.choice([0.0, rnd.uniform(0, 5), rnd.uniform(60, 100), float(rnd.randrange(4))]) for _ in range(rnd.randrange(2, 16))] for i in range(3000)}
+    df = spark.createDataFrame([(i, j, v) for i, s in sigs.items() for j, v in enumerate(s)], "asset int, i int, v double")
+    got = {}
+    for r in signal.smooth(df, signal.knots(df)).orderBy("asset", "i").collect():
+        got.setdefault(r.asset, []).append(r.v)
+    wrong = {i: (s, got[i]) for i, s in sigs.items() if got[i] != line_by_definition(s, knots_by_definition(s))}
+    assert not wrong, (len(wrong), list(wrong.items())[:3])
+
+
+def test_decimation_ends_below_the_bound_and_loses_no_signal(spark):
     rnd = random.Random(2)
-    sig = [float(rnd.randrange(100)) for _ in range(400)]
-    df = spark.createDataFrame([("x", i, v) for i, v in enumerate(sig)], "asset string, i int, v double")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    b, k, rest = signal.decimate(df, 32)
-    assert b.count() == 400 and k.count() < 32 and rest.count() == 0
+    sigs = {f"s{i}": [rnd.uniform(40, 100) for _ in range(rnd.choice([2, 5, 70, 400]))] for i in range(60)} | {f"n{d}": nested(d) for d in (3, 8, 12)}
+    df = spark.createDataFrame([(a, i, v) for a, s in sigs.items() for i, v in enumerate(s)], "asset string, i int, v double")
+    b, k = signal.decimate(df, 8, store=stored)
+    counts = {r.asset: r["count"] for r in k.groupBy("asset").count().collect()}
+    assert set(counts) == set(sigs) and max(counts.values()) < 8
+    assert {r.asset: r["count"] for r in b.groupBy("asset").count().collect()} == {a: len(s) for a, s in sigs.items()}
+
+
+def test_envelopes_equal_their_definition(spark):
+    rnd = random.Random(5)
+    bucket, rows, sigs = 4, [], {}
+    for i in range(40):
+        n = rnd.choice([1, 7, 8, 9, 64, 300, 1200])
+        loud = [rnd.randrange(1, 32767) if rnd.random() < 0.8 else 0 for _ in range(n // 3 + 1)]
+        sigs[f"a{i}"] = [rnd.choice([-1, 1]) * loud[j // 3] for j in range(n)]
+    sigs["deep"] = [int(x * 300) for x in nested(9) for _ in range(bucket)]
+    for a, s in sigs.items():
+        rows += [(a, c, 1, 48000, s[k : k + 64]) for c, k in enumerate(range(0, len(s), 64))]
+    chunks = spark.createDataFrame(rows, "asset string, chunk_no long, channel_count int, frame_rate int, samples array<int>")
+    got = {r.asset: (r.level, r.time) for r in signal.envelope(chunks, bucket, 64, most=10, store=stored).collect()}
+    assert set(got) == set(sigs)
+    for a, s in sigs.items():
+        n = len(s) // bucket
+        if n <= 1:
+            p = max(map(abs, s)) / 32768.0
+            want = [p] * 4, [0.0, 0.3, 0.6, 1.0]
+        else:
+            peaks = [max(map(abs, s[k * bucket : (k + 1) * bucket])) / 32768.0 for k in range(n)]
+            want = envelope_by_definition([20 * math.log10(p) + 100 if p >= 1e-4 else 0.0 for p in peaks], 10)
+        assert got[a][0] == pytest.approx(want[0]) and got[a][1] == pytest.approx(want[1]), a
+
+
+def resampled_by_definition(s, out, channels):
+    n, c = len(s) // channels, signal.COEFFICIENTS
+    res = []
+    for i in range(out):
+        pos = i / out * n
+        for ch in range(channels):
+            y = [s[(math.floor(pos) + k) % n * channels + ch] for k in (-2, -1, 0, 1, 2, 3)]
+            z, v = pos - math.floor(pos) - 0.5, 0.0
+            for k in range(5, -1, -1):
+                pairs = [(y[3], y[2]), (y[4], y[1]), (y[5], y[0])]
+                v = v * z + sum(w * (a + b if k % 2 == 0 else a - b) for w, (a, b) in zip(c[k], pairs, strict=True))
+            res.append(math.trunc(max(-32767.0, min(32767.0, v))))
+    return res
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_chunked_conditioning_equals_whole_signals(spark, channels):
+    rnd = random.Random(7)
+    rows, whole = [], {}
+    for n in (1, 2, 3, 4, 15, 16, 17, 18, 19, 31, 33, 48, 50, 100):
+        for rate in (8000, 44100, 48000, 96000):
+            a = f"{n}-{rate}"
+            s = [rnd.choice([rnd.randrange(-32768, 32767), rnd.randrange(-200, 200)]) for _ in range(n * channels)]
+            level = rnd.choice(["none", "low", "extreme"])
+            whole[a] = (s, rate, level)
+            rows += [(a, c, channels, rate, level, s[k : k + 16 * channels]) for c, k in enumerate(range(0, len(s), 16 * channels))]
+    chunks = spark.createDataFrame(rows, "asset string, chunk_no long, channel_count int, frame_rate int, level string, samples array<int>")
+    got = {}
+    for r in signal.condition_chunks(chunks, chunk_frames=16, window=8).orderBy("asset", "chunk_no").collect():
+        assert r.chunk_no == len(got.setdefault(r.asset, [])) // (16 * channels) and r.frame_rate == 48000
+        got[r.asset] += r.samples
+    gate, mask = {"none": 0, "low": 128, "extreme": 1024}, {"none": ~0, "low": ~3, "extreme": ~255}
+    for a, (s, rate, level) in whole.items():
+        v = s if rate == 48000 else resampled_by_definition(s, len(s) // channels * 48000 // rate, channels)
+        want = []
+        for k in range(0, len(v), 8 * channels):
+            block = v[k : k + 8 * channels]
+            want += [x & mask[level] for x in block] if max(map(abs, block)) >= gate[level] else [0] * len(block)
+        assert got.get(a, []) == want, a
 
 
 def test_gate_and_condition(spark):
