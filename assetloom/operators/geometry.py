@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions import scalars as S
+from assetloom.operators.tables import ranks, running
 
 EPS = -0.01
 
@@ -50,10 +51,9 @@ def hull_problems(planes: DataFrame, volume: str = "volume", no: str = "face_no"
 
 def index_planes(counts: DataFrame, file: str, id_: str, n: str = "plane_count") -> DataFrame:
     """plane_index: planes of the volumes before, within a file."""
-    w = Window.partitionBy(file).orderBy(id_).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("plane_index", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
+    return running(counts, [file], [id_], n, "plane_index")
 
 
 def dense_ids(df: DataFrame, file: str, order: str) -> DataFrame:
     """Ids from 0 in declaration order within a file."""
-    return df.withColumn("id", (F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1).cast("int"))
+    return ranks(df, [file], [order], "id").withColumn("id", F.col("id").cast("int"))

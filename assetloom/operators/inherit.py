@@ -7,13 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A dimension is broadcast up to this many rows (counted first); a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: A dimension is broadcast up to so many rows and bytes (measured first); a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is small; counting stops just beyond the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def dimension(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it is small; measuring stops just beyond the bound of rows.
+
+    A row is taken to have 16 bytes for each column and the bytes of its text, arrays and the like."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c in (F.col(f"`{f.name}`") if f.dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema.fields if _wide(f.dataType.simpleString()))]
+    most = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if most["n"] <= rows and (most["bytes"] or 0) <= size else df
+
+
+def _wide(kind: str) -> bool:
+    return kind in ("string", "binary") or kind.startswith(("array", "struct", "map"))
 
 
 def _key(c: str) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.operators.inherit import dimension
-from assetloom.operators.tables import keep_first, ranged, ranks
+from assetloom.operators.tables import keep_first, previous, ranks, running
 
 
 def diff_manifest(desired: DataFrame, previous: DataFrame, key: str = "name", checksum: str = "source_checksum") -> DataFrame:
@@ -62,23 +61,9 @@ def _ranked(frames: Sequence[DataFrame], key: str, sign: int) -> DataFrame:
     return keep_first(out, [key], ["__rank"]).drop("__rank")
 
 
-def packed_offsets(m: DataFrame, by: Sequence[str], order: Sequence[str], size: str = "size", base: int = 2048, two_level: bool = False) -> DataFrame:
-    """Gap-free offsets: ``base`` plus the sizes of the entries before, per group.
-
-    A window holds a group's rows in one task. With ``two_level`` rows are range-partitioned by group and order, sizes
-    are summed per partition and group (joined by broadcast if they are few), and only the sum within a partition is a
-    window."""
-    if not two_level:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return m.withColumn("offset", F.lit(base).cast("long") + F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
-    r = ranged(m, by, order)
-    sums = r.groupBy("__part", *by).agg(F.sum(size).alias("__sum"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base_of = sums.select("__part", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    j = r.join(dimension(base_of), ["__part", *by])
-    own = F.coalesce(F.sum(size).over(inside), F.lit(0))
-    return j.withColumn("offset", (F.lit(base) + F.col("__base") + own).cast("long")).drop("__part", "__base")
+def packed_offsets(m: DataFrame, by: Sequence[str], order: Sequence[str], size: str = "size", base: int = 2048, task_rows: int | None = None) -> DataFrame:
+    """Gap-free offsets: ``base`` plus the sizes of the entries before, per group of any size (see ``running``)."""
+    return running(m, by, order, size, "offset", task_rows=task_rows).withColumn("offset", F.col("offset") + F.lit(base).cast("long"))
 
 
 def retained_first(m: DataFrame, diff: DataFrame, key: str = "name") -> DataFrame:
@@ -88,14 +73,13 @@ def retained_first(m: DataFrame, diff: DataFrame, key: str = "name") -> DataFram
 
 def check_monotonic(m: DataFrame, by: Sequence[str], order: Sequence[str], offset: str = "offset") -> DataFrame:
     """Entries whose offset lies before that of the entry before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return m.withColumn("previous_offset", F.lag(offset).over(w)).filter(F.col(offset) < F.col("previous_offset"))
+    return previous(m, by, order, offset, "previous_offset").filter(F.col(offset) < F.col("previous_offset"))
 
 
 def gaps(m: DataFrame, by: Sequence[str], offset: str = "offset", size: str = "size", base: int = 2048) -> DataFrame:
     """Adds the bytes between each entry and the end of the one before (or the base)."""
-    w = Window.partitionBy(*by).orderBy(offset)
-    return m.withColumn("gap", F.col(offset) - F.coalesce(F.lag(F.col(offset) + F.col(size)).over(w), F.lit(base)))
+    m = previous(m, by, [offset], F.col(offset) + F.col(size), "gap")
+    return m.withColumn("gap", F.col(offset) - F.coalesce("gap", F.lit(base)))
 
 
 def free_space(m: DataFrame, by: Sequence[str], **options) -> DataFrame:

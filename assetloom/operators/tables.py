@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from assetloom.operators.inherit import dimension
 from assetloom.sources.scratch import stored
 
+#: Rows of one group that a single task orders; a larger group is split over range partitions.
+TASK_ROWS = 500_000
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order; NULL and blank keys are alike.
@@ -34,25 +37,20 @@ def sort_table(df: DataFrame, keys: Sequence[str], descending: bool = False, tie
 
 
 def positions(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = (), descending: bool = False, within: Sequence[str] = ()) -> DataFrame:
-    """The place (from 1) of each row in the order of ``sort_table``.
-
-    Without ``within`` the order is global: rows are range-partitioned by the keys, counted per partition, and numbered
-    by the counts before (one number per partition), so no task holds more than its range. With ``within`` a group is
-    one window; ``ranks`` splits large groups."""
+    """The place (from 1) of each row in the order of ``sort_table``, globally or within groups of any size."""
     k = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
     order = [*[c.desc() if descending else c.asc() for c in k], *tie]
-    if within:
-        return df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    r = ranged(df, [], order)
-    counts = r.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    j = r.join(F.broadcast(base), "__part")  # one row per partition
-    return j.withColumn("position", (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__part", "__base")
-
-
-def ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
+    return running(df, within, order, F.lit(1), "position", inclusive=True)
+
+
+def _split(df: DataFrame, by: Sequence[str], task_rows: int | None) -> tuple[DataFrame, bool]:
+    """The rows, stored, and whether one of their groups is too large for a task (counted)."""
+    df = stored(df, "groups")
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
+    return df, (most or 0) > (TASK_ROWS if task_rows is None else task_rows)
+
+
+def _ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
     """Rows range-partitioned by group and order, with their partition in ``__part``, written to shared storage.
 
     Range bounds are sampled anew whenever they are computed, so the partition numbers have to be kept."""
@@ -60,24 +58,59 @@ def ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
     return stored(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
-    """The place (from 0) of each row within its group, also of a group that no single task should hold.
+def running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | str, name: str, inclusive: bool = False, task_rows: int | None = None) -> DataFrame:
+    """Adds the running sum of ``value`` (whole numbers) before each row of its group, or up to it.
 
-    Rows are range-partitioned by group and order and counted per partition and group; those counts are joined (by
-    broadcast if they are few), and only the number within a partition is a window."""
-    r = ranged(df, by, order)
-    counts = r.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    A group is one window if no group has more rows than a task takes (``TASK_ROWS``). Else rows are range-partitioned by
+    group and order, values are summed per partition and group (joined by broadcast if they are few), and only the sum
+    within a partition is a window. Rows of equal order come in any order of each other."""
+    value, last = (F.col(value) if isinstance(value, str) else value), 0 if inclusive else -1
+    df, large = _split(df.withColumn("__v", value), by, task_rows)
+    if not large:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumn(name, F.coalesce(F.sum("__v").over(w), F.lit(0)).cast("long")).drop("__v")
+    r = _ranged(df, by, order)
+    sums = r.groupBy("__part", *by).agg(F.sum("__v").alias("__sum"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", *by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    base = sums.select("__part", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    j = _with(r, base, by)
+    return j.withColumn(name, (F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).cast("long")).drop("__part", "__base", "__v")
+
+
+def _with(rows: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their partition and group; groups may be null."""
+    keys = ["__part", *by]
+    parts = parts.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(parts[f"__of_{k}"]) for k in keys]
+    return rows.join(dimension(parts), on, "left").drop(*[f"__of_{k}" for k in keys])
+
+
+def previous(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | str, name: str, task_rows: int | None = None) -> DataFrame:
+    """Adds ``value`` of the row before in the group (NULL for its first), in groups of any size, split as by ``running``:
+    the first row of a partition takes it from the last row of the group's partition before."""
+    value = F.col(value) if isinstance(value, str) else value
+    df, large = _split(df.withColumn("__v", value), by, task_rows)
+    if not large:
+        return df.withColumn(name, F.lag("__v").over(Window.partitionBy(*by).orderBy(*order))).drop("__v")
+    r = _ranged(df, by, order)
     inside = Window.partitionBy("__part", *by).orderBy(*order)
-    j = r.join(dimension(base), ["__part", *by])
-    return j.withColumn(name, (F.col("__base") + F.row_number().over(inside) - 1).cast("long")).drop("__part", "__base")
+    ends = r.withColumn("__n", F.row_number().over(inside)).groupBy("__part", *by).agg(F.max_by("__v", "__n").alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__part")
+    carried = ends.select("__part", *by, F.lag("__end").over(before).alias("__carried"))
+    j = _with(r, carried, by).withColumn("__n", F.row_number().over(inside))
+    return j.withColumn(name, F.when(F.col("__n") == 1, F.col("__carried")).otherwise(F.lag("__v").over(inside))).drop("__part", "__carried", "__v", "__n")
+
+
+def ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """The place (from 0) of each row within its group, of any size."""
+    return running(df, by, order, F.lit(1), name)
 
 
 def distinct_names(*names: tuple[DataFrame, Column], skipped: Sequence[str] = ("default",)) -> DataFrame:
-    """The distinct trimmed names of several columns, without blanks and the skipped ones."""
+    """The distinct trimmed names of several columns, without blanks and the skipped ones (in any case)."""
     every = reduce(lambda a, b: a.unionByName(b), [df.select(F.trim(c).alias("Name")) for df, c in names])
-    return every.filter((F.col("Name") != "") & ~F.col("Name").isin(list(skipped))).distinct()
+    return every.filter((F.col("Name") != "") & ~F.lower("Name").isin(list(skipped))).distinct()
 
 
 def split_storage(storage: str) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions import scalars as S
@@ -16,7 +17,10 @@ from assetloom.sources.scratch import no_inferred_filters, stored
 
 def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=None, **options) -> DataFrame:
     """Features of all listed files (path, mtime): kept from ``previous`` (path, mtime in seconds, ...) where fresh, made
-    anew otherwise; files that are gone have none. Contents are read of stale files only."""
+    anew otherwise; files that are gone have none. Contents are read of stale files only.
+
+    ``read`` takes the stale files to (path, md5, content). Without it their paths go to the driver, as Spark's file
+    reader has them listed there anyway. A file without samples has a shape of zeros."""
     joined = files.select("path", "mtime").join(previous.select("path", F.col("mtime").alias("__at")), "path", "left")
     stale = joined.filter(S.is_stale("mtime", "__at")).select("path", "mtime")
     kept = previous.join(files.select("path"), "path", "left_semi").join(stale.select("path"), "path", "left_anti")
@@ -36,7 +40,7 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
         content.select("path", "md5")
         .join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
         .join(meta.withColumnRenamed("asset", "path"), "path")
-        .join(shape.withColumnRenamed("asset", "path"), "path")
+        .join(shape.withColumnRenamed("asset", "path"), "path", "left")
         .select(
             "path", "mtime", "md5", "frame_rate", "channel_count", "frame_count",
             *[S.quantise_level(F.col("level")[i]).alias(f"envelope_loudness{i}") for i in range(4)],
@@ -107,6 +111,12 @@ def compile_aliases(sources: DataFrame, zones: DataFrame, templates: DataFrame)
     return a, missing.unionByName(bad)
 
 
+def alias_key(columns: Sequence[str]) -> Column:
+    """The identity of a row: a digest over the columns with their names, so values of neighbouring columns can't be
+    exchanged; NULL and blank are alike, as in ``keep_first``."""
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])), 256)
+
+
 def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""), base: int = 2048) -> Build:
     """Zones built for requested (zone, platform, language) rows; all requests are one job with these as columns.
 
@@ -116,7 +126,7 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     # read several times below: the wide expressions are evaluated once
     with no_inferred_filters(requests.sparkSession):
         aliases = stored(aliases, "aliases")
-    aliases = aliases.withColumn("alias_key", F.xxhash64("zone", *P.DEDUP_KEYS))
+    aliases = aliases.withColumn("alias_key", alias_key(["zone", *P.DEDUP_KEYS]))
     platform = ctx.platforms.select(F.col("Platform").alias("__platform"), F.col("CompressionScale").alias("platform_scale"))
     locale = ctx.locales.select(F.col("Name").alias("language"), "SearchName", "IsShared", F.col("CompressionScale").alias("locale_scale"))
     req = requests.join(inherit.dimension(platform), requests["platform"] == platform["__platform"]).drop("__platform").join(inherit.dimension(locale), "language")

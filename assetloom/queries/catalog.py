@@ -324,7 +324,7 @@ def w3_packed_offsets(spark, sf):
 
 @query(_OFFSETS)
 def w3_packed_offsets_two_level(spark, sf):
-    return M.packed_offsets(table(spark, sf, "documents"), ["lang"], ["doc_id"], size="n_chars", two_level=True).select("lang", "doc_id", "offset")
+    return M.packed_offsets(table(spark, sf, "documents"), ["lang"], ["doc_id"], size="n_chars", task_rows=100).select("lang", "doc_id", "offset")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS p FROM documents) WHERE n_chars < p")

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is not set (single machine) a temporary folder is."""
+    """A new path below ``spark.checkpoint.dir``. Only on a single machine may that be unset: a temporary folder is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -27,7 +29,9 @@ def stored(df: DataFrame, what: str = "stored") -> DataFrame:
 
 @contextmanager
 def no_inferred_filters(spark: SparkSession):
-    """For actions on tables of a hundred computed columns, where deriving filters from all of them takes longer than the job."""
+    """For actions on tables of a hundred computed columns, where deriving filters from all of them takes longer than the job.
+
+    Queries that other threads of the session plan meanwhile do without such filters too; their results are the same."""
     name = "spark.sql.constraintPropagation.enabled"
     was = spark.conf.get(name)
     spark.conf.set(name, "false")

@@ -126,10 +126,46 @@ def test_offsets_are_gap_free_and_two_levels_agree(spark):
     df = spark.createDataFrame(rows, "bank string, i int, size long")
     one = manifest.packed_offsets(df, ["bank"], ["i"])
     assert {r.free_space for r in manifest.free_space(one.filter("size > 0"), ["bank"]).collect()} == {0}
-    two = manifest.packed_offsets(df, ["bank"], ["i"], two_level=True)
+    two = manifest.packed_offsets(df, ["bank"], ["i"], task_rows=100)
     assert sorted((r.i, r.offset) for r in one.collect()) == sorted((r.i, r.offset) for r in two.collect())
 
 
+@pytest.mark.parametrize("task_rows", [10, 10_000])
+def test_running_and_previous_in_large_groups(spark, task_rows):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, rnd.randrange(100)])) for i in range(700)] + [("c", 1000, 5)]
+    df = spark.createDataFrame(rows, "g string, i int, v long")
+    total, up_to, last, want = {}, {}, {}, {}
+    for g, i, v in rows:
+        want[i] = (total.get(g, 0), total.get(g, 0) + (v or 0), last.get(g))
+        total[g], last[g] = total.get(g, 0) + (v or 0), v
+    a = {r.i: r.x for r in tables.running(df, ["g"], ["i"], "v", "x", task_rows=task_rows).collect()}
+    b = {r.i: r.x for r in tables.running(df, ["g"], ["i"], "v", "x", inclusive=True, task_rows=task_rows).collect()}
+    c = {r.i: r.x for r in tables.previous(df, ["g"], ["i"], "v", "x", task_rows=task_rows).collect()}
+    assert {i: (a[i], b[i], c[i]) for i in want} == want
+    empty = tables.running(df.limit(0), ["g"], ["i"], "v", "x", task_rows=task_rows)
+    assert empty.count() == 0 and empty.columns == ["g", "i", "v", "x"]
+
+
+def test_alias_keys_tell_columns_apart(spark):
+    rows = [("z", "a", None), ("z", None, "a"), ("z", "a", ""), ("z", '","', "a"), ("za", None, None)]
+    df = complete(spark.createDataFrame(rows, "zone string, ContextType string, ContextType2 string"), P.ALIAS)
+    got = [r.k for r in df.select(jobs.alias_key(["zone", *P.DEDUP_KEYS]).alias("k")).collect()]
+    assert len(set(got)) == 4 and got[0] == got[2]
+
+
+def test_build_keeps_aliases_that_differ_in_context_only(spark):
+    from assetloom.queries.signals import build_inputs
+
+    requests, ctx = build_inputs(spark, "/root/testdata/sf0.001")
+    some = ctx.sources.filter("__file = 'f.csv' and Storage is null and zone = 'east' and PlatformMask like '%PC%'").limit(1)
+    one = some.withColumns({"ContextType": F.lit("x"), "ContextType2": F.lit(None).cast("string")})
+    two = some.withColumns({"ContextType": F.lit(None).cast("string"), "ContextType2": F.lit("x")})
+    ctx.sources = stored(one.unionByName(two))
+    b = jobs.build(requests.filter("zone = 'east' and language = 'all'"), ctx)
+    assert b.aliases.count() == 2 and b.aliases.filter("FileSource is not null").count() == 2 and b.manifest.filter("name like 'snd%'").count() >= 1
+
+
 def test_conflicts_and_rules(spark):
     rows = [("t1", "s", "low", "x", 1), ("t1", "s", "high", "y", 2), ("t2", "s", "high", "x", 3), ("t2", "s", "high", "y", 4)]
     df = spark.createDataFrame(rows, "target string, source string, level string, by string, o int")
@@ -145,6 +181,8 @@ def test_dimension_is_broadcast_only_below_the_bound(spark, capsys):
     d = spark.range(10).withColumnRenamed("id", "k")
     spark.range(100).join(inherit.dimension(d, rows=5), F.col("id") == F.col("k")).explain("simple")
     assert inherit.dimension(d, rows=5) is d and inherit.dimension(d) is not d
+    wide = d.select("k", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit("é")).alias("a"))
+    assert inherit.dimension(wide, size=5000) is wide and inherit.dimension(wide, size=50_000) is not wide
 
 
 def knots_by_definition(b):
