@@ -104,24 +104,47 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _block_pairs(bands: int, rows: int, least: float):
-    """Pairs of one block pair whose classes differ and whose signatures agree in ``least`` of the registers. A pair that
-    meets in several bands is named in the first of them."""
+def _sets(batches):
+    """The multisets of shingles as sets: each shingle with the number of its occurrence, as sorted 64-bit hashes."""
+    for b in _words.pieces(batches, "text"):
+        h, doc, _ = _words.shingles(_words.words(b.column("text")))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        h = _words.mix(h + (np.arange(len(h)) - first).astype(np.uint64) * _STEP)
+        h = h[np.lexsort((h, doc))]
+        bounds = np.searchsorted(doc, np.arange(b.num_rows + 1)) * 8
+        raw = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(h.tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column("id"), raw.cast(pa.binary())], ["rep", "shingles"])
+
+
+def _block_links(bands: int, rows: int, least: float, threshold: float):
+    """Links that join the classes of one block pair: texts of different classes whose signatures agree in ``least`` of the
+    registers are held against each other by their shingles, and a link makes one class of two, within the block. A pair
+    that meets in several bands is compared in the first of them."""
     m = bands * rows
 
     def run(group: pa.Table) -> pa.Table:
         rep, of, side, band = (group.column(c).to_numpy() for c in ("rep", "component", "side", "band"))
-        v = _registers(group.column("sig").combine_chunks(), m)
-        right, out = np.flatnonzero(side != 0), [np.zeros((0, 2), np.int64)]
+        of, v = of.copy(), _registers(group.column("sig").combine_chunks(), m)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        right, out = np.flatnonzero(side != 0), []
         for i in np.flatnonzero(side != 1):
             j = right[(of[right] != of[i]) & ((rep[right] > rep[i]) | (side[i] == 0))]
             same = v[j] == v[i]
             near = same.mean(axis=1) >= least
             j, same = j[near], same[near].reshape(-1, bands, rows).all(axis=2)
-            j = j[same.argmax(axis=1) == band[i]]
-            out.append(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        out = np.concatenate(out)
-        return pa.table({"a": pa.array(np.ascontiguousarray(out[:, 0])), "b": pa.array(np.ascontiguousarray(out[:, 1]))})
+            for x in j[same.argmax(axis=1) == band[i]]:
+                if of[x] == of[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                if both / (len(sets[i]) + len(sets[x]) - both) >= threshold:
+                    out.append((min(rep[i], rep[x]), max(rep[i], rep[x])))
+                    of[of == of[x]] = of[i]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -167,6 +190,7 @@ def near_duplicate_classes(
     rows: int = 5,
     deviations: float = 4.0,
     block: int = 2048,
+    block_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -179,11 +203,11 @@ def near_duplicate_classes(
     Equal texts are one vertex, the smallest id, and have one signature in the buckets. First the members of a bucket
     are paired with its smallest member only (``led``: a bucket is sorted over as many tasks as its rows need), so work
     is linear in its size; that joins nearly all that belongs together. In buckets whose other members are not one class
-    then, members of different classes are compared by their signatures, in pairs of blocks of about ``block`` members;
-    those that agree in a share of registers that is at most ``deviations`` standard deviations below the threshold
-    leave their block as pairs of ids and are verified on their texts like the first ones. Nothing is capped, and no
-    text is copied for the blocks, but a family of n texts that share a bucket without being one class costs the square
-    of n in comparisons and n * n / ``block`` rows of signatures.
+    then, members of different classes are compared by their signatures, in pairs of blocks of about ``block`` members
+    (fewer, if their shingles take more than ``block_bytes``); those that agree in a share of registers that is at most
+    ``deviations`` standard deviations below the threshold are held against each other there by their shingles, and only
+    links that join classes leave a block. Nothing is capped; but a family of n texts that share a bucket without being
+    one class costs the square of n in comparisons of signatures, and each member's shingles go to n / ``block`` blocks.
 
     Nulls and edge cases: a null text counts as empty; empty texts (and texts of only white space that are equal) are
     copies of one another; an empty table has no rows. Rows with one id are one document. A null id gets a null class. Extra columns are ignored.
@@ -211,10 +235,14 @@ def near_duplicate_classes(
 
     told = member.select("key", "band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     told = stored(told.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")), "told")
-    split = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    split = stored(split.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "split")
+    split = stored(told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "split")
     few = split.count() <= BROADCAST_KEYS
-    left = told.join(F.broadcast(split) if few else split, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    left = told.join(F.broadcast(split) if few else split, "key")
+    sets = stored(left.select(F.col("rep").alias("id")).distinct().join(texts, "id").mapInArrow(_sets, "rep long, shingles binary"), "sets")
+    left = stored(left.join(sets.select("rep", F.octet_length("shingles").cast("long").alias("bytes")), "rep"), "open")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts")
+    load = left.groupBy("key").agg(parts)
+    left = left.join(F.broadcast(load) if few else load, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a block meets every later block of its bucket, and itself: side 0, 1, or 2 for both
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key",
@@ -226,11 +254,9 @@ def near_duplicate_classes(
         "component",
     )
     least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / m)
-    full = left.join(unique.select("rep", "sig"), "rep")
-    near = full.groupBy("key", "lo", "hi").applyInArrow(_block_pairs(bands, rows, least), "a long, b long").distinct()
-    # pairs of one text are spread by the other: text a is copied at most 64 times
-    found = verified(stored(near.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64))), "near"), texts, threshold)
-    more = stored(found.select("a", "b"), "links")
+    full = left.join(unique.select("rep", "sig").join(sets, "rep"), "rep")
+    found = full.groupBy("key", "lo", "hi").applyInArrow(_block_links(bands, rows, least, threshold), "a long, b long").distinct()
+    more = stored(found, "links")
     if not more.isEmpty():
         links = links.select("a", "b").unionByName(more)
         label = stored(components(links.select("a", "b")), "labels")
