@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from assetloom.functions import scalars as S
 from assetloom.functions import spec as P
 from assetloom.operators import geometry, inherit, manifest, resolve, signal, tables, validate
 from assetloom.sources import files as src
+from assetloom.sources import sinks
 from assetloom.sources.scratch import no_inferred_filters, stored
 
 
@@ -166,3 +168,50 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     packed = manifest.packed_offsets(merged, by, ["placement", "name"], base=base)
     return Build(emitted, bad, claims, conflicts, lost, diff, packed.drop(key, "placement"))
 
+
+@dataclass
+class Side:
+    """What a build writes besides aliases, each by zone: ambients, reverbs and script ids with the columns of their
+    specs, ducks and music with the file names (column file) that the zone's config lists."""
+
+    ambients: DataFrame | None = None
+    reverbs: DataFrame | None = None
+    script_ids: DataFrame | None = None
+    ducks: DataFrame | None = None
+    music: DataFrame | None = None
+
+
+def write_outputs(b: Build, requests: DataFrame, locales: DataFrame, side: Side, path: str) -> None:
+    """The side files of all requested zones and languages, in folders by kind, zone and language below ``path``.
+
+    Aliases always; reverbs (by falling name), ambients, script ids and the lists of duck and music names for shared
+    locales only; of the loaded assets their number, their bytes and their names in order of the offset."""
+    asked = requests.select("zone", "language").distinct()
+    shared = asked.join(inherit.dimension(locales.filter("IsShared").select(F.col("Name").alias("language"))), "language", "left_semi").select("zone", "language")
+    both = ["zone", "language"]
+    sinks.write_tables(b.aliases, P.ALIAS, f"{path}/alias", asked, P.SORT_KEYS)
+    for kind, rows, spec, keys, falling in (
+        ("reverb", side.reverbs, P.REVERB, ["Name"], True),
+        ("ambient", side.ambients, P.AMBIENT, ["Name"], False),
+        ("scriptid", side.script_ids, P.SCRIPT_ID, ["ScriptId", "AliasName"], False),
+    ):
+        if rows is not None:
+            blank = [c.name for c in spec if c.name.startswith("RowSource")] if kind == "ambient" else []
+            sinks.write_tables(rows.join(inherit.dimension(shared), "zone"), spec, f"{path}/{kind}", shared, keys, falling, blank)
+
+    def names(rows: DataFrame | None, c: Column, skipped: Sequence[str] = ()) -> list[DataFrame]:
+        return [] if rows is None else [rows.select("zone", F.trim(c).alias("Name")).filter((F.col("Name") != "") & ~F.lower("Name").isin(list(skipped)))]
+
+    ducks = [*names(b.aliases, F.col("Duck"), ["default"]), *names(side.ambients, F.col("Duck"), ["default"]), *names(side.ducks, S.file_stem("file"))]
+    # a header for each list, also for one without names
+    for kind, parts in (("ducklist", ducks), ("musiclist", names(side.music, S.file_stem("file")))):
+        if parts:
+            found = reduce(lambda x, y: x.unionByName(y), parts).distinct().join(inherit.dimension(shared), "zone")
+            head = shared.select("zone", "language", F.lit("Name").alias("Name"), F.lit(0).alias("i"))
+            sinks.write_lists(found.withColumn("i", F.lit(1)).unionByName(head), f"{path}/{kind}", both, "Name", ["i", "Name"])
+    loaded = b.manifest.filter("storage_class = 'loaded'")
+    totals = manifest.manifest_totals(loaded, both)
+    totals = asked.join(totals, both, "left").na.fill(0)
+    sinks.write_lists(totals, f"{path}/memory", both, "total_bytes", ["total_bytes"])
+    sinks.write_lists(totals, f"{path}/assetcount", both, "n", ["n"])
+    sinks.write_lists(loaded, f"{path}/assets", both, "name", ["offset"])

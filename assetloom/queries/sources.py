@@ -66,6 +66,15 @@ def s5_templates_keep_last(spark, sf):
     return keep_last_by(p, ["template_key"], ["p_brand", "p_partkey"]).select("template_key", "p_partkey")
 
 
+@query("""SELECT lower(p_type) AS template_key, p_partkey::INT AS p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_brand DESC, p_partkey DESC) = 1""")
+def s5_read_templates(spark, sf):
+    """Templates in files whose names follow brand and key; a later file (then row) overwrites."""
+    p = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.initcap("p_type")).otherwise(F.col("p_type")).alias("Name"), "p_partkey", "p_brand")
+    path = scratch(spark, "templates")
+    p.repartitionByRange(8, "p_brand", "p_partkey").sortWithinPartitions("p_brand", "p_partkey").write.options(header=True, escape='"').csv(path)
+    return tab.read_templates(spark, path, [C("Name"), C("p_partkey", "int")]).select("template_key", "p_partkey")
+
+
 @query("""SELECT 'ORDER' AS source_tag, o_orderkey AS key, 'low' AS "SourceLevel" FROM orders UNION ALL SELECT 'CUSTOMER', c_custkey, NULL FROM customer""")
 def s6_load_sources(spark, sf):
     config = spark.createDataFrame([("ORDER", f"{sf}/orders.parquet", "low"), ("CUSTOMER", f"{sf}/customer.parquet", None), ("MUSIC", "none", None)], "Type string, Filename string, Level string")
@@ -82,6 +91,61 @@ def s7_read_config(spark, sf):
     return e.select("event_id", F.col("v.k").alias("k"), configs.own_parent_cleared(F.col("event_type"), F.lit("view")).alias("parent"))
 
 
+def _one_file_each(df, what):
+    """Texts (column value) written as a file each."""
+    path = scratch(df.sparkSession, what)
+    df.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("""SELECT 'z' || (c_custkey // 500) AS zone, CASE WHEN c_custkey // 500 % 2 = 0 THEN '' ELSE 'base' END AS parent, 'all' AS level, 'c' || c_custkey || ',}].csv' AS filename, CASE WHEN c_custkey % 3 = 0 THEN 'low' END AS source_level FROM customer""")
+def s7_config_files(spark, sf):
+    """Zone configs of up to 500 sources each, a file each, in relaxed JSON; every second zone names itself as parent."""
+    k = F.col("c_custkey")
+    zone = F.floor(k / 500)
+    source = F.concat(F.lit("{Type: 'ALIAS', /* c */ Filename: 'c"), k, F.lit(",}].csv',"), F.when(k % 3 == 0, ' "DefaultAudioCompression": "low",').otherwise(""), F.lit("}, // next\n"))
+    g = table(spark, sf, "customer").groupBy(zone.alias("z")).agg(F.array_join(F.array_sort(F.collect_list(source)), "").alias("sources"))
+    text = F.concat(F.lit("{\n  Name: 'z"), "z", F.lit("', Parent: '"), F.when(F.col("z") % 2 == 0, F.concat(F.lit("z"), "z")).otherwise("base"), F.lit("',\n  DefaultAudioCompression: 'all',\n  Sources: ["), "sources", F.lit("],\n}"))
+    c = configs.read_config(spark, _one_file_each(g.select(text.alias("value")), "configs"))
+    rows = c.select(F.col("Name").alias("zone"), F.col("Parent").alias("parent"), F.col("DefaultAudioCompression").alias("level"), F.explode("Sources").alias("s"))
+    return rows.select("zone", "parent", "level", F.col("s.Filename").alias("filename"), F.col("s.DefaultAudioCompression").alias("source_level"))
+
+
+@query("""SELECT 'd' || (event_id // 400) AS "Name", event_id // 400 % 3 <> 0 AS "DefaultAllOn", 'g' || event_id AS "ValueDuckGroup", (event_id % 7)::INT AS "ValueLpf" FROM events WHERE event_id // 400 % 4 <> 1
+    UNION ALL SELECT DISTINCT 'd' || (event_id // 400), event_id // 400 % 3 <> 0, NULL, NULL::INT FROM events WHERE event_id // 400 % 4 = 1""")
+def s8_duck_files(spark, sf):
+    """Ducks of up to 400 values each, a file each; every fourth one has none."""
+    g = F.floor(F.col("event_id") / 400)
+    value = F.concat(F.lit("{DuckGroup: 'g"), "event_id", F.lit("', Lpf: "), F.col("event_id") % 7, F.lit(",},"))
+    e = table(spark, sf, "events").groupBy(g.alias("g")).agg(F.array_join(F.array_sort(F.collect_list(value)), "\n").alias("values"))
+    text = F.concat(F.lit("// duck\n{Name: 'd"), "g", F.lit("', "), F.when(F.col("g") % 3 == 0, "DefaultAllOn: false, ").otherwise(""), F.when(F.col("g") % 4 != 1, F.concat(F.lit("Values: ["), "values", F.lit("]"))).otherwise(""), F.lit("}"))
+    return configs.read_ducks(spark, _one_file_each(e.select(text.alias("value")), "ducks")).select("Name", "DefaultAllOn", "ValueDuckGroup", "ValueLpf")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, conv_id // 40 AS m, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+    a AS (SELECT *, CASE WHEN turn = 0 THEN 'intro' WHEN turn = last THEN 'exit' ELSE 'loop' END AS r FROM t)
+    SELECT 'm' || m AS "Set", 's' || conv_id AS "State", r AS "Role", role AS "AliasName", turn::INT AS "BPM", (turn - (SELECT min(turn) FROM t x WHERE x.conv_id = a.conv_id))::BIGINT AS place FROM a""")
+def s9_music_files(spark, sf):
+    """Music sets of up to 40 states each, a file each: a conversation is a state, its first turn the intro, its last the exit."""
+    c = table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    asset = F.concat(F.lit("{AliasName: '"), "role", F.lit("', BPM: "), "turn", F.lit("}"))
+    role = F.when(F.col("turn") == 0, "intro").when(F.col("turn") == F.col("last"), "exit").otherwise("loop")
+    turns = F.array_sort(F.collect_list(F.struct("turn", role.alias("r"), asset.alias("a"))))
+    states = c.join(last, "conv_id").groupBy("conv_id").agg(turns.alias("t"))
+
+    def of(name):
+        return F.transform(F.filter("t", lambda x: x["r"] == name), lambda x: x["a"])
+
+    text = F.concat(
+        F.lit("{Name: 's"), "conv_id", F.lit("', "), F.when(F.size(of("intro")) > 0, F.concat(F.lit("IntroAsset: "), of("intro")[0], F.lit(", "))).otherwise(""),
+        F.when(F.size(of("exit")) > 0, F.concat(F.lit("ExitAsset: "), of("exit")[0], F.lit(", "))).otherwise(""), F.lit("LoopAssets: ["), F.array_join(of("loop"), ","), F.lit("]}"),
+    )
+    sets = states.select(F.floor(F.col("conv_id") / 40).alias("m"), text.alias("s")).groupBy("m").agg(F.array_join(F.collect_list("s"), ",\n").alias("s"))
+    path = _one_file_each(sets.select(F.concat(F.lit("{Name: 'm"), "m", F.lit("', StateArray: ["), "s", F.lit("]}")).alias("value")), "music")
+    return configs.read_music(spark, path).select("Set", "State", "Role", "AliasName", "BPM", F.col("AssetNo").cast("long").alias("place"))
+
+
 @query("""SELECT 'd' || event_id AS "Name", CASE WHEN event_id % 3 = 0 THEN false ELSE true END AS "DefaultAllOn", CASE WHEN event_id % 2 = 0 THEN 'g' || (props->>'$.k') END AS "ValueDuckGroup" FROM events""")
 def s8_read_ducks(spark, sf):
     e = table(spark, sf, "events")
@@ -115,6 +179,27 @@ def s11_split_paths(spark, sf):
     return files.split_path(table(spark, sf, "pages"), "url").select("page_id", "parent", "stem", "ext")
 
 
+def _by_nation(spark, sf):
+    """The names of the customers of each nation in a file of its own."""
+    path = scratch(spark, "nations")
+    c = table(spark, sf, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(path)
+    return path
+
+
+@query("SELECT 'c_nationkey=' || c_nationkey AS folder, 'txt' AS ext, sum(strlen(c_name) + 1)::BIGINT AS size, true AS rightly_named FROM customer GROUP BY c_nationkey")
+def s11_list_files(spark, sf):
+    f = files.list_files(spark, _by_nation(spark, sf))
+    rightly = F.concat_ws("/", "parent", F.concat_ws(".", "stem", "ext")) == F.col("rel_path")
+    return f.select(F.regexp_extract("parent", "([^/]+)$", 1).alias("folder"), "ext", "size", rightly.alias("rightly_named"))
+
+
+@query("SELECT 'c_nationkey=' || c_nationkey AS folder, sum(strlen(c_name) + 1)::BIGINT AS size, upper(md5(string_agg(c_name || chr(10), '' ORDER BY c_custkey))) AS md5 FROM customer GROUP BY c_nationkey")
+def s12_read_assets(spark, sf):
+    a = files.read_assets(spark, _by_nation(spark, sf))
+    return a.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), "size", "md5")
+
+
 @query("SELECT doc_id, strlen(text) AS size, upper(md5(text)) AS md5 FROM documents")
 def s12_content_hash(spark, sf):
     d = table(spark, sf, "documents")
@@ -187,11 +272,28 @@ def k2_side_table(spark, sf):
     return sinks.formatted(n, [C("Name"), C("Reverb"), C("RowSourceFileName")], blank=["RowSourceFileName"])
 
 
+@query("""SELECT 'full' AS kind, 'Name,Bal,Good,RowSourceFileName' AS line UNION ALL SELECT 'empty', 'Name,Bal,Good,RowSourceFileName'
+    UNION ALL SELECT 'full', CASE WHEN s_suppkey % 3 = 0 THEN '"a ""' || s_suppkey || '"", b"' ELSE s_name END || ',' || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '.5' ELSE '' END END || ',' || CASE WHEN s_suppkey % 5 = 0 THEN 'True' ELSE 'False' END || ',' FROM supplier""")
+def k2_write_side_tables(spark, sf):
+    """A table with cells that need quotes and a column that is always blank, and one without rows, as their lines."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select(
+        F.when(k % 3 == 0, F.concat(F.lit('a "'), k, F.lit('", b'))).otherwise(F.col("s_name")).alias("Name"),
+        F.when(k % 4 != 0, F.col("s_nationkey") + F.when(k % 2 == 0, 0.5).otherwise(0.0)).cast("float").alias("Bal"), (k % 5 == 0).alias("Good"), F.lit("x").alias("RowSourceFileName"),
+    )
+    spec, out = [C("Name"), C("Bal", "float"), C("Good", "boolean"), C("RowSourceFileName")], []
+    for kind, rows in (("full", s), ("empty", s.limit(0))):
+        path = scratch(spark, kind)
+        sinks.write_table(rows, spec, path, blank=["RowSourceFileName"])
+        out.append(spark.read.text(path).select(F.lit(kind).alias("kind"), F.col("value").alias("line")).distinct())  # every part has the header
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT DISTINCT p_name AS \"Name\" FROM part")
 def k3_write_names(spark, sf):
     path = scratch(spark, "names")
     sinks.write_names(table(spark, sf, "part"), path, "p_name")
-    return spark.read.option("header", True).csv(path)
+    return spark.read.text(path).select(F.col("value").alias("Name")).filter("Name <> 'Name'")
 
 
 @query("SELECT 'doc-' || doc_id AS name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS position FROM documents")

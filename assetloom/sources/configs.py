@@ -27,12 +27,14 @@ MUSIC = (
     f"Name string, StateArray array<struct<Name:string,IntroAsset:{_ASSET},ExitAsset:{_ASSET},LoopAssets:array<{_ASSET}>,LoopIndex:int,"
     "IsRandom:boolean,IsSequential:boolean,SkipPreviousExit:boolean,`Order`:int>>, StateNames array<string>, LoopIndex int, FileName string"
 )
-#: A trailing comma makes Spark give up the field; strings are matched first so that commas within them stay.
-_TRAILING = r"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')|,(?=\s*[}\]])"""
+_TEXT = r"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')"""
+#: Comments, then trailing commas, which make Spark give up the field; strings are matched first, so what is in them stays.
+_COMMENT = _TEXT + r"|//[^\r\n]*+|/\*(?s:.*?)\*/"
+_TRAILING = _TEXT + r"|,(?=\s*[}\]])"
 
 
 def from_json5(text: Column, schema: str) -> Column:
-    return F.from_json(F.regexp_replace(text, _TRAILING, "$1"), schema, JSON5)
+    return F.from_json(F.regexp_replace(F.regexp_replace(text, _COMMENT, "$1"), _TRAILING, "$1"), schema, JSON5)
 
 
 def _read(spark: SparkSession, paths, schema: str) -> DataFrame:

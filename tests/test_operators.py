@@ -356,7 +356,7 @@ def test_side_files(spark, tmp_path):
     assert b"".join(f.read_bytes() for f in (tmp_path / "e").glob("part-*")) == b"Name,Loop\r\n"
     names = spark.createDataFrame([("beta",), ("alpha",), ("beta",), ("",)], "n string")
     sinks.write_names(names, f"{tmp_path}/n", "n")
-    assert "".join(f.read_text() for f in (tmp_path / "n").glob("part-*")) == "Name\nalpha\nbeta\n"
+    assert "".join(f.read_text() for f in sorted((tmp_path / "n").glob("part-*"))) == "Name\nalpha\nbeta\n"
 
 
 def test_manifest_with_a_fault_is_refused(spark, tmp_path):
@@ -376,3 +376,43 @@ def test_streamed_manifest(spark, tmp_path):
     run(spark.createDataFrame([("b", "2", 3), ("c", "1", 3), ("a", "9", 3)], "name string, source_checksum string, seen_at int"), 1)
     got = {r.name: r.source_checksum for r in spark.read.parquet(f"{tmp_path}/m/v1").collect()}
     assert got == {"a": "9", "b": "2", "c": "1"}
+
+
+def lines_below(path):
+    out = {}
+    for f in sorted(path.rglob("part-*")):  # in the order of their names
+        at = str(f.parent.relative_to(path))
+        out[at] = out.get(at, "") + f.read_bytes().decode()
+    return out
+
+
+def test_side_files_of_a_build(spark, tmp_path):
+    from assetloom.queries.signals import build_inputs
+
+    requests, ctx = build_inputs(spark, "/root/testdata/sf0.001")
+    ctx.sources = stored(ctx.sources.withColumn("Duck", F.when(F.col("__row") % 2 == 0, " music ").otherwise("Default")))
+    b = jobs.build(requests, ctx)
+    zones = [("east",), ("west",)]
+    side = jobs.Side(
+        ambients=complete(spark.createDataFrame([("east", "b", "wind"), ("east", "a", "DEFAULT")], "zone string, Name string, Duck string"), P.AMBIENT),
+        reverbs=complete(spark.createDataFrame([("east", "hall"), ("east", "room"), ("west", "cave")], "zone string, Name string"), P.REVERB),
+        script_ids=complete(spark.createDataFrame([], "zone string, ScriptId string, AliasName string"), P.SCRIPT_ID),
+        ducks=spark.createDataFrame([("east", "ducks/default.duk"), ("east", "x.duk")], "zone string, file string"),
+        music=spark.createDataFrame([(*z, "m/theme.mus") for z in zones], "zone string, file string"),
+    )
+    jobs.write_outputs(b, requests, ctx.locales, side, str(tmp_path / "out"))
+    got = {k: lines_below(tmp_path / "out" / k) for k in ("alias", "reverb", "ambient", "scriptid", "ducklist", "musiclist", "memory", "assetcount", "assets")}
+    every = {f"by_zone={z}/by_language={lang}" for z in ("east", "west") for lang in ("all", "french")}
+    assert set(got["alias"]) == every and all(t.startswith("Name,") and t.endswith("\r\n") for t in got["alias"].values())
+    assert set(got["reverb"]) == {f"by_zone={z}/by_language=all" for z in ("east", "west")}  # shared locales only
+    reverbs = got["reverb"]["by_zone=east/by_language=all"].split("\r\n")
+    assert [r.split(",")[0] for r in reverbs] == ["Name", "room", "hall", ""]
+    assert [r.split(",")[0] for r in got["ambient"]["by_zone=east/by_language=all"].split("\r\n")] == ["Name", "a", "b", ""]
+    assert set(got["ambient"]) == set(got["reverb"]) and got["ambient"]["by_zone=west/by_language=all"].count("\r\n") == 1  # only a header
+    assert [t.split(",")[0] for t in got["scriptid"].values()] == ["ScriptId"] * 2
+    assert got["ducklist"]["by_zone=east/by_language=all"] == "Name\ndefault\nmusic\nwind\nx\n"
+    assert got["musiclist"]["by_zone=west/by_language=all"] == "Name\ntheme\n"
+    loaded = b.manifest.filter("storage_class = 'loaded' and zone = 'east' and language = 'all'").orderBy("offset").collect()
+    at = "by_zone=east/by_language=all"
+    assert got["assets"][at].splitlines() == [r.name for r in loaded]
+    assert got["memory"][at] == f"{sum(r['size'] for r in loaded)}\n" and got["assetcount"][at] == f"{len(loaded)}\n"
