@@ -68,8 +68,8 @@ def led(df: DataFrame, key: Sequence[str], order: Sequence[str], what: str = "le
     """Every row with the first row of its key: ``lead_x`` for each x in ``order``, and ``chunk``.
 
     Rows are range-partitioned and sorted by key and order, so a key in a third of all rows spreads over as many tasks
-    as its rows need; each task hands the first row of a key on to the next rows. Of every task the first and the last
-    key (one row) go to the driver, which tells a task whose first key began in an earlier one what leads it. ``chunk``
+    as its rows need; each task hands the first row of a key on to the next rows. The first and the last key of every
+    task (one row) tell a task whose first key began in an earlier one what leads it; they are broadcast. ``chunk``
     numbers runs of at most 1,024 rows of one key. Keys must not be null; equal rows share a lead. Order: nulls first.
     """
     spark, names = df.sparkSession, df.columns
@@ -102,20 +102,15 @@ def led(df: DataFrame, key: Sequence[str], order: Sequence[str], what: str = "le
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = df.repartitionByRange(parts, *key, *order).sortWithinPartitions(*key, *order).mapInArrow(mark, T.StructType(fields))
     out = stored(out, what)
+    # where a task's first key began in an earlier one, the first of those knows what leads it: one row a task
     k = F.struct(*key)
-    ends = out.groupBy("part").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.max_by(F.struct(*leads), k).alias("lead")).orderBy("part").collect()
-    wrong, at, lead = [], None, None
-    for r in ends:
-        if r["lo"] == at:
-            wrong.append((r["part"], *at, *lead))
-        if r["hi"] != at:
-            at, lead = r["hi"], r["lead"]
-    if not wrong:
-        return out.drop("part")
-    schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(c, kind[c]) for c in key], *[T.StructField(f"true_{a}", kind[c]) for a, c in zip(leads, order, strict=True)]])
-    mend = spark.createDataFrame(wrong, schema).withColumn("mended", F.lit(True))  # one row a partition at most
-    out = out.join(F.broadcast(mend), ["part", *key], "left")
-    return out.select(*names, *[F.when(F.col("mended"), F.col(f"true_{a}")).otherwise(F.col(a)).alias(a) for a in leads], "chunk")
+    ends = out.groupBy("part").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.max_by(F.struct(*leads), k).alias("lead"))
+    began = ends.groupBy(F.col("hi").alias("key")).agg(F.min("part").alias("from"), F.min_by("lead", "part").alias("true"))
+    mend = ends.join(F.broadcast(began), F.col("lo") == F.col("key")).filter("from < part").select(F.col("part").alias("of"), F.col("key").alias("led_key"), "true")
+    mend = stored(mend.coalesce(1), "mend")
+    out = out.join(F.broadcast(mend), (F.col("part") == F.col("of")) & (k == F.col("led_key")), "left")
+    known = F.col("of").isNotNull()
+    return out.select(*names, *[F.when(known, F.col("true")[a]).otherwise(F.col(a)).alias(a) for a in leads], "chunk")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
