@@ -1,32 +1,62 @@
-"""A manifest maintained from micro-batches of desired entries; every batch is one diff against the last version."""
+"""A manifest maintained from micro-batches of desired entries; every batch is a diff against the entries it may touch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assetloom.operators.manifest import apply_diff, diff_manifest
 from assetloom.operators.tables import keep_last_by
 
+_PART, _BATCH = "__part", "__batch"
 
-def maintain(path: str, key: str = "name", checksum: str = "source_checksum", order: str = "seen_at") -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``: upserts a batch into the newest version below ``path``.
 
-    Versions are folders ``v<batch id>`` written whole, so a batch that is run again replaces its own version only."""
+def maintain(path: str, key: str = "name", checksum: str = "source_checksum", order: str = "seen_at", parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``: upserts a batch into the manifest below ``path``.
+
+    Entries are dealt to ``parts`` by a hash of the key. A batch reads and writes anew only the parts that its keys fall
+    into, each as a folder of that part and batch; ``current`` takes the newest folder of each part. A batch that is run
+    again replaces its own folders only. A fraction of the manifest travels if ``parts`` is well above the keys of a batch,
+    all of it if every part is touched. Of a key that comes twice in a batch the last by ``order`` counts."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = keep_last_by(batch, [key], [order])
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-        before = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) < batch_id]
-        if before:
-            old = spark.read.parquet(f"{path}/v{max(before)}")
-            diff = diff_manifest(new, old.join(new.select(key), key, "left_semi"), key, checksum)
-            untouched = old.join(diff.filter("status <> 'keep'").select(key), key, "left_anti")
-            new = untouched.unionByName(apply_diff(old.limit(0), diff, new, key))
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        new = keep_last_by(batch, [key], [order]).withColumn(_PART, part)
+        touched = sorted(r[0] for r in new.select(_PART).distinct().collect())  # at most ``parts`` numbers
+        if not touched:
+            return
+        old = _newest(spark, path, batch_id, touched)
+        if old is not None:
+            near = old.join(new.select(key), key, "left_semi")
+            diff = diff_manifest(new, near, key, checksum)
+            kept = old.join(diff.filter("status <> 'keep'").select(key), key, "left_anti")
+            new = kept.unionByName(apply_diff(near.limit(0), diff, new, key))
+        out = new.withColumn(_BATCH, F.lit(batch_id).cast("long")).repartition(_PART)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BATCH, _PART).parquet(path)
 
     return run
+
+
+def _newest(spark: SparkSession, path: str, before: int | None, only: list[int] | None = None) -> DataFrame | None:
+    """The rows of the newest folder of each part, of batches before one; the folders' names tell, no file is read for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    every = spark.read.parquet(path)
+    some = every if before is None else every.filter(F.col(_BATCH) < before)
+    some = some if only is None else some.filter(F.col(_PART).isin(only))
+    # a folder each, counted from footers alone
+    top = some.groupBy(_PART).agg(F.max(_BATCH).alias("b")).collect()  # at most a row for each part
+    if not top:
+        return None
+    newest = F.create_map(*[F.lit(x) for r in top for x in (r[_PART], r["b"])])
+    return every.filter(F.col(_PART).isin([r[_PART] for r in top]) & F.col(_BATCH).isin(sorted({r["b"] for r in top})) & (F.col(_BATCH) == F.try_element_at(newest, F.col(_PART)))).drop(_BATCH)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest as the last batch left it, or None before the first."""
+    found = _newest(spark, path, None)
+    return None if found is None else found.drop(_PART)

@@ -369,13 +369,35 @@ def test_manifest_with_a_fault_is_refused(spark, tmp_path):
 
 
 def test_streamed_manifest(spark, tmp_path):
-    from assetloom.streaming.maintain import maintain
-
-    run = maintain(str(tmp_path / "m"))
-    run(spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("b", "2", 2)], "name string, source_checksum string, seen_at int"), 0)
-    run(spark.createDataFrame([("b", "2", 3), ("c", "1", 3), ("a", "9", 3)], "name string, source_checksum string, seen_at int"), 1)
-    got = {r.name: r.source_checksum for r in spark.read.parquet(f"{tmp_path}/m/v1").collect()}
-    assert got == {"a": "9", "b": "2", "c": "1"}
+    from assetloom.streaming.maintain import current, maintain
+
+    path, schema = str(tmp_path / "m"), "name string, source_checksum string, seen_at int"
+    assert current(spark, path) is None
+    run = maintain(path, parts=4)
+    rnd, want, batches = random.Random(1), {}, []
+    for i in range(6):
+        rows = [(f"k{rnd.randrange(30)}", str(rnd.randrange(3)), 100 * i + j) for j in range(rnd.choice([1, 2, 12]))]
+        batches.append(rows)
+        run(spark.createDataFrame(rows, schema), i)
+        want.update({n: c for n, c, _ in rows})
+        assert {r.name: r.source_checksum for r in current(spark, path).collect()} == want
+    run(spark.createDataFrame(batches[-1], schema), 5)  # run again
+    run(spark.createDataFrame([], schema), 6)
+    got = current(spark, path)
+    assert got.count() == len(want) and {r.name: r.source_checksum for r in got.collect()} == want
+    touched = [p for p in (tmp_path / "m").glob("__batch=*/__part=*")]
+    assert len(touched) < 6 * 4  # parts without a key of the batch aren't written
+
+
+def test_streamed_manifest_from_a_stream(spark, tmp_path):
+    from assetloom.streaming.maintain import current, maintain
+
+    schema = "name string, source_checksum string, seen_at int"
+    for i, rows in enumerate([[("a", "1", 1), ("b", "1", 1)], [("b", "2", 2), ("c", "1", 2)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = spark.readStream.schema(schema).json(str(tmp_path / "in")).writeStream.foreachBatch(maintain(str(tmp_path / "m"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert {r.name: r.source_checksum for r in current(spark, str(tmp_path / "m")).collect()} == {"a": "1", "b": "2", "c": "1"}
 
 
 def lines_below(path):
