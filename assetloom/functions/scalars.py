@@ -150,7 +150,8 @@ def recipe_md5(c: ColumnOrName, level: ColumnOrName) -> Column:
 
 
 def recipe_of(checksum: ColumnOrName, level: ColumnOrName) -> Column:
-    """A content checksum bound to the recipe of a level, without reading the content again."""
+    """A content checksum bound to the recipe of a level, without reading the content again: the MD5 of the checksum's
+    text and the recipe. It is another identity than ``recipe_md5`` of the content itself; a manifest keeps to one of them."""
     tag = _mapped(_c(level), {k: recipe(k).hex().upper() for k in LEVEL_RANK}, F.lit(""))
     return F.upper(F.md5(F.concat(_c(checksum), F.lit("+"), tag)))
 

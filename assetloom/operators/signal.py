@@ -355,15 +355,16 @@ def condition_chunks(chunks: DataFrame, level: str = "level", to: int = 48000, c
     """``condition`` of signals in rows (asset, chunk_no, channel_count, frame_rate, level, samples) of ``chunk_frames``
     frames, a multiple of the gate's window: the same columns, of signals of any length.
 
-    Signals that have the rate already are a map; of the others only halos and cut pieces travel, by signal and row."""
+    Signals that have the rate already (or no frame) are a map; of the others only halos and cut pieces travel, by signal and row."""
     if chunk_frames % window:
         raise ValueError("rows have to hold whole windows")
     facts = ["channel_count", "frame_rate", level]
     frames = F.sum(F.floor(F.size("samples") / F.col("channel_count"))).over(Window.partitionBy(asset))
-    other = chunks.filter(F.col("frame_rate") != to).withColumn("__n", frames)
+    as_is = (F.col("frame_rate") == to) | (F.size("samples") == 0)
+    other = chunks.filter(~as_is).withColumn("__n", frames)
     head = other.filter("chunk_no = 0").select(asset, *facts)
     done = resample_chunks(other, "__n", S.resampled_frames(F.col("__n"), F.col("frame_rate"), to), chunk_frames, asset, "channel_count").join(head, asset)
-    same = chunks.filter(F.col("frame_rate") == to).withColumn("samples", F.transform("samples", lambda x: x.cast("int")))
+    same = chunks.filter(as_is).withColumn("samples", F.transform("samples", lambda x: x.cast("int")))
     s = same.select(asset, "chunk_no", *facts, "samples").unionByName(done.select(asset, "chunk_no", *facts, "samples"))
     s = s.withColumn("samples", silence_gate("samples", S.gate_threshold(level), window, "channel_count"))
     return s.withColumn("samples", S.truncate_bits("samples", level)).withColumn("frame_rate", F.lit(to))

@@ -22,7 +22,7 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
     anew otherwise; files that are gone have none. Contents are read of stale files only.
 
     ``read`` takes the stale files to (path, md5, content). Without it their paths go to the driver, as Spark's file
-    reader has them listed there anyway. A file without samples has a shape of zeros."""
+    reader has them listed there anyway. A file without frames has a shape of zeros."""
     joined = files.select("path", "mtime").join(previous.select("path", F.col("mtime").alias("__at")), "path", "left")
     stale = joined.filter(S.is_stale("mtime", "__at")).select("path", "mtime")
     kept = previous.join(files.select("path"), "path", "left_semi").join(stale.select("path"), "path", "left_anti")
@@ -42,7 +42,7 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
         content.select("path", "md5")
         .join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
         .join(meta.withColumnRenamed("asset", "path"), "path")
-        .join(shape.withColumnRenamed("asset", "path"), "path", "left")
+        .join(shape.withColumnRenamed("asset", "path"), "path")
         .select(
             "path", "mtime", "md5", "frame_rate", "channel_count", "frame_count",
             *[S.quantise_level(F.col("level")[i]).alias(f"envelope_loudness{i}") for i in range(4)],

@@ -70,13 +70,13 @@ def parse_wav(data: bytes) -> tuple[int, int, np.ndarray]:
 
 def wav_to_chunks(files: DataFrame, chunk_frames: int = 4096, name: str = "path", content: str = "content") -> DataFrame:
     """Signals as rows of ``chunk_frames`` frames (interleaved samples), a multiple of 512 so that neither gates nor
-    buckets straddle rows. A file is parsed where it is read, one at a time."""
+    buckets straddle rows; a file without frames is one empty row. A file is parsed where it is read, one at a time."""
 
     def run(batches):
         for b in batches:
             for asset, data in zip(b.column(0), b.column(1), strict=True):
                 channels, rate, frames = parse_wav(data.as_py())
-                for no, at in enumerate(range(0, len(frames), chunk_frames)):
+                for no, at in enumerate(range(0, max(len(frames), 1), chunk_frames)):
                     part = np.ascontiguousarray(frames[at : at + chunk_frames]).ravel()
                     yield pa.RecordBatch.from_arrays(
                         [

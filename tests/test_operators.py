@@ -71,6 +71,24 @@ def test_files_and_wav(spark, tmp_path):
     assert c.channel_count == 2 and c.samples == [1, -2, 3, -4, 5, -6, 0, 0]  # overstated data: padded
 
 
+def test_features_of_short_and_empty_files(spark):
+    def wav(samples):
+        col = F.array(*[F.lit(x) for x in samples]).cast("array<int>")
+        return files.wav_bytes(col)
+
+    one = spark.range(1)
+    sets = {"empty": [], "one": [-16384], "short": [100] * 7 + [8192], "long": [0, 32767] * 40}
+    content = None
+    for name, x in sets.items():
+        row = one.select(F.lit(name).alias("path"), F.lit("m").alias("md5"), wav(x).alias("content"), F.timestamp_seconds(F.lit(5)).alias("mtime"))
+        content = row if content is None else content.unionByName(row)
+    content = stored(content)
+    none = "path string, mtime long, md5 string, frame_rate int, channel_count int, frame_count long, " + ", ".join(f"{c} int" for c in [*[f"envelope_loudness{i}" for i in range(4)], "envelope_time1", "envelope_time2"])
+    got = {r.path: r for r in jobs.refresh_features(content.select("path", "mtime"), spark.createDataFrame([], none), read=lambda s: content, store=stored, bucket=4, chunk_frames=16).collect()}
+    assert {k: r.frame_count for k, r in got.items()} == {k: len(x) for k, x in sets.items()}
+    assert got["empty"].envelope_loudness0 == 0 and got["one"].envelope_time1 == int(65535 * 0.3) and got["long"].envelope_loudness1 == 99
+
+
 CUBE = [
     ((0, 0, 0), (0, 1, 0), (0, 0, 1)), ((1, 0, 0), (1, 0, 1), (1, 1, 0)), ((0, 0, 0), (0, 0, 1), (1, 0, 0)),
     ((0, 1, 0), (1, 1, 0), (0, 1, 1)), ((0, 0, 0), (1, 0, 0), (0, 1, 0)), ((0, 0, 1), (0, 1, 1), (1, 0, 1)),
@@ -327,9 +345,13 @@ def test_chunked_conditioning_equals_whole_signals(spark, channels):
             level = rnd.choice(["none", "low", "extreme"])
             whole[a] = (s, rate, level)
             rows += [(a, c, channels, rate, level, s[k : k + 16 * channels]) for c, k in enumerate(range(0, len(s), 16 * channels))]
+    rows += [("none", 0, channels, 8000, "low", [])]
     chunks = spark.createDataFrame(rows, "asset string, chunk_no long, channel_count int, frame_rate int, level string, samples array<int>")
     got = {}
     for r in signal.condition_chunks(chunks, chunk_frames=16, window=8).orderBy("asset", "chunk_no").collect():
+        if r.asset == "none":
+            assert r.samples == [] and r.frame_rate == 48000
+            continue
         assert r.chunk_no == len(got.setdefault(r.asset, [])) // (16 * channels) and r.frame_rate == 48000
         got[r.asset] += r.samples
     gate, mask = {"none": 0, "low": 128, "extreme": 1024}, {"none": ~0, "low": ~3, "extreme": ~255}
