@@ -294,3 +294,19 @@ def test_warc_round_trip(spark, tmp_path):
     empty = str(tmp_path / "none")
     warc.write_warc(pages.limit(0), empty)
     assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_sql_on_odd_pages(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from assetloom.llm import queries as q
+
+    rows = PAGES + [(None, "x", "<p>x</p>"), (None, "x", "<p>x</p>"), (9, "x", None), (9, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = q.op6_warc(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    want = con.execute(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({q.SQL['op6_warc']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
