@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,28 @@ def led(df: DataFrame, key: Sequence[str], order: Sequence[str], what: str = "le
     return out.select(*names, *[F.when(known, F.col("true")[a]).otherwise(F.col(a)).alias(a) for a in leads], "chunk")
 
 
+def numbered(df: DataFrame, order: Sequence[str] = (), name: str = "at", what: str = "numbered") -> DataFrame:
+    """Every row with its number from 0 (``name``) in the order of the given columns, or in any fixed order without them.
+
+    Rows are range-partitioned and sorted, numbered within their partition and written to the shared folder; the first
+    number of each partition comes from the counts of those before it (one row a partition, broadcast)."""
+    spark, names = df.sparkSession, df.columns
+
+    def mark(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))], [*names, "part_", "pos_"])
+            at += b.num_rows
+
+    fields = [*df.schema.fields, T.StructField("part_", T.IntegerType()), T.StructField("pos_", T.LongType())]
+    if order:
+        df = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    out = stored(df.mapInArrow(mark, T.StructType(fields)), what)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    start = out.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    return out.join(F.broadcast(start), "part_").select(*names, (F.col("base_") + F.col("pos_")).alias(name))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import decontaminate, licences, linededup, minhash, mixing, neighbours, pii, quality, tokens, warc
+from assetloom.llm import decontaminate, hardneg, licences, linededup, minhash, mixing, neighbours, piecewise, pii, quality, tokens, warc, whitening
 from assetloom.llm._common import scratch, table
 
 
@@ -58,6 +58,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compared(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.hard_negatives(rows, rows.filter("vec_id % 50 = 0").select("vec_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +85,9 @@ QUERIES = {
         op8_pii,
         op9_quality_classifier,
         op10_decontamination,
+        op11_whitening,
+        op12_fingerprints,
+        op13_hard_negatives,
     )
 }
 
@@ -87,4 +104,25 @@ SQL: dict[str, str] = {
            CASE WHEN n = 1 THEN NULL ELSE top END AS refers_to
     FROM m""",
     "op7_license_scan": licences.oracle(),
+    "op13_hard_negatives": """
+    WITH e AS (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ),
+    s AS (
+        SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+        FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+    ),
+    p AS (
+        SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE same
+    ),
+    n AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        WHERE p.k <= 5
+    )
+    SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
