@@ -50,9 +50,9 @@ def _pieces(data: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 
     A byte ends a piece at a level if that many low bits of its window's hash are ones and the text has no such window
     before (or repetitive texts had ends everywhere), so the ends of a level are among those of the one below. The level
-    is the lowest that gives at most ``MOST`` ends, from half the length's share on."""
+    is the lowest that gives at most ``MOST`` ends, of those at which ``MOST`` pieces of usual length make up the text."""
     n = len(data)
-    level = max(0, (max(n, 1) - 1).bit_length() - 7)
+    level = max(0, (max(n, 1) - 1).bit_length() - 6)
     ends, sums, marks, seen = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
     lead, carry, scale = np.zeros(WINDOW - 1, np.uint8), np.uint64(0), 1
     for at in range(0, n, SEGMENT):
