@@ -36,6 +36,42 @@ def _of(words: _words.Words, at: int) -> np.ndarray:
     return words.hash[words.first[at] : words.first[at + 1]]
 
 
+def _edges(a: np.ndarray, b: np.ndarray, at: np.ndarray, by_a: np.ndarray, by_b: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of equal codes a[i] = b[j] whose neighbours by_a[i] and by_b[j] differ or are not there (-1); ``at`` are the
+    places of b with a code. Of pairs whose neighbours are equal none is made."""
+    key = b[at] * (kinds + 1) + by_b[at] + 1
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    lo, hi = np.searchsorted(key, a * (kinds + 1)), np.searchsorted(key, (a + 1) * (kinds + 1))
+    same = a * (kinds + 1) + by_a + 1
+    from_, to = np.where(by_a < 0, lo, np.searchsorted(key, same)), np.where(by_a < 0, lo, np.searchsorted(key, same, "right"))
+    i, j = [], []
+    for x, y in ((lo, from_), (to, hi)):
+        n = y - x
+        i.append(np.repeat(np.arange(len(a)), n))
+        j.append(at[np.repeat(x - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(i), np.concatenate(j)
+
+
+def runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """All maximal runs a[i : i + n] = b[j : j + n], as (n, i, j).
+
+    Only the first and the last pair of every run are made, and matched in order along their diagonal: texts that repeat
+    a period have few runs but as many pairs as the product of their lengths."""
+    values, a = np.unique(a, return_inverse=True)
+    code = np.minimum(np.searchsorted(values, b), len(values) - 1)
+    b = np.where(values[code] == b, code, -1)
+    at = np.flatnonzero(b >= 0)
+    none = np.array([-1])
+    ends = []
+    for by_a, by_b in ((np.concatenate([none, a[:-1]]), np.concatenate([none, b[:-1]])), (np.concatenate([a[1:], none]), np.concatenate([b[1:], none]))):
+        i, j = _edges(a, b, at, by_a, by_b, len(values))
+        order = np.lexsort((i, j - i))
+        ends.append((i[order], j[order]))
+    (i, j), (last, _) = ends
+    return list(zip((last - i + 1).tolist(), i.tolist(), j.tolist(), strict=True))
+
+
 class Items:
     """The words of a block of benchmark passages and the hashes of all their runs of ``least`` words (the seeds).
 
@@ -50,25 +86,21 @@ class Items:
             h, item, at = _words.shingles(w, k)
             mine = size[item] >= least if k == least else size[item] == k
             h, item, at = h[mine], item[mine], at[mine]
+            order = np.lexsort((at, item))  # seeds of a passage in their order
+            own = h[order], np.searchsorted(item[order], np.arange(w.n + 1))
             order = np.argsort(h, kind="stable")
-            self.seeds[k] = h[order], item[order], (at - w.first[item])[order]
+            self.seeds[k] = h[order], item[order], (at - w.first[item])[order], own
 
-    def tiles(self, item: int, text: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-        """Greedy string tiling of one passage against one text from the seeds (places i in the passage, j in the text).
+    def tiles(self, item: int, text: np.ndarray, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Greedy string tiling of one passage against one text from the runs of seeds (how many, places in passage and text).
 
-        Seeds are equal fingerprints of ``least`` words; seeds that follow one another make up the maximal matches,
-        whose words are compared. The longest match is marked first (ties: earlier in the passage, then in the text);
+        Seeds are equal fingerprints of ``least`` words; runs of them make up the maximal matches, whose words are compared. The longest match is marked first (ties: earlier in the passage, then in the text);
         what a match loses to earlier marks splits it, and pieces of at least ``least`` words compete again. It ends
         when no stretch of ``least`` words of the passage is free.
         """
         mine = self.words[item]
         least = min(self.least, len(mine))
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
-        at = np.flatnonzero(new)
-        heap = [(-(n + least - 1), x, y) for n, x, y in zip(np.diff(np.append(at, len(i))).tolist(), i[at].tolist(), j[at].tolist(), strict=True)]
+        heap = [(-(n + least - 1), x, y) for n, x, y in found]
         heapq.heapify(heap)
         taken, used, out = np.zeros(len(mine), bool), np.zeros(len(text), bool), []
         while heap:
@@ -92,34 +124,35 @@ class Items:
         if not self.seeds:
             return
         w = _words.words(folded(texts), folded=True)
-        for k, (seed, item_of, place) in self.seeds.items():
-            h, doc, at = _words.shingles(w, k)
+        for k, (seed, item_of, place, (own, first)) in self.seeds.items():
+            h, doc, _ = _words.shingles(w, k)
             whole = np.diff(w.first)[doc] >= k
-            h, doc, at = h[whole], doc[whole], at[whole]
-            lo, hi = np.searchsorted(seed, h), np.searchsorted(seed, h, "right")
-            hit = np.flatnonzero(hi > lo)
+            h, doc = h[whole], doc[whole]
+            known = np.searchsorted(seed, h)
+            hit = np.flatnonzero(seed[np.minimum(known, len(seed) - 1)] == h)
             some, begin = np.unique(doc[hit], return_index=True)  # texts come in their order
-            for d, x, y in zip(some.tolist(), begin, np.append(begin[1:], len(hit)), strict=False):  # one text's pairs at once
-                mine = hit[x:y]
-                n = hi[mine] - lo[mine]
-                pair = np.repeat(lo[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                j = np.repeat(at[mine] - w.first[d], n)
-                item, i = item_of[pair], place[pair]
-                order = np.argsort(item, kind="stable")
-                item, i, j = item[order], i[order], j[order]
+            for d, x, y in zip(some.tolist(), begin, np.append(begin[1:], len(hit)), strict=False):
+                # every place of a passage once, however often the text has its seed
+                each = np.unique(h[hit[x:y]])
+                lo, n = np.searchsorted(seed, each), np.searchsorted(seed, each, "right")
+                n -= lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                at = at[np.argsort(item_of[at], kind="stable")]
+                item = item_of[at]
                 bound = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
+                mine = h[slice(*np.searchsorted(doc, [d, d + 1]))]
                 for a, b in zip(bound[:-1], bound[1:], strict=True):
-                    size = len(self.words[item[a]])
+                    of = int(item[a])
+                    size = len(self.words[of])
                     reach = np.zeros(size + 1, np.int64)
-                    starts = np.unique(i[a:b])
-                    np.add.at(reach, starts, 1)
-                    np.add.at(reach, starts + k, -1)
+                    np.add.at(reach, place[at[a:b]], 1)
+                    np.add.at(reach, place[at[a:b]] + k, -1)
                     if np.count_nonzero(np.cumsum(reach)) < threshold * size:
                         continue
-                    tiles = self.tiles(int(item[a]), _of(w, d), i[a:b], j[a:b])
+                    tiles = self.tiles(of, _of(w, d), runs(own[first[of] : first[of + 1]], mine))
                     covered = sum(t for _, _, t in tiles)
                     if covered >= threshold * size:
-                        yield d, int(item[a]), covered, size, len(tiles)
+                        yield d, of, covered, size, len(tiles)
 
 
 def blocks(benchmark: DataFrame, least: int, block_bytes: int, id_col: str, text_col: str):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm._common import dropped, pick, stored
+from assetloom.llm._common import pick, stored
 
 DOMAINS = ("good", "poor", "toxic")
 #: Default target shares of the expected tokens.
@@ -134,8 +134,8 @@ def mix(
     labels: DataFrame,
     targets: dict[str, float] | None = None,
     budget: float | None = None,
-    steps: int = 60,
     tolerance: float = 1e-6,
+    steps: list | None = None,
     max_labelled: int = 4000,
     vocabulary: int = 128,
     id_col: str = "doc_id",
@@ -149,11 +149,15 @@ def mix(
     in the metric of the inverse second moments of the posteriors, in which overlapping domains don't slow the descent;
     targets that can be met are met in any metric.
 
-    The rates are found by projected gradient steps with momentum, restarted when the residual grows. In the scaling
-    where a document weighs as the root of its tokens a step is rate - (p . gradient), cut at zero, and the gradient
-    comes from as many sums as there are domains: one aggregation over (tokens, posteriors, rate) a step.
-    The texts are read once; the narrow table of tokens and posteriors is written to the shared folder, and so are the
-    rates after every eighth step.
+    The rates are found by projected gradient steps in their lazy form: scaled gradients add up to one number a domain
+    (``pull``), and the rates are the even rate minus p . pull, cut at zero. A step is one aggregation over the narrow
+    table of tokens and posteriors: of each of five step lengths it gives the domain totals and the second moments of the
+    documents whose rate is not cut, which scale the next gradient. Of all rates that meet the targets these differ least
+    from the even one. A price on that difference, which falls by ten whenever the steps have settled, keeps ``pull``
+    finite. There is no bound on steps: they end when the distance is at most ``tolerance`` of the budget, or when the
+    price has fallen below 1e-7 and a further tenth lessens the distance by less than a thousandth, which is the nearest
+    point to targets out of reach. ``steps`` receives the distances. The texts are read once, and the narrow table is
+    written to the shared folder.
 
     Nulls and edge cases: null and empty texts have no tokens and add nothing; repeated rows each get a rate; ids may be
     null; without usable labels all posteriors are alike; a target that no document can serve is approached as far as
@@ -168,52 +172,64 @@ def mix(
         lambda x: let(posterior(x["f"], model), lambda p: F.struct(x["n"].alias("n"), *[p[i].alias(f"p{i}") for i in k])),
     )
     flat = stored(src.select("id", F.explode(F.array(one)).alias("x")).select("id", "x.*"), "posteriors")
-    moments = [F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in k for j in k]
-    m = flat.agg(F.sum("n").alias("n"), *moments).first()
+    second = [F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in k for j in k]
+    m = flat.agg(F.sum("n").alias("n"), *second).first()
     total = m["n"] or 0
     names = [F.col(f"p{i}").alias(f"p_{d}") for i, d in zip(k, DOMAINS, strict=True)]
     if not total:
         return flat.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *names, F.lit(1.0).alias("rate"))
     want = [targets.get(d, 0.0) * (budget or total) / total for d in DOMAINS]
-    trace = sum(m[f"m{i}{i}"] for i in k) / total
-    metric = inverse([[m[f"m{i}{j}"] / total + (1e-6 * trace if i == j else 0.0) for j in k] for i in k])
-
-    def gap(sums, prefix: str) -> list[float]:
-        return [sums[f"{prefix}{i}"] / total - want[i] for i in k]
-
-    def scaled(g: list[float]) -> list[float]:
-        return [sum(metric[i][j] * g[j] for j in k) for i in k]
-
-    state = flat.withColumn("rate", F.lit(sum(want))).withColumn("ahead", F.col("rate"))
-
-    def dot(g: list[float]) -> Column:
-        return sum((F.col(f"p{i}") * g[i] for i in k), F.lit(0.0))
-
-    t, last, kept = 1.0, math.inf, None
-    for step in range(1, steps + 1):
-        sums = state.agg(
-            *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("ahead")).alias(f"a{i}") for i in k],
-            *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("rate")).alias(f"r{i}") for i in k],
-        ).first()
-        g = gap(sums, "r")
-        miss = math.sqrt(max(0.0, sum(x * y for x, y in zip(g, scaled(g), strict=True))))
-        if miss <= tolerance * sum(want) or abs(last - miss) <= 1e-9 * sum(want):
+    size, trace = sum(want), sum(m[f"m{i}{i}"] for i in k) / total
+    soft = [[m[f"m{i}{j}"] / total + (1e-6 * trace if i == j else 0.0) for j in k] for i in k]
+    metric = inverse(soft)
+
+    def dot(a, b) -> float:
+        return sum(x * y for x, y in zip(a, b, strict=True))
+
+    def times(matrix: list[list[float]], v: list[float]) -> list[float]:
+        return [dot(row, v) for row in matrix]
+
+    def rate(pull: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(size) - sum((F.col(f"p{i}") * pull[i] for i in k), F.lit(0.0)))
+
+    def tried(pulls: list[list[float]]) -> list[tuple]:
+        """Of every pull: its gap to the targets by domain, the moments of what it doesn't cut, and the mean squared rate."""
+        sums = []
+        for c, pull in enumerate(pulls):
+            r, live = rate(pull), F.col("n") * (rate(pull) > 0).cast("double")
+            sums += [F.sum(F.col("n") * F.col(f"p{i}") * r).alias(f"t{c}{i}") for i in k]
+            sums += [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"a{c}{i}{j}") for i in k for j in k]
+            sums.append(F.sum(F.col("n") * r * r).alias(f"q{c}"))
+        got = flat.agg(*sums).first()
+        return [([got[f"t{c}{i}"] / total - want[i] for i in k], [[got[f"a{c}{i}{j}"] / total for j in k] for i in k], got[f"q{c}"] / total) for c in range(len(pulls))]
+
+    def cost(pull: list[float], square: float) -> float:
+        return square / 2 + dot(pull, want) + price / 2 * dot(pull, times(soft, pull))
+
+    pull, price, settled = [0.0] * len(DOMAINS), 1e-3, None
+    gap, moments, square = tried([pull])[0]
+    while True:
+        miss = math.sqrt(max(0.0, dot(gap, times(metric, gap))))
+        if steps is not None:
+            steps.append(miss / size if size else miss)
+        if miss <= tolerance * size:
+            break
+        while True:
+            slope = [x - price * y for x, y in zip(gap, times(soft, pull), strict=True)]
+            if math.sqrt(max(0.0, dot(slope, times(metric, slope)))) > max(miss / 100, tolerance * size / 10):
+                step = times(inverse([[moments[i][j] + price * soft[i][j] for j in k] for i in k]), slope)
+                pulls = [[x + c * y for x, y in zip(pull, step, strict=True)] for c in (1.0, 0.5, 0.25, 0.0625, 0.01)]
+                found = tried(pulls)
+                best = min(range(len(pulls)), key=lambda c: cost(pulls[c], found[c][2]))
+                if cost(pulls[best], found[best][2]) < cost(pull, square):
+                    pull, (gap, moments, square) = pulls[best], found[best]
+                    break
+            # the steps have settled at this price
+            if settled is not None and settled - miss <= 1e-3 * miss and price < 1e-7:
+                found = None
+                break
+            settled, price = miss, price / 10
+        if found is None:
             break
-        if miss > last:  # the momentum overshot: start it again from the rates
-            t = 1.0
-            new = F.greatest(F.lit(0.0), F.col("rate") - dot(scaled(g)))
-        else:
-            new = F.greatest(F.lit(0.0), F.col("ahead") - dot(scaled(gap(sums, "a"))))
-        last = miss
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        push = (t - 1) / after
-        t = after
-        state = state.withColumn("new", new)
-        state = state.select("id", "n", *[f"p{i}" for i in k], F.col("new").alias("rate"), (F.col("new") + (F.col("new") - F.col("rate")) * push).alias("ahead"))
-        if step % 8 == 0:
-            before, state = kept, stored(state, "rates")
-            kept = state
-            if before is not None:
-                dropped(before)
     rounded = [F.round(F.col(f"p{i}"), 6).alias(f"p_{d}") for i, d in zip(k, DOMAINS, strict=True)]
-    return state.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *rounded, F.round("rate", 6).alias("rate"))
+    return flat.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *rounded, F.round(rate(pull), 6).alias("rate"))

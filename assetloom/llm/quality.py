@@ -26,7 +26,7 @@ _BUCKETS = 32
 #: Numbers kept of a document: the shape of its text, and the metadata before languages and sources become columns.
 _TEXT = _N + 4
 _WIDE = [f"f{i}" for i in range(_TEXT + 3)]
-#: Buckets of hashed words; a document keeps a byte for each, its number of words there up to 255.
+#: Buckets of hashed words; a document keeps its number of words in each (32 bits).
 _WORDS = 192
 #: Words are many and rare: their weights are held back more than those of the shape.
 _WORD_RIDGE = 60.0
@@ -34,10 +34,10 @@ _WORD_RIDGE = 60.0
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of whole texts, a row each: their shape (shares of character classes, word length, repetition; floats), and how
-    many of their words (lower case, without punctuation) fall into each bucket (bytes)."""
+    many of their words (lower case, without punctuation) fall into each bucket."""
     w = _words.words(texts, folded=True)
     bag = np.bincount(w.doc * _WORDS + (w.hash % np.uint64(_WORDS)).astype(np.int64), minlength=w.n * _WORDS).reshape(w.n, _WORDS)
-    bag = np.minimum(bag, 255).astype(np.uint8)
+    bag = bag.astype(np.uint32)
     w = _words.words(texts)
     n = w.n
     size = np.maximum(np.diff(w.offsets), 1)
@@ -207,8 +207,8 @@ def _rows(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 def _columns(rows: np.ndarray) -> list[pa.Array]:
     """Rows as columns: the numbers, and the words as one binary column."""
-    bag = np.ascontiguousarray(rows[:, len(_WIDE) :]).astype(np.uint8)
-    bounds = np.arange(len(rows) + 1, dtype=np.int32) * _WORDS
+    bag = np.ascontiguousarray(rows[:, len(_WIDE) :]).astype(np.uint32)
+    bounds = np.arange(len(rows) + 1, dtype=np.int32) * (4 * _WORDS)
     packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(bag.tobytes())])
     return [*(pa.array(np.ascontiguousarray(c)) for c in rows[:, : len(_WIDE)].T), packed]
 
@@ -220,7 +220,7 @@ _KINDS = ", ".join([*(f"{c} double" for c in _WIDE), "bag binary"])
 def _wide(b) -> np.ndarray:
     """The rows of a batch or table with the columns of ``_columns``."""
     numbers = [np.asarray(b.column(b.schema.names.index(c)).to_numpy(), float) for c in _WIDE]
-    bag = np.frombuffer(b"".join(b.column(b.schema.names.index("bag")).to_pylist()), np.uint8).reshape(b.num_rows, _WORDS)
+    bag = np.frombuffer(b"".join(b.column(b.schema.names.index("bag")).to_pylist()), np.uint32).reshape(b.num_rows, _WORDS)
     return np.column_stack([*numbers, bag]) if b.num_rows else np.zeros((0, len(_WIDE) + _WORDS))
 
 

@@ -249,6 +249,35 @@ def test_tiling_of_repetitive_texts_is_fast(spark):
     assert decontaminate.contaminated_pairs(docs, bench).count() == 20 and time.time() - began < 30
 
 
+def test_runs_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for kinds in (1, 2, 3, 9):
+        for _ in range(40):
+            a, b = rng.integers(0, kinds, rng.integers(1, 12)), rng.integers(0, kinds + 1, rng.integers(1, 20))
+            want = []
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                        n = 0
+                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                            n += 1
+                        want.append((n, i, j))
+            assert sorted(decontaminate.runs(a.astype(np.uint64), b.astype(np.uint64))) == sorted(want)
+
+
+def test_repetitive_texts_and_passages_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    items = decontaminate.Items(list(range(20)), ["x " * (1000 + i) for i in range(20)], 5)
+    tracemalloc.start()
+    got = list(items.search(pa.array(["x " * 20_000, "y " * 20_000, "x y " * 10_000]), 0.5))
+    assert [(d, i, c, n) for d, i, c, n, _ in got] == [(0, i, 1000 + i, 1000 + i) for i in range(20)]
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_tiles_do_not_overlap_and_longest_comes_first():
     items = decontaminate.Items([1], ["a b c d e f g h i j"], 3)
     import pyarrow as pa
@@ -333,7 +362,7 @@ def test_quality_features_equal_brute_force():
         rest = [math.log1p(sum(map(len, words)) / n), again, len(set(words)) / n, math.log1p(n), len(set(words)) / n * math.log1p(n)]
         assert np.allclose(row, [math.sqrt(x) for x in share] + rest)
         folded = "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in (text or "")).split()
-        assert counts.sum() == (len(folded) if len(folded) < 256 else 255 + 2)
+        assert counts.sum() == len(folded)  # no count is cut
     codes = quality.metadata_codes(pa.array(["en", None]), pa.array(["a", "a"]), pa.array([100, None]))
     view = quality.metadata_features(codes)
     assert view.shape == (2, 4 + 2 * quality._BUCKETS) and view[:, 4:].sum() == 4 and view[1, 0] == 0 and (view[0, -quality._BUCKETS :] == view[1, -quality._BUCKETS :]).all()
@@ -455,6 +484,31 @@ def test_mixing_meets_targets(spark, docs, odd):
     assert {r.rate for r in mixing.mix(odd.filter("doc_id in (2, 3)"), labels).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_mixing_reaches_targets_within_reach(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    steps = []
+    got = mixing.mix(docs, labels, steps=steps)
+    shares = got.selectExpr(*[f"sum(rate * n_tokens * p_{d}) / sum(n_tokens) as {d}" for d in mixing.DOMAINS]).first().asDict()
+    assert steps[-1] <= 1e-6 and all(abs(shares[d] - mixing.TARGETS[d]) < 1e-4 for d in mixing.DOMAINS)
+
+
+def test_mixing_ends_at_the_nearest_point(spark):
+    """Targets out of reach: the distance is that of a nonnegative least squares over the rays of the posteriors."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    steps = []
+    rows = mixing.mix(docs, labels, targets={"toxic": 1.0}, steps=steps).collect()
+    n, p = np.array([r.n_tokens for r in rows], float), np.array([[r.p_good, r.p_poor, r.p_toxic] for r in rows])
+    m = (p * n[:, None]).T @ p / n.sum()
+    root = np.linalg.cholesky(np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(3))).T
+    rays, goal = root @ p[n > 0].T, root @ np.array([0, 0, 1.0])
+    nearest = min(  # on a ray, between two, or inside three: here rays and pairs, as the target lies outside
+        np.linalg.norm(part @ np.maximum(0, np.linalg.lstsq(part, goal, rcond=None)[0]) - goal)
+        for part in [rays[:, [i, j]] for i in np.argsort(-(goal @ rays) / np.linalg.norm(rays, axis=0))[:60] for j in range(rays.shape[1])]
+    )
+    assert abs(steps[-1] - nearest) < 1e-3 * nearest
+
+
 def test_posteriors_equal_the_formula(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = mixing.fit_domains(docs.select(F.col("doc_id").alias("id"), "text"), labels, 4000, 128)
@@ -472,7 +526,7 @@ def test_posteriors_equal_the_formula(spark, docs):
 def test_mixing_classifier_knows_domains(spark):
     big = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
-    rows = mixing.mix(docs, labels.filter("doc_id % 2 = 0"), steps=1).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    rows = mixing.mix(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     good, poor = [r.p_poor for r in rows if r.quality == 1 and r.toxic == 0], [r.p_poor for r in rows if r.quality == 0 and r.toxic == 0]
     assert np.mean(poor) > 3 * np.mean(good)
 
