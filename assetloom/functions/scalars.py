@@ -277,6 +277,15 @@ def _xyz(c: ColumnOrName) -> list[Column]:
     return [_c(c)[i] for i in range(3)]
 
 
+def cross(a: ColumnOrName, b: ColumnOrName) -> list[Column]:
+    return _cross(_xyz(a), _xyz(b))
+
+
+def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Of the first three components."""
+    return _dot(_xyz(a), _xyz(b))
+
+
 def plane(p0: ColumnOrName, p1: ColumnOrName, p2: ColumnOrName) -> Column:
     """[nx, ny, nz, d] of the plane through three points (arrays); the normal follows (p1-p0) x (p2-p0)."""
     a, b, c = _xyz(p0), _xyz(p1), _xyz(p2)

@@ -103,33 +103,46 @@ def resample(samples: Column | str, frames_out: Column | int, channels: int = 1)
 
 def resample_chunks(chunks: DataFrame, frames_in: int | str | Column, frames_out: int | str | Column, chunk_frames: int, asset: str = "asset", channels: int | str | Column = 1) -> DataFrame:
     """Resampling of signals in rows (asset, chunk_no, samples) of ``chunk_frames`` frames (at least four), the last one
-    of any length: (asset, chunk_no, samples) in rows of as many frames again.
-
-    Each output frame reads from its own row and a halo of three frames before and four behind (one more than it needs,
-    as positions are rounded). The halo comes from the neighbouring rows, from two of them where the last row is shorter
-    than it, and the ends of a signal are neighbours.
-    What one row yields is cut at the bounds of the new rows, and each of these gathers its few pieces."""
+    of any length: (asset, chunk_no, samples) in rows of as many frames again. See ``_resampled``."""
+    n, out, ch = (F.lit(x) if isinstance(x, int) else _c(x) for x in (frames_in, frames_out, channels))
+    facts = chunks.select(asset, "chunk_no", F.floor(F.size("samples") / ch).alias("__len"), n.cast("long").alias("__n"), out.cast("long").alias("__out"))
+    return _resampled(chunks.select(asset, "chunk_no", "samples", ch.cast("int").alias("__ch")), facts, chunk_frames, asset)
+
+
+def _halos(chunks: DataFrame, facts: DataFrame, chunk_frames: int, asset: str) -> DataFrame:
+    """(asset, chunk_no, __n, __out, __start, __before, __after): the three frames before every row and the four behind it.
+
+    Halos are messages: each row sends its first four and last three frames, one small row a frame, keyed by signal and
+    place; each row asks for seven places, which wrap at the ends of the signal. No row's samples move here."""
+    ch, start = F.col("__ch"), F.col("chunk_no") * chunk_frames
+    size = F.floor(F.size("samples") / ch)
+    at = F.array_union(F.sequence(F.lit(0).cast("long"), F.least(size, F.lit(4)) - 1), F.sequence(F.greatest(size - 3, F.lit(0)), size - 1))
+    sent = chunks.filter(F.size("samples") > 0).select(asset, start.alias("__start"), "__ch", "samples", F.explode(at).alias("__j"))
+    frame = F.transform(F.slice("samples", (F.col("__j") * ch + 1).cast("int"), ch), lambda x: x.cast("int"))
+    sent = sent.select(asset, (F.col("__start") + F.col("__j")).alias("__at"), frame.alias("__frame"))
+    place = F.when(F.col("__k") < 3, F.col("__start") - 3 + F.col("__k")).otherwise(F.col("__start") + F.col("__len") + F.col("__k") - 3)
+    asked = facts.filter("__n > 0 and __out > 0 and __len > 0").withColumns({"__start": start, "__k": F.explode(F.sequence(F.lit(0), F.lit(6)))})
+    asked = asked.withColumn("__at", F.pmod(place, F.col("__n")))
+    got = asked.join(sent, [asset, "__at"]).groupBy(asset, "chunk_no", "__n", "__out", "__start").agg(F.array_sort(F.collect_list(F.struct("__k", "__frame"))).alias("h"))
+    part = lambda lo, n: F.flatten(F.transform(F.slice("h", lo, n), lambda x: x["__frame"]))
+    return got.select(asset, "chunk_no", "__n", "__out", "__start", part(1, 3).alias("__before"), part(4, 4).alias("__after"))
+
+
+def _resampled(chunks: DataFrame, facts: DataFrame, chunk_frames: int, asset: str) -> DataFrame:
+    """``chunks`` (asset, chunk_no, samples, __ch, further columns that are equal throughout a signal) at another length;
+    ``facts`` (asset, chunk_no, __len, __n, __out) has the frames of row, signal and result.
+
+    Each output frame reads from its own row and its halo (one frame more than it needs, as positions are rounded). A row
+    meets its halo by (signal, row), what it yields is cut at the bounds of the new rows, and each of these gathers its few
+    pieces, again by (signal, row): nothing brings a signal into one task."""
     if chunk_frames < 4:
         raise ValueError("a row has to hold four frames")
-    n, out, ch = (F.lit(x) if isinstance(x, int) else _c(x) for x in (frames_in, frames_out, channels))
-    w, every = Window.partitionBy(asset).orderBy("chunk_no"), Window.partitionBy(asset)
-    ints = F.transform("samples", lambda x: x.cast("int"))
-    edge = chunks.select(asset, "chunk_no", ints.alias("samples"), n.cast("long").alias("__n"), out.cast("long").alias("__out"), ch.cast("int").alias("__ch"))
-    edge = edge.filter("__n > 0 and __out > 0")
-    # what travels to other rows is a few frames
-    edge = edge.withColumns({"__head": F.slice("samples", F.lit(1), 4 * F.col("__ch")), "__tail": _last("samples", 3 * F.col("__ch"))})
-    none = F.array().cast("array<int>")
-    edge = edge.withColumn("__end", _last(F.concat(F.coalesce(F.lag("__tail").over(w), none), "__tail"), 3 * F.col("__ch")))
-    edge = edge.withColumns({"__first": F.min_by("__head", "chunk_no").over(every), "__last": F.max_by("__end", "chunk_no").over(every)})
-    # a signal of a few frames is repeated until it fills the halo
-    first = F.slice(F.concat(*["__first"] * 4), F.lit(1), 4 * F.col("__ch"))
-    before = F.coalesce(F.lag("__end").over(w), _last(F.concat(*["__last"] * 3), 3 * F.col("__ch")))
-    after = F.slice(F.concat(F.coalesce(F.lead("__head").over(w), none), first), F.lit(1), 4 * F.col("__ch"))
-    start = F.col("chunk_no") * chunk_frames
-    stop = start + F.floor(F.size("samples") / F.col("__ch"))
-    local = edge.select(
-        asset, "__n", "__out", "__ch", start.alias("__start"), F.concat(before, "samples", after).alias("__local"),
-        F.ceil(start * F.col("__out") / F.col("__n")).alias("__lo"),
+    carried = [c for c in chunks.columns if c not in (asset, "chunk_no", "samples", "__ch")]
+    local = chunks.join(_halos(chunks, facts, chunk_frames, asset), [asset, "chunk_no"])
+    stop = F.col("__start") + F.floor(F.size("samples") / F.col("__ch"))
+    local = local.select(
+        asset, *carried, "__n", "__out", "__ch", "__start", F.concat("__before", F.transform("samples", lambda x: x.cast("int")), "__after").alias("__local"),
+        F.ceil(F.col("__start") * F.col("__out") / F.col("__n")).alias("__lo"),
         F.least(F.ceil(stop * F.col("__out") / F.col("__n")), F.col("__out")).alias("__hi"),
     ).filter("__lo < __hi")
     pieces = local.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("__lo") / chunk_frames), F.floor((F.col("__hi") - 1) / chunk_frames))))
@@ -147,37 +160,59 @@ def resample_chunks(chunks: DataFrame, frames_in: int | str | Column, frames_out
 
         return S.let(i.cast("double") / F.col("__out") * F.col("__n"), at)
 
-    pieces = pieces.select(asset, "chunk_no", lo.alias("__at"), F.flatten(F.transform(F.sequence(lo, hi - 1), frame)).alias("__piece"))
+    pieces = pieces.select(asset, "chunk_no", *carried, lo.alias("__at"), F.flatten(F.transform(F.sequence(lo, hi - 1), frame)).alias("__piece"))
     whole = F.array_sort(F.collect_list(F.struct("__at", "__piece")))
-    return pieces.groupBy(asset, "chunk_no").agg(F.flatten(F.transform(whole, lambda x: x["__piece"])).alias("samples"))
+    out = pieces.groupBy(asset, "chunk_no").agg(F.flatten(F.transform(whole, lambda x: x["__piece"])).alias("samples"), *[F.min_by(c, "__at").alias(c) for c in carried])
+    return out.select(asset, "chunk_no", "samples", *carried)
+
+
+def hop_sums(chunks: DataFrame, width: int, hop: int, chunk_frames: int, asset: str = "asset", channels: int | str | Column = 1) -> DataFrame:
+    """(asset, channel, b, full, head): the sum of squares of every hop [b * hop, (b + 1) * hop) of a channel, and of the
+    first ``width % hop`` frames of it.
+
+    Rows give the sums of what they hold of each hop, so hops that cross rows are two or more partial sums, which are
+    combined before the shuffle. There is a row per hop, none per frame."""
+    ch, rest = F.lit(channels) if isinstance(channels, int) else _c(channels), width % hop
+    start = (F.col("chunk_no") * chunk_frames).cast("long")
+    rows = chunks.filter(F.size("samples") > 0).select(asset, start.alias("__s"), (start + F.floor(F.size("samples") / ch)).alias("__e"), ch.cast("int").alias("__ch"), F.transform("samples", lambda x: x.cast("long")).alias("__x"))
+    rows = rows.filter("__e > __s").withColumn("b", F.explode(F.sequence(F.floor(F.col("__s") / hop), F.floor((F.col("__e") - 1) / hop))))
 
+    def squares(lo: Column, hi: Column) -> Column:
+        """Of every channel, over the frames from lo to hi."""
+        part = F.slice("__x", ((lo - F.col("__s")) * F.col("__ch") + 1).cast("int"), (F.greatest(hi - lo, F.lit(0)) * F.col("__ch")).cast("int"))
+        one = lambda p, c: F.aggregate(F.filter(p, lambda x, i: i % F.col("__ch") == c), F.lit(0).cast("long"), lambda t, x: t + x * x)
+        return S.let(part, lambda p: F.transform(F.sequence(F.lit(0), F.col("__ch") - 1), lambda c: one(p, c)))
 
-def _last(samples: Column | str, n: Column) -> Column:
-    return F.slice(samples, F.greatest(F.size(samples) - n + 1, F.lit(1)), n)
+    lo, hi = F.greatest(F.col("b") * hop, F.col("__s")), F.least((F.col("b") + 1) * hop, F.col("__e"))
+    rows = rows.withColumn("v", F.arrays_zip(squares(lo, hi).alias("full"), squares(lo, F.least(hi, F.greatest(F.col("b") * hop + rest, lo))).alias("head")))
+    rows = rows.select(asset, "b", F.posexplode("v").alias("channel", "v")).select(asset, "channel", "b", "v.full", "v.head")
+    return rows.groupBy(asset, "channel", "b").agg(F.sum("full").alias("full"), F.sum("head").alias("head"))
 
 
-def windowed_rms_db(frames: DataFrame, asset: str, frame: str, sample: str, n: str, width: int, hop: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """The largest root mean square of the windows [k * hop, k * hop + width) that end before the last frame, in dBFS.
+def windowed_rms_db(chunks: DataFrame, width: int, hop: int | None = None, chunk_frames: int = 4096, asset: str = "asset", channels: int | str | Column = 1) -> DataFrame:
+    """(asset, channel, rms_db): the largest root mean square of the windows [k * hop, k * hop + width) that end before
+    the last frame, in dBFS, of signals in rows (asset, chunk_no, samples).
 
-    ``frames`` has one row per frame with the length ``n`` of its signal; each frame joins the few windows that hold
-    it, and sums of squares are exact integers. Signals shorter than a window have -80."""
+    A window is ``width // hop`` whole hops and the head of the next: each hop's sum goes to the few windows that hold it.
+    Sums are exact integers. Signals not longer than a window have -80."""
     hop = hop or max(1, width // 5)
-    at = F.col(frame)
-    lo, hi = F.greatest(F.ceil((at - width + 1) / hop), F.lit(0)), F.floor(at / hop)
-    last = F.ceil((F.col(n) - width) / hop) - 1  # offset + width < n
-    held = frames.withColumn("__w", F.explode(F.when(lo <= F.least(hi, last), F.sequence(lo, F.least(hi, last)))))
-    keys = [asset, *by]
-    sums = held.groupBy(*keys, "__w").agg(F.sum(F.col(sample).cast("long") * F.col(sample).cast("long")).alias("__s"))
-    best = sums.groupBy(*keys).agg(F.max("__s").alias("__s"))
-    rms = F.sqrt(F.col("__s") / F.lit(width)) / 32768.0
-    every = frames.select(*keys).distinct()
-    return every.join(best, keys, "left").select(*keys, F.coalesce(S.linear_to_db(rms), F.lit(S.FLOOR_DB)).alias("rms_db"))
-
-
-def loudness(frames: DataFrame, asset: str, channel: str, frame: str, sample: str, n: str, width: int, hop: int | None = None) -> DataFrame:
-    """(asset, peak_db, rms_db of the loudest channel, crest)."""
-    peak = frames.groupBy(asset).agg(S.linear_to_db(F.max(F.abs(F.col(sample).cast("int"))) / 32768.0).alias("peak_db"))
-    rms = windowed_rms_db(frames, asset, frame, sample, n, width, hop, by=[channel]).groupBy(asset).agg(F.max("rms_db").alias("rms_db"))
+    ch, whole = F.lit(channels) if isinstance(channels, int) else _c(channels), width // hop
+    n = chunks.groupBy(asset).agg(F.sum(F.floor(F.size("samples") / ch)).alias("__n"), F.max(ch).cast("int").alias("__ch"))
+    sums = hop_sums(chunks, width, hop, chunk_frames, asset, channels)
+    to = F.sequence(F.greatest(F.col("b") - whole, F.lit(0)), F.col("b"))  # the head counts in the window that ends there
+    held = sums.select(asset, "channel", "b", "full", "head", F.explode(to).alias("__w"))
+    held = held.groupBy(asset, "channel", "__w").agg(F.sum(F.when(F.col("b") - F.col("__w") == whole, F.col("head")).otherwise(F.col("full"))).alias("__q"))
+    held = held.join(n.select(asset, "__n"), asset).filter(F.col("__w") * hop + width < F.col("__n"))
+    best = held.groupBy(asset, "channel").agg(F.max("__q").alias("__q"))
+    every = n.select(asset, F.explode(F.sequence(F.lit(0), F.col("__ch") - 1)).alias("channel"))
+    rms = F.sqrt(F.col("__q") / F.lit(width)) / 32768.0
+    return every.join(best, [asset, "channel"], "left").select(asset, "channel", F.coalesce(S.linear_to_db(rms), F.lit(S.FLOOR_DB)).alias("rms_db"))
+
+
+def loudness(chunks: DataFrame, width: int, hop: int | None = None, chunk_frames: int = 4096, asset: str = "asset", channels: int | str | Column = 1) -> DataFrame:
+    """(asset, peak_db, rms_db of the loudest channel, crest) of signals in rows."""
+    peak = chunks.groupBy(asset).agg(S.linear_to_db(F.max(max_abs("samples")) / 32768.0).alias("peak_db"))
+    rms = windowed_rms_db(chunks, width, hop, chunk_frames, asset, channels).groupBy(asset).agg(F.max("rms_db").alias("rms_db"))
     return peak.join(rms, asset).withColumn("crest", F.col("peak_db") - F.col("rms_db"))
 
 
@@ -355,15 +390,18 @@ def condition_chunks(chunks: DataFrame, level: str = "level", to: int = 48000, c
     """``condition`` of signals in rows (asset, chunk_no, channel_count, frame_rate, level, samples) of ``chunk_frames``
     frames, a multiple of the gate's window: the same columns, of signals of any length.
 
-    Signals that have the rate already (or no frame) are a map; of the others only halos and cut pieces travel, by signal and row."""
+    Signals that have the rate already (or no frame) are a map. Of the others the frames are counted by a narrow
+    aggregate, halos are messages of seven frames a row, and samples move by (signal, row) only."""
     if chunk_frames % window:
         raise ValueError("rows have to hold whole windows")
     facts = ["channel_count", "frame_rate", level]
-    frames = F.sum(F.floor(F.size("samples") / F.col("channel_count"))).over(Window.partitionBy(asset))
     as_is = (F.col("frame_rate") == to) | (F.size("samples") == 0)
-    other = chunks.filter(~as_is).withColumn("__n", frames)
-    head = other.filter("chunk_no = 0").select(asset, *facts)
-    done = resample_chunks(other, "__n", S.resampled_frames(F.col("__n"), F.col("frame_rate"), to), chunk_frames, asset, "channel_count").join(head, asset)
+    other = chunks.filter(~as_is)
+    size = other.select(asset, "chunk_no", "frame_rate", F.floor(F.size("samples") / F.col("channel_count")).alias("__len"))
+    total = size.groupBy(asset).agg(F.sum("__len").alias("__n"), F.max("frame_rate").alias("__rate"))
+    total = total.select(asset, "__n", S.resampled_frames(F.col("__n"), F.col("__rate"), to).cast("long").alias("__out"))
+    rows = other.select(asset, "chunk_no", "samples", F.col("channel_count").cast("int").alias("__ch"), *facts)
+    done = _resampled(rows, size.join(total, asset).select(asset, "chunk_no", "__len", "__n", "__out"), chunk_frames, asset)
     same = chunks.filter(as_is).withColumn("samples", F.transform("samples", lambda x: x.cast("int")))
     s = same.select(asset, "chunk_no", *facts, "samples").unionByName(done.select(asset, "chunk_no", *facts, "samples"))
     s = s.withColumn("samples", silence_gate("samples", S.gate_threshold(level), window, "channel_count"))

@@ -43,12 +43,23 @@ r AS (SELECT vec_id, 20 * log10(sqrt(max(q) / 10.0) / 32768.0) AS rms FROM w GRO
 
 @query(f"WITH {_RMS} SELECT vec_id, round(rms, 6) AS rms_db FROM r")
 def a10_windowed_rms(spark, sf):
-    return A.windowed_rms_db(_frames(spark, sf), "vec_id", "i", "s", "n", 10).withColumn("rms_db", F.round("rms_db", 6))
+    rows = _rows_of(signals(spark, sf), 24)
+    return A.windowed_rms_db(rows, 10, chunk_frames=24, asset="vec_id").select("vec_id", F.round("rms_db", 6).alias("rms_db"))
+
+
+_UNEVEN = f"""{LONG}, w AS (SELECT vec_id, i % 2 AS channel, k, sum(s::BIGINT * s) AS q FROM long JOIN (SELECT unnest(range(9)) AS k) ON i // 2 >= 3 * k AND i // 2 < 3 * k + 11 WHERE 3 * k + 11 < 32 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_UNEVEN} SELECT vec_id, channel::INT AS channel, round(20 * log10(sqrt(max(q) / 11.0) / 32768.0), 6) AS rms_db FROM w GROUP BY 1, 2")
+def a10_uneven_windows(spark, sf):
+    """Two channels, rows of 7 frames, and windows of 11 frames every 3: neither is a multiple of the other."""
+    rows = _rows_of(signals(spark, sf), 14)
+    return A.windowed_rms_db(rows, 11, 3, chunk_frames=7, asset="vec_id", channels=2).withColumn("rms_db", F.round("rms_db", 6))
 
 
 @query(f"WITH {_RMS}, p AS (SELECT vec_id, 20 * log10(max(abs(s)) / 32768.0) AS peak FROM long GROUP BY 1) SELECT vec_id, round(peak, 6) AS peak_db, round(rms, 6) AS rms_db, round(peak - rms, 5) AS crest FROM p JOIN r USING (vec_id)")
 def a11_loudness(spark, sf):
-    f = A.loudness(_frames(spark, sf).withColumn("ch", F.lit(0)), "vec_id", "ch", "i", "s", "n", 10)
+    f = A.loudness(_rows_of(signals(spark, sf), 24), 10, chunk_frames=24, asset="vec_id")
     return f.select("vec_id", F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"), F.round("crest", 5).alias("crest"))
 
 
@@ -259,6 +270,11 @@ def j11_valid_volumes(spark, sf):
     return G.valid_volumes(_planes(spark, sf))
 
 
+@query(f"WITH {_VOLUMES} SELECT vec_id AS volume, i::INT AS i, j::INT AS j, k::INT AS k FROM ok")
+def j11_inside_points(spark, sf):
+    return G.inside_points(_planes(spark, sf)).select("volume", "i", "j", "k")
+
+
 @query(f"""WITH {_VOLUMES} SELECT vec_id AS volume, 'fewer than three planes' AS rule FROM embeddings WHERE vec_id % 10 = 0
     UNION ALL SELECT vec_id, 'bounds nothing' FROM embeddings WHERE vec_id % 10 <> 0 AND vec_id NOT IN (SELECT vec_id FROM ok)""")
 def p13_hull_problems(spark, sf):
