@@ -61,9 +61,14 @@ def _ranked(frames: Sequence[DataFrame], key: str, sign: int) -> DataFrame:
     return keep_first(out, [key], ["__rank"]).drop("__rank")
 
 
-def packed_offsets(m: DataFrame, by: Sequence[str], order: Sequence[str], size: str = "size", base: int = 2048, task_rows: int | None = None) -> DataFrame:
-    """Gap-free offsets: ``base`` plus the sizes of the entries before, per group of any size (see ``running``)."""
-    return running(m, by, order, size, "offset", task_rows=task_rows).withColumn("offset", F.col("offset") + F.lit(base).cast("long"))
+def packed_offsets(m: DataFrame, by: Sequence[str], order: Sequence[str], size: str = "size", base: int = 2048, task_rows: int | None = None, place: str | None = None) -> DataFrame:
+    """Gap-free offsets: ``base`` plus the sizes of the entries before, per group of any size (see ``running``), and with
+    ``place`` a column of that name with the number of entries before."""
+    if place:
+        m = running(m, by, order, {"offset": F.col(size), place: F.lit(1)}, task_rows=task_rows)
+    else:
+        m = running(m, by, order, size, "offset", task_rows=task_rows)
+    return m.withColumn("offset", F.col("offset") + F.lit(base).cast("long"))
 
 
 def retained_first(m: DataFrame, diff: DataFrame, key: str = "name") -> DataFrame:
@@ -124,8 +129,11 @@ def budget(m: DataFrame, by: Sequence[str], limit: str, size: str = "size", leve
     return g.filter((F.col("percent") >= pct) & (F.col("max_level") < top))
 
 
-def manifest_problems(m: DataFrame, version: int = 0, by: Sequence[str] = ("zone", "language", "storage_class")) -> DataFrame:
-    """(rule, detail) of what makes a manifest unusable: another version, offsets out of order or overlapping, names twice."""
+def manifest_problems(m: DataFrame, version: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """(rule, detail) of what makes a manifest unusable: another version, offsets out of order or overlapping, names twice.
+
+    ``by`` defaults to those of zone, platform, language and storage_class that the manifest has."""
+    by = [c for c in ("zone", "platform", "language", "storage_class") if c in m.columns] if by is None else by
     wrong = m.filter(F.lit(version != 0) & ~F.col("version").eqNullSafe(F.lit(version))).select(F.lit("version").alias("rule"), F.col("name").alias("detail"))
     order = check_monotonic(m, by, ["order"]).select(F.lit("offset order").alias("rule"), F.col("name").alias("detail"))
     twice = m.groupBy(*by, "name").count().filter("count > 1").select(F.lit("name twice").alias("rule"), F.col("name").alias("detail"))

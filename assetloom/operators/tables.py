@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from assetloom.operators.inherit import dimension
 from assetloom.sources.scratch import stored
@@ -58,24 +59,31 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
     return stored(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | str, name: str, inclusive: bool = False, task_rows: int | None = None) -> DataFrame:
-    """Adds the running sum of ``value`` (whole numbers) before each row of its group, or up to it.
+def running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | str | dict[str, Column], name: str = "", inclusive: bool = False, task_rows: int | None = None) -> DataFrame:
+    """Adds the running sum of ``value`` (whole numbers) before each row of its group, or up to it; of several values at
+    once, given by the names of their sums.
 
     A group is one window if no group has more rows than a task takes (``TASK_ROWS``). Else rows are range-partitioned by
     group and order, values are summed per partition and group (joined by broadcast if they are few), and only the sum
     within a partition is a window. Rows of equal order come in any order of each other."""
-    value, last = (F.col(value) if isinstance(value, str) else value), 0 if inclusive else -1
-    df, large = _split(df.withColumn("__v", value), by, task_rows)
+    values = value if isinstance(value, dict) else {name: F.col(value) if isinstance(value, str) else value}
+    last, names = 0 if inclusive else -1, list(values)
+    df, large = _split(df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())}), by, task_rows)
+
+    def sums(w: WindowSpec, base: str | None = None) -> dict[str, Column]:
+        each = {n: F.coalesce(F.sum(f"__v{i}").over(w), F.lit(0)) for i, n in enumerate(names)}
+        return {n: (c if base is None else F.col(f"{base}{i}") + c).cast("long") for i, (n, c) in enumerate(each.items())}
+
+    drop = [f"__v{i}" for i in range(len(names))]
     if not large:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumn(name, F.coalesce(F.sum("__v").over(w), F.lit(0)).cast("long")).drop("__v")
+        return df.withColumns(sums(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last))).drop(*drop)
     r = _ranged(df, by, order)
-    sums = r.groupBy("__part", *by).agg(F.sum("__v").alias("__sum"))
+    each = r.groupBy("__part", *by).agg(*[F.sum(f"__v{i}").alias(f"__sum{i}") for i in range(len(names))])
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__part", *by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    base = each.select("__part", *by, *[F.coalesce(F.sum(f"__sum{i}").over(before), F.lit(0)).alias(f"__base{i}") for i in range(len(names))])
     inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     j = _with(r, base, by)
-    return j.withColumn(name, (F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).cast("long")).drop("__part", "__base", "__v")
+    return j.withColumns(sums(inside, "__base")).drop("__part", *[f"__base{i}" for i in range(len(names))], *drop)
 
 
 def _with(rows: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:

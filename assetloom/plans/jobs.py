@@ -31,6 +31,12 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
     content = read(stale) if read else (src.read_assets(spark, paths) if paths else None)
     if content is None:
         return kept
+    new = features_of(content, store=store, **options).join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
+    return kept.unionByName(new.select(*previous.columns))
+
+
+def features_of(content: DataFrame, store=None, **options) -> DataFrame:
+    """(path, md5, frame_rate, channel_count, frame_count, envelope columns) of files (path, md5, content)."""
     chunks = src.wav_to_chunks(content)
     meta = chunks.groupBy("asset").agg(
         F.first("frame_rate").alias("frame_rate"),
@@ -38,18 +44,12 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
         F.sum(F.floor(F.size("samples") / F.col("channel_count"))).cast("long").alias("frame_count"),
     )
     shape = signal.envelope(chunks, store=store, **options)
-    new = (
-        content.select("path", "md5")
-        .join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
-        .join(meta.withColumnRenamed("asset", "path"), "path")
-        .join(shape.withColumnRenamed("asset", "path"), "path")
-        .select(
-            "path", "mtime", "md5", "frame_rate", "channel_count", "frame_count",
-            *[S.quantise_level(F.col("level")[i]).alias(f"envelope_loudness{i}") for i in range(4)],
-            *[S.quantise_time(F.col("time")[i]).alias(f"envelope_time{i}") for i in (1, 2)],
-        )
+    each = content.select("path", "md5").join(meta.withColumnRenamed("asset", "path"), "path").join(shape.withColumnRenamed("asset", "path"), "path")
+    return each.select(
+        "path", "md5", "frame_rate", "channel_count", "frame_count",
+        *[S.quantise_level(F.col("level")[i]).alias(f"envelope_loudness{i}") for i in range(4)],
+        *[S.quantise_time(F.col("time")[i]).alias(f"envelope_time{i}") for i in (1, 2)],
     )
-    return kept.unionByName(new)
 
 
 def ambient_volumes(faces: DataFrame, class_name: str = "trigger_multiple", target: str = "ambient_package") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -94,23 +94,37 @@ class Build:
     manifest: DataFrame
 
 
+#: What the manifest keeps of a file's content, where the files come with it (see ``incremental.measured_files``).
+FEATURES = ["frame_rate_index", "channel_count", "frame_count", *[f"envelope_loudness{i}" for i in range(4)], "envelope_time1", "envelope_time2"]
 TEMPLATE_COLUMNS = [c.name for c in P.ALIAS if c.inherited]
 
 
-def compile_aliases(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(aliases, violations): levels layered, templates and defaults applied, paths normalised, rows validated, keep-first."""
+def compile_rows(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) before any row is compared with another: levels layered, templates and defaults applied, paths
+    normalised, rows validated. Violations name the file of their row."""
     a = sources.withColumn("CompressionLevel", inherit.layered("CompressionLevel", "source_level"))
-    missing = inherit.missing_refs(a, templates, "Template", "Name").select("zone", F.col("Name").alias("key"), F.lit("unknown template").alias("rule"), F.col("Template").alias("detail"))
+    missing = inherit.missing_refs(a, templates, "Template", "Name").select("zone", F.col("Name").alias("key"), F.lit("unknown template").alias("rule"), F.col("Template").alias("detail"), "__file")
     a = inherit.inherit(a, templates, "Template", "Name", [c for c in TEMPLATE_COLUMNS if c in a.columns])
     a = a.join(inherit.dimension(zones), "zone").withColumn("CompressionLevel", inherit.layered("CompressionLevel", "zone_level", F.lit("none"))).drop("zone_level")
     a = S.apply_fixups(S.apply_defaults(a, P.ALIAS))
     a = a.withColumns({c: S.norm_path(c) for c in P.SPECS})
     a = S.clear(a)
     rules = validate.alias_rules()
-    keyed = a.withColumn("__key", F.to_json(F.struct("zone", F.col("Name").alias("key"))))
-    bad = validate.violations(keyed, rules, "__key").select(F.from_json("key", "zone string, key string").alias("k"), "rule", "detail").select("k.*", "rule", "detail")
-    a = tables.keep_first(validate.accepted(a, rules), ["zone", *P.DEDUP_KEYS], ["__file", "__row"])
-    return a, missing.unionByName(bad)
+    keyed = a.withColumn("__key", F.to_json(F.struct("zone", F.col("Name").alias("key"), F.col("__file").alias("file"))))
+    bad = validate.violations(keyed, rules, "__key").select(F.from_json("key", "zone string, key string, file string").alias("k"), "rule", "detail")
+    bad = bad.select("k.zone", "k.key", "rule", "detail", F.col("k.file").alias("__file"))
+    return validate.accepted(a, rules), missing.unionByName(bad)
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """Of rows that are alike the first by file and place."""
+    return tables.keep_first(rows, ["zone", *P.DEDUP_KEYS], ["__file", "__row"])
+
+
+def compile_aliases(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases, violations): ``compile_rows`` and keep-first."""
+    a, bad = compile_rows(sources, zones, templates)
+    return first_rows(a), bad.drop("__file")
 
 
 def alias_key(columns: Sequence[str]) -> Column:
@@ -119,15 +133,20 @@ def alias_key(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])), 256)
 
 
-def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""), base: int = 2048) -> Build:
+def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""), base: int = 2048, version: int = 1, compiled: tuple[DataFrame, DataFrame] | None = None) -> Build:
     """Zones built for requested (zone, platform, language) rows; all requests are one job with these as columns.
 
     Files are taken from the tree of the locale (its SearchName). The diff against the previous manifest comes before
-    any content is read, so only what is added or changed has to be converted."""
-    aliases, bad = compile_aliases(ctx.sources, ctx.zones, ctx.templates)
-    # read several times below: the wide expressions are evaluated once
-    with no_inferred_filters(requests.sparkSession):
-        aliases = stored(aliases, "aliases")
+    any content is read, so only what is added or changed has to be converted. Entries have their place in the order of
+    offsets (``order``), the ``version`` of the manifest, and those of ``FEATURES`` that the files have. ``compiled`` are aliases and violations that were compiled
+    before, as ``incremental`` keeps them."""
+    if compiled:
+        aliases, bad = compiled
+    else:
+        aliases, bad = compile_aliases(ctx.sources, ctx.zones, ctx.templates)
+        # read several times below: the wide expressions are evaluated once
+        with no_inferred_filters(requests.sparkSession):
+            aliases = stored(aliases, "aliases")
     aliases = aliases.withColumn("alias_key", alias_key(["zone", *P.DEDUP_KEYS]))
     platform = ctx.platforms.select(F.col("Platform").alias("__platform"), F.col("CompressionScale").alias("platform_scale"))
     locale = ctx.locales.select(F.col("Name").alias("language"), "SearchName", "IsShared", F.col("CompressionScale").alias("locale_scale"))
@@ -157,16 +176,19 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     names = {f"{slot}_{kind}": f"File{kind.capitalize()}{tail}" for slot, tail in (("main", ""), ("sustain", "Sustain"), ("release", "Release")) for kind in ("source", "target")}
     emitted = rows.drop(*P.GENERATED).join(wide.withColumnsRenamed(names), "row_key", "left").withColumnsRenamed({"platform": "Platform", "language": "Language"})
 
-    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size").distinct()
+    extra = [c for c in FEATURES if c in ctx.files.columns]
+    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra).distinct()
     desired = claims.join(content, ["tree", "source"]).select(
-        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", S.recipe_of("source_checksum", "CompressionLevel").alias("source_checksum"), "source", "CompressionLevel"
+        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", S.recipe_of("source_checksum", "CompressionLevel").alias("source_checksum"), "source", "CompressionLevel", *extra
     )
     key = "entry"
     desired, previous = (d.withColumn(key, F.struct(*by, "name")) for d in (desired, ctx.previous))
     diff = manifest.diff_manifest(desired, previous, key)
-    merged = manifest.retained_first(manifest.apply_diff(previous.select(key, *by, "name", "name_hash", "size", "source_checksum"), diff, desired.select(key, *by, "name", "name_hash", "size", "source_checksum"), key), diff, key)
-    packed = manifest.packed_offsets(merged, by, ["placement", "name"], base=base)
-    return Build(emitted, bad, claims, conflicts, lost, diff, packed.drop(key, "placement"))
+    entry = [key, *by, "name", "name_hash", "size", "source_checksum"]
+    was = previous.select(*entry, *[c for c in extra if c in previous.columns])
+    merged = manifest.retained_first(manifest.apply_diff(was, diff, desired.select(*entry, *extra), key), diff, key)
+    packed = manifest.packed_offsets(merged, by, ["placement", "name"], base=base, place="order")
+    return Build(emitted, bad, claims, conflicts, lost, diff, packed.drop(key, "placement").withColumn("version", F.lit(version)))
 
 
 @dataclass
@@ -182,13 +204,14 @@ class Side:
 
 
 def write_outputs(b: Build, requests: DataFrame, locales: DataFrame, side: Side, path: str) -> None:
-    """The side files of all requested zones and languages, in folders by kind, zone and language below ``path``.
+    """The side files of all requested zones, platforms and languages, in folders by kind, zone, platform and language
+    below ``path``.
 
     Aliases always; reverbs (by falling name), ambients, script ids and the lists of duck and music names for shared
     locales only; of the loaded assets their number, their bytes and their names in order of the offset."""
-    asked = requests.select("zone", "language").distinct()
-    shared = asked.join(inherit.dimension(locales.filter("IsShared").select(F.col("Name").alias("language"))), "language", "left_semi").select("zone", "language")
-    both = ["zone", "language"]
+    each = ["zone", "platform", "language"]
+    asked = requests.select(*each).distinct()
+    shared = asked.join(inherit.dimension(locales.filter("IsShared").select(F.col("Name").alias("language"))), "language", "left_semi").select(*each)
     sinks.write_tables(b.aliases, P.ALIAS, f"{path}/alias", asked, P.SORT_KEYS)
     for kind, rows, spec, keys, falling in (
         ("reverb", side.reverbs, P.REVERB, ["Name"], True),
@@ -200,18 +223,23 @@ def write_outputs(b: Build, requests: DataFrame, locales: DataFrame, side: Side,
             sinks.write_tables(rows.join(inherit.dimension(shared), "zone"), spec, f"{path}/{kind}", shared, keys, falling, blank)
 
     def names(rows: DataFrame | None, c: Column, skipped: Sequence[str] = ()) -> list[DataFrame]:
-        return [] if rows is None else [rows.select("zone", F.trim(c).alias("Name")).filter((F.col("Name") != "") & ~F.lower("Name").isin(list(skipped)))]
+        """Names of a zone, and of one platform where the rows have it."""
+        if rows is None:
+            return []
+        platform = F.col("Platform") if "Platform" in rows.columns else F.lit(None).cast("string")
+        return [rows.select("zone", platform.alias("only"), F.trim(c).alias("Name")).filter((F.col("Name") != "") & ~F.lower("Name").isin(list(skipped)))]
 
     ducks = [*names(b.aliases, F.col("Duck"), ["default"]), *names(side.ambients, F.col("Duck"), ["default"]), *names(side.ducks, S.file_stem("file"))]
     # a header for each list, also for one without names
     for kind, parts in (("ducklist", ducks), ("musiclist", names(side.music, S.file_stem("file")))):
         if parts:
             found = reduce(lambda x, y: x.unionByName(y), parts).distinct().join(inherit.dimension(shared), "zone")
-            head = shared.select("zone", "language", F.lit("Name").alias("Name"), F.lit(0).alias("i"))
-            sinks.write_lists(found.withColumn("i", F.lit(1)).unionByName(head), f"{path}/{kind}", both, "Name", ["i", "Name"])
+            found = found.filter("only is null or only = platform").select(*each, "Name").distinct()
+            head = shared.select(*each, F.lit("Name").alias("Name"), F.lit(0).alias("i"))
+            sinks.write_lists(found.withColumn("i", F.lit(1)).unionByName(head), f"{path}/{kind}", each, "Name", ["i", "Name"])
     loaded = b.manifest.filter("storage_class = 'loaded'")
-    totals = manifest.manifest_totals(loaded, both)
-    totals = asked.join(totals, both, "left").na.fill(0)
-    sinks.write_lists(totals, f"{path}/memory", both, "total_bytes", ["total_bytes"])
-    sinks.write_lists(totals, f"{path}/assetcount", both, "n", ["n"])
-    sinks.write_lists(loaded, f"{path}/assets", both, "name", ["offset"])
+    totals = manifest.manifest_totals(loaded, each)
+    totals = asked.join(totals, each, "left").na.fill(0)
+    sinks.write_lists(totals, f"{path}/memory", each, "total_bytes", ["total_bytes"])
+    sinks.write_lists(totals, f"{path}/assetcount", each, "n", ["n"])
+    sinks.write_lists(loaded, f"{path}/assets", each, "name", ["offset"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import scalars as S
 from assetloom.operators import geometry as G
 from assetloom.operators import signal as A
-from assetloom.plans import jobs
+from assetloom.plans import incremental, jobs
 from assetloom.queries.registry import LEVEL_OF_KEY, LONG, SIG, Registry, level_of, signals, table
 from assetloom.queries.sources import volume_planes
 from assetloom.sources import files, sinks
@@ -390,3 +390,61 @@ def m5_build_manifest(spark, sf):
 def m6_build_many(spark, sf):
     b = jobs.build(*build_inputs(spark, sf))
     return b.diff.groupBy(F.col("entry.language").alias("language"), "status").agg(F.count("*").alias("n"))
+
+
+def _written_inputs(spark, sf):
+    """The inputs of ``build_inputs`` as files: a source table for each of eight parts, an asset file for each of a part's
+    brands, and a folder of shared inputs; (requests, inputs, folder)."""
+    requests, ctx = build_inputs(spark, sf)
+    root = scratch(spark, "build")
+    rows = ctx.sources.filter("__file = 'f.csv'").select("zone", "Name", "FileSpec", "Storage", "PlatformMask", F.col("__row").alias("row"), (F.col("__row") % 8).alias("part"))
+    rows.repartition(1, "part").write.option("header", True).partitionBy("part").csv(f"{root}/tables")
+    brands = ctx.files.filter("tree = ''").select("parent").distinct()
+    brands.select(F.concat_ws(":", "parent", F.lit("1")).alias("value"), "parent").repartition(1).write.partitionBy("parent").text(f"{root}/assets")
+    spark.createDataFrame([("t",)], "value string").coalesce(1).write.text(f"{root}/shared")
+    from assetloom.functions.spec import ALIAS
+
+    def read(paths):
+        t = spark.read.schema("zone string, Name string, FileSpec string, Storage string, PlatformMask string, row long").option("header", True).csv(paths or [])
+        return S.complete(t.withColumns({"source_level": F.lit(None).cast("string"), "__file": F.col("_metadata.file_path"), "__row": F.col("row")}).drop("row"), ALIAS)
+
+    def inputs():
+        # each asset of the manifest belongs to the file of its brand
+        each = incremental.listing(spark, f"{root}/assets").withColumn("parent", F.url_decode(F.url_decode(F.regexp_extract("path", "parent=([^/]*)", 1))))
+        assets = ctx.files.filter("tree = ''").select("tree", "rel_path", "parent", "ext").join(each, "parent")
+        assets = assets.withColumn("path", F.concat("path", F.lit("#"), "rel_path"))
+
+        def hashed(fresh):
+            content = spark.read.text(f"{root}/assets").withColumn("parent", F.col("parent"))
+            return fresh.join(content, "parent").select("path", F.md5(F.concat("value", "rel_path")).alias("source_checksum"))
+
+        return incremental.Inputs(
+            tables=incremental.listing(spark, f"{root}/tables", "*.csv"), assets=assets, shared=incremental.listing(spark, f"{root}/shared"), read=read, hashed=hashed,
+            zones=lambda: ctx.zones, templates=lambda: ctx.templates, platforms=lambda: ctx.platforms, locales=lambda: ctx.locales,
+        )
+
+    return requests.filter("language = 'all'"), inputs, root
+
+
+_INCREMENTAL = """al AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'east' ELSE 'west' END AS zone, p_partkey, p_partkey % 8 AS part, lower(p_brand) AS b, CASE WHEN p_size % 3 = 0 THEN 'streamed' ELSE 'loaded' END AS storage_class FROM part WHERE p_size <> 13),
+w AS (SELECT zone, storage_class, part, 'snd\\' || b || '\\' || p_partkey || '.' || upper(left(storage_class, 1)) || 'N50.pc.snd' AS name, length(p_partkey::VARCHAR) AS l FROM al)"""
+
+
+@query(f"WITH {_INCREMENTAL} SELECT zone, storage_class, name, 0 AS changes, 0 AS compiled, 0 AS hashed FROM w")
+def m5_no_change(spark, sf):
+    """A second build of unchanged inputs: the same manifest, without anything compiled or hashed."""
+    requests, inputs, root = _written_inputs(spark, sf)
+    incremental.build(requests, inputs(), f"{root}/state")
+    again = incremental.build(requests, inputs(), f"{root}/state")
+    return again.manifest.select("zone", "storage_class", "name", F.lit(again.changes.count()).alias("changes"), F.lit(len(again.compiled)).alias("compiled"), F.lit(again.hashed).alias("hashed"))
+
+
+@query(f"WITH {_INCREMENTAL} SELECT zone, storage_class, name, 1 AS compiled, 0 AS hashed FROM w WHERE part <> 3 UNION ALL SELECT zone, 'streamed', regexp_replace(name, '[.].N50', '.SN50'), 1, 0 FROM w WHERE part = 3")
+def m5_one_file_changed(spark, sf):
+    """One source table is written anew with all of its assets streamed: its rows are compiled, no other file's."""
+    requests, inputs, root = _written_inputs(spark, sf)
+    incremental.build(requests, inputs(), f"{root}/state")
+    was = stored(spark.read.option("header", True).csv(f"{root}/tables").filter("part = 3").withColumn("Storage", F.lit("STREAMED")), "rows")
+    was.drop("part").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/tables/part=3")
+    again = incremental.build(requests, inputs(), f"{root}/state")
+    return again.manifest.select("zone", "storage_class", "name", F.lit(len(again.compiled)).alias("compiled"), F.lit(again.hashed).alias("hashed"))

@@ -10,7 +10,7 @@ from assetloom.operators import manifest as M
 from assetloom.operators.tables import keep_last_by
 from assetloom.plans import jobs
 from assetloom.queries.registry import LONG, Registry, signals, table
-from assetloom.sources import configs, files, sinks
+from assetloom.sources import configs, files, sinks, snapshots
 from assetloom.sources import tables as tab
 from assetloom.sources.scratch import scratch
 
@@ -337,5 +337,5 @@ def k6_geometry_json(spark, sf):
 def k7_deploy(spark, sf):
     a, b = scratch(spark, "cache"), scratch(spark, "ship")
     sinks.deploy(doc_manifest(spark, sf), [a, b])
-    return spark.read.parquet(b).select("name", "size", "zone")
+    return spark.read.parquet(snapshots.folder(spark, b)).select("name", "size", "zone")
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.sources import snapshots
+
 SUPPORTED = ["wav", "flac", "ogg"]
 CHUNKS = "asset string, chunk_no long, channel_count int, frame_rate int, samples array<smallint>"
 
@@ -127,19 +129,20 @@ def flac_streaminfo(files: DataFrame, content: str = "content") -> DataFrame:
 MANIFEST = (
     "name string, name_hash long, size long, frame_count long, `order` long, `offset` long, frame_rate_index int, channel_count int, looping int, "
     "format int, envelope_loudness0 int, envelope_loudness1 int, envelope_loudness2 int, envelope_loudness3 int, envelope_time1 int, "
-    "envelope_time2 int, source_checksum string, converted_checksum string, version int, zone string, language string, storage_class string"
+    "envelope_time2 int, source_checksum string, converted_checksum string, version int, zone string, platform string, language string, storage_class string"
 )
 
 
 def read_manifest(spark: SparkSession, path: str, version: int = 0) -> DataFrame:
-    """The previous manifest, or none of it where it is missing or fails a check (see ``manifest_problems``).
+    """The previous manifest, or none of it where it is missing or fails a check (see ``manifest_problems``). Of a location
+    that was published the current snapshot is read.
 
     A version of 0 accepts any. Nothing is deleted; one aggregation decides."""
     from assetloom.operators.manifest import manifest_problems
 
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not snapshots.exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
+    path = snapshots.folder(spark, path)
     m = spark.read.schema(MANIFEST).option("mergeSchema", False).parquet(path)
     return m.limit(0) if manifest_problems(m, version).limit(1).collect() else m
 

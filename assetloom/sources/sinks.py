@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import scalars as S
 from assetloom.functions.spec import ColumnSpec
+from assetloom.sources import snapshots
 
 
 def _cells(df: DataFrame, spec: Sequence[ColumnSpec], blank: Sequence[str]) -> list[Column]:
@@ -118,10 +119,14 @@ def write_geometry(planes: DataFrame, volumes: DataFrame, triggers: DataFrame, p
     geometry_json(planes, volumes, triggers).select("value").write.mode("overwrite").text(path)
 
 
-def deploy(manifest: DataFrame, paths: Sequence[str], by: Sequence[str] = ("zone", "language", "storage_class")) -> None:
-    """The same manifest to every location, also when nothing changed. The first write is read back for the others."""
+def deploy(manifest: DataFrame, paths: Sequence[str], by: Sequence[str] | None = None) -> None:
+    """The same manifest to every location, also when nothing changed, each published as a snapshot (see ``snapshots``): a
+    run that fails leaves a location with the manifest it had. The first write is read back for the others. ``by``
+    defaults to those of zone, platform, language and storage_class that the manifest has."""
+    by = [c for c in ("zone", "platform", "language", "storage_class") if c in manifest.columns] if by is None else by
     first, *others = paths
-    manifest.write.mode("overwrite").partitionBy(*by).parquet(first)
-    again = manifest.sparkSession.read.schema(manifest.schema).parquet(first)
+    snapshots.write(manifest, first, by)
+    spark = manifest.sparkSession
+    again = spark.read.schema(manifest.schema).parquet(snapshots.folder(spark, first))
     for p in others:
-        again.write.mode("overwrite").partitionBy(*by).parquet(p)
+        snapshots.write(again, p, by)

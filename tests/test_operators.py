@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -407,8 +408,147 @@ def test_streamed_manifest(spark, tmp_path):
     run(spark.createDataFrame([], schema), 6)
     got = current(spark, path)
     assert got.count() == len(want) and {r.name: r.source_checksum for r in got.collect()} == want
-    touched = [p for p in (tmp_path / "m").glob("__batch=*/__part=*")]
-    assert len(touched) < 6 * 4  # parts without a key of the batch aren't written
+    folders = list((tmp_path / "m").glob("batch-*/__part=*"))
+    assert len(folders) <= 2 * 4  # parts without a key of the batch aren't written, superseded ones go
+
+
+def test_streamed_manifest_with_late_removed_and_null_rows(spark, tmp_path):
+    from assetloom.streaming.maintain import current, maintain
+
+    path, schema = str(tmp_path / "m"), "name string, source_checksum string, seen_at int, gone boolean"
+    run = maintain(path, removed="gone", parts=2)
+    batches = [
+        [("a", "1", 3, None), ("b", "1", 1, False), (None, "x", 0, None), ("d", "1", None, None)],
+        [("a", "0", -5, None), ("b", None, 2, True), (None, "y", 0, None), ("d", "2", 0, None)],
+        [("b", "2", 1, None), ("c", "1", 1, None), ("d", "3", None, None), ("a", "4", 3, None)],
+    ]
+    want = [{"a": "1", "b": "1", "d": "1"}, {"a": "1", "d": "2"}, {"a": "4", "d": "2", "c": "1"}]
+    for i, (rows, state) in enumerate(zip(batches, want, strict=True)):
+        for _ in range(2):  # run again: nothing changes
+            run(spark.createDataFrame(rows, schema), i)
+            assert {r.name: r.source_checksum for r in current(spark, path).collect()} == state
+    run(spark.createDataFrame([("b", "9", 7, None)], schema), 3)
+    assert {r.name for r in current(spark, path).collect()} == {"a", "b", "c", "d"}
+    assert sorted(r.source_checksum for r in spark.read.parquet(f"{path}/rejected").collect()) == ["x", "y"]
+
+
+def test_a_failed_run_leaves_the_published_manifest(spark, tmp_path):
+    from assetloom.sources import sinks, snapshots
+
+    path, schema = str(tmp_path / "m"), "name string, size long, `offset` long, `order` long, version int, zone string, platform string, language string, storage_class string"
+    one = spark.createDataFrame([("a", 1, 2048, 0, 1, "z", "pc", "l", "loaded"), ("a", 1, 2048, 0, 1, "z", "ps4", "l", "loaded")], schema)
+    sinks.deploy(one, [path, path + "2"])
+    assert files.read_manifest(spark, path, 1).count() == files.read_manifest(spark, path + "2", 1).count() == 2
+    broken = one.withColumn("size", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.deploy(broken, [path])
+    assert files.read_manifest(spark, path, 1).count() == 2
+    for n in range(3):
+        sinks.deploy(one.withColumn("version", F.lit(n + 2)), [path])
+    assert files.read_manifest(spark, path, 4).count() == 2
+    assert len(list((tmp_path / "m").glob("snapshot-*"))) == 2 and snapshots.current(spark, path).startswith("snapshot-")
+
+
+def test_incremental_builds_do_what_changed(spark):
+    import shutil
+    from dataclasses import replace
+
+    from assetloom.plans import incremental
+    from assetloom.queries.signals import _written_inputs
+
+    requests, inputs, root = _written_inputs(spark, "/root/testdata/sf0.001")
+    state = f"{root}/state"
+    entries = lambda d: sorted(map(tuple, d.manifest.select("zone", "name", "offset", "order", "version", "source_checksum").collect()))
+    first = incremental.build(requests, inputs(), state)
+    assert len(first.compiled) == 8 and first.hashed > 0 and {r.change for r in first.changes.collect()} == {"add"}
+    want = entries(first)
+
+    def never(*_):
+        raise AssertionError("nothing has to be read")
+
+    idle = replace(inputs(), read=never, hashed=never, zones=never, templates=never, platforms=never, locales=never)
+    for what in ("rows", "bad", "hashes"):  # not even what was compiled before
+        shutil.move(f"{state}/{what}", f"{state}/_{what}")
+    again = incremental.build(requests, idle, state)
+    assert entries(again) == want and again.compiled == [] and again.hashed == 0 and again.build is None
+    for what in ("rows", "bad", "hashes"):
+        shutil.move(f"{state}/_{what}", f"{state}/{what}")
+
+    # a run that fails leaves the state as it was; the next does what it had to do
+    shutil.rmtree(f"{root}/tables/part=5".removeprefix("file:"))
+    with pytest.raises(AssertionError, match="nothing"):
+        incremental.build(requests, replace(inputs(), templates=never), state)
+    assert entries(first) == want
+    less = incremental.build(requests, inputs(), state)
+    assert less.compiled == [] and [(r.kind, r.change) for r in less.changes.collect()] == [("table", "remove")]
+    left = entries(less)
+    lost = {r[1] for r in want} - {r[1] for r in left}
+    assert lost and all(int(n.split("\\")[-1].split(".")[0]) % 8 == 5 for n in lost)
+    # a shared input changes: all tables, no asset; then compacted, and still nothing to do
+    (spark.createDataFrame([("t2",)], "value string").coalesce(1).write.mode("append").text(f"{root}/shared"))
+    every = incremental.build(requests, inputs(), state)
+    assert len(every.compiled) == 7 and every.hashed == 0
+    incremental.compact(spark, state)
+    last = incremental.build(requests, idle, state)
+    assert entries(last) == left and last.changes.isEmpty()
+
+
+def test_chunked_plans_bring_no_signal_into_one_task(spark):
+    chunks = spark.createDataFrame([("a", 0, 1, 8000, "low", [1] * 16)], "asset string, chunk_no long, channel_count int, frame_rate int, level string, samples array<int>")
+    plan = signal.condition_chunks(chunks, chunk_frames=16, window=8)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = signal.condition_chunks(chunks, chunk_frames=16, window=8)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for at, line in enumerate(lines):
+        if "Exchange hashpartitioning(asset" in line and "chunk_no" not in line.split("ENSURE")[0] and "__at" not in line.split("ENSURE")[0]:
+            below = re.sub(r"size\(samples#\d+, \w+\)", "", lines[at + 1])  # by signal alone: sums and lengths, no samples
+            assert "samples" not in below, below
+
+
+def test_hop_sums_equal_plain_windows(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for n in (1, 10, 11, 12, 30, 64):
+        for channels in (1, 2):
+            s = [rnd.randrange(-3000, 3000) for _ in range(n * channels)]
+            a = f"{n}-{channels}"
+            rows += [(a, c, channels, s[k : k + 7 * channels]) for c, k in enumerate(range(0, len(s), 7 * channels))]
+            for c in range(channels):
+                x = s[c::channels]
+                sums = [sum(v * v for v in x[k : k + 11]) for k in range(0, n, 3) if k + 11 < n]
+                want[a, c] = 20 * math.log10(math.sqrt(max(sums) / 11) / 32768) if sums else -80.0
+    chunks = spark.createDataFrame(rows, "asset string, chunk_no long, channel_count int, samples array<int>")
+    got = {(r.asset, r.channel): r.rms_db for r in signal.windowed_rms_db(chunks, 11, 3, 7, channels="channel_count").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_corner_points_of_a_volume_with_many_faces(spark):
+    """Planes around a ball: every corner by triples and planes in numpy."""
+    import numpy as np
+
+    from assetloom.operators import geometry
+
+    normal = np.random.default_rng(2).standard_normal((24, 3))
+    normal /= np.linalg.norm(normal, axis=1)[:, None]
+    planes = [("v", i, [*(-n).tolist(), 5.0]) for i, n in enumerate(normal)]  # inside: n . p <= 5
+    want = set()
+    for i in range(24):
+        for j in range(i + 1, 24):
+            for k in range(j + 1, 24):
+                m = normal[[i, j, k]]
+                if abs(np.linalg.det(m)) >= 1e-6 and (normal @ np.linalg.solve(m, [5.0] * 3) <= 5.01).all():
+                    want.add((i, j, k))
+    df = spark.createDataFrame([*planes, ("none", 0, [1.0, 0.0, 0.0, -1.0]), ("none", 1, [-1.0, 0.0, 0.0, -1.0]), ("none", 2, [0.0, 1.0, 0.0, 0.0])], "volume string, face_no int, plane array<double>")
+    got = geometry.inside_points(df).collect()
+    assert {(r.i, r.j, r.k) for r in got if r.volume == "v"} == want and {r.volume for r in got} == {"v"}
+    for r in got:
+        m = normal[[r.i, r.j, r.k]]
+        assert np.allclose(r.point, np.linalg.solve(m, [5.0] * 3), atol=1e-6)
 
 
 def test_streamed_manifest_from_a_stream(spark, tmp_path):
@@ -435,7 +575,10 @@ def test_side_files_of_a_build(spark, tmp_path):
 
     requests, ctx = build_inputs(spark, "/root/testdata/sf0.001")
     ctx.sources = stored(ctx.sources.withColumn("Duck", F.when(F.col("__row") % 2 == 0, " music ").otherwise("Default")))
+    requests = requests.unionByName(requests.withColumn("platform", F.lit("ps4")))
+    ctx.platforms = spark.createDataFrame([("pc", 0.5), ("ps4", 1.0)], "Platform string, CompressionScale float")
     b = jobs.build(requests, ctx)
+    assert {(r.platform, r.version) for r in b.manifest.select("platform", "version").distinct().collect()} == {("pc", 1), ("ps4", 1)}
     zones = [("east",), ("west",)]
     side = jobs.Side(
         ambients=complete(spark.createDataFrame([("east", "b", "wind"), ("east", "a", "DEFAULT")], "zone string, Name string, Duck string"), P.AMBIENT),
@@ -446,17 +589,18 @@ def test_side_files_of_a_build(spark, tmp_path):
     )
     jobs.write_outputs(b, requests, ctx.locales, side, str(tmp_path / "out"))
     got = {k: lines_below(tmp_path / "out" / k) for k in ("alias", "reverb", "ambient", "scriptid", "ducklist", "musiclist", "memory", "assetcount", "assets")}
-    every = {f"by_zone={z}/by_language={lang}" for z in ("east", "west") for lang in ("all", "french")}
+    every = {f"by_zone={z}/by_platform={p}/by_language={lang}" for z in ("east", "west") for p in ("pc", "ps4") for lang in ("all", "french")}
     assert set(got["alias"]) == every and all(t.startswith("Name,") and t.endswith("\r\n") for t in got["alias"].values())
-    assert set(got["reverb"]) == {f"by_zone={z}/by_language=all" for z in ("east", "west")}  # shared locales only
-    reverbs = got["reverb"]["by_zone=east/by_language=all"].split("\r\n")
+    assert set(got["reverb"]) == {f"by_zone={z}/by_platform={p}/by_language=all" for z in ("east", "west") for p in ("pc", "ps4")}  # shared locales only
+    reverbs = got["reverb"]["by_zone=east/by_platform=pc/by_language=all"].split("\r\n")
     assert [r.split(",")[0] for r in reverbs] == ["Name", "room", "hall", ""]
-    assert [r.split(",")[0] for r in got["ambient"]["by_zone=east/by_language=all"].split("\r\n")] == ["Name", "a", "b", ""]
-    assert set(got["ambient"]) == set(got["reverb"]) and got["ambient"]["by_zone=west/by_language=all"].count("\r\n") == 1  # only a header
-    assert [t.split(",")[0] for t in got["scriptid"].values()] == ["ScriptId"] * 2
-    assert got["ducklist"]["by_zone=east/by_language=all"] == "Name\ndefault\nmusic\nwind\nx\n"
-    assert got["musiclist"]["by_zone=west/by_language=all"] == "Name\ntheme\n"
-    loaded = b.manifest.filter("storage_class = 'loaded' and zone = 'east' and language = 'all'").orderBy("offset").collect()
-    at = "by_zone=east/by_language=all"
+    assert [r.split(",")[0] for r in got["ambient"]["by_zone=east/by_platform=pc/by_language=all"].split("\r\n")] == ["Name", "a", "b", ""]
+    assert set(got["ambient"]) == set(got["reverb"]) and got["ambient"]["by_zone=west/by_platform=pc/by_language=all"].count("\r\n") == 1  # only a header
+    assert [t.split(",")[0] for t in got["scriptid"].values()] == ["ScriptId"] * 4
+    assert got["ducklist"]["by_zone=east/by_platform=pc/by_language=all"] == "Name\ndefault\nmusic\nwind\nx\n"
+    assert got["musiclist"]["by_zone=west/by_platform=pc/by_language=all"] == "Name\ntheme\n"
+    loaded = b.manifest.filter("storage_class = 'loaded' and zone = 'east' and platform = 'pc' and language = 'all'").orderBy("offset").collect()
+    at = "by_zone=east/by_platform=pc/by_language=all"
     assert got["assets"][at].splitlines() == [r.name for r in loaded]
+    assert loaded and all(".ps4." in n for n in got["assets"][at.replace("pc", "ps4")].splitlines()) and [r.order for r in loaded] == list(range(len(loaded)))
     assert got["memory"][at] == f"{sum(r['size'] for r in loaded)}\n" and got["assetcount"][at] == f"{len(loaded)}\n"

@@ -60,7 +60,7 @@ def test_query_equals_sql(spark, con, name, plans):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["w1_keep_first", "w3_packed_offsets_two_level", "o1_alias_order", "a6_target_conflicts", "w13_resample_chunks", "m1_condition_chunks", "m2_envelope"])
+@pytest.mark.parametrize("name", ["w1_keep_first", "w3_packed_offsets_two_level", "o1_alias_order", "a6_target_conflicts", "w13_resample_chunks", "m1_condition_chunks", "a10_uneven_windows", "j11_inside_points", "m2_envelope"])
 def test_result_does_not_depend_on_partitions(spark, name):
     was = spark.conf.get("spark.sql.shuffle.partitions")
     got = []
