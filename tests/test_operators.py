@@ -466,10 +466,10 @@ def test_incremental_builds_do_what_changed(spark):
     def never(*_):
         raise AssertionError("nothing has to be read")
 
-    idle = replace(inputs(), read=never, hashed=never, zones=never, templates=never, platforms=never, locales=never)
+    idle = lambda: replace(inputs(), read=never, hashed=never, zones=never, templates=never, platforms=never, locales=never)
     for what in ("rows", "bad", "hashes"):  # not even what was compiled before
         shutil.move(f"{state}/{what}", f"{state}/_{what}")
-    again = incremental.build(requests, idle, state)
+    again = incremental.build(requests, idle(), state)
     assert entries(again) == want and again.compiled == [] and again.hashed == 0 and again.build is None
     for what in ("rows", "bad", "hashes"):
         shutil.move(f"{state}/_{what}", f"{state}/{what}")
@@ -489,7 +489,7 @@ def test_incremental_builds_do_what_changed(spark):
     every = incremental.build(requests, inputs(), state)
     assert len(every.compiled) == 7 and every.hashed == 0
     incremental.compact(spark, state)
-    last = incremental.build(requests, idle, state)
+    last = incremental.build(requests, idle(), state)
     assert entries(last) == left and last.changes.isEmpty()
 
 
