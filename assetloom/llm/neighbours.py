@@ -107,7 +107,7 @@ def nearest(
     bits: int = 6,
     block: int = 2048,
     group: int = 2048,
-    wanted: float = 0.95,
+    wanted: float = 0.97,
     probes: int = 64,
     sample: int = 10_000,
     seed: int = 7,
@@ -124,7 +124,7 @@ def nearest(
     the queries of a block are dealt to groups of about ``group``, so no task holds more than a block and a group. The
     best of all curves are merged and have exact scores. The window is fitted: for at most ``probes`` queries the true
     neighbours are found by comparing them with all rows (a stated, bounded query set), and the window is as wide as
-    brings ``wanted`` of those neighbours into reach on some curve. Vectors without structure need windows in
+    brings ``wanted`` of those neighbours into reach on some curve, whatever the number of rows. Vectors without structure need windows in
     proportion to the rows; clustered ones don't. Projections are scaled on at most ``sample`` rows.
 
     Nulls and edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
@@ -186,8 +186,8 @@ def nearest(
 
     probe = leads.join(points, leads["query"] == points["rep"]).select("query", "vec")
     probe = probe.orderBy(F.xxhash64("query", F.lit(seed + 1)), "query").limit(probes).toArrow()
-    window = block
-    if probe.num_rows and n > 2 * block:
+    window = n
+    if probe.num_rows:
         ids, q = probe.column("query").to_numpy(), _unit(_matrix(probe.column("vec").combine_chunks()))
 
         def exact(batches):
@@ -205,9 +205,9 @@ def nearest(
         far = true.join(other, "rep").join(mine, ["curve", "query"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("a") - F.col("b"))).alias("d"))
         got = sorted(r["d"] for r in far.select("d").collect())  # probes times k numbers
         if got:
-            window = max(block // 2, int(got[min(len(got) - 1, int(wanted * len(got)))]))
+            window = max(1, int(got[min(len(got) - 1, int(wanted * len(got)))]))
 
-    block = int(min(block, max(128, window)))  # narrow windows: small blocks, or most of a block would be out of reach
+    block = int(min(block, max(16, window // 4)))  # small blocks, or most of what a query meets would be out of its window
     lo, hi = F.floor(F.greatest(F.col("at") - window, F.lit(0)) / block), F.floor(F.least(F.col("at") + window, F.lit(n - 1)) / block)
     reach = ranked.join(leads.withColumnRenamed("query", "rep"), "rep").select("curve", F.col("rep").alias("query"), F.explode(F.sequence(lo, hi)).alias("block"))
     # queries of a block are dealt to groups of about ``group`` that each meet the block: one row for a curve and block
