@@ -151,7 +151,7 @@ def mix(
 
     The rates are found by projected gradient steps in their lazy form: scaled gradients add up to one number a domain
     (``pull``), and the rates are the even rate minus p . pull, cut at zero. A step is one aggregation over the narrow
-    table of tokens and posteriors: of each of five step lengths it gives the domain totals and the second moments of the
+    table of tokens and posteriors: of each of three step lengths it gives the domain totals and the second moments of the
     documents whose rate is not cut, which scale the next gradient. Of all rates that meet the targets these differ least
     from the even one. A price on that difference, which falls by ten whenever the steps have settled, keeps ``pull``
     finite. There is no bound on steps: they end when the distance is at most ``tolerance`` of the budget, or when the
@@ -194,14 +194,15 @@ def mix(
 
     def tried(pulls: list[list[float]]) -> list[tuple]:
         """Of every pull: its gap to the targets by domain, the moments of what it doesn't cut, and the mean squared rate."""
-        sums = []
+        sums, each = [], flat
         for c, pull in enumerate(pulls):
-            r, live = rate(pull), F.col("n") * (rate(pull) > 0).cast("double")
+            each = each.withColumn(f"rate{c}", rate(pull))
+            r, live = F.col(f"rate{c}"), F.when(F.col(f"rate{c}") > 0, F.col("n")).otherwise(0)
             sums += [F.sum(F.col("n") * F.col(f"p{i}") * r).alias(f"t{c}{i}") for i in k]
-            sums += [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"a{c}{i}{j}") for i in k for j in k]
+            sums += [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"a{c}{i}{j}") for i in k for j in k if i <= j]
             sums.append(F.sum(F.col("n") * r * r).alias(f"q{c}"))
-        got = flat.agg(*sums).first()
-        return [([got[f"t{c}{i}"] / total - want[i] for i in k], [[got[f"a{c}{i}{j}"] / total for j in k] for i in k], got[f"q{c}"] / total) for c in range(len(pulls))]
+        got = each.agg(*sums).first()
+        return [([got[f"t{c}{i}"] / total - want[i] for i in k], [[got[f"a{c}{min(i, j)}{max(i, j)}"] / total for j in k] for i in k], got[f"q{c}"] / total) for c in range(len(pulls))]
 
     def cost(pull: list[float], square: float) -> float:
         return square / 2 + dot(pull, want) + price / 2 * dot(pull, times(soft, pull))
@@ -218,7 +219,7 @@ def mix(
             slope = [x - price * y for x, y in zip(gap, times(soft, pull), strict=True)]
             if math.sqrt(max(0.0, dot(slope, times(metric, slope)))) > max(miss / 100, tolerance * size / 10):
                 step = times(inverse([[moments[i][j] + price * soft[i][j] for j in k] for i in k]), slope)
-                pulls = [[x + c * y for x, y in zip(pull, step, strict=True)] for c in (1.0, 0.5, 0.25, 0.0625, 0.01)]
+                pulls = [[x + c * y for x, y in zip(pull, step, strict=True)] for c in (1.0, 0.3, 0.05)]
                 found = tried(pulls)
                 best = min(range(len(pulls)), key=lambda c: cost(pulls[c], found[c][2]))
                 if cost(pulls[best], found[best][2]) < cost(pull, square):
