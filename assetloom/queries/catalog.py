@@ -10,8 +10,10 @@ from assetloom.operators import manifest as M
 from assetloom.operators import resolve as R
 from assetloom.operators import tables as T
 from assetloom.operators import validate as V
+from assetloom.plans import hashtree as H
 from assetloom.queries.registry import Registry, table
 from assetloom.sources import files
+from assetloom.sources.scratch import scratch
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -220,6 +222,27 @@ def j7_apply_diff(spark, sf):
     return M.apply_diff(old, M.diff_manifest(new, old, "doc_id", "c"), new, "doc_id").select("doc_id", "c")
 
 
+def _kept_tree(spark, sf):
+    """The new table, and where the old one is kept with its tree."""
+    new, old = _two(spark, sf)
+    root = scratch(spark, "tree")
+    H.commit(old, root, "doc_id", ["c"], depth=2)
+    return new, root
+
+
+@query(f"WITH {_DIFF} SELECT coalesce(d.doc_id, p.doc_id) AS doc_id, CASE WHEN p.doc_id IS NULL THEN 'add' WHEN d.doc_id IS NULL THEN 'remove' ELSE 'change' END AS status FROM d FULL JOIN p ON d.doc_id = p.doc_id WHERE d.c IS DISTINCT FROM p.c")
+def j7_diff_tree(spark, sf):
+    new, root = _kept_tree(spark, sf)
+    return H.diff(new, root, "doc_id", ["c"]).rows
+
+
+@query(f"WITH {_DIFF} SELECT doc_id, c FROM d")
+def j7_commit_tree(spark, sf):
+    new, root = _kept_tree(spark, sf)
+    H.commit(new, root, "doc_id", ["c"])
+    return H.read_entries(spark, root).select("doc_id", "c")
+
+
 @query("SELECT doc_id, min(o) AS origin FROM (SELECT doc_id, 0 AS o FROM labels UNION ALL SELECT doc_id, 1 FROM documents) GROUP BY doc_id")
 def j8_first_wins(spark, sf):
     a = table(spark, sf, "labels").select("doc_id", F.lit(0).alias("origin"))

@@ -81,6 +81,14 @@ def clear(spark: SparkSession, folders: list[str], keep: str) -> None:
                 fs.delete(status.getPath(), True)
 
 
+def keep_only(spark: SparkSession, root: str, names) -> None:
+    """Removes the folders below ``root`` that aren't named."""
+    fs, where = _fs(spark, root)
+    for status in fs.listStatus(where) if fs.exists(where) else ():
+        if status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _fs(spark, path)
     fs.delete(where, True)
