@@ -149,6 +149,16 @@ def recipe_md5(c: ColumnOrName, level: ColumnOrName) -> Column:
     return F.upper(F.md5(F.concat(_c(c).cast("binary"), F.unhex(tag))))
 
 
+def recipe_checksums(c: ColumnOrName) -> Column:
+    """``recipe_md5`` of a content for every level, as a struct with a field a level: all come from one read of the file."""
+    return F.struct(*[recipe_md5(c, F.lit(k)).alias(k) for k in LEVEL_RANK])
+
+
+def checksum_at(checksums: ColumnOrName, level: ColumnOrName) -> Column:
+    """The field of ``recipe_checksums`` that a level names (in any case), else null."""
+    return F.coalesce(*[F.when(F.lower(_c(level)) == k, _c(checksums)[k]) for k in LEVEL_RANK])
+
+
 def recipe_of(checksum: ColumnOrName, level: ColumnOrName) -> Column:
     """A content checksum bound to the recipe of a level, without reading the content again: the MD5 of the checksum's
     text and the recipe. It is another identity than ``recipe_md5`` of the content itself; a manifest keeps to one of them."""

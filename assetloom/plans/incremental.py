@@ -150,16 +150,19 @@ def compact(spark: SparkSession, root: str) -> None:
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length, modificationTime) of the files below a folder; their content isn't read."""
+    """(path, length, modificationTime) of the files below a folder; their content isn't read. Files of no bytes
+    are no assets: Spark's file index skips them, so a row that names one is reported as unresolved."""
     return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root).select("path", "length", "modificationTime")
 
 
-def hashed_files(assets: DataFrame) -> DataFrame:
-    """(path, source_checksum) of the listed files, which are read for it."""
+def hashed_files(assets: DataFrame, recipes: bool = False) -> DataFrame:
+    """(path, source_checksum) of the listed files, which are read for it; with ``recipes`` also ``jobs.RECIPES``, so that
+    entries have the checksum of content and recipe, from the same read."""
+    made = {"source_checksum": S.content_md5("content")} | ({jobs.RECIPES: S.recipe_checksums("content")} if recipes else {})
     paths = [r[0] for r in assets.select("path").collect()]  # Spark's file reader lists them on the driver anyway
     if not paths:
-        return assets.select("path", F.lit(None).cast("string").alias("source_checksum"))
-    return assets.sparkSession.read.format("binaryFile").load(paths).select("path", S.content_md5("content").alias("source_checksum"))
+        return assets.select("path", F.lit(None).cast("binary").alias("content")).select("path", *[c.alias(name) for name, c in made.items()])
+    return assets.sparkSession.read.format("binaryFile").load(paths).select("path", *[c.alias(name) for name, c in made.items()])
 
 
 def measured_files(assets: DataFrame, **options) -> DataFrame:

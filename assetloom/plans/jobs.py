@@ -94,6 +94,9 @@ class Build:
     manifest: DataFrame
 
 
+#: Checksums of a file's content with the recipe of each level (``S.recipe_checksums``). Where the files have them, an entry's
+#: checksum is that of its level; without (or where it is null, or the level is none of the five) it is ``S.recipe_of``.
+RECIPES = "recipe_checksums"
 #: What the manifest keeps of a file's content, where the files come with it (see ``incremental.measured_files``).
 FEATURES = ["frame_rate_index", "channel_count", "frame_count", *[f"envelope_loudness{i}" for i in range(4)], "envelope_time1", "envelope_time2"]
 TEMPLATE_COLUMNS = [c.name for c in P.ALIAS if c.inherited]
@@ -177,9 +180,13 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     emitted = rows.drop(*P.GENERATED).join(wide.withColumnsRenamed(names), "row_key", "left").withColumnsRenamed({"platform": "Platform", "language": "Language"})
 
     extra = [c for c in FEATURES if c in ctx.files.columns]
-    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra).distinct()
+    recipes = [RECIPES] if RECIPES in ctx.files.columns else []
+    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra, *recipes).distinct()
+    bound = S.recipe_of("source_checksum", "CompressionLevel")
+    if recipes:
+        bound = F.coalesce(S.checksum_at(RECIPES, "CompressionLevel"), bound)
     desired = claims.join(content, ["tree", "source"]).select(
-        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", S.recipe_of("source_checksum", "CompressionLevel").alias("source_checksum"), "source", "CompressionLevel", *extra
+        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", bound.alias("source_checksum"), "source", "CompressionLevel", *extra
     )
     key = "entry"
     desired, previous = (d.withColumn(key, F.struct(*by, "name")) for d in (desired, ctx.previous))
