@@ -357,14 +357,36 @@ def short_envelope(peak: Column) -> tuple[Column, Column]:
 
 def peaks_of_chunks(chunks: DataFrame, bucket: int = BUCKET, chunk_frames: int = 4096, asset: str = "asset") -> DataFrame:
     """(asset, i, peak) of signals in rows, without a shuffle."""
-    p = chunks.select(asset, "chunk_no", F.posexplode(bucket_peaks("samples", bucket, "channel_count")).alias("j", "peak"))
+    return _peaks_of(summaries(chunks, bucket, asset), bucket, chunk_frames, asset)
+
+
+def summaries(chunks: DataFrame, bucket: int = BUCKET, asset: str = "asset") -> DataFrame:
+    """(asset, chunk_no, channel_count, frame_rate, frames, peak, peaks) of rows of signals, a map: all that an envelope
+    needs of the samples, in a ``bucket``-th of their size, so that it can be kept and the signals are read once."""
+    rate = F.col("frame_rate") if "frame_rate" in chunks.columns else F.lit(None).cast("int").alias("frame_rate")
+    return chunks.select(
+        asset, "chunk_no", "channel_count", rate,
+        F.floor(F.size("samples") / F.col("channel_count")).cast("long").alias("frames"),
+        max_abs("samples").alias("peak"),
+        bucket_peaks("samples", bucket, "channel_count").alias("peaks"),
+    )
+
+
+def _peaks_of(summary: DataFrame, bucket: int, chunk_frames: int, asset: str) -> DataFrame:
+    p = summary.select(asset, "chunk_no", F.posexplode("peaks").alias("j", "peak"))
     return p.select(asset, (F.col("chunk_no") * (chunk_frames // bucket) + F.col("j")).cast("int").alias("i"), "peak")
 
 
 def envelope(chunks: DataFrame, bucket: int = BUCKET, chunk_frames: int = 4096, most: int = 32, asset: str = "asset", store=None) -> DataFrame:
-    """(asset, level[4], time[4]) of every signal, from its original samples."""
-    peaks = peaks_of_chunks(chunks, bucket, chunk_frames, asset).select(asset, "i", S.linear_to_spl(F.col("peak") / 32768.0).alias("v"))
-    count = chunks.groupBy(asset).agg(F.max(max_abs("samples")).alias("peak"), F.sum(F.floor(F.size("samples") / F.col("channel_count"))).alias("frames"))
+    """(asset, level[4], time[4]) of every signal, from its original samples, which are read once if ``store`` is given."""
+    summary = summaries(chunks, bucket, asset)
+    return envelope_of(store(summary) if store else summary, bucket, chunk_frames, most, asset, store)
+
+
+def envelope_of(summary: DataFrame, bucket: int = BUCKET, chunk_frames: int = 4096, most: int = 32, asset: str = "asset", store=None) -> DataFrame:
+    """``envelope`` of signals whose ``summaries`` are known."""
+    peaks = _peaks_of(summary, bucket, chunk_frames, asset).select(asset, "i", S.linear_to_spl(F.col("peak") / 32768.0).alias("v"))
+    count = summary.groupBy(asset).agg(F.max("peak").alias("peak"), F.sum("frames").alias("frames"))
     long_ = count.filter(F.col("frames") >= 2 * bucket).select(asset)
     b, k = decimate(peaks.join(long_, asset, "left_semi"), most, asset=asset, store=store)
     best = score_candidates(candidates(k, asset, most), b, asset).select(asset, "level", "time")

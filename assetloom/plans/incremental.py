@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import scalars as S
 from assetloom.operators import inherit
 from assetloom.plans import jobs
-from assetloom.sources import files, snapshots
+from assetloom.sources import ranges, snapshots
 from assetloom.sources.scratch import no_inferred_filters, stored
 
 MARKS = "kind string, file string, mark string, run string"
@@ -156,21 +156,15 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def hashed_files(assets: DataFrame, recipes: bool = False) -> DataFrame:
-    """(path, source_checksum) of the listed files, which are read for it; with ``recipes`` also ``jobs.RECIPES``, so that
-    entries have the checksum of content and recipe, from the same read."""
-    made = {"source_checksum": S.content_md5("content")} | ({jobs.RECIPES: S.recipe_checksums("content")} if recipes else {})
-    paths = [r[0] for r in assets.select("path").collect()]  # Spark's file reader lists them on the driver anyway
-    if not paths:
-        return assets.select("path", F.lit(None).cast("binary").alias("content")).select("path", *[c.alias(name) for name, c in made.items()])
-    return assets.sparkSession.read.format("binaryFile").load(paths).select("path", *[c.alias(name) for name, c in made.items()])
+    """(path, source_checksum) of the listed files, which tasks read in blocks for it; with ``recipes`` also ``jobs.RECIPES``,
+    so that entries have the checksum of content and recipe, from the same read."""
+    made = ranges.file_hashes(assets, recipes)
+    return made.select("path", F.col("md5").alias("source_checksum"), *([jobs.RECIPES] if recipes else []))
 
 
 def measured_files(assets: DataFrame, **options) -> DataFrame:
-    """``hashed_files`` with the features of the signals, from one read of the files: made once for every state of a file."""
-    paths = [r[0] for r in assets.select("path").collect()]
-    if not paths:
-        return hashed_files(assets)
-    content = files.read_assets(assets.sparkSession, paths)
+    """``hashed_files`` with the features of the signals, made once for every state of a file. Samples are read in ranges
+    and once; the checksum, which only one task can make, is a read of its own."""
     rate = F.array(*[F.lit(x) for x in S.RATES])
-    made = jobs.features_of(content, store=stored, **options)
+    made = jobs.features_of_files(stored(assets.select("path"), "listed"), store=stored, **options)
     return made.withColumn("frame_rate_index", (F.array_position(rate, F.col("frame_rate")) - 1).cast("int")).withColumnRenamed("md5", "source_checksum").drop("frame_rate")

@@ -13,7 +13,7 @@ from assetloom.functions import scalars as S
 from assetloom.functions import spec as P
 from assetloom.operators import geometry, inherit, manifest, resolve, signal, tables, validate
 from assetloom.sources import files as src
-from assetloom.sources import sinks
+from assetloom.sources import ranges, sinks
 from assetloom.sources.scratch import no_inferred_filters, stored
 
 
@@ -21,30 +21,38 @@ def refresh_features(files: DataFrame, previous: DataFrame, read=None, store=Non
     """Features of all listed files (path, mtime): kept from ``previous`` (path, mtime in seconds, ...) where fresh, made
     anew otherwise; files that are gone have none. Contents are read of stale files only.
 
-    ``read`` takes the stale files to (path, md5, content). Without it their paths go to the driver, as Spark's file
-    reader has them listed there anyway. A file without frames has a shape of zeros."""
+    ``read`` takes the stale files to (path, md5, content). Without it the tasks open the files themselves, in ranges
+    (``ranges.signal_rows``): files of any size, and no path on the driver. A file without frames has a shape of zeros."""
     joined = files.select("path", "mtime").join(previous.select("path", F.col("mtime").alias("__at")), "path", "left")
     stale = joined.filter(S.is_stale("mtime", "__at")).select("path", "mtime")
     kept = previous.join(files.select("path"), "path", "left_semi").join(stale.select("path"), "path", "left_anti")
-    paths = [r["path"] for r in stale.select("path").collect()] if read is None else None
-    spark = files.sparkSession
-    content = read(stale) if read else (src.read_assets(spark, paths) if paths else None)
-    if content is None:
-        return kept
-    new = features_of(content, store=store, **options).join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
+    if read is None:
+        stale = stored(stale, "stale")
+        new = features_of_files(stale, store=store, **options)
+    else:
+        new = features_of(read(stale), store=store, **options)
+    new = new.join(stale.select("path", F.unix_timestamp("mtime").alias("mtime")), "path")
     return kept.unionByName(new.select(*previous.columns))
 
 
-def features_of(content: DataFrame, store=None, **options) -> DataFrame:
+def features_of(content: DataFrame, store=None, chunk_frames: int = 4096, **options) -> DataFrame:
     """(path, md5, frame_rate, channel_count, frame_count, envelope columns) of files (path, md5, content)."""
-    chunks = src.wav_to_chunks(content)
-    meta = chunks.groupBy("asset").agg(
-        F.first("frame_rate").alias("frame_rate"),
-        F.first("channel_count").alias("channel_count"),
-        F.sum(F.floor(F.size("samples") / F.col("channel_count"))).cast("long").alias("frame_count"),
-    )
-    shape = signal.envelope(chunks, store=store, **options)
-    each = content.select("path", "md5").join(meta.withColumnRenamed("asset", "path"), "path").join(shape.withColumnRenamed("asset", "path"), "path")
+    return features_of_rows(src.wav_to_chunks(content, chunk_frames), content.select("path", "md5"), store=store, chunk_frames=chunk_frames, **options)
+
+
+def features_of_files(listed: DataFrame, store=None, chunk_frames: int = 4096, **options) -> DataFrame:
+    """``features_of`` of listed files (path), which tasks read in ranges."""
+    rows, hashes = ranges.signal_rows(listed, chunk_frames), ranges.file_hashes(listed).select("path", "md5")
+    return features_of_rows(rows, hashes, store=store, chunk_frames=chunk_frames, **options)
+
+
+def features_of_rows(rows: DataFrame, hashes: DataFrame, store=None, bucket: int = signal.BUCKET, **options) -> DataFrame:
+    """``features_of`` of signals in rows and the checksums (path, md5) of their files."""
+    summary = signal.summaries(rows, bucket)
+    summary = store(summary) if store else summary
+    meta = summary.groupBy("asset").agg(F.first("frame_rate").alias("frame_rate"), F.first("channel_count").alias("channel_count"), F.sum("frames").alias("frame_count"))
+    shape = signal.envelope_of(summary, bucket, store=store, **options)
+    each = hashes.select("path", "md5").join(meta.withColumnRenamed("asset", "path"), "path").join(shape.withColumnRenamed("asset", "path"), "path")
     return each.select(
         "path", "md5", "frame_rate", "channel_count", "frame_count",
         *[S.quantise_level(F.col("level")[i]).alias(f"envelope_loudness{i}") for i in range(4)],

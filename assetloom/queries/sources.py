@@ -10,7 +10,7 @@ from assetloom.operators import manifest as M
 from assetloom.operators.tables import keep_last_by
 from assetloom.plans import jobs
 from assetloom.queries.registry import LONG, Registry, signals, table
-from assetloom.sources import configs, files, sinks, snapshots
+from assetloom.sources import configs, files, ranges, sinks, snapshots
 from assetloom.sources import tables as tab
 from assetloom.sources.scratch import scratch
 
@@ -214,6 +214,38 @@ def s13_wav_round_trip(spark, sf):
     return rows.select("vec_id", (F.col("chunk_no") * 16 + F.col("j")).alias("i"), F.col("s").cast("int").alias("s"))
 
 
+#: The samples of sixteen neighbouring signals, which make up a file, in their order.
+_TAKES = f"{LONG}, takes AS (SELECT (vec_id // 16)::BIGINT AS take, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id, i) - 1 AS i, s FROM long)"
+
+
+def take_files(spark, sf):
+    """A folder of PCM files, each of sixteen neighbouring signals; the writer's line end is a byte after the data."""
+    path = scratch(spark, "takes")
+    each = signals(spark, sf).groupBy(F.floor(F.col("vec_id") / 16).cast("long").alias("take")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))).alias("x"))
+    each.select("take", files.wav_bytes(F.flatten("x.samples")).cast("string").alias("value")).write.partitionBy("take").text(path)
+    return path
+
+
+def take_of(path):
+    return F.regexp_extract(path, "take=([0-9]+)/[^/]*$", 1).cast("long")
+
+
+@query(f"WITH {_TAKES} SELECT take, 1 AS channel_count, 48000 AS frame_rate, i, s FROM takes")
+def s13_read_ranges(spark, sf):
+    """Signals read in ranges of two rows, so that each file is the work of several tasks."""
+    listed = files.list_files(spark, take_files(spark, sf))
+    rows = ranges.signal_rows(listed, chunk_frames=256, range_bytes=1024)
+    each = rows.select(take_of("asset").alias("take"), "channel_count", "frame_rate", "chunk_no", F.posexplode("samples").alias("j", "s"))
+    return each.select("take", "channel_count", "frame_rate", (F.col("chunk_no") * 256 + F.col("j")).alias("i"), F.col("s").cast("int").alias("s"))
+
+
+@query("SELECT 'c_nationkey=' || c_nationkey AS folder, sum(strlen(c_name) + 1)::BIGINT AS size, upper(md5(string_agg(c_name || chr(10), '' ORDER BY c_custkey))) AS md5 FROM customer GROUP BY c_nationkey")
+def s12_file_hashes(spark, sf):
+    """As ``s12_read_assets``, with files hashed in blocks by the tasks that open them."""
+    hashed = ranges.file_hashes(files.list_files(spark, _by_nation(spark, sf)))
+    return hashed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), "size", "md5")
+
+
 @query("""SELECT o_orderkey, (8000 + o_custkey % 184000)::INT AS frame_rate, (1 + o_orderkey % 2)::INT AS channel_count, 16 AS bits, o_orderkey * 1000003 AS total_samples FROM orders""")
 def s14_flac_streaminfo(spark, sf):
     o = table(spark, sf, "orders")

@@ -47,29 +47,40 @@ def read_assets(spark: SparkSession, paths) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.upper(F.md5("content")).alias("md5"), "content")
 
 
-def parse_wav(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(channels, rate, frames x channels) of a 16-bit PCM file; a data chunk that claims too much is padded with zeros."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def find_data(read, length: int) -> tuple[int, int, int, int]:
+    """(channels, rate, place, bytes) of the samples of a 16-bit PCM file of ``length`` bytes, whose chunks are walked with
+    ``read(place, n)``. The bytes are what the data chunk claims, in whole frames; the file may hold fewer."""
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, fmt = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+    while at + 8 <= length:
+        head = read(at, 8)
+        name, size = head[:4], int.from_bytes(head[4:8], "little")
         if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            body = read(at + 8, 16)
+            if len(body) < 16:
+                raise ValueError("format cut short")
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body)
             if kind not in (1, 65534) or bits != 16 or not 1 <= channels <= 2:
                 raise ValueError(f"unsupported format {kind}, {bits} bits, {channels} channels")
             fmt = channels, rate
         elif name == b"data":
             if fmt is None:
                 raise ValueError("data before format")
-            raw = data[at + 8 : at + 8 + size]
-            raw += b"\0" * (size - len(raw))
-            raw = raw[: len(raw) // (2 * fmt[0]) * 2 * fmt[0]]
-            return fmt[0], fmt[1], np.frombuffer(raw, "<i2").reshape(-1, fmt[0])
+            return *fmt, at + 8, size // (2 * fmt[0]) * 2 * fmt[0]
         at += 8 + size + size % 2
     raise ValueError("no data")
 
 
+def parse_wav(data: bytes) -> tuple[int, int, np.ndarray]:
+    """(channels, rate, frames x channels) of a 16-bit PCM file; a data chunk that claims too much is padded with zeros."""
+    channels, rate, at, size = find_data(lambda at, n: data[at : at + n], len(data))
+    raw = data[at : at + size]
+    raw += b"\0" * (size - len(raw))
+    return channels, rate, np.frombuffer(raw, "<i2").reshape(-1, channels)
+
+
 def wav_to_chunks(files: DataFrame, chunk_frames: int = 4096, name: str = "path", content: str = "content") -> DataFrame:
     """Signals as rows of ``chunk_frames`` frames (interleaved samples), a multiple of 512 so that neither gates nor
     buckets straddle rows; a file without frames is one empty row. A file is parsed where it is read, one at a time."""

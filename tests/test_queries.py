@@ -29,8 +29,8 @@ def rows(rs):
     return sorted(str([cell(x) for x in r]) for r in rs)
 
 
-#: Queries that parse files, which only Python can.
-PARSED = {"m3_refresh_features", "s13_wav_round_trip", "s16_read_map_faces"}
+#: Queries that open or parse files in tasks, which only Python can.
+PARSED = {"m3_refresh_features", "m3_refresh_files", "s12_file_hashes", "s13_read_ranges", "s13_wav_round_trip", "s16_read_map_faces"}
 
 
 @pytest.fixture
