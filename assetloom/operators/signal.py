@@ -426,5 +426,10 @@ def condition_chunks(chunks: DataFrame, level: str = "level", to: int = 48000, c
     done = _resampled(rows, size.join(total, asset).select(asset, "chunk_no", "__len", "__n", "__out"), chunk_frames, asset)
     same = chunks.filter(as_is).withColumn("samples", F.transform("samples", lambda x: x.cast("int")))
     s = same.select(asset, "chunk_no", *facts, "samples").unionByName(done.select(asset, "chunk_no", *facts, "samples"))
-    s = s.withColumn("samples", silence_gate("samples", S.gate_threshold(level), window, "channel_count"))
-    return s.withColumn("samples", S.truncate_bits("samples", level)).withColumn("frame_rate", F.lit(to))
+    return gated_chunks(s, level, window).withColumn("frame_rate", F.lit(to))
+
+
+def gated_chunks(chunks: DataFrame, level: str = "level", window: int = S.GATE_WINDOW) -> DataFrame:
+    """``condition_chunks`` of signals that have the rate already: gated, then cut in bit depth, a map."""
+    s = chunks.withColumn("samples", silence_gate("samples", S.gate_threshold(level), window, "channel_count"))
+    return s.withColumn("samples", S.truncate_bits("samples", level))

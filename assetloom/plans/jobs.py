@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import scalars as S
 from assetloom.functions import spec as P
 from assetloom.operators import geometry, inherit, manifest, resolve, signal, tables, validate
+from assetloom.plans.convert import CONVERTED
 from assetloom.sources import files as src
 from assetloom.sources import ranges, sinks
 from assetloom.sources.scratch import no_inferred_filters, stored
@@ -144,13 +145,17 @@ def alias_key(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])), 256)
 
 
-def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""), base: int = 2048, version: int = 1, compiled: tuple[DataFrame, DataFrame] | None = None) -> Build:
+def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""), base: int = 2048, version: int = 1, compiled: tuple[DataFrame, DataFrame] | None = None, convert=None) -> Build:
     """Zones built for requested (zone, platform, language) rows; all requests are one job with these as columns.
 
     Files are taken from the tree of the locale (its SearchName). The diff against the previous manifest comes before
     any content is read, so only what is added or changed has to be converted. Entries have their place in the order of
     offsets (``order``), the ``version`` of the manifest, and those of ``FEATURES`` that the files have. ``compiled`` are aliases and violations that were compiled
-    before, as ``incremental`` keeps them."""
+    before, as ``incremental`` keeps them.
+
+    ``convert`` (see ``convert.into``; files need a path then) takes the distinct (path, level) of what is added or changed to the
+    size, frames and checksum of its converted form, which replace those of the source; one conversion serves all zones,
+    platforms and languages. An entry of the previous manifest that was never converted counts as changed."""
     if compiled:
         aliases, bad = compiled
     else:
@@ -189,16 +194,24 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
 
     extra = [c for c in FEATURES if c in ctx.files.columns]
     recipes = [RECIPES] if RECIPES in ctx.files.columns else []
-    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra, *recipes).distinct()
+    path = ["path"] if convert else []
+    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra, *recipes, *path).distinct()
     bound = S.recipe_of("source_checksum", "CompressionLevel")
     if recipes:
         bound = F.coalesce(S.checksum_at(RECIPES, "CompressionLevel"), bound)
     desired = claims.join(content, ["tree", "source"]).select(
-        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", bound.alias("source_checksum"), "source", "CompressionLevel", *extra
+        *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", bound.alias("source_checksum"), "source", "CompressionLevel", *extra, *path
     )
     key = "entry"
     desired, previous = (d.withColumn(key, F.struct(*by, "name")) for d in (desired, ctx.previous))
+    if convert:
+        made = F.col("converted_checksum") if "converted_checksum" in previous.columns else F.lit(None)
+        previous = previous.withColumn("source_checksum", F.when(made.isNotNull(), F.col("source_checksum")))
     diff = manifest.diff_manifest(desired, previous, key)
+    if convert:
+        diff = stored(diff, "diff")
+        desired = _converted(desired, diff, key, convert)
+        extra = [*extra, *[c for c in CONVERTED if c not in ("size", *extra)]]
     entry = [key, *by, "name", "name_hash", "size", "source_checksum"]
     was = previous.select(*entry, *[c for c in extra if c in previous.columns])
     merged = manifest.retained_first(manifest.apply_diff(was, diff, desired.select(*entry, *extra), key), diff, key)
@@ -206,6 +219,17 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     return Build(emitted, bad, claims, conflicts, lost, diff, packed.drop(key, "placement").withColumn("version", F.lit(version)))
 
 
+def _converted(desired: DataFrame, diff: DataFrame, key: str, convert) -> DataFrame:
+    """The desired entries that are added or changed, with what their conversion gives in place of what the source has."""
+    todo = desired.join(diff.filter("status in ('add', 'change')").select(key), key, "left_semi")
+    todo = todo.withColumn("level", F.lower(F.coalesce("CompressionLevel", F.lit("none"))))
+    todo = stored(todo, "added")
+    if todo.isEmpty():  # no run without work
+        return todo.withColumns({c: F.lit(None).cast(kind) for c, kind in CONVERTED.items()})
+    made = convert(todo.select("path", "level").distinct()).select("path", "level", *CONVERTED)
+    return todo.drop(*CONVERTED).join(inherit.dimension(made), ["path", "level"])
+
+
 @dataclass
 class Side:
     """What a build writes besides aliases, each by zone: ambients, reverbs and script ids with the columns of their

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import scalars as S
 from assetloom.operators import geometry as G
 from assetloom.operators import signal as A
-from assetloom.plans import incremental, jobs
+from assetloom.plans import convert, incremental, jobs
 from assetloom.queries.registry import LEVEL_OF_KEY, LONG, SIG, Registry, level_of, signals, table
 from assetloom.queries.sources import _TAKES, take_files, take_of, volume_planes
 from assetloom.sources import files, sinks
@@ -405,6 +405,38 @@ def m6_build_many(spark, sf):
     return b.diff.groupBy(F.col("entry.language").alias("language"), "status").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_TAKES}, lv AS (SELECT take, i, s, ['none','low','medium','high','extreme'][(take % 5)::INT + 1] AS level, max(abs(s)) OVER (PARTITION BY take, i // 128) AS p FROM takes),
+    c AS (SELECT take, level, i, CASE WHEN level <> 'none' AND p < CASE level WHEN 'low' THEN 128 WHEN 'extreme' THEN 1024 ELSE 256 END THEN 0 ELSE s END & CASE level WHEN 'none' THEN -1 WHEN 'low' THEN -4 WHEN 'medium' THEN -16 WHEN 'high' THEN -64 ELSE -256 END AS s FROM lv),
+    d AS (SELECT take, level, i // 256 AS chunk, md5(string_agg(s::VARCHAR, ',' ORDER BY i)) AS d, count(*) AS n FROM c GROUP BY ALL),
+    m AS (SELECT take, level, upper(md5(md5(string_agg(d, '' ORDER BY chunk)))) AS converted_checksum, sum(n)::BIGINT AS n FROM d GROUP BY ALL)
+    SELECT language, 'snd\\' || take % 7 || '\\' || take || '.LN' || sc || '.pc.snd' AS name, 2 * n AS size, n AS frame_count, converted_checksum, (2048 + coalesce(sum(2 * n) OVER (PARTITION BY take % 2, language ORDER BY 'snd\\' || take % 7 || '\\' || take || '.LN' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
+    FROM m, (SELECT 'all' AS language, 50 AS sc UNION ALL SELECT 'german', 25) l""")
+def m5_build_converted(spark, sf):
+    """Signals as files of two languages that share them, each with a level of its own: built with their conversion, which is
+    made once for both."""
+    from assetloom.functions.spec import ALIAS
+
+    listed = stored(files.list_files(spark, take_files(spark, sf)).select("path", "size", take_of("path").alias("take")), "listed")
+    parent = F.concat(F.lit("snd\\"), F.col("take") % 7)
+    name, zone = F.concat(parent, F.lit("\\"), "take", F.lit(".wav")), F.when(F.col("take") % 2 == 0, "east").otherwise("west")
+    rows = listed.select(
+        zone.alias("zone"), level_of("take").alias("source_level"), F.concat(F.lit("a"), "take").alias("Name"), name.alias("FileSpec"), F.lit("pc").alias("PlatformMask"),
+        F.lit("f.csv").alias("__file"), F.col("take").alias("__row"),
+    )
+    ctx = jobs.Context(
+        sources=S.complete(rows, ALIAS),
+        zones=spark.createDataFrame([("east", "low"), ("west", None)], "zone string, zone_level string"),
+        templates=S.complete(spark.createDataFrame([("t",)], "Name string"), ALIAS),
+        files=listed.select(F.lit("").alias("tree"), name.alias("rel_path"), parent.alias("parent"), F.lit("wav").alias("ext"), F.md5(F.col("take").cast("string")).alias("source_checksum"), "size", "path"),
+        platforms=spark.createDataFrame([("pc", 0.5)], "Platform string, CompressionScale float"),
+        locales=spark.createDataFrame([("all", "all", True, 1.0), ("german", "German", True, 0.5)], "Name string, SearchName string, IsShared boolean, CompressionScale float"),
+        previous=spark.createDataFrame([], files.MANIFEST),
+    )
+    requests = spark.createDataFrame([(z, "pc", lang) for z in ("east", "west") for lang in ("all", "german")], "zone string, platform string, language string")
+    built = jobs.build(requests, ctx, convert=convert.into(scratch(spark, "converted"), chunk_frames=256, range_bytes=1024))
+    return built.manifest.select("language", "name", "size", "frame_count", "converted_checksum", "offset")
+
+
 def _written_inputs(spark, sf):
     """The inputs of ``build_inputs`` as files: a source table for each of eight parts, an asset file for each of a part's
     brands, and a folder of shared inputs; (requests, inputs, folder)."""

@@ -78,18 +78,19 @@ def heads(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     return _spread(listed, tasks).mapInArrow(run, HEADS)
 
 
-def ranges(found: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20) -> DataFrame:
+def ranges(found: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, carried: str | None = None) -> DataFrame:
     """(path, channel_count, frame_rate, data_at, frame_count, first_row, rows) of ``heads``: the rows of a signal in ranges of
     about ``range_bytes``, from the heads alone. A signal without frames has one range of one row."""
     rows = F.greatest(F.lit(1), F.ceil(F.col("frame_count") / chunk_frames)).cast("long")
     per = F.greatest(F.lit(1), F.floor(F.lit(range_bytes) / (F.col("channel_count") * (2 * chunk_frames)))).cast("long")
     each = found.filter("problem is null").withColumns({"__rows": rows, "__per": per})
     each = each.withColumn("first_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1, F.col("__per"))))
-    return each.select("path", "channel_count", "frame_rate", "data_at", "frame_count", "first_row", F.least("__per", F.col("__rows") - F.col("first_row")).alias("rows"))
+    return each.select("path", "channel_count", "frame_rate", "data_at", "frame_count", "first_row", F.least("__per", F.col("__rows") - F.col("first_row")).alias("rows"), *([carried] if carried else []))
 
 
-def read_ranges(asked: DataFrame, tasks: int, chunk_frames: int = 4096) -> DataFrame:
-    """The rows (as ``files.CHUNKS``) of the asked ``ranges``, a bounded block in memory at a time. ``chunk_frames`` is that of the ranges."""
+def read_ranges(asked: DataFrame, tasks: int, chunk_frames: int = 4096, carried: str | None = None) -> DataFrame:
+    """The rows (as ``files.CHUNKS``) of the asked ``ranges``, a bounded block in memory at a time. ``chunk_frames`` is that of
+    the ranges; a text column named by ``carried`` stays beside the rows."""
 
     def run(batches):
         path = f = None
@@ -100,12 +101,13 @@ def read_ranges(asked: DataFrame, tasks: int, chunk_frames: int = 4096) -> DataF
                         if f is not None:
                             f.close()
                         path, f = r["path"], opened(r["path"])
-                    yield from _blocks(f, r, chunk_frames)
+                    for block in _blocks(f, r, chunk_frames):
+                        yield block.append_column(carried, pa.array([r[carried]] * block.num_rows, pa.string())) if carried else block
         finally:
             if f is not None:
                 f.close()
 
-    return asked.repartition(tasks).mapInArrow(run, src.CHUNKS)
+    return asked.repartition(tasks).mapInArrow(run, src.CHUNKS + (f", `{carried}` string" if carried else ""))
 
 
 def _blocks(f, r, chunk_frames):
@@ -132,19 +134,28 @@ def _blocks(f, r, chunk_frames):
         )
 
 
-def signal_rows(listed: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, most_tasks: int = 20_000) -> DataFrame:
-    """The signals of the listed files (path) as rows of ``chunk_frames`` frames, as ``files.wav_to_chunks`` has them, of files
-    of any size; there is about a task for each ``range_bytes``, or for several ranges beyond ``most_tasks``.
-
-    The heads are read once, before this returns. Files that are no signals raise an error that names the first few; to go
-    on without them, take their ``heads`` first."""
+def signal_heads(listed: DataFrame, carried: str | None = None) -> DataFrame:
+    """The ``heads`` of the listed files, read once and kept. Files that are no signals raise an error that names the first
+    few; to go on without them, take their ``heads`` first. A text column of the list that ``carried`` names (one value a
+    path) stays beside each path."""
     found = stored(heads(listed), "heads")
     bad = found.filter("problem is not null").select("path", "problem").orderBy("path").limit(5).collect()
     if bad:
         raise ValueError(f"files that can't be read: {[tuple(r) for r in bad]}")
-    asked = ranges(found, chunk_frames, range_bytes)
-    tasks = min(max(1, asked.count()), most_tasks)
-    return read_ranges(asked, tasks, chunk_frames)
+    return found.join(listed.select("path", carried), "path") if carried else found
+
+
+def rows_of(found: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, most_tasks: int = 20_000, carried: str | None = None) -> DataFrame:
+    """The signals of ``signal_heads`` as rows; there is about a task for each ``range_bytes``, or for several ranges beyond
+    ``most_tasks``. What is carried stands beside each row, so nothing has to be joined to samples."""
+    asked = ranges(found, chunk_frames, range_bytes, carried)
+    return read_ranges(asked, min(max(1, asked.count()), most_tasks), chunk_frames, carried)
+
+
+def signal_rows(listed: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, most_tasks: int = 20_000) -> DataFrame:
+    """The signals of the listed files (path) as rows of ``chunk_frames`` frames, as ``files.wav_to_chunks`` has them, of files
+    of any size: ``rows_of`` their ``signal_heads``."""
+    return rows_of(signal_heads(listed), chunk_frames, range_bytes, most_tasks)
 
 
 def file_hashes(listed: DataFrame, recipes: bool = False, tasks: int | None = None) -> DataFrame:

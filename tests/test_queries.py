@@ -30,7 +30,7 @@ def rows(rs):
 
 
 #: Queries that open or parse files in tasks, which only Python can.
-PARSED = {"m3_refresh_features", "m3_refresh_files", "s12_file_hashes", "s13_read_ranges", "s13_wav_round_trip", "s16_read_map_faces"}
+PARSED = {"m3_refresh_features", "m3_refresh_files", "m5_build_converted", "s12_file_hashes", "s13_read_ranges", "s13_wav_round_trip", "s16_read_map_faces"}
 
 
 @pytest.fixture
