@@ -9,6 +9,7 @@ readers know there are ``files.read_assets`` and ``files.wav_to_chunks``, up to
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ HEADS = "path string, size long, channel_count int, frame_rate int, data_at long
 BLOCK = 4 << 20
 _URI = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]+):/(?:/([^/]*))?(/?.*)$")
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: What ``opened`` can open.
+KNOWN = {"file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss"}
 
 
 @lru_cache(64)
@@ -45,6 +48,30 @@ def opened(path: str):
     return store.open_input_file(f"{base.rstrip('/')}/{m[3].lstrip('/')}")
 
 
+def known(path: str) -> bool:
+    """Whether tasks can open a file of this scheme themselves."""
+    m = _URI.match(path)
+    return m is None or m[1] in KNOWN
+
+
+def first_lines(listed: DataFrame, skip: str | None = None, tasks: int | None = None) -> DataFrame:
+    """(path, line) of the listed files: the first line, or the first one that the pattern ``skip`` doesn't match from its start,
+    read no further than that. A file without such a line has no row. Lines end as in Spark's text reader."""
+
+    def run(batches):
+        for b in batches:
+            paths, lines = [], []
+            for path in b.column(0).to_pylist():
+                with opened(path) as f, io.TextIOWrapper(f, "utf-8", "replace") as text:
+                    line = next((x.rstrip("\n") for x in text if skip is None or not re.match(skip, x.rstrip("\n"))), None)
+                if line is not None:
+                    paths.append(path)
+                    lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lines, pa.string())], ["path", "line"])
+
+    return _spread(listed, tasks).mapInArrow(run, "path string, line string")
+
+
 def _spread(frame: DataFrame, tasks: int | None) -> DataFrame:
     """Each path once, over a number of tasks that adaptive execution doesn't merge: small rows that stand for much work."""
     return frame.select("path").repartition(tasks or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import scalars as S
 from assetloom.functions.spec import DOMAINS, LEVELS, ColumnSpec
+from assetloom.sources import ranges
 
 ORDER = ["__file", "__row"]
 
@@ -40,14 +41,21 @@ def ill_typed(c: Column, spec: ColumnSpec) -> Column:
 
 
 def _headers(spark: SparkSession, paths: Sequence[str], skip_comments: bool) -> dict[str, list[str]]:
-    """Paths by header line. Table sources are listed in a config, so their number is small."""
-    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    if skip_comments:
-        lines = lines.filter(~F.col("value").rlike(r"^#") & (F.trim("value") != ""))
-    lines = lines.withColumn("i", F.monotonically_increasing_id())
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("header"))
+    """Paths by header line, of which tasks read no more than that line. Table sources are listed in a config, so their number
+    is small. On a store that only Spark's readers know all lines are scanned for the first ones."""
+    if not paths:
+        return {}
+    files = spark.read.format("binaryFile").load(list(paths)).select("path")
+    if all(ranges.known(p) for p in paths):
+        first = ranges.first_lines(files, r"#| *$" if skip_comments else None).withColumnRenamed("line", "header")
+    else:
+        lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        if skip_comments:
+            lines = lines.filter(~F.col("value").rlike(r"^#") & (F.trim("value") != ""))
+        lines = lines.withColumn("i", F.monotonically_increasing_id())
+        first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("header"))
     out: dict[str, list[str]] = {}
-    for r in first.collect():
+    for r in first.orderBy("path").collect():
         out.setdefault(r["header"].strip("\r"), []).append(r["path"])
     return out
 

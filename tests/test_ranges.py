@@ -101,3 +101,30 @@ def test_paths_of_stores():
     assert ranges._URI.match("hdfs://host:8020/x/y.wav").groups() == ("hdfs", "host:8020", "/x/y.wav")
     assert ranges._URI.match("s3a://bucket/x y.wav").groups() == ("s3a", "bucket", "/x y.wav")
     assert ranges._URI.match("/plain/x.wav") is None
+
+
+def test_first_lines_are_all_that_is_read(spark, tmp_path):
+    sets = {
+        "a": b"Name,X\r\n1,2\r\n", "b": b"# c\n\n   \n#\nName\n", "c": b"#only\n", "d": b"", "e": "Näme\rrest".encode(), "f": b"one line", "g": b"\nsecond",
+        "h": b"H\n" + b"\xff" * 10,
+    }
+    for name, data in sets.items():
+        (tmp_path / name).write_bytes(data)
+    paths = listed(spark, [tmp_path / n for n in sets])
+
+    def got(skip):
+        return {r.path.rsplit("/", 1)[1]: r.line for r in ranges.first_lines(paths, skip).collect()}
+
+    assert got(None) == {"a": "Name,X", "b": "# c", "c": "#only", "e": "Näme", "f": "one line", "g": "", "h": "H"}
+    assert got(r"#| *$") == {"a": "Name,X", "b": "Name", "e": "Näme", "f": "one line", "g": "second", "h": "H"}
+
+
+def test_tables_whose_names_have_spaces(spark, tmp_path):
+    from assetloom.functions.spec import ColumnSpec
+    from assetloom.sources import tables
+
+    (tmp_path / "a b.csv").write_text('# made by hand\nName,X\nn1,1\n#off,2\n"line\nend",3\n')
+    (tmp_path / "c.csv").write_text("X,Other,Name\n5,o,n2\n")
+    found = tables.read_tree(spark, str(tmp_path), "csv", [ColumnSpec("Name"), ColumnSpec("X", "int")])
+    assert sorted((r.Name, r.X) for r in found.collect()) == [("line\nend", 3), ("n1", 1), ("n2", 5)]
+    assert tables.read_tree(spark, str(tmp_path / "none"), "csv", [ColumnSpec("Name")]).count() == 0
