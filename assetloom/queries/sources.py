@@ -248,11 +248,19 @@ def s12_file_hashes(spark, sf):
 
 @query("""SELECT o_orderkey, (8000 + o_custkey % 184000)::INT AS frame_rate, (1 + o_orderkey % 2)::INT AS channel_count, 16 AS bits, o_orderkey * 1000003 AS total_samples FROM orders""")
 def s14_flac_streaminfo(spark, sf):
+    """Headers of streams. The field of samples has 36 bits, so an order of more samples is two streams: one of as many as
+    the field can't hold, counted in multiples of 2^36, and one of the rest."""
     o = table(spark, sf, "orders")
     total = F.col("o_orderkey") * 1000003
-    word = F.shiftleft(8000 + F.col("o_custkey") % 184000, 12) + F.shiftleft(F.col("o_orderkey") % 2, 9) + (15 << 4) + F.shiftright(total, 32)
-    head = F.concat(F.lit(b"fLaC".hex()), F.lit("80000022"), F.lit("10001000"), F.lit("0" * 12), F.lpad(F.hex(word), 8, "0"), F.lpad(F.hex(total.bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lit("0" * 32))
-    return files.flac_streaminfo(o.withColumn("content", F.unhex(head))).select("o_orderkey", "frame_rate", "channel_count", "bits", "total_samples")
+
+    def header(samples):
+        word = F.shiftleft(8000 + F.col("o_custkey") % 184000, 12) + F.shiftleft(F.col("o_orderkey") % 2, 9) + (15 << 4) + F.shiftright(samples, 32)
+        return F.unhex(F.concat(F.lit(b"fLaC".hex()), F.lit("80000022"), F.lit("10001000"), F.lit("0" * 12), F.lpad(F.hex(word), 8, "0"), F.lpad(F.hex(samples.bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lit("0" * 32)))
+
+    o = o.withColumns({"content": header(total.bitwiseAND((1 << 36) - 1)), "multiples": header(F.shiftright(total, 36))})
+    rest = files.flac_streaminfo(o).withColumnRenamed("total_samples", "rest")
+    both = files.flac_streaminfo(rest, "multiples").withColumn("total_samples", F.col("total_samples") * (1 << 36) + F.col("rest"))
+    return both.select("o_orderkey", "frame_rate", "channel_count", "bits", "total_samples")
 
 
 def doc_manifest(spark, sf):

@@ -604,3 +604,13 @@ def test_side_files_of_a_build(spark, tmp_path):
     assert got["assets"][at].splitlines() == [r.name for r in loaded]
     assert loaded and all(".ps4." in n for n in got["assets"][at.replace("pc", "ps4")].splitlines()) and [r.order for r in loaded] == list(range(len(loaded)))
     assert got["memory"][at] == f"{sum(r['size'] for r in loaded)}\n" and got["assetcount"][at] == f"{len(loaded)}\n"
+
+
+def test_headers_of_streams_beyond_their_field(spark, tmp_path):
+    """Totals below, at and far beyond the 36 bits that a header has for them."""
+    from assetloom.queries import QUERIES
+
+    keys = [0, 1, 68_719, 68_720, 149_999, 9_000_001]
+    spark.createDataFrame([(k, 3 * k) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: tuple(r)[1:] for r in QUERIES["s14_flac_streaminfo"](spark, str(tmp_path)).collect()}
+    assert got == {k: (8000 + 3 * k % 184000, 1 + k % 2, 16, k * 1000003) for k in keys}
