@@ -316,11 +316,12 @@ def candidates(ks: DataFrame, asset: str = "asset", most: int = 64) -> DataFrame
 
 
 def score_candidates(cands: DataFrame, buckets: DataFrame, asset: str = "asset") -> DataFrame:
-    """The candidate of least mean squared error against the buckets; of equal ones the first. The last bucket has no
-    error, as the lines end there.
+    """The candidate of least mean squared error against the buckets, to eight places; of equal ones the first. The last
+    bucket has no error, as the lines end there.
 
     The squared distance of a line from a stretch of buckets is made of their number and running sums of v, i * v and
-    v * v, so a candidate reads four rows of the buckets, however long the signal is."""
+    v * v, so a candidate reads four rows of the buckets, however long the signal is. Such sums can't tell candidates that
+    draw the same line, so those about as good as the best (mostly one) are then compared bucket by bucket."""
     before = Window.partitionBy(asset).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     v, i = F.col("v"), F.col("i").cast("double")
     sums = F.struct(*[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(name) for name, x in (("v", v), ("iv", i * v), ("vv", v * v))])
@@ -344,9 +345,30 @@ def score_candidates(cands: DataFrame, buckets: DataFrame, asset: str = "asset")
         + error(F.col("q1"), F.col("q2"), F.col("s1"), F.col("s2"), level[1], level[2])
         + error(F.col("q2"), F.col("q3"), F.col("s2"), F.col("s3"), level[2], level[3])
     )
-    scored = c.select(asset, F.abs(F.round(sums / F.col("n"), 8)).alias("s"), "ordinal", "level", "time")
-    best = scored.groupBy(asset).agg(F.min(F.struct("s", "ordinal", "level", "time")).alias("x"))
-    return best.select(asset, F.col("x.s").alias("score"), "x.ordinal", "x.level", "x.time")
+    each = Window.partitionBy(asset)
+    scored = c.select(asset, (sums / F.col("n")).alias("s"), (F.col("s3.vv") / F.col("n")).alias("__power"), "ordinal", "level", "time", "n", "q1", "q2", "q3")
+    close = scored.withColumn("__least", F.min("s").over(each)).filter(F.col("s") - F.col("__least") <= 1e-7 + 1e-10 * F.col("__power"))
+    line = buckets.groupBy(asset).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("__v"))
+    exact = close.join(line, asset).select(asset, (_line_error("__v") / F.col("n")).alias("s"), "ordinal", "level", "time")
+    scaled = F.col("s") * 1e8
+    whole = F.floor(scaled).cast("double")
+    rounded = F.when(scaled >= 2.0**52, scaled).when(scaled - whole >= 0.5, whole + 1).otherwise(whole)  # whole numbers from there on
+    best = exact.groupBy(asset).agg(F.min(F.struct(rounded.alias("s"), "ordinal", "level", "time")).alias("x"))
+    return best.select(asset, (F.col("x.s") / 1e8).alias("score"), "x.ordinal", "x.level", "x.time")
+
+
+def _line_error(values: str) -> Column:
+    """The squared errors of the three lines of a candidate (level, q1, q2, q3) at each bucket but the last, added in their order."""
+
+    def between(i: Column, lo: Column, hi: Column, left: int) -> Column:
+        t = (i - lo) / (hi - lo)
+        return F.col("level")[left] * (1 - t) + F.col("level")[left + 1] * t
+
+    def squared(v: Column, i: Column) -> Column:
+        at = F.when(i < F.col("q1"), between(i, F.lit(0), F.col("q1"), 0)).when(i < F.col("q2"), between(i, F.col("q1"), F.col("q2"), 1)).otherwise(between(i, F.col("q2"), F.col("q3"), 2))
+        return S.let(at - v, lambda e: e * e)
+
+    return F.aggregate(F.transform(F.slice(values, F.lit(1), F.col("q3").cast("int")), squared), F.lit(0.0), lambda t, x: t + x)
 
 
 def short_envelope(peak: Column) -> tuple[Column, Column]:

@@ -614,3 +614,31 @@ def test_headers_of_streams_beyond_their_field(spark, tmp_path):
     spark.createDataFrame([(k, 3 * k) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: tuple(r)[1:] for r in QUERIES["s14_flac_streaminfo"](spark, str(tmp_path)).collect()}
     assert got == {k: (8000 + 3 * k % 184000, 1 + k % 2, 16, k * 1000003) for k in keys}
+
+
+def test_candidates_that_draw_the_same_line(spark):
+    """Lines that differ by their times only have equal errors, which running sums tell apart by what they round off."""
+    rng = random.Random(9)
+    n, buckets, cands, want = 200, [], [], {}
+    for a in range(20):
+        v = [1e5 + rng.randrange(20) / 7 for _ in range(n)]
+        buckets += [(str(a), i, x) for i, x in enumerate(v)]
+        best = None
+        for ordinal in range(12):
+            first = 1e5 + rng.choice([1, 1, 2])
+            level = [first, 1e5 + 1, 1e5 + 1, 1e5 + 1]
+            time = [0.0, 0.2, rng.randrange(41, n - 1) / n, 1.0]
+            q = [0, math.floor(time[1] * (n - 1)), math.floor(time[2] * (n - 1)), n - 1]
+            total = 0.0
+            for i in range(n - 1):
+                k = 0 if i < q[1] else 1 if i < q[2] else 2
+                t = (i - q[k]) / (q[k + 1] - q[k])
+                e = level[k] * (1 - t) + level[k + 1] * t - v[i]
+                total += e * e
+            cands.append((str(a), ordinal, level, time, n))
+            scaled = total / n * 1e8
+            best = min(x for x in (best, (math.floor(scaled) + (scaled - math.floor(scaled) >= 0.5), ordinal)) if x)
+        want[str(a)] = best[1]
+    c = spark.createDataFrame(cands, "asset string, ordinal long, level array<double>, time array<double>, n long")
+    got = signal.score_candidates(c, spark.createDataFrame(buckets, "asset string, i int, v double"))
+    assert {r.asset: r.ordinal for r in got.collect()} == want
