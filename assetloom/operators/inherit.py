@@ -12,12 +12,15 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def dimension(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Marked for broadcast if it is small; measuring stops just beyond the bound of rows.
+    """Marked for broadcast if it is small; measuring stops just beyond the bound of rows."""
+    most = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if most["n"] <= rows and (most["bytes"] or 0) <= size else df
+
 
-    A row is taken to have 16 bytes for each column and the bytes of its text, arrays and the like."""
+def row_bytes(df: DataFrame) -> Column:
+    """What a row is taken to have: 16 bytes for each column and the bytes of its text, arrays and the like."""
     wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c in (F.col(f"`{f.name}`") if f.dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema.fields if _wide(f.dataType.simpleString()))]
-    most = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long")).alias("bytes")).first()
-    return F.broadcast(df) if most["n"] <= rows and (most["bytes"] or 0) <= size else df
+    return sum(wide, F.lit(16 * len(df.columns))).cast("long")
 
 
 def _wide(kind: str) -> bool:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from assetloom.operators.inherit import dimension
+from assetloom.operators.inherit import dimension, row_bytes
 from assetloom.sources.scratch import stored
 
-#: Rows of one group that a single task orders; a larger group is split over range partitions.
-TASK_ROWS = 500_000
+#: Rows and bytes of one group that a single task orders; a larger group is split over range partitions.
+TASK_ROWS, TASK_BYTES = 500_000, 128 << 20
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -45,10 +45,10 @@ def positions(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = (), desce
 
 
 def _split(df: DataFrame, by: Sequence[str], task_rows: int | None) -> tuple[DataFrame, bool]:
-    """The rows, stored, and whether one of their groups is too large for a task (counted)."""
+    """The rows, stored, and whether one of their groups is too large for a task (measured)."""
     df = stored(df, "groups")
-    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
-    return df, (most or 0) > (TASK_ROWS if task_rows is None else task_rows)
+    most = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(row_bytes(df)).alias("bytes")).agg(F.max("n"), F.max("bytes")).first()
+    return df, (most[0] or 0) > (TASK_ROWS if task_rows is None else task_rows) or (most[1] or 0) > TASK_BYTES
 
 
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
@@ -63,7 +63,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence, value: Column | s
     """Adds the running sum of ``value`` (whole numbers) before each row of its group, or up to it; of several values at
     once, given by the names of their sums.
 
-    A group is one window if no group has more rows than a task takes (``TASK_ROWS``). Else rows are range-partitioned by
+    A group is one window if no group has more rows or bytes than a task takes (``TASK_ROWS``, ``TASK_BYTES``). Else rows are range-partitioned by
     group and order, values are summed per partition and group (joined by broadcast if they are few), and only the sum
     within a partition is a window. Rows of equal order come in any order of each other."""
     values = value if isinstance(value, dict) else {name: F.col(value) if isinstance(value, str) else value}

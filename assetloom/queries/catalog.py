@@ -300,7 +300,7 @@ def a6_target_conflicts(spark, sf):
     c AS (SELECT lang, i // 4096 AS run, md5(string_agg(m, '' ORDER BY i)) AS m FROM r GROUP BY 1, 2)
     SELECT lang, md5(string_agg(m, '' ORDER BY run)) AS checksum FROM c GROUP BY 1""")
 def a13_content_checksum(spark, sf):
-    return M.content_checksum(table(spark, sf, "documents").withColumn("m", F.md5("text")), ["lang"], "doc_id", "m")
+    return M.content_checksum(table(spark, sf, "documents").select("lang", "doc_id", F.md5("text").alias("m")), ["lang"], "doc_id", "m")
 
 
 _GAPS = "m AS (SELECT lang, doc_id, n_chars, 2048 + coalesce(sum(n_chars + doc_id % 3) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\" FROM documents)"
@@ -308,7 +308,7 @@ _GAPS = "m AS (SELECT lang, doc_id, n_chars, 2048 + coalesce(sum(n_chars + doc_i
 
 def _spaced(spark, sf):
     """Documents at offsets that leave up to two bytes between entries."""
-    d = table(spark, sf, "documents").withColumn("room", F.col("n_chars") + F.col("doc_id") % 3)
+    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars", (F.col("n_chars") + F.col("doc_id") % 3).alias("room"))
     return M.packed_offsets(d, ["lang"], ["doc_id"], size="room")
 
 
@@ -342,17 +342,17 @@ _OFFSETS = "SELECT lang, doc_id, 2048 + coalesce(sum(n_chars) OVER (PARTITION BY
 
 @query(_OFFSETS)
 def w3_packed_offsets(spark, sf):
-    return M.packed_offsets(table(spark, sf, "documents"), ["lang"], ["doc_id"], size="n_chars").select("lang", "doc_id", "offset")
+    return M.packed_offsets(table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], size="n_chars").select("lang", "doc_id", "offset")
 
 
 @query(_OFFSETS)
 def w3_packed_offsets_two_level(spark, sf):
-    return M.packed_offsets(table(spark, sf, "documents"), ["lang"], ["doc_id"], size="n_chars", task_rows=100).select("lang", "doc_id", "offset")
+    return M.packed_offsets(table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], size="n_chars", task_rows=100).select("lang", "doc_id", "offset")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, n_chars, lag(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS p FROM documents) WHERE n_chars < p")
 def w4_check_monotonic(spark, sf):
-    return M.check_monotonic(table(spark, sf, "documents"), ["lang"], ["doc_id"], "n_chars").select("doc_id")
+    return M.check_monotonic(table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], "n_chars").select("doc_id")
 
 
 @query(f"WITH {_GAPS} SELECT doc_id, (\"offset\" - coalesce(lag(\"offset\" + n_chars) OVER (PARTITION BY lang ORDER BY \"offset\"), 2048))::BIGINT AS gap FROM m")
@@ -378,7 +378,7 @@ def o3_by_id_and_alias(spark, sf):
 
 @query("SELECT page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY url, page_id) AS position FROM pages")
 def o4_listed_order(spark, sf):
-    p = table(spark, sf, "pages").withColumn("dir", F.col("page_id") % 10)
+    p = table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % 10).alias("dir"))
     return T.positions(p, ["url"], ["page_id"], within=["dir"]).select("page_id", "position")
 
 

@@ -642,3 +642,16 @@ def test_candidates_that_draw_the_same_line(spark):
     c = spark.createDataFrame(cands, "asset string, ordinal long, level array<double>, time array<double>, n long")
     got = signal.score_candidates(c, spark.createDataFrame(buckets, "asset string, i int, v double"))
     assert {r.asset: r.ordinal for r in got.collect()} == want
+
+
+def test_groups_of_few_wide_rows_are_split(spark, monkeypatch):
+    """Few rows, but more bytes than a task takes."""
+    split, ranged = [], tables._ranged
+    monkeypatch.setattr(tables, "_ranged", lambda *a: split.append(a) or ranged(*a))
+    df = spark.range(60).select("id", F.lit("g").alias("g"), (F.col("id") % 7).alias("size"), F.repeat(F.lit("x"), F.lit(3 << 20)).alias("text"))
+    got = tables.running(df, ["g"], ["id"], "size", "before").select("id", "before")
+    assert len(split) == 1 and [r.before for r in got.orderBy("id").collect()] == [sum(j % 7 for j in range(i)) for i in range(60)]
+    got = tables.previous(df, ["g"], ["id"], "size", "last").select("id", "last")
+    assert len(split) == 2 and [r.last for r in got.orderBy("id").collect()] == [None, *[i % 7 for i in range(59)]]
+    tables.running(df.drop("text"), ["g"], ["id"], "size", "before")
+    assert len(split) == 2
