@@ -28,6 +28,8 @@ HEADS = "path string, size long, channel_count int, frame_rate int, data_at long
 BLOCK = 4 << 20
 _URI = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]+):/(?:/([^/]*))?(/?.*)$")
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: Bytes that are the work of a task, and those that a range counts as at least, since a file has to be opened for it.
+TASK, OPENING = 64 << 20, 256 << 10
 #: What ``opened`` can open.
 KNOWN = {"file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss"}
 
@@ -173,10 +175,14 @@ def signal_heads(listed: DataFrame, carried: str | None = None) -> DataFrame:
 
 
 def rows_of(found: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, most_tasks: int = 20_000, carried: str | None = None) -> DataFrame:
-    """The signals of ``signal_heads`` as rows; there is about a task for each ``range_bytes``, or for several ranges beyond
-    ``most_tasks``. What is carried stands beside each row, so nothing has to be joined to samples."""
+    """The signals of ``signal_heads`` as rows; tasks are as many as the bytes need (``TASK``, or ``range_bytes`` if that is more),
+    and four times those of a shuffle if there are ranges for so many: beyond that a task takes many ranges of small files.
+    What is carried stands beside each row, so nothing has to be joined to samples."""
     asked = ranges(found, chunk_frames, range_bytes, carried)
-    return read_ranges(asked, min(max(1, asked.count()), most_tasks), chunk_frames, carried)
+    each = F.greatest(F.col("rows") * F.col("channel_count") * (2 * chunk_frames), F.lit(OPENING))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    tasks = max(4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // max(TASK, range_bytes)))
+    return read_ranges(asked, max(1, min(tasks, n, most_tasks)), chunk_frames, carried)
 
 
 def signal_rows(listed: DataFrame, chunk_frames: int = 4096, range_bytes: int = 64 << 20, most_tasks: int = 20_000) -> DataFrame:

@@ -128,3 +128,11 @@ def test_tables_whose_names_have_spaces(spark, tmp_path):
     found = tables.read_tree(spark, str(tmp_path), "csv", [ColumnSpec("Name"), ColumnSpec("X", "int")])
     assert sorted((r.Name, r.X) for r in found.collect()) == [("line\nend", 3), ("n1", 1), ("n2", 5)]
     assert tables.read_tree(spark, str(tmp_path / "none"), "csv", [ColumnSpec("Name")]).count() == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.wav").write_bytes(wav([i] * 3))
+    rows = ranges.signal_rows(files.list_files(spark, str(tmp_path)), chunk_frames=512, range_bytes=1024)
+    assert rows.rdd.getNumPartitions() <= 16
+    assert sorted(r.samples for r in rows.collect()) == sorted([i] * 3 for i in range(200))
