@@ -16,6 +16,13 @@ from assetloom.sources.scratch import stored
 TASK_ROWS, TASK_BYTES = 500_000, 128 << 20
 
 
+def spread(df: DataFrame, by: Sequence[str], rows: int = 50_000) -> DataFrame:
+    """Rows dealt out by a key of theirs over tasks of about ``rows`` (and as many as a shuffle has), for rows that are about to
+    become much wider: a small file may hold more of them than a task can sort."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(tasks, *by)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order; NULL and blank keys are alike.
 

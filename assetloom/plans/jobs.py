@@ -114,7 +114,7 @@ TEMPLATE_COLUMNS = [c.name for c in P.ALIAS if c.inherited]
 def compile_rows(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) before any row is compared with another: levels layered, templates and defaults applied, paths
     normalised, rows validated. Violations name the file of their row."""
-    a = sources.withColumn("CompressionLevel", inherit.layered("CompressionLevel", "source_level"))
+    a = tables.spread(sources, ["__file", "__row"]).withColumn("CompressionLevel", inherit.layered("CompressionLevel", "source_level"))
     missing = inherit.missing_refs(a, templates, "Template", "Name").select("zone", F.col("Name").alias("key"), F.lit("unknown template").alias("rule"), F.col("Template").alias("detail"), "__file")
     a = inherit.inherit(a, templates, "Template", "Name", [c for c in TEMPLATE_COLUMNS if c in a.columns])
     a = a.join(inherit.dimension(zones), "zone").withColumn("CompressionLevel", inherit.layered("CompressionLevel", "zone_level", F.lit("none"))).drop("zone_level")

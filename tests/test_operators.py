@@ -655,3 +655,12 @@ def test_groups_of_few_wide_rows_are_split(spark, monkeypatch):
     assert len(split) == 2 and [r.last for r in got.orderBy("id").collect()] == [None, *[i % 7 for i in range(59)]]
     tables.running(df.drop("text"), ["g"], ["id"], "size", "before")
     assert len(split) == 2
+
+
+def test_rows_of_one_file_are_compiled_by_many_tasks(spark):
+    """A small file of many rows is one task, whose rows become wide."""
+    some = spark.range(0, 1000, 1, 1).select(F.lit("z").alias("zone"), F.lit(None).cast("string").alias("source_level"), F.concat(F.lit("a"), "id").alias("Name"), F.lit("snd/a.wav").alias("FileSpec"), F.lit("f.csv").alias("__file"), F.col("id").alias("__row"))
+    assert tables.spread(some, ["__file", "__row"], rows=50).rdd.getNumPartitions() == 20
+    rows, _ = jobs.compile_rows(complete(some, P.ALIAS), spark.createDataFrame([("z", "low")], "zone string, zone_level string"), complete(spark.createDataFrame([("t",)], "Name string"), P.ALIAS))
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 1000 and len(held) == int(spark.conf.get("spark.sql.shuffle.partitions"))
