@@ -170,12 +170,10 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     rows = aliases.drop("Platform", "Language").join(inherit.dimension(req), "zone")
     rows = rows.filter(validate.for_platform("PlatformMask", F.col("platform")) & ~validate.all_blank(*P.SPECS))
     rows = rows.withColumn("row_key", F.struct("alias_key", "platform", "language"))
-    specs = resolve.unpivot_specs(rows, "row_key", {"main": "FileSpec", "sustain": "FileSpecSustain", "release": "FileSpecRelease"})
-    info = rows.select(
-        "row_key", "zone", "platform", "language", "Name", "Storage", "CompressionLevel", "SearchName", "IsShared", "__file", "__row",
-        S.scale_level(S.scale_level("Compression", "platform_scale"), "locale_scale").alias("scaled"),
-    )
-    specs = specs.join(info, "row_key").withColumn("tree", F.when(F.col("IsShared"), "").otherwise(F.lower("SearchName")))
+    scaled = rows.withColumn("scaled", S.scale_level(S.scale_level("Compression", "platform_scale"), "locale_scale"))
+    info = ["zone", "platform", "language", "Name", "Storage", "CompressionLevel", "SearchName", "IsShared", "__file", "__row", "scaled"]
+    specs = resolve.unpivot_specs(scaled, "row_key", {"main": "FileSpec", "sustain": "FileSpecSustain", "release": "FileSpecRelease"}, carried=info)
+    specs = specs.withColumn("tree", F.when(F.col("IsShared"), "").otherwise(F.lower("SearchName")))
     lost = resolve.unresolved(specs, ctx.files, shared="IsShared").select("zone", "platform", "language", "Name", "slot", "spec")
     found = resolve.resolve_specs(specs, ctx.files, tree="tree")
     found = resolve.with_targets(found, list(roots), "SearchName", "Storage", "looping", "scaled", "platform")

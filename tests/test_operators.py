@@ -664,3 +664,9 @@ def test_rows_of_one_file_are_compiled_by_many_tasks(spark):
     rows, _ = jobs.compile_rows(complete(some, P.ALIAS), spark.createDataFrame([("z", "low")], "zone string, zone_level string"), complete(spark.createDataFrame([("t",)], "Name string"), P.ALIAS))
     held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(held) == 1000 and len(held) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_specs_carry_columns_of_their_row(spark):
+    df = spark.createDataFrame([(1, "a", " ", "LOOPING", "x"), (2, "b", "c", None, "y")], "id long, one string, two string, Looping string, more string")
+    got = resolve.unpivot_specs(df, "id", {"main": "one", "sustain": "two"}, carried=["more"])
+    assert sorted(map(tuple, got.collect())) == [(1, "main", "a", "LOOPING", "x"), (2, "main", "b", None, "y"), (2, "sustain", "c", "LOOPING", "y")]
