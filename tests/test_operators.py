@@ -24,6 +24,22 @@ def test_relaxed_scan(spark, tmp_path):
     assert [(r.Name, r.A, r.B, r.Missing) for r in got] == [("alpha", 1, "x", None), ("beta", 2, None, None), ("gamma", 3, "y", None)]
 
 
+def test_grouped_specs_come_together_by_folder(spark):
+    """Rows that name a folder follow one another, each with its files in one order; a path and a folder may be alike."""
+    f = spark.createDataFrame([(f"{d}/{i}.wav", d, "wav") for d in ("a", "b", "c") for i in range(20)] + [("d.wav", "", "wav"), ("d.wav/x.wav", "d.wav", "wav"), ("a/no.txt", "a", "txt")], "rel_path string, parent string, ext string")
+    s = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(60)] + [(60, "d.wav"), (61, "a/3.wav"), (62, "nowhere"), (63, None)], "k int, spec string")
+    found = resolve.resolve_specs(s, f, grouped=True).withColumn("p", F.spark_partition_id()).collect()
+    want = [(k, f"{'abc'[k % 3]}/{i}.wav") for k in range(60) for i in range(20)] + [(60, "d.wav"), (60, "d.wav/x.wav"), (61, "a/3.wav")]
+    assert sorted((r.k, r.source) for r in found) == sorted(want)
+    runs, orders = [], {}
+    for r in found:
+        if not runs or runs[-1] != (r.p, r.spec):
+            runs.append((r.p, r.spec))
+        orders.setdefault(r.spec, {}).setdefault(r.k, []).append(r.source)
+    assert len(runs) == len(set(runs)) == 5
+    assert all(len({tuple(x) for x in by_row.values()}) == 1 for by_row in orders.values())
+
+
 def test_windows_paths_survive_quoting(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Name,P,Q\na,"c:\\dir\\",next\n')
     r = tab.read_table(spark, [f"{tmp_path}/a.csv"], [C("Name"), C("P"), C("Q")]).first()
