@@ -18,6 +18,16 @@ def diff_manifest(desired: DataFrame, previous: DataFrame, key: str = "name", ch
     return d.join(p, key, "full_outer").select(key, status.alias("status"))
 
 
+def compared(desired: DataFrame, previous: DataFrame, key: str = "name", checksum: str = "source_checksum") -> DataFrame:
+    """(key, status, new, old): ``diff_manifest`` with the row of either side (NULL where it has none), from the same join, so
+    that what is kept and added needs no other."""
+    d = desired.select(key, F.struct(*[c for c in desired.columns if c != key]).alias("new"))
+    p = previous.select(key, F.struct(*[c for c in previous.columns if c != key]).alias("old"))
+    same = F.col(f"new.{checksum}").eqNullSafe(F.col(f"old.{checksum}"))
+    status = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").when(same, "keep").otherwise("change")
+    return d.join(p, key, "full_outer").select(key, status.alias("status"), "new", "old")
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     """Numbers of entries to add and to remove; a change counts as both."""
     s = F.col("status")

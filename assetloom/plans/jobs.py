@@ -183,8 +183,9 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     # settings that clash keep no asset: the build can't tell which is meant
     with no_inferred_filters(requests.sparkSession):
         found = stored(found, "found")
-    conflicts = resolve.target_conflicts(found, "claim", ["source", "looping", "Storage", "CompressionLevel"], "origin", "order")
-    claims = resolve.claimed(found.join(conflicts.select("claim"), "claim", "left_anti").withColumn("target_key", F.to_json("claim")), "target_key", "order")
+    settings = ["source", "looping", "Storage", "CompressionLevel"]
+    conflicts = resolve.target_conflicts(found, "claim", settings, "origin", "order")
+    claims = resolve.unclashed(found, "claim", settings, "order").withColumn("target_key", F.to_json("claim"))
     first = resolve.first_resolved(found, "row_key", "slot")
     wide = first.groupBy("row_key").pivot("slot", ["main", "sustain", "release"]).agg(F.first("source").alias("source"), F.first("target").alias("target"))
     names = {f"{slot}_{kind}": f"File{kind.capitalize()}{tail}" for slot, tail in (("main", ""), ("sustain", "Sustain"), ("release", "Release")) for kind in ("source", "target")}
@@ -197,7 +198,9 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     bound = S.recipe_of("source_checksum", "CompressionLevel")
     if recipes:
         bound = F.coalesce(S.checksum_at(RECIPES, "CompressionLevel"), bound)
-    desired = claims.join(content, ["tree", "source"]).select(
+    # the columns of a claim that an entry needs
+    named = resolve.unclashed(found.select("claim", "order", "tree", *settings), "claim", settings, "order").select("claim.*", "tree", "source", "CompressionLevel")
+    desired = named.join(content, ["tree", "source"]).select(
         *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", bound.alias("source_checksum"), "source", "CompressionLevel", *extra, *path
     )
     key = "entry"
@@ -205,23 +208,30 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     if convert:
         made = F.col("converted_checksum") if "converted_checksum" in previous.columns else F.lit(None)
         previous = previous.withColumn("source_checksum", F.when(made.isNotNull(), F.col("source_checksum")))
-    diff = manifest.diff_manifest(desired, previous, key)
+    entry = ["name", "name_hash", "size", "source_checksum"]
+    was = previous.select(key, *by, *entry, *[c for c in dict.fromkeys([*extra, *(CONVERTED if convert else [])]) if c in previous.columns and c not in entry])
+    keep = F.col("status") == "keep"
     if convert:
-        diff = stored(diff, "diff")
-        desired = _converted(desired, diff, key, convert)
+        both = stored(manifest.compared(desired, was, key), "compared")
+        diff = both.select(key, "status")
+        made = _converted(both.filter("status in ('add', 'change')").select(key, "new.*"), convert)
         extra = [*extra, *[c for c in CONVERTED if c not in ("size", *extra)]]
-    entry = [key, *by, "name", "name_hash", "size", "source_checksum"]
-    was = previous.select(*entry, *[c for c in extra if c in previous.columns])
-    merged = manifest.retained_first(manifest.apply_diff(was, diff, desired.select(*entry, *extra), key), diff, key)
+        kept = both.filter(keep).select(key, "old.*", F.lit(0).alias("placement"))
+        merged = kept.unionByName(made.select(key, *by, *entry, *extra, F.lit(1).alias("placement")), allowMissingColumns=True)
+    else:
+        diff = manifest.diff_manifest(desired, previous, key)
+        both = manifest.compared(desired.select(key, *by, *entry, *extra), was, key).filter("status <> 'remove'")
+        merged = both.select(
+            key, *[F.when(keep, F.col(f"old.{c}") if c in was.columns else F.lit(None)).otherwise(F.col(f"new.{c}")).alias(c) for c in [*by, *entry, *extra]],
+            F.when(keep, 0).otherwise(1).alias("placement"),
+        )
     packed = manifest.packed_offsets(merged, by, ["placement", "name"], base=base, place="order")
     return Build(emitted, bad, claims, conflicts, lost, diff, packed.drop(key, "placement").withColumn("version", F.lit(version)))
 
 
-def _converted(desired: DataFrame, diff: DataFrame, key: str, convert) -> DataFrame:
+def _converted(todo: DataFrame, convert) -> DataFrame:
     """The desired entries that are added or changed, with what their conversion gives in place of what the source has."""
-    todo = desired.join(diff.filter("status in ('add', 'change')").select(key), key, "left_semi")
     todo = todo.withColumn("level", F.lower(F.coalesce("CompressionLevel", F.lit("none"))))
-    todo = stored(todo, "added")
     if todo.isEmpty():  # no run without work
         return todo.withColumns({c: F.lit(None).cast(kind) for c, kind in CONVERTED.items()})
     made = convert(todo.select("path", "level").distinct()).select("path", "level", *CONVERTED)

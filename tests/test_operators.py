@@ -40,6 +40,44 @@ def test_grouped_specs_come_together_by_folder(spark):
     assert all(len({tuple(x) for x in by_row.values()}) == 1 for by_row in orders.values())
 
 
+def test_compared_gives_either_side_and_status(spark):
+    new = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("c", "3", 3), ("n", None, 4)], "name string, source_checksum string, size int")
+    old = spark.createDataFrame([("a", "1", 9), ("b", "x", 8), ("d", "4", 7), ("n", None, 6)], "name string, source_checksum string, size int")
+    both = manifest.compared(new, old)
+    got = {r.name: (r.status, r.new and r.new.size, r.old and r.old.size) for r in both.collect()}
+    assert got == {"a": ("keep", 1, 9), "b": ("change", 2, 8), "c": ("add", 3, None), "d": ("remove", None, 7), "n": ("keep", 4, 6)}
+    assert {(r.name, r.status) for r in manifest.diff_manifest(new, old).collect()} == {(k, v[0]) for k, v in got.items()}
+
+
+def test_unclashed_is_claims_without_conflicts(spark):
+    rng = random.Random(5)
+    rows = [(i, f"t{rng.randrange(40)}", rng.choice(["x", "x", "x", "y", None]), f"by{i}") for i in range(200)]
+    a = spark.createDataFrame(rows, "o int, target string, s string, origin string")
+    bad = resolve.target_conflicts(a, "target", ["s"], "origin", "o").select("target")
+    want = resolve.claimed(a.join(bad, "target", "left_anti"), "target", "o").select(*a.columns)
+    got = resolve.unclashed(a, "target", ["s"], "o")
+    assert got.columns == a.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+
+
+def test_a_build_joins_manifests_once(spark, monkeypatch):
+    """The manifest comes from one comparison of what is wanted and what was, and reads each claim once."""
+    from assetloom.queries import signals as Q
+    from assetloom.sources import scratch
+
+    seen = []
+    was = tables.stored
+
+    def kept(df, what="stored"):
+        if what == "groups":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df, what)
+
+    monkeypatch.setattr(tables, "stored", kept)
+    assert scratch.stored is was
+    jobs.build(*Q.build_inputs(spark, "/root/testdata/sf0.001"))
+    assert len(seen) == 1 and seen[0].count("Join FullOuter") == 1 and "LeftSemi" not in seen[0] and "LeftAnti" not in seen[0]
+
+
 def test_windows_paths_survive_quoting(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Name,P,Q\na,"c:\\dir\\",next\n')
     r = tab.read_table(spark, [f"{tmp_path}/a.csv"], [C("Name"), C("P"), C("Q")]).first()
