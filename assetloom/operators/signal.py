@@ -298,7 +298,9 @@ def decimate(buckets: DataFrame, most: int = 32, asset: str = "asset", store=Non
 def candidates(ks: DataFrame, asset: str = "asset", most: int = 64) -> DataFrame:
     """Envelopes of four points: (asset, ordinal, level[4], time[4]) of signals with under ``most`` knots.
 
-    With up to four knots the two in the middle; else every pair of inner knots but the last one."""
+    With up to four knots the two in the middle; else every pair of inner knots but the last one. Knots are few bytes that
+    become many candidates, so they are dealt over as many tasks as a shuffle has, which adaptive execution doesn't merge."""
+    ks = ks.repartition(int(ks.sparkSession.conf.get("spark.sql.shuffle.partitions")), asset)
     size = ks.groupBy(asset).agg(F.count("*").alias("m"), F.min_by("v", "seq").alias("v0"), F.max_by("v", "seq").alias("v3"))
     k = ks.join(size, asset)
     left, right = k.alias("a"), k.select(asset, F.col("seq").alias("seq2"), F.col("i").alias("i2"), F.col("v").alias("v2")).alias("b")

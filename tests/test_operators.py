@@ -78,6 +78,12 @@ def test_a_build_joins_manifests_once(spark, monkeypatch):
     assert len(seen) == 1 and seen[0].count("Join FullOuter") == 1 and "LeftSemi" not in seen[0] and "LeftAnti" not in seen[0]
 
 
+def test_candidates_keep_the_tasks_of_a_shuffle(spark):
+    b = spark.range(40 * 60).selectExpr("cast(id % 40 as string) asset", "cast(id div 40 as int) i", "cast((id * 7919) % 101 as double) v")
+    found = signal.candidates(stored(signal.knots(b)))
+    assert found.rdd.getNumPartitions() == 4 and found.count() > 40 * 60
+
+
 def test_windows_paths_survive_quoting(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Name,P,Q\na,"c:\\dir\\",next\n')
     r = tab.read_table(spark, [f"{tmp_path}/a.csv"], [C("Name"), C("P"), C("Q")]).first()
