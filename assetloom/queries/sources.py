@@ -219,21 +219,22 @@ _TAKES = f"{LONG}, takes AS (SELECT (vec_id // 16)::BIGINT AS take, row_number()
 
 
 def take_files(spark, sf):
-    """A folder of PCM files, each of sixteen neighbouring signals; the writer's line end is a byte after the data."""
-    path = scratch(spark, "takes")
+    """A folder of PCM files and (path, size) of them, each of sixteen neighbouring signals and a line end after the data,
+    a thousand to a folder."""
+    root = scratch(spark, "takes")
     each = signals(spark, sf).groupBy(F.floor(F.col("vec_id") / 16).cast("long").alias("take")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))).alias("x"))
-    each.select("take", files.wav_bytes(F.flatten("x.samples")).cast("string").alias("value")).write.partitionBy("take").text(path)
-    return path
+    path = F.concat(F.lit(f"{root}/"), F.floor(F.col("take") / 1000), F.lit("/take="), "take", F.lit(".wav"))
+    return root, ranges.write_signals(each.select(path.alias("path"), F.flatten("x.samples").alias("samples")), after=b"\n")
 
 
 def take_of(path):
-    return F.regexp_extract(path, "take=([0-9]+)/[^/]*$", 1).cast("long")
+    return F.regexp_extract(path, "take=([0-9]+)[.]wav$", 1).cast("long")
 
 
 @query(f"WITH {_TAKES} SELECT take, 1 AS channel_count, 48000 AS frame_rate, i, s FROM takes")
 def s13_read_ranges(spark, sf):
     """Signals read in ranges of two rows, so that each file is the work of several tasks."""
-    listed = files.list_files(spark, take_files(spark, sf))
+    listed = files.list_files(spark, take_files(spark, sf)[0])
     rows = ranges.signal_rows(listed, chunk_frames=256, range_bytes=1024)
     each = rows.select(take_of("asset").alias("take"), "channel_count", "frame_rate", "chunk_no", F.posexplode("samples").alias("j", "s"))
     return each.select("take", "channel_count", "frame_rate", (F.col("chunk_no") * 256 + F.col("j")).alias("i"), F.col("s").cast("int").alias("s"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -39,15 +41,57 @@ def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{authority}/")
 
 
-def opened(path: str):
-    """A file for reading at any place, by its path as Spark lists it (names aren't percent-encoded)."""
+def _place(path: str) -> tuple[fs.FileSystem, str]:
     if path is None:
         raise ValueError("no path")
     m = _URI.match(path)
     if m is None or m[1] == "file":
-        return fs.LocalFileSystem().open_input_file(path if m is None else "/" + m[3].lstrip("/"))
+        return fs.LocalFileSystem(), path if m is None else "/" + m[3].lstrip("/")
     store, base = _store(m[1], m[2] or "")
-    return store.open_input_file(f"{base.rstrip('/')}/{m[3].lstrip('/')}")
+    return store, f"{base.rstrip('/')}/{m[3].lstrip('/')}"
+
+
+def opened(path: str):
+    """A file for reading at any place, by its path as Spark lists it (names aren't percent-encoded)."""
+    store, at = _place(path)
+    return store.open_input_file(at)
+
+
+def written(path: str, data: bytes) -> None:
+    """A whole file, in folders that are made for it. It has its name from a rename on, so a task that fails leaves none cut
+    short, and one that is run again replaces it."""
+    store, at = _place(path)
+    folder = at.rsplit("/", 1)[0]
+    store.create_dir(folder, recursive=True)
+    hidden = f"{folder}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as f:
+        f.write(data)
+    try:
+        store.move(hidden, at)
+    except OSError:  # a store whose rename doesn't replace
+        store.delete_file(at)
+        store.move(hidden, at)
+
+
+def write_signals(signals: DataFrame, channels: int = 1, rate: int = 48000, after: bytes = b"") -> DataFrame:
+    """(path, size) of signals (path, samples) that the tasks write, each as a 16-bit PCM file with ``after`` behind its data.
+
+    For very many small files: Spark's own writers set up and commit a writer for each."""
+    kind = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16) + b"data"
+
+    def run(batches):
+        for b in batches:
+            paths, sizes = b.column(0).to_pylist(), []
+            for path, samples in zip(paths, b.column(1), strict=True):
+                if samples.values is None or samples.values.null_count:
+                    raise ValueError(f"samples missing: {path}")
+                raw = samples.values.to_numpy().astype("<i2").tobytes()
+                data = b"RIFF" + struct.pack("<I", len(raw) + 36) + kind + struct.pack("<I", len(raw)) + raw + after
+                written(path, data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return stored(signals.select("path", "samples").mapInArrow(run, "path string, size long"), "written")
 
 
 def known(path: str) -> bool:

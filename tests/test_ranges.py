@@ -136,3 +136,24 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     rows = ranges.signal_rows(files.list_files(spark, str(tmp_path)), chunk_frames=512, range_bytes=1024)
     assert rows.rdd.getNumPartitions() <= 16
     assert sorted(r.samples for r in rows.collect()) == sorted([i] * 3 for i in range(200))
+
+
+def test_tasks_write_signals_a_file_each(spark, tmp_path):
+    many = [(f"{tmp_path}/{k % 2}/{k}.wav", [k, -1, 32767, -32768] * k) for k in range(5)]
+    frame = spark.createDataFrame(many, "path string, samples array<int>")
+    want = {p: bytes(r[0]) + b"\n" for p, r in zip((p for p, _ in many), frame.select(files.wav_bytes("samples")).collect(), strict=True)}
+    for _ in range(2):  # a task that is run again replaces its files
+        got = ranges.write_signals(frame, after=b"\n").collect()
+        assert {r.path: r.size for r in got} == {p: len(x) for p, x in want.items()}
+        assert {str(p): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == want
+
+
+def test_written_signals_share_folders(spark):
+    """A folder a file would be a task of the listing each."""
+    from assetloom.queries.sources import take_files
+
+    root, made = take_files(spark, "/root/testdata/sf0.001")
+    listed = files.list_files(spark, root)
+    assert made.count() > 1 and listed.select("parent").distinct().count() == 1
+    key = F.regexp_extract("path", "[^/]*$", 0)
+    assert sorted(map(tuple, listed.select(key, "size").collect())) == sorted(map(tuple, made.select(key, "size").collect()))
