@@ -35,10 +35,11 @@ def _text(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.simpleString() == "string"
 
 
-def inherit(df: DataFrame, templates: DataFrame, on: str, key: str, cols: Sequence[str]) -> DataFrame:
+def inherit(df: DataFrame, templates: DataFrame, on: str, key: str, cols: Sequence[str], unknown: str | None = None) -> DataFrame:
     """``cols`` filled where blank from the template that ``on`` names (any case); one level, in one projection.
 
-    A blank reference has no template. Templates are expected once per key (see ``read_templates``)."""
+    A blank reference has no template. Templates are expected once per key (see ``read_templates``). With ``unknown`` a column of
+    that name says which rows ``missing_refs`` would give, from the same join."""
     t = templates.filter(F.coalesce(F.trim(key), F.lit("")) != "").select(_key(key).alias("__t"), *[F.col(c).alias(f"__t_{c}") for c in cols])
     j = df.withColumn("__k", F.when(F.trim(on) != "", _key(on))).join(dimension(t), F.col("__k") == F.col("__t"), "left")
 
@@ -47,7 +48,8 @@ def inherit(df: DataFrame, templates: DataFrame, on: str, key: str, cols: Sequen
         return F.coalesce(own, F.col(f"__t_{c}"), F.col(c)).alias(c)
 
     cols = set(cols)
-    return j.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
+    lost = [(F.col("__k").isNotNull() & F.col("__t").isNull()).alias(unknown)] if unknown else []
+    return j.select(*[filled(c) if c in cols else F.col(c) for c in df.columns], *lost)
 
 
 def layered(*layers: Column | str) -> Column:

@@ -23,9 +23,11 @@ def compared(desired: DataFrame, previous: DataFrame, key: str = "name", checksu
     that what is kept and added needs no other."""
     d = desired.select(key, F.struct(*[c for c in desired.columns if c != key]).alias("new"))
     p = previous.select(key, F.struct(*[c for c in previous.columns if c != key]).alias("old"))
+    # sorted by a number, which tells almost all keys apart; texts that begin alike are compared whole else
+    d, p = (x.withColumn("__h", F.xxhash64(key)) for x in (d, p))
     same = F.col(f"new.{checksum}").eqNullSafe(F.col(f"old.{checksum}"))
     status = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").when(same, "keep").otherwise("change")
-    return d.join(p, key, "full_outer").select(key, status.alias("status"), "new", "old")
+    return d.join(p, ["__h", key], "full_outer").select(key, status.alias("status"), "new", "old")
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

@@ -22,11 +22,16 @@ class Rule:
 
 def violations(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     """(key, rule, detail), one row for each rule that a row breaks; all rules in one pass. A NULL verdict passes."""
+    bad = df.select(F.col(key).alias("key"), F.explode(broken(rules)).alias("v"))
+    return bad.select("key", "v.rule", "v.detail")
+
+
+def broken(rules: Sequence[Rule]) -> Column:
+    """The rules that a row breaks, as an array of structs with rule and detail."""
     found = F.array(
         *[F.struct(F.coalesce(r.bad, F.lit(False)).alias("bad"), F.lit(r.name).alias("rule"), r.detail.cast("string").alias("detail")) for r in rules]
     )
-    bad = df.select(F.col(key).alias("key"), F.explode(F.filter(found, lambda x: x["bad"])).alias("v"))
-    return bad.select("key", "v.rule", "v.detail")
+    return F.filter(found, lambda x: x["bad"])
 
 
 def strict(df: DataFrame, rules: Sequence[Rule], key: str, shown: int = 10) -> DataFrame:
@@ -39,7 +44,12 @@ def strict(df: DataFrame, rules: Sequence[Rule], key: str, shown: int = 10) -> D
 
 def accepted(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows that break no rule."""
-    return df.filter(~reduce(lambda a, b: a | b, [F.coalesce(r.bad, F.lit(False)) for r in rules]))
+    return df.filter(~breaks(rules))
+
+
+def breaks(rules: Sequence[Rule]) -> Column:
+    """Whether a row breaks any rule."""
+    return reduce(lambda a, b: a | b, [F.coalesce(r.bad, F.lit(False)) for r in rules])
 
 
 def for_platform(mask: str, name: Column | str) -> Column:

@@ -107,10 +107,10 @@ def build(requests: DataFrame, inputs: Inputs, root: str, **options) -> Done:
     same = (F.col("mark") == F.col("__was")) & ~((F.col("kind") == "table") & F.lit(every))
     marks = stored(kept.select("kind", "file", "mark", F.when(same, F.col("__run")).otherwise(run).alias("run")), "marks")
     if stale:
-        rows, bad = jobs.compile_rows(inputs.read(stale), inputs.zones(), inputs.templates())
+        checked = jobs.checked_rows(inputs.read(stale), inputs.zones(), inputs.templates())
         with no_inferred_filters(spark):
-            rows.write.parquet(f"{root}/rows/{run}")
-            bad.write.parquet(f"{root}/bad/{run}")
+            checked.write.parquet(f"{root}/rows/{run}")
+            jobs.bad_rows(spark.read.schema(checked.schema).parquet(f"{root}/rows/{run}")).write.parquet(f"{root}/bad/{run}")
     fresh = inputs.assets.join(changes.filter("kind = 'asset' and change <> 'remove'").select(F.col("file").alias("path")), "path", "left_semi")
     hashed = fresh.count()
     if hashed:
@@ -119,7 +119,9 @@ def build(requests: DataFrame, inputs: Inputs, root: str, **options) -> Done:
     rows, bad, hashes = (_kept(spark, root, what, marks, kind, file) for what, kind, file in (("rows", "table", "__file"), ("bad", "table", "__file"), ("hashes", "asset", "path")))
     if rows is None:  # no source table at all
         rows, bad = jobs.compile_rows(inputs.read([]), inputs.zones(), inputs.templates())
-    aliases = stored(jobs.first_rows(rows), "aliases")
+    rows = jobs.accepted_rows(rows)
+    with no_inferred_filters(spark):
+        aliases = jobs.first_stored_rows(rows)
     hashes = spark.createDataFrame([], "path string, source_checksum string") if hashes is None else hashes
     assets = inputs.assets.join(hashes, "path").withColumn("size", F.col("length"))
     previous = spark.read.parquet(f"{at}/manifest") if name else spark.createDataFrame([], "zone string, platform string, language string, storage_class string, name string, name_hash long, size long, source_checksum string")

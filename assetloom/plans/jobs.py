@@ -111,26 +111,65 @@ FEATURES = ["frame_rate_index", "channel_count", "frame_count", *[f"envelope_lou
 TEMPLATE_COLUMNS = [c.name for c in P.ALIAS if c.inherited]
 
 
-def compile_rows(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, violations) before any row is compared with another: levels layered, templates and defaults applied, paths
-    normalised, rows validated. Violations name the file of their row."""
+def checked_rows(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> DataFrame:
+    """All rows before any is compared with another: levels layered, templates and defaults applied, paths normalised, with
+    ``alias_key``, what is wrong with them (``__bad``: key, rule, detail) and whether they are accepted (``__ok``), in one pass:
+    ``accepted_rows`` and ``bad_rows`` of what is stored of it don't compile anything again."""
     a = tables.spread(sources, ["__file", "__row"]).withColumn("CompressionLevel", inherit.layered("CompressionLevel", "source_level"))
-    missing = inherit.missing_refs(a, templates, "Template", "Name").select("zone", F.col("Name").alias("key"), F.lit("unknown template").alias("rule"), F.col("Template").alias("detail"), "__file")
-    a = inherit.inherit(a, templates, "Template", "Name", [c for c in TEMPLATE_COLUMNS if c in a.columns])
-    a = a.join(inherit.dimension(zones), "zone").withColumn("CompressionLevel", inherit.layered("CompressionLevel", "zone_level", F.lit("none"))).drop("zone_level")
+    a = inherit.inherit(a, templates, "Template", "Name", [c for c in TEMPLATE_COLUMNS if c in a.columns], unknown="__unknown")
+    none = F.array().cast("array<struct<key: string, rule: string, detail: string>>")
+    unknown = F.array(F.struct(F.col("Name").alias("key"), F.lit("unknown template").alias("rule"), F.col("Template").alias("detail")))
+    a = a.withColumn("__bad", F.when(F.col("__unknown"), unknown).otherwise(none)).drop("__unknown")
+    # a row of no known zone is dropped, but its reference is told of
+    a = a.join(inherit.dimension(zones.withColumn("__known", F.lit(True))), "zone", "left").withColumn("CompressionLevel", inherit.layered("CompressionLevel", "zone_level", F.lit("none"))).drop("zone_level")
     a = S.apply_fixups(S.apply_defaults(a, P.ALIAS))
     a = a.withColumns({c: S.norm_path(c) for c in P.SPECS})
     a = S.clear(a)
+    # details are made of broken rules only
     rules = validate.alias_rules()
-    keyed = a.withColumn("__key", F.to_json(F.struct("zone", F.col("Name").alias("key"), F.col("__file").alias("file"))))
-    bad = validate.violations(keyed, rules, "__key").select(F.from_json("key", "zone string, key string, file string").alias("k"), "rule", "detail")
-    bad = bad.select("k.zone", "k.key", "rule", "detail", F.col("k.file").alias("__file"))
-    return validate.accepted(a, rules), missing.unionByName(bad)
+    breaks = F.coalesce(F.col("__known") & validate.breaks(rules), F.lit(False))
+    broken = F.transform(validate.broken(rules), lambda x: F.struct(F.col("Name").alias("key"), x["rule"].alias("rule"), x["detail"].alias("detail")))
+    bad = F.when(breaks, F.concat("__bad", broken)).otherwise(F.col("__bad"))
+    a = a.withColumns({"__bad": bad, "__ok": F.col("__known").isNotNull() & ~breaks, "alias_key": alias_key(["zone", *P.DEDUP_KEYS])})
+    return a.drop("__known")
+
+
+def accepted_rows(checked: DataFrame) -> DataFrame:
+    """The rows of ``checked_rows`` that break no rule; rows that were stored before they had a verdict were accepted."""
+    return checked.filter(F.coalesce("__ok", F.lit(True))).drop("__ok", "__bad") if "__ok" in checked.columns else checked
+
+
+def bad_rows(checked: DataFrame) -> DataFrame:
+    """(zone, key, rule, detail, __file) of what is wrong with the rows of ``checked_rows``."""
+    return checked.select("zone", "__file", F.explode("__bad").alias("b")).select("zone", "b.key", "b.rule", "b.detail", "__file")
+
+
+def compile_rows(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) of ``checked_rows``. Violations name the file of their row."""
+    a = checked_rows(sources, zones, templates)
+    return accepted_rows(a), bad_rows(a)
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """Of rows that are alike the first by file and place."""
-    return tables.keep_first(rows, ["zone", *P.DEDUP_KEYS], ["__file", "__row"])
+    """Of rows that are alike (by ``alias_key``, a digest of the zone and the keys) the first by file and place."""
+    return tables.keep_first(_keyed(rows), ["alias_key"], ["__file", "__row"])
+
+
+def first_stored_rows(rows: DataFrame) -> DataFrame:
+    """``first_rows`` of rows that can be read again: keys are counted, and only rows whose key occurs more than once are
+    compared, so wide rows without a double aren't moved."""
+    rows = _keyed(rows)
+    twice = stored(rows.groupBy("alias_key").count().filter("count > 1").select("alias_key"), "twice")
+    if twice.isEmpty():
+        return rows
+    twice = inherit.dimension(twice)
+    again = tables.keep_first(rows.join(twice, "alias_key", "left_semi"), ["alias_key"], ["__file", "__row"])
+    return rows.join(twice, "alias_key", "left_anti").unionByName(again)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    made = alias_key(["zone", *P.DEDUP_KEYS])
+    return rows.withColumn("alias_key", F.coalesce("alias_key", made) if "alias_key" in rows.columns else made)
 
 
 def compile_aliases(sources: DataFrame, zones: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +202,8 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
         # read several times below: the wide expressions are evaluated once
         with no_inferred_filters(requests.sparkSession):
             aliases = stored(aliases, "aliases")
-    aliases = aliases.withColumn("alias_key", alias_key(["zone", *P.DEDUP_KEYS]))
+    if "alias_key" not in aliases.columns:
+        aliases = aliases.withColumn("alias_key", alias_key(["zone", *P.DEDUP_KEYS]))
     platform = ctx.platforms.select(F.col("Platform").alias("__platform"), F.col("CompressionScale").alias("platform_scale"))
     locale = ctx.locales.select(F.col("Name").alias("language"), "SearchName", "IsShared", F.col("CompressionScale").alias("locale_scale"))
     req = requests.join(inherit.dimension(platform), requests["platform"] == platform["__platform"]).drop("__platform").join(inherit.dimension(locale), "language")
@@ -175,7 +215,12 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     specs = resolve.unpivot_specs(scaled, "row_key", {"main": "FileSpec", "sustain": "FileSpecSustain", "release": "FileSpecRelease"}, carried=info)
     specs = specs.withColumn("tree", F.when(F.col("IsShared"), "").otherwise(F.lower("SearchName")))
     lost = resolve.unresolved(specs, ctx.files, shared="IsShared").select("zone", "platform", "language", "Name", "slot", "spec")
-    found = resolve.resolve_specs(specs, ctx.files, tree="tree")
+    # what an entry takes from its file comes along, so files are met once
+    extra = [c for c in FEATURES if c in ctx.files.columns]
+    recipes = [RECIPES] if RECIPES in ctx.files.columns else []
+    path = ["path"] if convert else []
+    content = ["source_checksum", "size", *extra, *recipes, *path]
+    found = resolve.resolve_specs(specs, ctx.files, tree="tree", carried=content)
     found = resolve.with_targets(found, list(roots), "SearchName", "Storage", "looping", "scaled", "platform")
     found = found.withColumns({"storage_class": tables.split_storage("Storage"), "origin": F.col("Name"), "order": F.struct("__file", "__row", "slot", "source")})
     by = ["zone", "platform", "language", "storage_class"]
@@ -191,16 +236,12 @@ def build(requests: DataFrame, ctx: Context, roots: tuple[str, str] = ("", ""),
     names = {f"{slot}_{kind}": f"File{kind.capitalize()}{tail}" for slot, tail in (("main", ""), ("sustain", "Sustain"), ("release", "Release")) for kind in ("source", "target")}
     emitted = rows.drop(*P.GENERATED).join(wide.withColumnsRenamed(names), "row_key", "left").withColumnsRenamed({"platform": "Platform", "language": "Language"})
 
-    extra = [c for c in FEATURES if c in ctx.files.columns]
-    recipes = [RECIPES] if RECIPES in ctx.files.columns else []
-    path = ["path"] if convert else []
-    content = ctx.files.select("tree", F.col("rel_path").alias("source"), "source_checksum", "size", *extra, *recipes, *path).distinct()
     bound = S.recipe_of("source_checksum", "CompressionLevel")
     if recipes:
         bound = F.coalesce(S.checksum_at(RECIPES, "CompressionLevel"), bound)
     # the columns of a claim that an entry needs
-    named = resolve.unclashed(found.select("claim", "order", "tree", *settings), "claim", settings, "order").select("claim.*", "tree", "source", "CompressionLevel")
-    desired = named.join(content, ["tree", "source"]).select(
+    named = resolve.unclashed(found.select("claim", "order", *settings, *content), "claim", settings, "order")
+    desired = named.select("claim.*", "source", "CompressionLevel", *content).select(
         *by, F.col("target").alias("name"), S.name_hash("target").alias("name_hash"), "size", bound.alias("source_checksum"), "source", "CompressionLevel", *extra, *path
     )
     key = "entry"

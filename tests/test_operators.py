@@ -730,3 +730,35 @@ def test_specs_carry_columns_of_their_row(spark):
     df = spark.createDataFrame([(1, "a", " ", "LOOPING", "x"), (2, "b", "c", None, "y")], "id long, one string, two string, Looping string, more string")
     got = resolve.unpivot_specs(df, "id", {"main": "one", "sustain": "two"}, carried=["more"])
     assert sorted(map(tuple, got.collect())) == [(1, "main", "a", "LOOPING", "x"), (2, "main", "b", None, "y"), (2, "sustain", "c", "LOOPING", "y")]
+
+
+def _alias_rows(spark, some):
+    frame = spark.createDataFrame(some, "zone string, Name string, FileSpec string, Template string, __file string, __row long")
+    return complete(frame.withColumn("source_level", F.lit(None).cast("string")), P.ALIAS)
+
+
+def test_rows_are_compiled_once_with_their_faults(spark):
+    """What is stored of a compilation gives rows and violations without another."""
+    from assetloom.sources.scratch import stored
+
+    some = [("z", "a", "s/a.wav", None, "f", 1), ("z", "b c", "s/b b.wav", "no", "f", 2), ("z", "d", "s/d.wav", "T", "g", 3), ("none", "e e", "s/e.wav", "no", "g", 4)]
+    zones = spark.createDataFrame([("z", "low")], "zone string, zone_level string")
+    checked = stored(jobs.checked_rows(_alias_rows(spark, some), zones, complete(spark.createDataFrame([("t",)], "Name string"), P.ALIAS)))
+    rows, bad = jobs.accepted_rows(checked), jobs.bad_rows(checked)
+    for frame in (rows, bad):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(r.Name for r in rows.collect()) == ["a", "d"] and not {"__ok", "__bad"} & set(rows.columns)
+    got = sorted((r.zone, r.key, r.rule, r.detail, r["__file"]) for r in bad.collect())
+    # a row of no known zone is told of for its reference only
+    assert [g[:3] for g in got] == [("none", "e e", "unknown template"), ("z", "b c", "FileSpec has a space"), ("z", "b c", "Name has a space"), ("z", "b c", "unknown template")]
+    assert got[0][3:] == ("no", "g") and got[2][3:] == ("b c", "f")
+
+
+def test_wide_rows_without_a_double_are_not_moved(spark):
+    some = [("z", f"a{i % 7}", "s.wav", None, f"f{i % 3}", i) for i in range(20)] + [("y", f"b{i}", "s.wav", None, "f", i) for i in range(20)]
+    rows = _alias_rows(spark, some)
+    at = lambda df: sorted((r.zone, r.Name, r["__file"], r["__row"]) for r in df.collect())
+    assert at(jobs.first_stored_rows(rows)) == at(jobs.first_rows(rows)) and jobs.first_rows(rows).count() == 27
+    single = rows.filter("zone = 'y'")
+    assert "Window" not in jobs.first_stored_rows(single)._jdf.queryExecution().executedPlan().toString() and jobs.first_stored_rows(single).count() == 20
