@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from assetloom.llm._common import dropped, numbered, pick, stored
 from assetloom.llm.whitening import finite, scaled, usual_length
 
-#: Anchors that are searched together, points that meet them at once, and points that the first round looks for.
-GROUP, SLOT, FIRST = 512, 8192, 4096
+#: Anchors that are searched together, points that meet them in one task (in tiles), and points that the first round looks for.
+GROUP, SLOT, FIRST, TILE = 2048, 32768, 4096, 2048
 _KEEP = 6  # equal vectors of one label: no list needs more of them
 
 
@@ -26,12 +26,15 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two matrices of whole numbers (a score beyond 64 bits raises)."""
-    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if top < 1 << 53:  # exact in doubles
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    """Exact inner products of the rows of two matrices of whole numbers, in the first type that holds every sum of them:
+    single, double, 64 bits (a score beyond raises)."""
+    reach = [max(int(m.max()), -int(m.min())) if m.size else 0 for m in (a, b)]
+    top = reach[0] * reach[1] * max(a.shape[1], 1)
+    for bits, kind in ((24, np.float32), (53, np.float64)):
+        if top < 1 << bits:
+            return a.astype(kind) @ b.astype(kind).T
     if top < 1 << 63:
-        return a @ b.T
+        return a.astype(np.int64) @ b.astype(np.int64).T
     return (a.astype(object) @ b.astype(object).T).astype(np.int64)
 
 
@@ -91,6 +94,28 @@ class Codebooks:
             if n:
                 yield -bound, int(a[i]) * across + int(b[j]), l1[a[i]] + l2[b[j]], int(n)
 
+    def first(self, x: np.ndarray, least: int, most: int, points: int) -> list[int]:
+        """The first cells of the sequence with scores from ``least`` to ``most`` that hold as many points."""
+        out, total = [], 0
+        for high, cell, low, n in self.sequence(x):
+            if high < least or total >= points:
+                break
+            if low <= most:
+                out.append(cell)
+                total += n
+        return out
+
+    def reaching(self, x: np.ndarray, least: int, most: int, seen: np.ndarray, points: int | None) -> np.ndarray:
+        """The cells not ``seen`` that can hold scores from ``least`` to ``most``: all, or the first by falling bound that
+        hold as many points."""
+        (h1, h2), (l1, l2) = self.bounds(x)
+        high, count = (h1[:, None] + h2).ravel(), self.count.ravel()
+        cells = np.flatnonzero((high >= least) & ((l1[:, None] + l2).ravel() <= most) & (count > 0) & ~seen)
+        if points is None or count[cells].sum() <= points:
+            return cells
+        cells = cells[np.argsort(-high[cells], kind="stable")]
+        return cells[: np.searchsorted(np.cumsum(count[cells]), points) + 1]
+
 
 def indexed(points: DataFrame, codes: int | None, sample: int) -> tuple[DataFrame, Codebooks]:
     """The points with their cell, stored, and the codebooks with radii and the points of each cell."""
@@ -119,105 +144,150 @@ def indexed(points: DataFrame, codes: int | None, sample: int) -> tuple[DataFram
     return out.select(*points.columns, (F.col("i") * len(book.codes[1]) + F.col("j")).alias("cell")), book
 
 
-def _top(scores: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores (ties: smaller ``first``), largest first."""
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((first[some], -scores[some]))[:k]]
-
-
-def _search(anchors: DataFrame, points: DataFrame, book: Codebooks, k: int, negatives: bool, rounds: list | None = None) -> DataFrame:
-    """(a, w, score, id): per anchor and window (w, from lo to hi) the k best rows, each once for every time it is there.
-
-    ``anchors``: a, grp, label, x, id and windows (array of w, lo, hi), which are open for positives. In rounds every
-    anchor that is not certain visits cells in its sequence until they hold four times as many points as before; it is
-    certain when k rows of every window score higher than what is left can, or what is left cannot reach the window."""
+def _tiles(rows: np.ndarray, size: int):
+    """Pieces of the rows, of which the first are small: what they take raises the least score for the others."""
+    at, step = 0, min(32, size)
+    while at < len(rows):
+        yield rows[at : at + step]
+        at, step = at + step, min(2 * step, size)
+
+
+class _Best:
+    """The k highest scores (ties: smaller id) of every window, and the least score that each still takes."""
+
+    def __init__(self, windows: pa.ListArray, k: int):
+        self.k, self.start = k, windows.offsets.to_numpy() - windows.offsets[0].as_py()
+        self.w, self.low, self.high, kth = (windows.flatten().field(c) for c in ("w", "lo", "hi", "kth"))
+        self.w, self.low, self.high = (v.to_numpy() for v in (self.w, self.low, self.high))
+        self.need = np.maximum(self.low, kth.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
+        self.found = [np.empty(0, np.int64)] * 3  # window, score, id
+
+    def limits(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every anchor the least and the highest score that a window of it takes."""
+        return np.minimum.reduceat(self.need, self.start[:-1]), np.maximum.reduceat(self.high, self.start[:-1])
+
+    def add(self, anchor: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        times = np.diff(self.start)[anchor]
+        row = np.repeat(np.arange(len(anchor)), times)
+        window = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + self.start[anchor][row]
+        fits = (score[row] >= self.need[window]) & (score[row] <= self.high[window])
+        window, row = window[fits], row[fits]
+        window, score, ids = (np.concatenate(v) for v in zip(self.found, (window, score[row], ids[row]), strict=True))
+        order = np.lexsort((ids, -score, window))
+        window = window[order]
+        rank = np.arange(len(window)) - np.searchsorted(window, window)
+        order, window = order[rank < self.k], window[rank < self.k]
+        self.found = [window, score[order], ids[order]]
+        last = rank[rank < self.k] == self.k - 1
+        self.need[window[last]] = self.found[1][last]
+
+
+def _search(anchors: DataFrame, windows: DataFrame, points: DataFrame, book: Codebooks, k: int, negatives: bool, rounds: list | None = None) -> DataFrame:
+    """(a, w, score, id): per anchor and window (from lo to hi) the k best rows, each once for every time it is there.
+
+    ``anchors``: a, grp, label, x, id; ``windows``: a, w, lo, hi, which are open for positives. Anchors of a group visit
+    cells together. In the first round each names the first of its sequence; then an anchor is certain when no cell that
+    its group has not visited can reach the k-th score of each window. If it has them all it names every cell that
+    can, else those that hold sixteen times as many points as in the round before. An anchor is done after as many
+    rounds as it takes to find k rows a window, and one more."""
     spark = anchors.sparkSession
     sent = spark.sparkContext.broadcast(book)
-    found, budget, active = None, FIRST, anchors.withColumn("seen", F.lit(0).cast("long"))
-
-    def plan(batches):
-        for b in batches:
-            xs, windows, seen = _matrix(b.column("x")), b.column("windows").to_pylist(), b.column("seen").to_pylist()
-            cells, bounds = [], []
-            for x, w, s in zip(xs, windows, seen, strict=True):
-                least, most = min(v["lo"] for v in w), max(v["hi"] for v in w)
-                mine, total, bound = [], 0, None
-                for at, (high, cell, low, n) in enumerate(sent.value.sequence(x)):
-                    if high < least:
-                        break
-                    if low > most or at < s:  # out of every window, or visited
-                        total += n if at < s else 0
-                        continue
-                    if total >= budget:
-                        bound = high
-                        break
-                    mine.append((at, cell))
-                    total += n
-                cells.append([c for _, c in mine])
-                bounds.append((mine[-1][0] + 1 if mine else s, bound))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cells, pa.list_(pa.int64())), pa.array([t for t, _ in bounds], pa.int64()), pa.array([v for _, v in bounds], pa.float64())],
-                [*b.schema.names, "cells", "to", "bound"],
-            )
-
-    more = [T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("to", T.LongType()), T.StructField("bound", T.DoubleType())]
+    slot, tile = SLOT, TILE
+    found, budget, seen, planned = None, FIRST, spark.createDataFrame([], "grp long, cells array<long>"), []
+    rows = windows.withColumn("kth", F.lit(None).cast("long"))
+    active = anchors
+
+    def plan(left: pa.Table, right: pa.Table) -> pa.Table:
+        book, out = sent.value, {"grp": [], "a": [], "named": [], "slots": [], "cells": []}
+        seen, union = (np.zeros(book.count.size, bool) for _ in range(2))
+        for cells in right.column("cells").to_pylist():
+            seen[cells] = True
+        for a, x, w in zip(left.column("a").to_pylist(), _matrix(left.column("x")), left.column("windows").to_pylist(), strict=True):
+            known = all(v["kth"] is not None for v in w)
+            least, most = min(v["lo"] if v["kth"] is None else max(v["lo"], v["kth"]) for v in w), max(v["hi"] for v in w)
+            cells = book.reaching(x, least, most, seen, None if known else budget) if right.num_rows else book.first(x, least, most, budget)
+            if len(cells):
+                union[cells] = True
+                out["a"].append(a)
+                out["named"].append(len(cells))
+        live = len(out["a"])
+        if live:  # and a last row with the cells of all
+            out["grp"] = [left.column("grp")[0].as_py()] * (live + 1)
+            out["slots"] = [-(-int(book.count.ravel()[union].sum()) // slot)] * (live + 1)
+            out["cells"] = [None] * live + [np.flatnonzero(union)]
+            out["a"].append(None)
+            out["named"].append(None)
+        return pa.table({c: pa.array(v, pa.list_(pa.int64()) if c == "cells" else pa.int64()) for c, v in out.items()})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        best = None
         if left.num_rows and right.num_rows:
+            best = _Best(left.column("windows").combine_chunks(), k)
             asking, there = _matrix(left.column("x")), _matrix(right.column("x"))
-            s = products(asking, there)
+            label, other, me = left.column("label").to_numpy(), right.column("label").to_numpy(), left.column("id").to_numpy()
             ids = right.column("ids").combine_chunks()
-            own = np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy()))
-            ids = ids.flatten().to_numpy()
-            cell, label = right.column("cell").to_numpy()[own], right.column("label").to_numpy()[own]
-            for r, a in enumerate(left.select(["a", "id", "label", "windows", "cells"]).to_pylist()):
-                visited = np.zeros(len(sent.value.codes[0]) * len(sent.value.codes[1]), bool)
-                visited[a["cells"]] = True
-                ok = visited[cell] & ((label != a["label"]) if negatives else (label == a["label"]))
-                if not negatives:  # not the anchor itself: of rows equal to it, one less
-                    me = np.flatnonzero(ok & (ids == a["id"]))
-                    ok[me[(there[own[me]] == asking[r]).all(1)][:1]] = False
-                at = np.flatnonzero(ok)
-                mine = s[r, own[at]]
-                for w in a["windows"]:
-                    some = at[(mine >= w["lo"]) & (mine <= w["hi"])]
-                    for i in some[_top(s[r, own[some]], ids[some], k)].tolist():
-                        for c, v in zip(out, (a["a"], w["w"], int(s[r, own[i]]), int(ids[i])), strict=True):
-                            c.append(v)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "w", "score", "id"])
-
-    best = Window.partitionBy("a", "w").orderBy(F.desc("score"), "id")
+            at, ids = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+            # rows of other labels are met all at once, those of the same label by label
+            pairs = [(np.arange(len(label)), np.arange(len(other)))]
+            if not negatives:
+                pairs = [(np.flatnonzero(label == v), np.flatnonzero(other == v)) for v in np.unique(label)]
+            for asked, all_of in pairs:
+                for near in _tiles(all_of, tile):
+                    s = products(asking[asked], there[near])
+                    least, most = (v[asked, None].astype(s.dtype) for v in best.limits())
+                    ok = (s >= least) & (s <= most)
+                    if negatives:
+                        ok &= label[asked, None] != other[near]
+                    r, c = np.nonzero(ok)
+                    mine, r, c = s[r, c].astype(np.int64), asked[r], near[c]
+                    times = (at[1:] - at[:-1])[c]
+                    row = np.repeat(np.arange(len(c)), times)
+                    each = ids[np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + at[c][row]]
+                    r, c, mine = r[row], c[row], mine[row]
+                    if not negatives:  # not the anchor itself: of rows equal to it, one less
+                        own = np.flatnonzero(each == me[r])
+                        own = own[(there[c[own]] == asking[r[own]]).all(1)]
+                        keep = np.ones(len(r), bool)
+                        keep[own[np.unique(r[own], return_index=True)[1]]] = False
+                        r, mine, each = r[keep], mine[keep], each[keep]
+                    best.add(r, mine, each)
+        window, value, ids = best.found if best else [np.empty(0, np.int64)] * 3
+        a, w = (left.column("a").to_numpy()[np.searchsorted(best.start, window, "right") - 1], best.w[window]) if best else (window, window)
+        return pa.table({"a": a, "w": w, "score": value, "id": ids})
+
+    order = Window.partitionBy("a", "w").orderBy(F.desc("score"), "id")
     while True:
-        planned = stored(active.mapInArrow(plan, T.StructType([*active.schema.fields, *more])), "planned")
-        wanted = planned.select("grp", F.explode("cells").alias("cell")).distinct()
-        near = wanted.join(points, "cell").select("grp", "cell", "label", "x", "ids")
-        load = points.groupBy("cell").count().join(wanted, "cell").groupBy("grp").agg(F.ceil(F.sum("count") / SLOT).cast("int").alias("slots"))
-        load = stored(load, "slots")
-        near = near.join(load, "grp").withColumn("slot", F.pmod(F.xxhash64("x", "label"), F.col("slots")).cast("int"))
-        near = near.select("grp", "slot", "cell", "label", "x", "ids")
-        asked = planned.filter(F.size("cells") > 0).join(load, "grp").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        asked = asked.select("grp", "slot", "a", "id", "label", "x", "windows", "cells")
-        asked, near = asked.toDF(*asked.columns), near.toDF(*near.columns)  # new attributes for the cogroup
-        got = asked.groupBy("grp", "slot").cogroup(near.groupBy("grp", "slot")).applyInArrow(score, "a long, w long, score long, id long")
-        got = got if found is None else found.unionByName(got)
-        was, found = found, stored(got.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n"), "found")
-        kth = found.groupBy("a", "w").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        open_ = planned.filter("bound is not null").select("a", "bound", F.explode("windows").alias("v")).select("a", "bound", "v.w", "v.lo")
-        open_ = open_.join(kth, ["a", "w"], "left").filter("bound >= lo and (kth is null or bound >= kth)").select("a").distinct()
-        before, active = active if hasattr(active, "stored_at") else None, stored(planned.join(open_, "a", "left_semi").withColumn("seen", F.col("to")).select(*active.columns), "active")
-        left = active.count()
+        asked = active.join(rows.groupBy("a").agg(F.collect_list(F.struct("w", "lo", "hi", "kth")).alias("windows")), "a")
+        asked = stored(asked, "asked")
+        plans = asked.select("grp", "a", "x", "windows").groupBy("grp").cogroup(seen.groupBy("grp"))
+        plans = stored(plans.applyInArrow(plan, "grp long, a long, named long, slots long, cells array<long>"), "planned")
+        planned.append(asked)
+        planned.append(plans)
+        live, named = plans.agg(F.count("a"), F.coalesce(F.sum("named"), F.lit(0))).first()
         if rounds is not None:
-            rounds.append((planned.agg(F.sum(F.size("cells"))).first()[0], left))
-        for old in (planned, load, was, before):
-            if old is not None:
-                dropped(old)
-        if not left:
-            return found
-        budget *= 4
+            rounds.append((named, live))
+        if not live:
+            break
+        union = plans.filter("a is null")
+        near = points.join(union.select("grp", "slots", F.explode("cells").alias("cell")), "cell")
+        near = near.select("grp", F.pmod(F.xxhash64("x", "label"), "slots").alias("slot"), "label", "x", "ids")
+        meeting = asked.join(plans.filter("a is not null").select("a", "slots"), "a")
+        meeting = meeting.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "a", "id", "label", "x", "windows")
+        near, meeting = near.toDF(*near.columns), meeting.toDF(*meeting.columns)  # new attributes for the cogroup
+        got = meeting.groupBy("grp", "slot").cogroup(near.groupBy("grp", "slot")).applyInArrow(score, "a long, w long, score long, id long")
+        was, got = found, got if found is None else got.unionByName(found)
+        found = stored(got.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n"), "found")
+        if was is not None:
+            dropped(was)
+        kth = found.groupBy("a", "w").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        active = anchors.join(plans.select("a"), "a", "left_semi")
+        rows = windows.join(kth, ["a", "w"], "left")
+        seen = seen.unionByName(union.select("grp", "cells"))
+        budget *= 16
+    for old in planned:
+        dropped(old)
+    sent.destroy()
+    return found if found is not None else spark.createDataFrame([], "a long, w long, score long, id long")
 
 
 def hard_negatives(
@@ -245,8 +315,10 @@ def hard_negatives(
     points, 4 to 256, fitted on at most ``sample`` points); a pair of codes is a cell. An anchor visits cells by the sum
     of the two half scores' bounds (product with the code plus length times radius) from a heap, first until its positives
     are certain, then until its windows are; cells that cannot reach into a window are skipped. Anchors of similar place
-    are searched in groups of ``GROUP`` that meet ``SLOT`` points at once. Vectors without structure have loose bounds,
-    and their anchors visit most cells: the anchors are then a query set that meets all rows, in blocks.
+    are searched in groups of ``GROUP``, which meet ``SLOT`` points in a task; only scores that can still be among the best
+    leave the product. Vectors without structure have loose bounds, and their anchors visit most cells: the anchors are
+    then a query set that meets all rows, in blocks, for which the rows are shuffled about once a group and search.
+    ``rounds`` takes of every round the cells that anchors named and how many anchors did; the last of a search has none.
 
     Equal vectors of one label are one point with its smallest ids, as many as a list can hold.
 
@@ -265,7 +337,10 @@ def hard_negatives(
     if d is None:
         return spark.createDataFrame([], names)
     rows = rows.filter(F.size("x") == d)
-    least = Window.partitionBy("x", "label").orderBy("id")
+    # entries in the first type that holds them all and their negatives: rows are moved several times
+    top = rows.agg(F.greatest(F.max(F.array_max("x")), -(F.min(F.array_min("x")) + 1))).first()[0]
+    rows = rows.withColumn("x", F.col("x").cast("array<smallint>" if top < (1 << 15) - 1 else "array<int>" if top < (1 << 31) - 1 else "array<bigint>"))
+    least = Window.partitionBy(F.xxhash64("x", "label"), "x", "label").orderBy("id")  # sorted by a number first
     keep = max(_KEEP, positives + 1, negatives)
     points = rows.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= keep).groupBy("x", "label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     points, book = indexed(stored(points, "points"), codes, sample)
@@ -286,16 +361,13 @@ def hard_negatives(
         return spark.createDataFrame([], names)
 
     far = (1 << 63) - 1
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("w"), F.lit(-far).alias("lo"), F.lit(far).alias("hi")))
-    found = _search(asked.withColumn("windows", everything), points, book, positives, False, rounds)
+    everything = asked.select("a", F.lit(0).cast("long").alias("w"), F.lit(-far).alias("lo"), F.lit(far).alias("hi"))
+    found = _search(asked, everything, points, book, positives, False, rounds)
     found = found.select("a", F.col("score").alias("w"), F.col("id").alias("positive_id"))
     # the whole numbers s with low * w <= 100 * s <= high * w
     window = found.select("a", "w", F.ceil(F.col("w") * low / F.lit(100).cast("decimal(3,0)")).cast("long").alias("lo"), F.floor(F.col("w") * high / F.lit(100).cast("decimal(3,0)")).cast("long").alias("hi"))
-    wanted = window.filter("lo <= hi").groupBy("a").agg(F.collect_set(F.struct("w", "lo", "hi")).alias("windows"))  # as many as positives at most
-    asked = asked.join(wanted, "a")
-    if asked.isEmpty():
-        return spark.createDataFrame([], names)
-    hard = _search(asked, points, book, negatives, True, rounds)
+    window = window.filter("lo <= hi").distinct()  # as many as positives at most
+    hard = _search(asked, window, points, book, negatives, True, rounds)
     hard = hard.withColumn("rank", F.row_number().over(Window.partitionBy("a", "w").orderBy(F.desc("score"), "id")))
     hard = hard.select("a", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     out = found.join(hard, ["a", "w"]).join(asked.select("a", F.col("id").alias("anchor_id"), "times"), "a")

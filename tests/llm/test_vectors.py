@@ -224,9 +224,29 @@ def test_hard_negatives_edge_cases(spark, monkeypatch):
     assert hardneg.hard_negatives(df, df.select("vec_id").limit(0)).count() == 0
 
 
+def test_hard_negatives_without_structure_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(hardneg, "FIRST", 16)
+    monkeypatch.setattr(hardneg, "TILE", 50)
+    monkeypatch.setattr(hardneg, "SLOT", 700)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 24))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(int)
+    label = np.where(np.arange(3000) < 2990, rng.integers(0, 4, 3000), 9).tolist()  # and a label of few rows
+    df = spark.createDataFrame([(i, (v / 256).tolist(), label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    asked, rounds = {*range(0, 3000, 100), 2995}, []
+    got = hardneg.hard_negatives(df, spark.createDataFrame([(i,) for i in asked], "vec_id long"), rounds=rounds)
+    assert sorted(map(tuple, got.collect())) == plain_negatives([(i, v, label[i]) for i, v in enumerate(x)], asked)
+    assert len(rounds) <= 8  # those that have k rows a window visit what can reach them, without further steps
+    assert rounds[-1] == (0, 0)
+
+
 def test_products_are_exact():
     a = np.array([[1 << 30, -3]]), np.array([[1 << 30, 5]])
     assert hardneg.products(*a).tolist() == [[(1 << 60) - 15]]
+    a = np.array([[-2895, 2895]], np.int16), np.array([[2895, -2894]], np.int16)  # singles hold these, and entries no more
+    assert hardneg.products(*a).tolist() == [[-2895 * (2895 + 2894)]]
+    a = np.array([[-32768, 3]], np.int16), np.array([[-32768, 5]], np.int16)
+    assert hardneg.products(*a).tolist() == [[(1 << 30) + 15]]
     with pytest.raises(OverflowError):
         hardneg.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
 
