@@ -40,6 +40,22 @@ def test_grouped_specs_come_together_by_folder(spark):
     assert all(len({tuple(x) for x in by_row.values()}) == 1 for by_row in orders.values())
 
 
+def test_grouped_specs_of_large_folders_are_dealt_to_tasks(spark, monkeypatch):
+    """Tasks share the rows of a folder with a large result, and folders come before paths in each."""
+    monkeypatch.setattr(resolve, "PIECE", 500, raising=False)
+    f = spark.createDataFrame([(f"{d}/{i}.wav", d, "wav") for d in ("a", "b") for i in range(20)] + [("d.wav/x.wav", "d.wav", "wav")], "rel_path string, parent string, ext string")
+    s = spark.createDataFrame([(k, "a") for k in range(400)] + [(k, "b") for k in range(400, 410)] + [(k, f"a/{k % 20}.wav") for k in range(500, 560)] + [(560, "d.wav"), (561, None), (0, "a")], "k int, spec string")
+    found = resolve.resolve_specs(s, f, grouped=True)
+    assert found.columns == ["spec", "k", "source"]
+    found = found.withColumn("p", F.spark_partition_id()).collect()
+    want = [(k, f"a/{i}.wav") for k in [*range(400), 0] for i in range(20)] + [(k, f"b/{i}.wav") for k in range(400, 410) for i in range(20)]
+    assert sorted((r.k, r.source) for r in found) == sorted(want + [(k, f"a/{k % 20}.wav") for k in range(500, 560)] + [(560, "d.wav/x.wav")])
+    assert len({r.p for r in found if r.spec == "a"}) == 4 and len({r.p for r in found if r.spec == "b"}) == 1
+    for p in {r.p for r in found}:
+        kinds = [r.spec.endswith(".wav") for r in found if r.p == p]
+        assert kinds == sorted(kinds)
+
+
 def test_compared_gives_either_side_and_status(spark):
     new = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("c", "3", 3), ("n", None, 4)], "name string, source_checksum string, size int")
     old = spark.createDataFrame([("a", "1", 9), ("b", "x", 8), ("d", "4", 7), ("n", None, 6)], "name string, source_checksum string, size int")
